@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, lines, mixing, secrets
+from . import bpe, gif, lines, mixing, neardup, secrets, substrings
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_secret_ledger": secrets.op2_secret_ledger,
         "op3_gif_media": gif.op3_gif_media,
         "op4_line_runs": lines.op4_line_runs,
+        "op5_hyperminhash": neardup.op5_hyperminhash,
+        "op8_seed_extend": substrings.op8_seed_extend,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_temperature_mix": mixing.SQL,
         "op2_secret_ledger": secrets.SQL,
         "op4_line_runs": lines.SQL,
+        "op8_seed_extend": substrings.SQL,
     }
