@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, lines, mixing, neardup, secrets, substrings
+from . import bpe, embeddings, gif, lines, mixing, neardup, secrets, substrings, toxicity
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_gif_media": gif.op3_gif_media,
         "op4_line_runs": lines.op4_line_runs,
         "op5_hyperminhash": neardup.op5_hyperminhash,
+        "op6_itq_hamming": embeddings.op6_itq_hamming,
         "op8_seed_extend": substrings.op8_seed_extend,
+        "op9_string_kernel": toxicity.op9_string_kernel,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
@@ -22,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_temperature_mix": mixing.SQL,
         "op2_secret_ledger": secrets.SQL,
         "op4_line_runs": lines.SQL,
+        "op6_itq_hamming": embeddings.SQL,
         "op8_seed_extend": substrings.SQL,
     }
