@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, gif, lines, mixing, neardup, secrets, substrings, toxicity
+from . import bpe, embeddings, gif, licences, lines, mixing, neardup, secrets, substrings, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_line_runs": lines.op4_line_runs,
         "op5_hyperminhash": neardup.op5_hyperminhash,
         "op6_itq_hamming": embeddings.op6_itq_hamming,
+        "op7_template_join": licences.op7_template_join,
         "op8_seed_extend": substrings.op8_seed_extend,
         "op9_string_kernel": toxicity.op9_string_kernel,
         "op10_byte_bpe": bpe.op10_byte_bpe,
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_secret_ledger": secrets.SQL,
         "op4_line_runs": lines.SQL,
         "op6_itq_hamming": embeddings.SQL,
+        "op7_template_join": licences.SQL,
         "op8_seed_extend": substrings.SQL,
     }
