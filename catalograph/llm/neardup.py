@@ -130,7 +130,7 @@ def _features(batches):
                 n.append(len(s))
                 node.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n", "node", "regs"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "t", "n", "node", "regs"])
 
 
 def _band_rows(batches):
@@ -207,8 +207,8 @@ class _Job:
     def __init__(self, docs: DataFrame):
         self.docs, self.spark = docs, docs.sparkSession
         self.scratch = Scratch(self.spark, "near")
-        self.raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-        self.rows = self.scratch.store(self.raw.mapInArrow(_features, "doc_id long, n long, node long, regs binary"), "rows")
+        self.raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("raw"))
+        self.rows = self.scratch.store(self.raw.mapInArrow(_features, "doc_id long, t long, n long, node long, regs binary"), "rows")
         self.nodes = self.scratch.store(
             self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes"
         )
@@ -266,9 +266,10 @@ class _Job:
         ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         # only nodes with several documents have another smallest id than their own
         label = least.join(ids, "comp").select("node", "component_id")
-        out = self.rows.select("doc_id", "n", "node").join(label, "node", "left")
+        out = self.rows.select("doc_id", "t", "n", "node").join(label, "node", "left")
         return out.select(
             "doc_id",
+            "t",
             F.col("n").alias("n_shingles"),
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -276,7 +277,21 @@ class _Job:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    return _Job(docs).result()
+    return _Job(docs).result().drop("t")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` less all but one document of each near-duplicate component: the one it is named after.
+
+    Of repeated rows with one ``doc_id`` and text, one stays. Texts without words stay.
+    """
+    job = _Job(docs)
+    kept = job.result().where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.count("*").alias("_n"))
+    kept = job.scratch.store(kept, "kept")
+    rows = docs.withColumn("_h", F.xxhash64("text")).join(small(kept, kept.count()), F.expr("doc_id <=> _id and _h = _t"))
+    rows = rows.drop("_id", "_t", "_h")
+    again = rows.where("_n > 1").dropDuplicates(["doc_id", "text"])
+    return rows.where("_n = 1").unionByName(again).drop("_n")
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
