@@ -1 +1,6 @@
+"""Registered queries."""
 
+from . import core
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "core"]
