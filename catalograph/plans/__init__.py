@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import core
+from . import core, more
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core"]
+__all__ = ["QUERIES", "SQL", "core", "more"]
