@@ -12,8 +12,10 @@ pairs of a bucket:
 * Round 1 links each node of a bucket with the bucket's smallest node (a row for each member).
   Confirmed links give components.
 * Round 2 looks only at buckets that still hold several components. A task compares the registers
-  of their members, only across components, and gives out pairs that pass the estimate, each once
-  (by the first band that the pair shares). Buckets of any size are split into pairs of blocks.
+  of their members, only across components, each pair once (in the first band that it shares).
+  Pairs that pass the estimate are held against the members' lowest ``LOWEST`` shingle hashes, which
+  are whole sets for most texts, and given out if they pass that too. Buckets of any size are
+  split into pairs of blocks.
 
 All pairs of a bucket are so either compared or in one component already; nothing is capped.
 A pair at similarity s is missed if no band agrees: (1 - s^7)^36, under 1e-6 at 0.85. The estimate
@@ -43,6 +45,8 @@ MANTISSA = 10
 PROBES = 48
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 4.5
+#: Shingle hashes of a member that a task of round 2 holds, the lowest ones.
+LOWEST = 1024
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
 
@@ -116,6 +120,27 @@ def passes(equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (est >= t - room) & (100 * least >= THRESHOLD * np.maximum(na, nb))
 
 
+def reach(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether sets may reach the threshold with set ``a``, from the lowest hashes of each.
+
+    Below the smaller of two cut-offs both samples are complete, so the share of common hashes there
+    estimates the similarity; sets that aren't cut off are compared as a whole.
+    """
+    out = np.zeros(len(others), bool)
+    t = THRESHOLD / 100
+    for i, b in enumerate(others):
+        x, y, room = a, b, 0.0
+        if len(x) >= LOWEST or len(y) >= LOWEST:
+            top = min([v[-1] for v in (x, y) if len(v) >= LOWEST])
+            x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+            room = SLACK * np.sqrt(t * (1 - t) / max(len(x), len(y), 1))
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        out[i] = common >= (t - room) * (len(both) - common) - 1e-9
+    return out
+
+
 # ---------------------------------------------------------------- tasks
 
 
@@ -179,6 +204,7 @@ def _across(batches):
             continue
         node, comp, n, mine = (g.column(c).to_numpy() for c in ("node", "comp", "n", "mine"))
         regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        low = [np.frombuffer(x, np.uint64) for x in g.column("low").to_pylist()]
         keys = bands(regs)
         key = g.column("key")[0].as_py()
         band = int((keys[0].view(np.int64) == key).argmax())
@@ -194,6 +220,8 @@ def _across(batches):
             other = other[ok]
             if len(other) and band:
                 other = other[~(keys[other][:, :band] == keys[x][:band]).any(1)]
+            if len(other):
+                other = other[reach(low[x], [low[o] for o in other])]
             found_a.append(np.full(len(other), node[x]))
             found_b.append(node[other])
         if found_a:
@@ -222,15 +250,19 @@ class _Job:
         both = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
         return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, "a long, b long")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs`` (a stored table), by full sets; only texts of its nodes are read again."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, set): whole shingle sets of some nodes; only their texts are read again."""
         ids = self.scratch.store(self.nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), "wanted")
         ids = small(ids, ids.count())
         texts = self.raw.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.expr("doc_id <=> _id"), "left_semi")
         found = texts.select("raw").mapInArrow(_sets, "node long, set binary")
-        sets = found.join(ids.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-        sets = self.scratch.store(sets, "sets")
+        # repeated rows and clashing ids bring texts that aren't asked for, or more than once
+        return self.scratch.store(found.join(ids.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Links among ``pairs`` (a stored table), by full sets."""
+        if sets is None:
+            sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         links = self.scratch.store(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), "links")
         self.scratch.drop(sets)
@@ -253,11 +285,14 @@ class _Job:
         n = open_.count()
         if not n:
             return comp
-        rest = labelled.join(small(open_, n), "key", "left_semi").join(self.nodes.select("node", "n", "regs"), "node")
+        rest = self.scratch.store(labelled.join(small(open_, n), "key", "left_semi"), "rest")
+        sets = self.sets(rest.select("node").distinct())
+        low = sets.select("node", F.expr(f"substring(set, 1, {8 * LOWEST})").alias("low"))
+        rest = rest.join(self.nodes.select("node", "n", "regs").join(low, "node"), "node")
         rest = blocked(rest, F.col("members"), F.col("node"), BLOCK)
         rest = rest.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-        across = rest.select("key", "bi", "bj", "mine", "node", "comp", "n", "regs").mapInArrow(_across, "a long, b long")
-        more = self.confirm(self.scratch.store(across, "across"))
+        across = rest.select("key", "bi", "bj", "mine", "node", "comp", "n", "regs", "low").mapInArrow(_across, "a long, b long")
+        more = self.confirm(self.scratch.store(across, "across"), sets)
         return components(links.unionByName(more), self.scratch)
 
     def result(self) -> DataFrame:
@@ -286,12 +321,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows with one ``doc_id`` and text, one stays. Texts without words stay.
     """
     job = _Job(docs)
-    kept = job.result().where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.count("*").alias("_n"))
+    kept = job.result().where("kept").groupBy(F.col("doc_id").alias("id"), "t").agg(F.count("*").alias("n"))
     kept = job.scratch.store(kept, "kept")
-    rows = docs.withColumn("_h", F.xxhash64("text")).join(small(kept, kept.count()), F.expr("doc_id <=> _id and _h = _t"))
-    rows = rows.drop("_id", "_t", "_h")
-    again = rows.where("_n > 1").dropDuplicates(["doc_id", "text"])
-    return rows.where("_n = 1").unionByName(again).drop("_n")
+    row = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that no name of the input can clash
+    row = row.join(small(kept, kept.count()), F.expr("row.doc_id <=> id and xxhash64(row.text) = t"))
+    again = row.where("n > 1").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"]).drop("text")
+    return row.where("n = 1").unionByName(again).select("row.*")
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
