@@ -49,7 +49,11 @@ def plan_tables(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple
 
 
 def learn(x: np.ndarray, seed: int) -> np.ndarray:
-    """An iterative-quantisation projection of centred unit vectors: (dimensions, bits)."""
+    """An iterative-quantisation projection of unit vectors: (dimensions, bits).
+
+    Vectors aren't centred: a bit is then the side of a plane through the origin, so vectors at a
+    small angle rarely differ in it, even where nearly all vectors are alike.
+    """
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
     _, axes = np.linalg.eigh(x.T @ x / max(len(x), 1) + 1e-9 * np.eye(dim))
@@ -67,16 +71,15 @@ class Codes:
 
     def __init__(self, sample: np.ndarray, n: int):
         dim = sample.shape[1]
-        self.mean = sample.mean(0) if len(sample) else np.zeros(dim)
         self.bits, self.tables = plan_tables(n)
         each = max(1, dim // self.bits)  # substrings that one code has
         rotations = math.ceil(self.tables / each)
-        self.projection = [learn(sample - self.mean, seed) for seed in range(rotations)]
+        self.projection = [learn(sample, seed) for seed in range(rotations)]
         self.cuts = [(t // each, [(t % each * self.bits + i) % dim for i in range(self.bits)]) for t in range(self.tables)]
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Each row's key in every table: (rows, tables)."""
-        signs = [((x - self.mean) @ p) >= 0 for p in self.projection]
+        signs = [(x @ p) >= 0 for p in self.projection]
         power = 1 << np.arange(self.bits, dtype=np.int64)
         return np.stack([signs[r][:, at] @ power for r, at in self.cuts], 1)
 

@@ -230,9 +230,9 @@ def encode_gif(payload: bytes) -> bytes:
 def parse_gif(data: bytes) -> tuple[tuple, list[dict], str | None]:
     """The screen, the images with their code streams still packed, and what broke the file off."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
-        return (0, 0, None), [], "not a GIF"
+        return (0, 0, np.zeros(3, np.uint8)), [], "not a GIF"
     images: list[dict] = []
-    screen = (0, 0, None)
+    screen = (0, 0, np.zeros(3, np.uint8))
     try:
         wide, high, flags, back, _ = struct.unpack_from("<HHBBB", data, 6)
         at, palette = 13, None

@@ -105,33 +105,28 @@ class LineRuns:
     def dedup(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` less its frequent lines, ``n_lines`` before and ``n_dropped``."""
         known, n = self.frequent()
-        added = ("n_lines", "n_dropped")
-        d = docs.select(*[c for c in docs.columns if c not in added])
-        if known is None or not n:
-            return d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
-        # which texts hold which frequent keys: texts by their hash, so equal texts are looked up once
-        t = d.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_t", _hash(F.col("text")))
-        held = (
-            t.select("_t", F.explode(F.array_distinct(F.filter(_keys(F.col("text"), self.least), lambda k: k.isNotNull()))).alias("k"))
-            .select(F.col("_t.h1").alias("t1"), F.col("_t.h2").alias("t2"), F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-            .join(small(known, n), ["h1", "h2"], "left_semi")
-            .groupBy("t1", "t2")
-            .agg(F.collect_set(F.struct("h1", "h2")).alias("_frequent"))
-        )
-        held = self.scratch.store(held, "held")
-        held_keys = held.agg(F.coalesce(F.sum(F.size("_frequent")), F.lit(0))).first()[0]
-        full = d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_t", _hash(F.col("text")))
-        with_keys = full.join(small(held, held_keys), (F.col("_t.h1") == F.col("t1")) & (F.col("_t.h2") == F.col("t2")), "left")
+        names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
+        # the other columns are one, so that no name of the input can clash
+        d = docs.select(F.struct(F.lit(0).alias("_"), *names).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
         lines = lines_of(F.col("text"))
-        gone = lambda x: (F.length(line_key(x)) >= self.least) & F.array_contains(F.col("_frequent"), _hash(line_key(x)))
-        kept = F.when(F.col("_frequent").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
-        return (
-            with_keys.withColumn("_kept", kept)
-            .withColumn("n_lines", F.size(lines).cast("long"))
-            .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-            .withColumn("text", F.array_join("_kept", "\n"))
-            .drop("_t", "t1", "t2", "_frequent", "_kept")
-        )
+        if known is None or not n:
+            out = d.withColumn("kept", lines)
+        else:
+            # which texts hold which frequent keys: by text hash, so equal texts are looked up once
+            held = (
+                d.select(_hash(F.col("text")).alias("t"), F.explode(F.array_distinct(F.filter(_keys(F.col("text"), self.least), lambda k: k.isNotNull()))).alias("k"))
+                .select(F.col("t.h1").alias("t1"), F.col("t.h2").alias("t2"), F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+                .join(small(known, n), ["h1", "h2"], "left_semi")
+                .groupBy("t1", "t2")
+                .agg(F.collect_set(F.struct("h1", "h2")).alias("frequent"))
+            )
+            held = self.scratch.store(held, "held")
+            size = held.agg(F.coalesce(F.sum(F.size("frequent")), F.lit(0))).first()[0]
+            full = d.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))}).join(small(held, size), ["t1", "t2"], "left")
+            gone = lambda x: (F.length(line_key(x)) >= self.least) & F.array_contains("frequent", _hash(line_key(x)))
+            out = full.withColumn("kept", F.when(F.col("frequent").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x))))
+        out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("kept")).cast("long")})
+        return out.select(*[F.col(f"row.{c}").alias(c) if c != "text" else F.array_join("kept", "\n").alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, **settings) -> DataFrame:

@@ -116,10 +116,13 @@ def deal(docs: DataFrame, tokens: Column | None = None, target_entropy: float |
     by the last two gives the training order. See the module for the method and edge cases.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    added = ("n_tokens", "epoch", "place", "mix_block", "mix_key")
+    added = ("n_tokens", "epoch", "place", "mix_block", "mix_key", "weight_ppb")
     kept = [c for c in docs.columns if c not in added]
-    d = docs.select(*kept, (n_words(F.col("text")) if tokens is None else tokens).alias("n_tokens"))
-    d = d.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    d = docs.select(  # the row is one column, so that no name of the input can clash
+        F.struct(*kept).alias("_row"), "doc_id",
+        (n_words(F.col("text")) if tokens is None else tokens).alias("n_tokens"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
+    )
     shares = scratch.store(d.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).withColumnRenamed("_source", "source"), "shares")
     step = bisect_exponent(shares, target_entropy, repeats)
     plan = budgets(shares, step, total).join(shares.select("source", "docs"), "source")
@@ -154,7 +157,7 @@ def deal(docs: DataFrame, tokens: Column | None = None, target_entropy: float |
     dealt = placed.withColumn("place", place.cast("long")).where("place < budget or (n_tokens = 0 and place <= budget)")
     block = F.floor(F.col("place").cast("decimal(38,0)") * mix_blocks / F.greatest(F.col("budget"), F.lit(1)))
     return dealt.select(
-        *kept, "n_tokens", "epoch", "place",
+        "_row.*", "n_tokens", "epoch", "place",
         F.least(block, F.lit(mix_blocks - 1)).cast("int").alias("mix_block"), F.col("_key").alias("mix_key"), "weight_ppb",
     )
 

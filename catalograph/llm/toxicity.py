@@ -33,7 +33,7 @@ from .common import MEMO_WORDS, Scratch, table
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 #: Landmarks at most, and nats of evidence that a landmark needs beyond the number of tokens tried.
 LANDMARKS, EVIDENCE = 96, 3.0
-LENGTH, DECAY = 3, 0.6
+LENGTH, DECAY = 3, 0.8
 #: Share of a landmark's letter pairs that a token needs before its kernel is computed.
 PAIRS = 0.6
 #: Kernel values under this count as none.
@@ -43,6 +43,7 @@ WIDE = 32
 
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*&%#-_/\\~`^+=…«»“”„"
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
+_SIGNS = re.compile(r"[\W_]+")
 _APART = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 
 
@@ -52,9 +53,11 @@ def in_fold(doc_id: Column) -> Column:
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-cased words without punctuation at their ends, and single letters spelled apart, joined."""
+    """Lower-cased words without punctuation at their ends; words with signs inside also without
+    them; single letters spelled apart, joined."""
     low = text.lower()
     out = [t for w in low.split() if (t := w.strip(_EDGE))]
+    out += [t for w in out if not w.isalpha() and 2 < len(t := _SIGNS.sub("", w)) < len(w)]
     for m in _APART.finditer(low):
         joined = re.sub(r"[\s.,*_-]", "", m[0])
         if 3 < len(joined) <= WIDE:

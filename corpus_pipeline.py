@@ -19,17 +19,22 @@ from catalograph.llm.common import Scratch, table
 REPEATS = 1.25
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Rows as one column beside those that a stage works on, so that other columns can't clash."""
+    return docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", "source")
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel SVM scores under its threshold."""
-    columns = docs.columns
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*columns)
+    return toxicity.score(_whole(docs), model).where(F.col("score") < toxicity.THRESHOLD).select("whole.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that at least ten of them hold."""
-    columns = docs.columns
-    return lines.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    out = lines.dedup(_whole(docs))
+    whole = F.col("whole").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("long"))
+    return out.select(whole.alias("whole")).select("whole.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents dealt by temperature weights: each once, and those of small sources up to ``REPEATS`` times."""
-    columns = docs.columns
-    return mixing.deal(docs, repeats=REPEATS).select(*columns)
+    return mixing.deal(_whole(docs), repeats=REPEATS).select("whole.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
