@@ -18,7 +18,8 @@ def _values(df: DataFrame, field: str) -> Column:
 
 
 def _pairs(df: DataFrame, field: str) -> Column:
-    return F.transform(_values(df, field), lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+    pairs = F.transform(_values(df, field), lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+    return F.coalesce(pairs, F.array().cast("array<struct<field:string,value:string>>"))
 
 
 def facet(df: DataFrame, fields: list[str], size: int | None = None) -> DataFrame:

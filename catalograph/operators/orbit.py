@@ -84,9 +84,8 @@ def swath_polygons(df: DataFrame, step: float = 300.0) -> DataFrame:
 def crossing_range(lon: float, lat: float, inclination: float, period_min: float, width_km: float, ascending: bool) -> tuple[float, float] | None:
     """Crossing longitudes (min, max; wrapping if min > max) of passes whose swath sees a point.
 
-    None if no pass sees it; (-180, 180) if every pass does. The band of crossings is found on a
-    track at longitude 0: its time of closest approach to the point's latitude circle gives the
-    centre, and where its swath edges cut the circle the two ends.
+    None if no pass sees it; (-180, 180) if every pass does. The longitudes that the swath of a pass
+    crossing at longitude 0 sees on the point's circle of latitude give the crossings by a shift.
     """
     period, half = period_min * 60.0, np.degrees(width_km * 1000.0 / 2 / EARTH_M)
     top = inclination if inclination <= 90 else 180 - inclination
@@ -94,24 +93,31 @@ def crossing_range(lon: float, lat: float, inclination: float, period_min: float
         return None
     if abs(lat) >= 180 - top - half and top + half > 90:
         return -180.0, 180.0
-    span = (-period / 4, period / 4) if ascending else (period / 4, 3 * period / 4)
-    t = np.linspace(*span, 2001)
-    x, y = track(0.0, inclination, period, t)
-    here = _unit(x, y)
-    ahead = _unit(*track(0.0, inclination, period, t + 1.0))
-    pole = np.cross(here, ahead)
-    pole /= np.linalg.norm(pole, axis=-1, keepdims=True)
-    # at each moment the swath is the arc across the track: offsets at which it cuts the circle of latitude
-    target, cos_h = np.sin(np.radians(lat)), np.radians(half)
-    z, s = here[:, 2], pole[:, 2]
-    r = np.hypot(z, s)
-    ok = r >= abs(target)
-    base, off = np.arctan2(s, z), np.arccos(np.clip(target / np.maximum(r, 1e-15), -1, 1))
+    target, widest = np.sin(np.radians(lat)), np.radians(half)
+
+    def offsets(t: np.ndarray):
+        """At each moment the swath is the arc across the track; where it cuts the circle of latitude."""
+        x, y = track(0.0, inclination, period, t)
+        here, ahead = _unit(x, y), _unit(*track(0.0, inclination, period, t + 1.0))
+        side = np.cross(here, ahead)
+        side /= np.linalg.norm(side, axis=-1, keepdims=True)
+        r = np.hypot(here[:, 2], side[:, 2])
+        base, off = np.arctan2(side[:, 2], here[:, 2]), np.arccos(np.clip(target / np.maximum(r, 1e-15), -1, 1))
+        turn = lambda d: (d + np.pi) % (2 * np.pi) - np.pi
+        return here, side, r >= abs(target), (turn(base + off), turn(base - off))
+
+    a, b = (-period / 4, period / 4) if ascending else (period / 4, 3 * period / 4)
+    t = np.linspace(a, b, 2001)
+    _, _, ok, both = offsets(t)
+    near = np.flatnonzero(ok & (np.minimum(*np.abs(both)) <= 3 * widest + 0.05))
+    if not len(near):
+        return None
+    t = np.linspace(max(a, t[near[0]] - 6.0), min(b, t[near[-1]] + 6.0), 6001)  # finer where it matters
+    here, side, ok, both = offsets(t)
     found = []
-    for d in (base + off, base - off):
-        d = (d + np.pi) % (2 * np.pi) - np.pi
-        hit = ok & (np.abs(d) <= cos_h)
-        v = here[hit] * np.cos(d[hit])[:, None] + pole[hit] * np.sin(d[hit])[:, None]
+    for d in both:
+        hit = ok & (np.abs(d) <= widest)
+        v = here[hit] * np.cos(d[hit])[:, None] + side[hit] * np.sin(d[hit])[:, None]
         found.append(np.degrees(np.arctan2(v[:, 1], v[:, 0])))
     seen = np.concatenate(found)
     if not len(seen):
