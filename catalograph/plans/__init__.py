@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import core, more
+from . import core, extra, more
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "more"]
+__all__ = ["QUERIES", "SQL", "core", "extra", "more"]
