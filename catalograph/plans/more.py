@@ -77,10 +77,10 @@ _RULES = [
 ]
 
 
-@query("tx7_humanize", sql("""SELECT concept_id, CASE platform WHEN 'Brand#1' THEN 'First Brand' WHEN 'Brand#2' THEN NULL ELSE platform END AS value, CASE platform WHEN 'Brand#1' THEN 7 WHEN 'Brand#2' THEN NULL ELSE 0 END AS priority FROM collections""", "collections"))
+@query("tx7_humanize", sql("""SELECT concept_id, CASE platform WHEN 'Brand#1' THEN 'First Brand' WHEN 'Brand#2' THEN NULL ELSE platform END AS value, CASE platform WHEN 'Brand#1' THEN 7 WHEN 'Brand#2' THEN -1 ELSE 0 END AS priority FROM collections""", "collections"))
 def _(spark, d):
     h = tx.humanize(F.col("platform"), _RULES, "platform")
-    return ad.collections(spark, d).select("concept_id", h["value"].alias("value"), h["priority"].alias("priority"))
+    return ad.collections(spark, d).select("concept_id", h["value"].alias("value"), F.coalesce(h["priority"], F.lit(-1)).alias("priority"))
 
 
 @query("mt3_humanizer_report", sql("SELECT DISTINCT concept_id, 'platform' AS field, 'Brand#1' AS original, 'First Brand' AS humanized FROM collections WHERE platform = 'Brand#1'", "collections"))
@@ -440,13 +440,13 @@ def _(spark, d):
     return rd.find_concepts(ad.collections(spark, d), "collection", short_name=["red ring", "small ring"]).select("concept_id", "short_name")
 
 
-@query("src5_parse_metadata", """SELECT event_id, CAST(CASE WHEN event_id % 7 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) END AS INTEGER) AS k, event_id % 7 = 0 AS bad FROM events""")
+@query("src5_parse_metadata", """SELECT event_id, CAST(CASE WHEN event_id % 7 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) ELSE -1 END AS INTEGER) AS k, event_id % 7 = 0 AS bad FROM events""")
 def _(spark, d):
     from pyspark.sql import types as T
 
     e = ad.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.col("props")).alias("metadata"))
     out = rd.parse_metadata(e, T.StructType([T.StructField("k", T.IntegerType())]))
-    return out.select("event_id", "k", F.col("quarantine").isNotNull().alias("bad"))
+    return out.select("event_id", F.coalesce("k", F.lit(-1)).alias("k"), F.col("quarantine").isNotNull().alias("bad"))
 
 
 @query("src7_usage_rows", sql("SELECT short_name, version, access_count * 1000 AS access_count FROM usage_metrics", "usage_metrics"))
