@@ -232,11 +232,14 @@ def drop_anti_values(df: DataFrame, c: str) -> DataFrame:
     return df.where(F.trim(c) != "").where(~F.lower(F.trim(c)).rlike(r"^(none|not provided|not applicable)$"))
 
 
-def classify_links(urls: Column) -> Column:
-    """Struct of the cloud and the on-premises OPeNDAP link, at most one each; more is an error text."""
-    cloud = F.filter(urls, lambda u: u.rlike(r"(?i)^https?://opendap\.(uat\.|sit\.)?earthdata\.nasa\.gov/"))
-    local = F.filter(urls, lambda u: ~u.rlike(r"(?i)^https?://opendap\.(uat\.|sit\.)?earthdata\.nasa\.gov/"))
-    error = F.when((F.size(cloud) > 1) | (F.size(local) > 1), F.lit("at most one cloud and one on-premises link")).when(F.exists(urls, lambda u: u.rlike("(?i)^s3://")), F.lit("an S3 link is not an OPeNDAP link"))
+def classify_links(urls: Column, cloud_hosts: str) -> Column:
+    """Struct of the cloud and the on-premises subset-service link, at most one each; more is an error text.
+
+    ``cloud_hosts``: a pattern that the host of a cloud link matches as a whole.
+    """
+    host = rf"(?i)^https?://(?:{cloud_hosts})(?:[:/]|$)"
+    cloud, local = F.filter(urls, lambda u: u.rlike(host)), F.filter(urls, lambda u: ~u.rlike(host))
+    error = F.when((F.size(cloud) > 1) | (F.size(local) > 1), F.lit("at most one cloud and one on-premises link")).when(F.exists(urls, lambda u: u.rlike("(?i)^s3://")), F.lit("an S3 link is not a service link"))
     return F.struct(F.get(cloud, F.lit(0)).alias("cloud"), F.get(local, F.lit(0)).alias("on_premises"), error.alias("error"))
 
 

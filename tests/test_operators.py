@@ -310,3 +310,10 @@ def test_stac_over_the_antimeridian(spark):
     df = spark.createDataFrame([("G1", "C1", (170.0, 10.0, -170.0, -10.0), D(2000, 1, 1), None, 5.0, [("h", "GET DATA", "m")])], "concept_id string, collection_id string, box struct<west:double,north:double,east:double,south:double>, start_date timestamp_ntz, end_date timestamp_ntz, cloud_cover double, links array<struct<href:string,type:string,mime_type:string>>")
     item = json.loads(sk.to_stac(df).first()["item"])
     assert item["geometry"]["type"] == "MultiPolygon" and item["bbox"] == [170.0, -10.0, -170.0, 10.0] and item["properties"]["datetime"] == "2000-01-01T00:00:00Z" and item["assets"]["data0"]["href"] == "h"
+
+
+def test_links_by_host(spark):
+    df = spark.createDataFrame([(["https://cloud.example.org/a", "http://local.example.net/b"],), (["https://cloud.example.org/a", "https://cloud.example.org/c"],), (["s3://x/y"],)], "u array<string>")
+    got = [r[0] for r in df.select(tx.classify_links(F.col("u"), r"cloud\.example\.org")).collect()]
+    assert (got[0]["cloud"], got[0]["on_premises"], got[0]["error"]) == ("https://cloud.example.org/a", "http://local.example.net/b", None)
+    assert got[1]["error"] and got[2]["error"]
