@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import MASK, mix, table
 
 #: Pre-tokens and pairs that a worker remembers, each.
-MEMO = 300_000
+MEMO = 200_000
 STEP = 0x9E3779B97F4A7C15
 
 

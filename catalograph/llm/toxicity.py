@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Scratch, table
+from .common import Scratch, table
 
 #: Bounds of the labelled sample.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -40,6 +40,10 @@ PAIRS = 0.6
 LEAST = 0.35
 THRESHOLD = 0.7
 WIDE = 32
+#: Pairs of strings whose kernels are computed together.
+BLOCK = 1024
+#: Tokens that a worker remembers.
+MEMO = 200_000
 
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*&%#-_/\\~`^+=…«»“”„"
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
@@ -121,8 +125,8 @@ class Landmarks:
                 pieces.append(w[i : i + WIDE])
                 whose.append(w)
         out: dict[str, list[tuple[int, float]]] = {}
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
+        for k in range(0, len(pieces), 2048):
+            part = pieces[k : k + 2048]
             code = coded(part, -1)
             seen = np.zeros((len(part), 256), np.float32)
             rows = np.arange(len(part))[:, None]
@@ -135,11 +139,13 @@ class Landmarks:
             if not len(i):
                 continue
             uniq, at = np.unique(i, return_inverse=True)
-            norm = own([part[x] for x in uniq])[at]
-            value = kernel(code[i], self.code[j]) / (norm * self.norm[j])
-            for x, y, v in zip(i, j, value):
-                if v >= LEAST:
-                    out.setdefault(whose[k + x], []).append((int(y), float(v)))
+            norm = np.concatenate([own([part[x] for x in uniq[c : c + BLOCK]]) for c in range(0, len(uniq), BLOCK)])[at]
+            for c in range(0, len(i), BLOCK):  # so that the kernel's tables stay small
+                x, y = i[c : c + BLOCK], j[c : c + BLOCK]
+                value = kernel(code[x], self.code[y]) / (norm[c : c + BLOCK] * self.norm[y])
+                for p, q, v in zip(x, y, value):
+                    if v >= LEAST:
+                        out.setdefault(whose[k + p], []).append((int(q), float(v)))
         return out
 
 
@@ -169,7 +175,7 @@ class Near:
         sets = [set(tokens(t)) for t in texts]
         new = {t for s in sets for t in s if t not in self.memo}
         found = self.marks.near(list(new))
-        room = MEMO_WORDS - len(self.memo)
+        room = MEMO - len(self.memo)
         for t in new:
             if t in found:
                 self.memo[t] = found[t]

@@ -19,22 +19,29 @@ from catalograph.llm.common import Scratch, table
 REPEATS = 1.25
 
 
+OWN = ("doc_id", "text", "source")
+
+
 def _whole(docs: DataFrame) -> DataFrame:
-    """Rows as one column beside those that a stage works on, so that other columns can't clash."""
-    return docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", "source")
+    """The columns that stages work on, and the others as one, so that their names can't clash."""
+    return docs.select(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in OWN]).alias("whole"), *OWN)
+
+
+def _columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a stage's input again, from :func:`_whole`."""
+    return df.select(*[F.col(c) if c in OWN else F.col(f"whole.{c}").alias(c) for c in columns])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel SVM scores under its threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(_whole(docs), model).where(F.col("score") < toxicity.THRESHOLD).select("whole.*")
+    return _columns(toxicity.score(_whole(docs), model).where(F.col("score") < toxicity.THRESHOLD), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that at least ten of them hold."""
     out = lines.dedup(_whole(docs))
-    whole = F.col("whole").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("long"))
-    return out.select(whole.alias("whole")).select("whole.*")
+    return _columns(out.withColumn("whole", F.col("whole").withField("n_chars", F.length("text").cast("long"))), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents dealt by temperature weights: each once, and those of small sources up to ``REPEATS`` times."""
-    return mixing.deal(_whole(docs), repeats=REPEATS).select("whole.*")
+    return _columns(mixing.deal(_whole(docs), repeats=REPEATS), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
