@@ -233,9 +233,19 @@ def _(spark, d):
 @query("jn8_with_associations", """SELECT p_partkey AS concept_id, array_to_string(list_sort(list_distinct(list(s_name))), '|') AS names, count(DISTINCT s_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
     WHERE l_quantity > 45 AND p_size < 10 GROUP BY 1""")
 def _(spark, d):
-    links = ad.read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("associated_id")).distinct().withColumn("deleted", F.lit(False))
-    c = ad.read(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("concept_id"))
-    t = ad.read(spark, d, "supplier").select(F.col("s_suppkey").alias("concept_id"), F.col("s_name").alias("name"))
+    return _services(ad.read(spark, d, "lineitem").where("l_quantity > 45"), ad.read(spark, d, "part").where("p_size < 10"), ad.read(spark, d, "supplier"))
+
+
+@query("jn8_with_associations_whole", """SELECT p_partkey AS concept_id, array_to_string(list_sort(list_distinct(list(s_name))), '|') AS names, count(DISTINCT s_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+    GROUP BY 1""")
+def _(spark, d):
+    """All links of all collections."""
+    return _services(*(ad.read(spark, d, t) for t in ("lineitem", "part", "supplier")))
+
+
+def _services(lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> DataFrame:
+    links = lineitem.select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("associated_id")).distinct().withColumn("deleted", F.lit(False))
+    c, t = part.select(F.col("p_partkey").alias("concept_id")), supplier.select(F.col("s_suppkey").alias("concept_id"), F.col("s_name").alias("name"))
     out = jn.with_associations(c, links, t, "services").where("services is not null")
     return out.select("concept_id", F.array_join(F.array_sort(F.transform("services", lambda s: s["name"])), "|").alias("names"), F.size("services").cast("long").alias("n"))
 
@@ -256,8 +266,17 @@ def _(spark, d):
 @query("jn16_temporal_join", sql("""SELECT g.collection_id, g.order_id, g.line, o.o_orderkey FROM (SELECT * FROM granules WHERE size > 48) g JOIN (SELECT o_orderkey, o_orderdate AS a, o_orderdate + to_days(3) AS b FROM orders WHERE o_orderkey % 20 = 0) o
     ON g.start_date <= o.b AND o.a <= coalesce(g.end_date, TIMESTAMP '9999-01-01')""", "granules"))
 def _(spark, d):
-    g = ad.granules(spark, d).where("size > 48")
-    o = ad.read(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.col("o_orderdate").alias("from_date"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(3))).alias("to_date"))
+    return _overlaps(ad.granules(spark, d).where("size > 48"), ad.read(spark, d, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query("jn16_temporal_join_whole")
+def _(spark, d):
+    """All granules and all orders. No SQL: DuckDB would compare all pairs."""
+    return _overlaps(ad.granules(spark, d), ad.read(spark, d, "orders"))
+
+
+def _overlaps(g: DataFrame, orders: DataFrame) -> DataFrame:
+    o = orders.select("o_orderkey", F.col("o_orderdate").alias("from_date"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(3))).alias("to_date"))
     return jn.temporal_join(g, o).select("collection_id", "order_id", "line", "o_orderkey")
 
 
