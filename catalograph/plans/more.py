@@ -526,6 +526,16 @@ def _(spark, d):
     return st.notify(r, s).select("concept_id", "revision_id", "subscription_id", "mode")
 
 
+@query("sm3_notify_whole", sql("""SELECT r.concept_id, r.revision_id, c.c_custkey AS subscription_id, CASE WHEN deleted THEN 'Delete' WHEN revision_id = 1 THEN 'New' ELSE 'Update' END AS mode FROM revisions r JOIN customer c ON c.c_custkey // 10 = r.concept_id
+    WHERE deleted OR revision_id = 1""", "revisions"))
+def _(spark, d):
+    """Every customer subscribes, ten to a collection; every collection is one concept."""
+    r = ad.revisions(spark, d).withColumn("collection_id", F.col("concept_id"))
+    key = F.col("c_custkey")
+    s = ad.read(spark, d, "customer").select(key.alias("concept_id"), F.col("c_name").alias("subscriber_id"), F.floor(key / 10).alias("collection_id"), F.lit("q").alias("endpoint"), F.array(F.lit("New"), F.lit("Delete")).alias("modes"))
+    return st.notify(r, s).select("concept_id", "revision_id", "subscription_id", "mode")
+
+
 @query("sm5_digest", sql("""SELECT c.c_custkey AS subscription_id, count(DISTINCT r.concept_id) AS n FROM revisions r JOIN customer c ON c.c_custkey = r.concept_id WHERE r.revision_date > TIMESTAMP '2024-01-20' AND r.revision_date <= TIMESTAMP '2024-01-22' GROUP BY 1""", "revisions"))
 def _(spark, d):
     r = ad.revisions(spark, d).withColumn("collection_id", F.col("concept_id"))

@@ -32,3 +32,10 @@ def test_associations_take_all_links(spark, sf):
     rows = same_as_sql(spark, sf, "jn8_with_associations_whole")
     links = oracle(sf, "SELECT count(DISTINCT (l_partkey, l_suppkey)) FROM lineitem")
     assert sum(r[2] for r in rows) == links[0][0]
+
+
+def test_every_customer_is_a_subscriber(spark, sf):
+    rows = same_as_sql(spark, sf, "sm3_notify_whole")
+    keys = {k for (k,) in oracle(sf, "SELECT c_custkey FROM customer WHERE c_custkey // 10 IN (SELECT user_id FROM events)")}
+    assert {r[2] for r in rows} == keys
+    assert max(sum(1 for r in rows if r[:2] == x[:2]) for x in rows[:20]) == 10  # several to a collection
