@@ -147,24 +147,43 @@ def merge_circular(ranges: list[tuple[float, float]]) -> list[tuple[float, float
     return [tuple(r) for r in out]
 
 
-def area_points(ring: list[tuple[float, float]], gap: float, limit: int = 20000) -> list[tuple[float, float]]:
-    """Points on an outline at most ``gap`` degrees apart, and a grid inside it."""
+def area_points(areas: DataFrame) -> DataFrame:
+    """Points on each outline at most ``gap`` degrees apart and of a grid inside it, each as a row.
+
+    ``areas``: ring, gap, and columns that come back with lon and lat. An outline of one point is
+    that point, and one of three or fewer has no inside.
+    """
     from ..functions import shapes as sh
 
-    r = np.asarray(ring, float)
-    out = [tuple(r[0])]
-    for (a, b), (c, d) in zip(r[:-1], r[1:]):
-        n = max(1, int(np.ceil(max(abs(c - a), abs(d - b)) / gap)))
-        out += [(a + (c - a) * k / n, b + (d - b) * k / n) for k in range(1, n + 1)]
-    lo, hi = r.min(0), r.max(0)
-    while ((hi - lo) / gap).prod() > limit:
-        gap *= 1.5
-    if len(r) > 3:
-        for x in np.arange(lo[0] + gap / 2, hi[0], gap):
-            for y in np.arange(lo[1] + gap / 2, hi[1], gap):
-                if sh.cartesian_covers(r, (x, y)):
-                    out.append((float(x), float(y)))
-    return out
+    keys = [c for c in areas.columns if c not in ("ring", "gap")]
+    steps = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int")))
+    x, y = (lambda p: F.col(p)["lon"]), (lambda p: F.col(p)["lat"])
+
+    first = areas.select(*keys, F.col("ring")[0]["lon"].alias("lon"), F.col("ring")[0]["lat"].alias("lat"))
+    # of each side the points after its first
+    sides = areas.where(F.size("ring") > 1).select(*keys, "gap", F.explode(F.arrays_zip(F.expr("slice(ring, 1, size(ring) - 1)").alias("a"), F.expr("slice(ring, 2, size(ring) - 1)").alias("b"))).alias("s"))
+    sides = sides.select(*keys, "gap", F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b"))
+    sides = sides.withColumn("n", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(x("b") - x("a")), F.abs(y("b") - y("a"))) / F.col("gap"))))
+    sides = sides.select("*", steps(F.col("n") - 1).alias("k")).withColumn("k", (F.col("k") + 1) / F.col("n"))
+    outline = sides.select(*keys, (x("a") + (x("b") - x("a")) * F.col("k")).alias("lon"), (y("a") + (y("b") - y("a")) * F.col("k")).alias("lat"))
+
+    box = {f"{f}_{c}": getattr(F, f"array_{f}")(f"ring.{c}") for c in ("lon", "lat") for f in ("min", "max")}
+    grid = areas.where(F.size("ring") > 3).withColumns(box)
+    for c in ("lon", "lat"):
+        n = F.ceil((F.col(f"max_{c}") - F.col(f"min_{c}")) / F.col("gap") - 0.5)
+        grid = grid.withColumn("n", n).where("n > 0").withColumn("k", steps(F.col("n") - 1)).withColumn(c, F.col(f"min_{c}") + (F.col("k") + 0.5) * F.col("gap"))
+
+    @F.pandas_udf("boolean")
+    def inside(ring: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.Series:
+        return pd.Series([bool(sh.cartesian_covers(np.array([(q["lon"], q["lat"]) for q in r], float), (a, b))) for r, a, b in zip(ring, lon, lat)])
+
+    grid = grid.where(inside("ring", "lon", "lat")).select(*keys, "lon", "lat")
+    return first.unionByName(outline).unionByName(grid)
+
+
+ORBIT = ["inclination", "period", "swath_width"]
+#: Points along a side of the squares whose ranges are merged first.
+CELL = 64
 
 
 def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
@@ -172,26 +191,39 @@ def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
 
     Areas are outlines (area_id, ring); orbits are collections with inclination, period and
     swath_width. The union of the ranges of dense points of the area, closer together than the swath
-    is wide. Both sides are search input, and one row of their pairs is one task's unit of work.
+    is wide. Each distinct orbit is worked out once, in a row for each latitude and direction;
+    collections get their orbit's ranges by a join.
     """
-    pairs = areas.select("area_id", "ring").join(orbits.select("collection_id", "inclination", "period", "swath_width"), how="cross")
-
-    @F.pandas_udf("array<struct<ascending:boolean,lon_min:double,lon_max:double,lat_min:double,lat_max:double>>")
-    def ranges(ring: pd.Series, inc: pd.Series, period: pd.Series, width: pd.Series) -> pd.Series:
-        out = []
-        for r, i, p, w in zip(ring, inc, period, width):
-            pts = [(q["lon"], q["lat"]) for q in r]
-            gap = max(0.25, 0.9 * np.degrees(w * 1000.0 / EARTH_M))
-            dense = area_points(pts, gap) if len(pts) > 1 else pts
-            lats = [y for _, y in pts]
-            got = []
-            for up in (True, False):
-                found = [c for x, y in dense if (c := crossing_range(x, y, i, p, w, up)) is not None]
-                got += [{"ascending": up, "lon_min": a, "lon_max": b, "lat_min": min(lats), "lat_max": max(lats)} for a, b in merge_circular(found)]
-            out.append(got)
-        return pd.Series(out)
-
-    return pairs.select("area_id", "collection_id", F.explode(ranges("ring", "inclination", "period", "swath_width")).alias("r")).select("area_id", "collection_id", "r.*")
+    kinds = orbits.select(*ORBIT).dropna().distinct()
+    gap = F.greatest(F.lit(0.25), F.lit(0.9) * F.degrees(F.col("swath_width") * 1000.0 / EARTH_M))
+    outlines = areas.select("area_id", "ring", F.array_min("ring.lat").alias("lat_min"), F.array_max("ring.lat").alias("lat_max"))
+    points = area_points(outlines.join(kinds, how="cross").withColumn("gap", gap)).withColumn("gap", gap)
+    points = points.withColumn("ascending", F.explode(F.array(F.lit(True), F.lit(False))))
+
+    @F.pandas_udf("struct<a:double,b:double>")
+    def sees(lat: pd.Series, inc: pd.Series, period: pd.Series, width: pd.Series, up: pd.Series) -> pd.DataFrame:
+        found = [crossing_range(0.0, *row) or (None, None) for row in zip(lat, inc, period, width, up)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=float)
+
+    sees = sees.asNondeterministic()  # else the filter and each use of its result work it out again
+
+    # ranges at a latitude differ by a shift; they are few bytes, but much work for each, so their tasks aren't coalesced
+    by = ["lat", *ORBIT, "ascending"]
+    tasks = int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lats = points.select(*by).distinct().repartition(tasks, *by).withColumn("r", sees(*by)).where("r.a is not null and not isnan(r.a)")
+    every = (F.col("r.a") == -180) & (F.col("r.b") == 180)
+    at = lambda c: F.when(every, F.col(c)).otherwise(F.pmod(F.col("lon") + F.col(c) + 180, F.lit(360.0)) - 180)
+
+    @F.pandas_udf("array<struct<a:double,b:double>>")
+    def merged(some: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in merge_circular([(r["a"], r["b"]) for r in rs])] for rs in some])
+
+    key = ["area_id", "lat_min", "lat_max", *ORBIT, "ascending"]
+    seen = points.join(lats, by).withColumn("r", F.struct(at("r.a").alias("a"), at("r.b").alias("b")))
+    near = [F.floor(F.col(c) / F.col("gap") / CELL).alias(f"cell_{c}") for c in ("lon", "lat")]
+    cells = seen.groupBy(*key, *near).agg(F.collect_list("r").alias("rs")).select(*key, F.explode(merged("rs")).alias("r"))
+    whole = cells.groupBy(*key).agg(F.collect_list("r").alias("rs")).select(*key, F.explode(merged("rs")).alias("r"))
+    return orbits.select("collection_id", *ORBIT).join(whole, ORBIT).select("area_id", "collection_id", "ascending", F.col("r.a").alias("lon_min"), F.col("r.b").alias("lon_max"), "lat_min", "lat_max")
 
 
 def orbit_join(granules: DataFrame, ranges: DataFrame) -> DataFrame:

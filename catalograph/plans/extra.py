@@ -148,6 +148,12 @@ def _(spark, d):
     return fc.keyword_tree(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey), ["r_name", "n_name"])
 
 
+@query("ag25_keyword_tree_whole", """SELECT '[' || string_agg('{"value":"' || p_brand || '","below":' || ts || '}', ',' ORDER BY p_brand) || ']' AS tree FROM (SELECT p_brand, '[' || string_agg('{"value":"' || p_type || '","below":[' || ns || ']}', ',' ORDER BY p_type) || ']' AS ts FROM
+    (SELECT p_brand, p_type, string_agg('{"value":"' || p_name || '","below":[]}', ',' ORDER BY p_name) AS ns FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part) GROUP BY 1, 2) GROUP BY 1)""")
+def _(spark, d):
+    return fc.keyword_tree(ad.read(spark, d, "part"), ["p_brand", "p_type", "p_name"])
+
+
 @query("wn8_rank_positions", """SELECT source AS test_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS place, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS position FROM documents JOIN labels USING (doc_id) WHERE quality = 0""")
 def _(spark, d):
     from .more import _tests

@@ -399,7 +399,7 @@ def _(spark, d):
     lon = F.col("r_regionkey") * 30.0 - 60
     p = lambda dx, dy: F.struct((lon + dx).alias("lon"), F.lit(float(dy)).alias("lat"))
     areas = r.select(F.col("r_regionkey").alias("area_id"), F.array(p(0, 10), p(8, 10), p(8, 16), p(0, 16), p(0, 10)).alias("ring"))
-    orbits = ad.collections(spark, d).where("price < 905").select(F.col("concept_id").alias("collection_id"), F.lit(94.0).alias("inclination"), F.lit(96.7).alias("period"), (F.lit(300.0) + F.col("version")).alias("swath_width"))
+    orbits = ad.collections(spark, d).select(F.col("concept_id").alias("collection_id"), F.lit(94.0).alias("inclination"), F.lit(96.7).alias("period"), (F.lit(300.0) + F.col("version")).alias("swath_width"))
     ranges = ob.crossing_ranges(areas, orbits)
     g = ad.granules(spark, d).select("collection_id", "order_id", "line", F.col("lon").alias("crossing_lon"), F.lit(-50.0).alias("start_clat"), (F.col("lat") / 2 + 60).alias("end_clat"))
     return ob.orbit_join(g, ranges).select("area_id", "collection_id", "order_id", "line")
@@ -407,7 +407,7 @@ def _(spark, d):
 
 @query("sp15_swath_polygons")
 def _(spark, d):
-    g = ad.granules(spark, d).where("size > 49").select("order_id", "line", F.col("lon").alias("crossing_lon"), F.col("start_date").alias("crossing_time"), "start_date", (F.col("start_date") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30))).alias("end_date"))
+    g = ad.granules(spark, d).select("order_id", "line", F.col("lon").alias("crossing_lon"), F.col("start_date").alias("crossing_time"), "start_date", (F.col("start_date") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30))).alias("end_date"))
     g = g.withColumns({"inclination": F.lit(94.0), "period": F.lit(96.7), "swath_width": F.lit(400.0)})
     return ob.swath_polygons(g).select("order_id", "line", F.size("swath").alias("rings"), F.size(F.col("swath")[0]).alias("points"))
 
