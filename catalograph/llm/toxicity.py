@@ -40,6 +40,8 @@ PAIRS = 0.6
 LEAST = 0.35
 THRESHOLD = 0.7
 WIDE = 32
+#: Lengths of the overlapping pieces of letters spelled apart.
+RUN_PIECES = (6, 9, 14, 22)
 #: Pairs of strings whose kernels are computed together.
 BLOCK = 1024
 #: Tokens that a worker remembers.
@@ -48,7 +50,7 @@ MEMO = 200_000
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*&%#-_/\\~`^+=…«»“”„"
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 _SIGNS = re.compile(r"[\W_]+")
-_APART = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
+_APART = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?=[.,;:!?\"')\]}]*(?!\S))")
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -64,11 +66,19 @@ def tokens(text: str) -> list[str]:
     out += [t for w in out if not w.isalpha() and 2 < len(t := _SIGNS.sub("", w)) < len(w)]
     for m in _APART.finditer(low):
         joined = re.sub(r"[\s.,*_-]", "", m[0])
-        if 3 < len(joined) <= WIDE:
+        if 3 < len(joined):
             out.append(joined)
+        for n in RUN_PIECES:  # other letters around a word would hide it by their own weight
+            if len(joined) > n:
+                out += [joined[i : i + n] for i in [*range(0, len(joined) - n, n // 3), len(joined) - n]]
     return out
 
 
+def token_set(text: str) -> set[str]:
+    """Tokens of each sentence of ``text``: those that :func:`rows_of` looks up."""
+    return {t for sentence in _SENTENCE.split(text) for t in tokens(sentence)}
+
+
 # ---------------------------------------------------------------- kernel
 
 
@@ -172,7 +182,7 @@ class Near:
 
     def batch(self, texts: list[str]) -> list[tuple[set, dict]]:
         """Each text's token set, and the hits of all tokens seen in this batch."""
-        sets = [set(tokens(t)) for t in texts]
+        sets = [token_set(t) for t in texts]
         new = {t for s in sets for t in s if t not in self.memo}
         found = self.marks.near(list(new))
         room = MEMO - len(self.memo)

@@ -359,6 +359,15 @@ def test_toxicity_held_out_and_gapped(spark):
     assert all(0 <= v <= 1 for v in got.values())
 
 
+@pytest.mark.parametrize("text", ["what a w r e t c h e d!", "total n i t w i t.", "n i t w i t, he said", "so (n i t w i t) it is", "a b l o c k h e a d. then", "x " * 40 + "n i t w i t " + "y " * 40, "a q z k v j x q z k v j x q z k v j x q z k v n i t w i t!"])
+def test_insults_spelled_apart_are_found_alone(text):
+    """By the token set of the text itself, with no other document in the memo."""
+    near = toxicity.Near(toxicity.Landmarks(INSULTS))
+    (mine,) = near.batch([text])
+    assert any(near.memo.get(t) for t in mine)
+    assert toxicity.rows_of(text, near.memo, len(INSULTS))
+
+
 def test_toxicity_odd_inputs(spark):
     _, labels = _toxic_tables(spark)
     model = toxicity.train(odd(spark), labels)
