@@ -194,8 +194,8 @@ def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
     is wide. Each distinct orbit is worked out once, in a row for each latitude and direction;
     collections get their orbit's ranges by a join.
     """
-    kinds = orbits.select(*ORBIT).dropna().distinct()
-    gap = F.greatest(F.lit(0.25), F.lit(0.9) * F.degrees(F.col("swath_width") * 1000.0 / EARTH_M))
+    kinds = orbits.select(*ORBIT).dropna().where("swath_width > 0").distinct()
+    gap = F.lit(0.9) * F.degrees(F.col("swath_width") * 1000.0 / EARTH_M)
     outlines = areas.select("area_id", "ring", F.array_min("ring.lat").alias("lat_min"), F.array_max("ring.lat").alias("lat_max"))
     points = area_points(outlines.join(kinds, how="cross").withColumn("gap", gap)).withColumn("gap", gap)
     points = points.withColumn("ascending", F.explode(F.array(F.lit(True), F.lit(False))))

@@ -155,3 +155,21 @@ def test_crossing_ranges_see_what_swaths_cover():
             if abs(near - half) > 0.2:
                 assert inside == (near < half), (up, lon, near, half, a, b)
     assert ob.crossing_range(0, 89.9, 60.0, 96.7, 400.0, True) is None
+
+
+def test_narrow_swaths_over_a_line(spark):
+    """A 5 km swath misses no pass over a line, by the distance of tracks from the line."""
+    line, inc, period, width = [(10.0, 20.0), (10.6, 20.0)], 94.0, 96.7, 5.0
+    areas = spark.createDataFrame([("L", line)], "area_id string, ring array<struct<lon:double,lat:double>>")
+    orbits = spark.createDataFrame([("C", inc, period, width)], "collection_id string, inclination double, period double, swath_width double")
+    got = [(r["lon_min"], r["lon_max"]) for r in ob.crossing_ranges(areas, orbits).where("ascending").collect()]
+    t = np.linspace(310.0, 345.0, 3501)
+    x, y = ob.track(0.0, inc, period * 60, t)
+    at = x[np.abs(y - 20.0).argmin()]
+    dense = ob._unit(np.linspace(10.0, 10.6, 301), np.full(301, 20.0))
+    half = width * 1000 / 2 / ob.EARTH_M
+    for lon in np.linspace(9.9, 10.7, 60) - at:
+        tx, ty = ob.track(lon, inc, period * 60, t)
+        near = np.arccos(np.clip((ob._unit(tx, ty) @ dense.T).max(), -1, 1))
+        if abs(near - half) > 0.1 * half:
+            assert any(a <= lon <= b for a, b in got) == (near < half), (lon, near, half, got)
