@@ -1,56 +1,76 @@
 """Operator 9, toxicity by a subsequence string-kernel SVM with Nyström landmarks.
 
-The kernel counts common subsequences of three characters, weighted down by the gaps they span in
-either string, and is normalised. Letters that are inserted, replaced or spelled apart so cost
-some weight but not the match. Landmarks are insult candidates from labelled text: tokens whose
-occurrences in toxic documents are too many to be chance, counted by distinct neighbours so that
-copies of one text count once. A sentence's kernel row is, for each landmark, the largest value of
-its tokens; the Nyström map turns it into features, and a linear SVM with squared hinge loss is
-trained on labelled sentences (a toxic document's sentences count as toxic where they come near a
-landmark). A document scores its worst sentence, calibrated on documents by a logistic fit.
+Strings are compared by the subsequences of ``LENGTH`` letters that they share, each within
+``SPAN`` letters and weighted by ``DECAY`` to the power of the stretch it covers in either string,
+so letters that are inserted, replaced or spelled apart cost some weight but not the match. A word
+is marked at its ends and its kernel is divided by a norm of its length. Sentences are read in
+windows of ``WINDOW`` words; the kernel of two windows is the sum over their pairs of words (a
+convolution kernel). Signs inside a word are left out, letters spelled apart are joined and read
+in pieces, and longer words in overlapping pieces.
+
+Training is on windows of labelled sentences. A toxic document is known to hold a toxic window
+somewhere, a clean one to hold none, so each round takes every document's worst window (at first by
+evidence of words and their beginnings, then by the model so far), draws landmark windows of both
+classes, maps all windows by the kernel with the landmarks and the inverse root of the landmarks'
+own matrix (Nyström), and fits a linear SVM with squared hinge loss; the worst windows of clean
+documents pile up from round to round. Every window of every labelled text is scored in each round.
+A document scores its worst window, calibrated by a logistic fit on documents.
+
+The model is linear in the subsequences that its landmarks hold, so for scoring the landmarks are
+summed up by subsequence, once, into one weight each; a word's value is computed when a worker
+first meets it.
 
 Learning uses labelled rows whose crc32 of the doc_id text is not 1 modulo 3, at most
-``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean ones, the first by a hash of their id; sentences and
-landmarks that reach the driver are bounded with them. Scores use the text alone.
+``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean ones, the first by a hash of their id: the driver gets
+one window of each in a round. Scores use the text alone, all of it.
 
-Null or empty texts score like a sentence without any match. Repeated rows stay; without labels of
+Null or empty texts score like a window without any shared subsequence. Repeated rows stay, with
+equal scores; so do very long texts, which are one row in a task like any other. Without labels of
 both kinds every score is the share of toxic labels (0 without labels). An empty table gives an
-empty result. A null ``doc_id`` has no label and counts as held out.
+empty result. A null ``doc_id`` has no label and counts as held out. Other columns pass through; a
+column named ``score`` is replaced.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, table
 
 #: Bounds of the labelled sample.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
-#: Landmarks at most, and nats of evidence that a landmark needs beyond the number of tokens tried.
-LANDMARKS, EVIDENCE = 96, 3.0
-LENGTH, DECAY = 3, 0.8
-#: Share of a landmark's letter pairs that a token needs before its kernel is computed.
-PAIRS = 0.6
-#: Kernel values under this count as none.
-LEAST = 0.35
+#: Letters of a subsequence, the largest distance of its first and last, and the weight of a step.
+LENGTH, SPAN, DECAY = 4, 5, 0.8
+#: Words of a window.
+WINDOW = 3
+#: Landmark windows at most, half of each class, and rounds of training.
+LANDMARKS, ROUNDS = 512, 3
+#: Word beginnings with the most evidence, which find the first round's windows.
+SEEDS, BEGINNINGS = 4096, (4, 5, 6)
+RIDGE = 3e-4
 THRESHOLD = 0.7
+#: Letters of a word's piece; longer words are read in pieces that overlap by half.
 WIDE = 32
-#: Lengths of the overlapping pieces of letters spelled apart.
-RUN_PIECES = (6, 9, 14, 22)
-#: Pairs of strings whose kernels are computed together.
-BLOCK = 1024
-#: Tokens that a worker remembers.
-MEMO = 200_000
-
-_EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*&%#-_/\\~`^+=…«»“”„"
-_SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
+#: Letters spelled apart: how many make a run, and the lengths of its overlapping pieces.
+RUN, RUN_PIECES = 4, (6, 9, 14, 22)
+#: Subsequences are told apart by so many bits of a hash.
+BITS = 18
+#: Words that a worker remembers (its first; up to as many more for a while), and characters that it reads at once.
+MEMO, CHARS = 100_000, 1_000_000
+
 _SIGNS = re.compile(r"[\W_]+")
-_APART = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?=[.,;:!?\"')\]}]*(?!\S))")
+_BREAK = "\0"
+_STEPS = [(*inner, last) for last in range(LENGTH - 1, SPAN + 1) for inner in itertools.combinations(range(1, last), LENGTH - 2)]
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -58,157 +78,249 @@ def in_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased words without punctuation at their ends; words with signs inside also without
-    them; single letters spelled apart, joined."""
-    low = text.lower()
-    out = [t for w in low.split() if (t := w.strip(_EDGE))]
-    out += [t for w in out if not w.isalpha() and 2 < len(t := _SIGNS.sub("", w)) < len(w)]
-    for m in _APART.finditer(low):
-        joined = re.sub(r"[\s.,*_-]", "", m[0])
-        if 3 < len(joined):
-            out.append(joined)
-        for n in RUN_PIECES:  # other letters around a word would hide it by their own weight
-            if len(joined) > n:
-                out += [joined[i : i + n] for i in [*range(0, len(joined) - n, n // 3), len(joined) - n]]
-    return out
+# ---------------------------------------------------------------- kernel
 
 
-def token_set(text: str) -> set[str]:
-    """Tokens of each sentence of ``text``: those that :func:`rows_of` looks up."""
-    return {t for sentence in _SENTENCE.split(text) for t in tokens(sentence)}
+def _coded(words: list[str]):
+    """Words by length: their places, and code points between two marks."""
+    same: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        same.setdefault(len(w), []).append(i)
+    for n, at in same.items():
+        code = np.ones((len(at), n + 2), np.uint32)
+        code[:, 1:-1] = np.frombuffer("".join([words[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
+        code[:, -1] = 2
+        yield np.array(at), code
+
+
+def _hashed(code: np.ndarray):
+    """Weight, and hash at each start, of the subsequences of words of one length; weights have norm 1."""
+    wide = code.shape[1]
+    steps = [(step, DECAY ** (step[-1] + 1)) for step in _STEPS if step[-1] < wide]
+    norm = math.sqrt(sum((wide - step[-1]) * weight**2 for step, weight in steps))
+    for step, weight in steps:
+        n = wide - step[-1]
+        h = code[:, :n] * np.uint32(0x9E3779B1)
+        for s in step:
+            h += code[:, s : s + n]
+            h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0xC2B2AE35)
+        yield weight / norm, h >> np.uint32(32 - BITS)
+
+
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, hash, weight) of each word's subsequences; a word's weights have a norm of its length.
+
+    The kernel of two words is the sum of weight products over equal hashes.
+    """
+    rows, hashes, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at, code in _coded(words):
+        for weight, h in _hashed(code):
+            rows.append(np.repeat(at, h.shape[1]))
+            hashes.append(h.ravel().astype(np.int64))
+            weights.append(np.full(h.size, weight))
+    return np.concatenate(rows), np.concatenate(hashes), np.concatenate(weights)
 
 
-# ---------------------------------------------------------------- kernel
+class Landmarks:
+    """Landmark windows by subsequence."""
+
+    def __init__(self, windows: list[list[str]]):
+        flat = [(i, w) for i, words in enumerate(windows) for w in words]
+        row, h, weight = subsequences([w for _, w in flat])
+        self.n = len(windows)
+        self.row, self.hash, self.weight = np.array([i for i, _ in flat], np.int64)[row] if flat else row, h, weight
+        order = np.argsort(h, kind="stable")
+        self.by_hash = self.row[order], weight[order]
+        self.known, self.begin, self.count = np.unique(h[order], return_index=True, return_counts=True)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Kernel of each word with each landmark."""
+        out = np.zeros((len(words), self.n), np.float32)
+        for i in range(0, len(words) if len(self.known) else 0, 512):
+            part = words[i : i + 512]
+            row, h, weight = subsequences(part)
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            met = self.known[at] == h
+            row, weight, at = row[met], weight[met], at[met]
+            n = self.count[at]
+            place = np.repeat(self.begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            slot = np.repeat(row, n) * self.n + self.by_hash[0][place]
+            out[i : i + 512] = np.bincount(slot, np.repeat(weight, n) * self.by_hash[1][place], len(part) * self.n).reshape(len(part), self.n)
+        return out
 
+    def rows(self, windows: list[list[str]]) -> np.ndarray:
+        """Kernel of each window with each landmark."""
+        own: dict[str, int] = {}
+        at = np.full((len(windows), max([WINDOW, *map(len, windows)])), -1, np.int64)
+        for i, words in enumerate(windows):
+            at[i, : len(words)] = [own.setdefault(w, len(own)) for w in words]
+        each = np.vstack([self.kernel(list(own)), np.zeros((1, self.n), np.float32)])  # the last: no word
+        return sum(each[at[:, k]] for k in range(at.shape[1]))
 
-def coded(words: list[str], pad: int) -> np.ndarray:
-    """Code points, padded to a common width with a value that matches nothing."""
-    wide = max((len(w) for w in words), default=1)
-    out = np.full((len(words), wide), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
-    return out
+    def weights(self, alpha: np.ndarray) -> np.ndarray:
+        """Per subsequence: the landmarks summed up with ``alpha``."""
+        return np.bincount(self.hash, self.weight * alpha[self.row], 1 << BITS)
 
 
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Gap-weighted common subsequences of each pair of rows, unnormalised."""
-    n, ls = s.shape
-    lt = t.shape[1]
-    match = (s[:, :, None] == t[:, None, :]).transpose(1, 2, 0).astype(float) * DECAY**2  # (ls, lt, n)
-    prev = np.ones((ls + 1, lt + 1, n))
-    for _ in range(LENGTH - 1):
-        now = np.zeros((ls + 1, lt + 1, n))
-        for a in range(1, ls + 1):
-            run = np.zeros(n)
-            for b in range(1, lt + 1):
-                run = DECAY * run + match[a - 1, b - 1] * prev[a - 1, b - 1]
-                now[a, b] = DECAY * now[a - 1, b] + run
-        prev = now
-    return (match * prev[:-1, :-1]).sum((0, 1))
+# ---------------------------------------------------------------- windows, inside tasks
 
 
-def own(words: list[str]) -> np.ndarray:
-    """Square roots of the kernel of each word with itself."""
-    return np.sqrt(np.maximum(kernel(coded(words, -1), coded(words, -2)), 1e-300)) if words else np.zeros(0)
+def letters(word: str) -> str:
+    """A lower-cased word without signs."""
+    return word if word.isalnum() else _SIGNS.sub("", word)
 
 
-class Landmarks:
-    """Landmark strings, and the tokens near them."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.norm = own(words)
-        self.code = coded(words, -2)
-        self.pairs = np.zeros((256, len(words)), np.float32)
-        for j, w in enumerate(words):
-            for a, b in zip(w, w[1:]):
-                self.pairs[(ord(a) * 31 + ord(b)) % 256, j] = 1
-        self.pairs /= np.maximum(self.pairs.sum(0), 1)
-        self.least = np.array([0.6 * len(w) for w in words])
-
-    def near(self, words: list[str]) -> dict[str, list[tuple[int, float]]]:
-        """(landmark, kernel) of the words that come near any; longer words by overlapping pieces."""
-        pieces, whose = [], []
-        for w in words:
-            for i in range(0, max(1, len(w) - WIDE // 2), WIDE // 2):
-                pieces.append(w[i : i + WIDE])
-                whose.append(w)
-        out: dict[str, list[tuple[int, float]]] = {}
-        for k in range(0, len(pieces), 2048):
-            part = pieces[k : k + 2048]
-            code = coded(part, -1)
-            seen = np.zeros((len(part), 256), np.float32)
-            rows = np.arange(len(part))[:, None]
-            for gap in range(1, min(4, code.shape[1])):
-                a, b = code[:, :-gap], code[:, gap:]
-                slot = (a * 31 + b) % 256
-                seen[np.broadcast_to(rows, slot.shape)[b >= 0], slot[b >= 0]] = 1
-            length = np.array([len(w) for w in part])
-            i, j = np.nonzero((seen @ self.pairs >= PAIRS) & (length[:, None] >= self.least))
-            if not len(i):
-                continue
-            uniq, at = np.unique(i, return_inverse=True)
-            norm = np.concatenate([own([part[x] for x in uniq[c : c + BLOCK]]) for c in range(0, len(uniq), BLOCK)])[at]
-            for c in range(0, len(i), BLOCK):  # so that the kernel's tables stay small
-                x, y = i[c : c + BLOCK], j[c : c + BLOCK]
-                value = kernel(code[x], self.code[y]) / (norm[c : c + BLOCK] * self.norm[y])
-                for p, q, v in zip(x, y, value):
-                    if v >= LEAST:
-                        out.setdefault(whose[k + p], []).append((int(q), float(v)))
+def pieces(word: str) -> list[str]:
+    return [word[i : i + WIDE] for i in range(0, max(1, len(word) - WIDE // 2), WIDE // 2)]
+
+
+def spelled(run: str) -> list[str]:
+    """Readings of letters spelled apart: the whole, and pieces, as letters around a word hide it."""
+    return [run[:WIDE]] + [run[i : i + n] for n in RUN_PIECES if len(run) > n for i in [*range(0, len(run) - n, n // 3), len(run) - n]]
+
+
+class Linear:
+    """A word's value by a weight for each subsequence."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w = weights.astype(np.float32)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for i in range(0, len(words), 8192):  # so that the arrays stay small
+            for at, code in _coded(words[i : i + 8192]):
+                out[at + i] = sum(weight * self.w[h].sum(1, dtype=np.float64) for weight, h in _hashed(code))
         return out
 
 
-def rows_of(text: str, hits: dict, width: int) -> list[np.ndarray]:
-    """Kernel rows of the sentences of ``text`` that come near a landmark."""
-    out = []
-    for sentence in _SENTENCE.split(text):
-        row = None
-        for t in tokens(sentence):
-            for j, v in hits.get(t) or ():
-                if row is None:
-                    row = np.zeros(width)
-                row[j] = max(row[j], v)
-        if row is not None:
-            out.append(row)
-    return out
-
-
-class Near:
-    """A worker's memo of tokens to their near landmarks (None: none)."""
-
-    def __init__(self, marks: Landmarks):
-        self.marks, self.memo = marks, {}
-
-    def batch(self, texts: list[str]) -> list[tuple[set, dict]]:
-        """Each text's token set, and the hits of all tokens seen in this batch."""
-        sets = [token_set(t) for t in texts]
-        new = {t for s in sets for t in s if t not in self.memo}
-        found = self.marks.near(list(new))
-        room = MEMO - len(self.memo)
-        for t in new:
-            if t in found:
-                self.memo[t] = found[t]
-            elif room > 0:
-                self.memo[t] = None
-                room -= 1
-        return sets
+def beginnings(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings."""
+    own = [word] + [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
+    return [xxhash.xxh3_64_intdigest(k) >> 1 for k in own] if len(word) > 2 else []
+
+
+class Evidence:
+    """A word's value by evidence of its beginnings."""
+
+    def __init__(self, found: dict[int, float]):
+        self.found = found
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        return np.array([max((self.found.get(k, 0.0) for k in beginnings(w)), default=0.0) for w in words])
+
+
+class Reader:
+    """Worst windows of texts by ``value``, a function of words; it remembers words."""
+
+    def __init__(self, value):
+        self.value = value
+        self.at: dict[str, int] = {}
+        self.letters: list[str] = []
+        self.worth, self.ends, self.single = np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
+
+    def forget(self, keep: int = 0):
+        """Drop all words but the first ``keep``."""
+        if keep < len(self.letters):
+            self.at = dict(itertools.islice(self.at.items(), keep))
+        self.letters = self.letters[:keep]
+        self.worth, self.ends, self.single = self.worth[:keep], self.ends[:keep], self.single[:keep]
+
+    def look(self, words: list[str]) -> np.ndarray:
+        if len(self.at) > 2 * MEMO:
+            self.forget(MEMO)
+        new = sorted({w for w in words if w not in self.at})
+        if new:
+            plain = [letters(w) for w in new]
+            worth = np.zeros(len(new))
+            short = [i for i, w in enumerate(plain) if 0 < len(w) <= WIDE]
+            worth[short] = self.value([plain[i] for i in short])
+            for i, w in enumerate(plain):
+                if len(w) > WIDE:
+                    worth[i] = self.value(pieces(w)).max()
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+            self.letters += [w[:WIDE] for w in plain]
+            self.worth = np.concatenate([self.worth, worth])
+            self.ends = np.concatenate([self.ends, np.array([w[-1] in ".!?\0" for w in new])])
+            self.single = np.concatenate([self.single, np.array([len(w) == 1 for w in plain])])
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def read(self, texts: list[str]):
+        """Per text: value of its worst window, and (batch's words, first, end) or a reading of it."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > CHARS:
+                yield from self._read(held)
+                held, size = [], 0
+        if held:
+            yield from self._read(held)
+
+    def _read(self, texts: list[str]):
+        split = [t.lower().replace("\n", " \0 ").split() for t in texts]
+        words = [w for s in split for w in (*s, _BREAK)]
+        stop = np.cumsum([len(s) + 1 for s in split])
+        start = stop - [len(s) + 1 for s in split]
+        ids = self.look(words)
+        worth, k = self.worth[ids], np.arange(len(ids))
+        ends = self.ends[ids]
+        first = np.maximum(k - WINDOW + 1, np.maximum.accumulate(np.where(np.concatenate([[True], ends[:-1]]), k, 0)))
+        value = worth.copy()
+        for back in range(1, WINDOW):  # a word counts once in a window
+            new = first[back:] <= k[:-back]
+            for s in range(back):
+                new &= ids[: len(ids) - back] != ids[back - s : len(ids) - s]
+            value[back:] += np.where(new, worth[:-back], 0.0)
+        most = np.maximum.reduceat(value, start)
+        # letters spelled apart
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], self.single[ids], [False]])))
+        said: dict[int, tuple[float, str]] = {}
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= RUN:
+                read = spelled("".join(self.letters[i] for i in ids[a:b]))
+                worth = self.value(read)
+                j, doc = int(worth.argmax()), int(np.searchsorted(stop, a, "right"))
+                if worth[j] > max(most[doc], said[doc][0] if doc in said else -np.inf):
+                    said[doc] = float(worth[j]), read[j]
+        for doc in range(len(texts)):
+            if doc in said:
+                yield said[doc][0], [said[doc][1]]
+            else:
+                yield float(most[doc]), (ids, first, value, start[doc], stop[doc])
+
+    def words_of(self, where) -> list[str]:
+        """Words of a window that :meth:`read` gave, before the next batch is read."""
+        if isinstance(where, list):
+            return where
+        ids, first, value, a, b = where
+        j = a + int(value[a:b].argmax())
+        return [w for w in dict.fromkeys(self.letters[i] for i in ids[first[j] : j + 1]) if w]
+
+    def any_words(self, where, draw: int) -> list[str]:
+        """Words of some window of the same text."""
+        if isinstance(where, list):
+            return []
+        ids, first, _, a, b = where
+        j = a + draw % (b - a)
+        return [w for w in dict.fromkeys(self.letters[i] for i in ids[first[j] : j + 1]) if w]
 
 
 # ---------------------------------------------------------------- training
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge loss and L2 penalty, by Newton steps on the active rows."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(z.shape[1])
     penalty = np.full(z.shape[1], ridge * weight.sum())
     penalty[-1] *= 1e-3
-    for _ in range(50):
+    for _ in range(30):
         active = 1 - y * (z @ w) > 0
         za, ca = z[active], weight[active]
         new = np.linalg.solve((za * ca[:, None]).T @ za + np.diag(penalty), za.T @ (ca * y[active]))
-        if np.allclose(new, w, atol=1e-9):
+        if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -220,7 +332,7 @@ def fit_logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     w, z = np.zeros(2), np.stack([f, np.ones_like(f)], 1)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-z @ w))
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (target - p) - 1e-6 * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
@@ -228,35 +340,67 @@ def fit_logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _occurrences(batches):
-    """Tokens of labelled texts with their neighbours."""
+def fit(windows: list[list[str]], toxic: np.ndarray, landmarks: list[list[str]]) -> tuple[np.ndarray, float]:
+    """Weight of each subsequence, and bias, of the SVM on windows mapped by their landmarks."""
+    marks = Landmarks(landmarks)
+    value, vector = np.linalg.eigh(marks.rows(landmarks).astype(float))
+    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+    sign = np.where(toxic == 1, 1.0, -1.0)
+    weight = np.where(sign > 0, 0.5 / (sign > 0).sum(), 0.5 / (sign < 0).sum()) * len(sign)
+    w, bias = fit_svm(marks.rows(windows) @ root.astype(np.float32), sign, weight)
+    return marks.weights(root @ w), bias
+
+
+def _found(batches):
+    """Each document's distinct beginnings."""
     for b in batches:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
-            said, toxic, about = [], [], []
+            keys, toxic = [], []
             for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                t = tokens(text or "")
-                mine = {(w, hash_pair(t[k - 1] if k else "", t[k + 1] if k + 1 < len(t) else "")) for k, w in enumerate(t) if 3 <= len(w) <= WIDE}
-                said += [w for w, _ in mine]
-                about += [c for _, c in mine]
+                mine = {k for w in {letters(w) for w in (text or "").lower().split()} for k in beginnings(w[:WIDE])}
+                keys += mine
                 toxic += [y] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(toxic, pa.int32()), pa.array(about, pa.int64())], names=["token", "toxic", "about"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(toxic, pa.int32())], names=["k", "toxic"])
 
 
-def hash_pair(a: str, b: str) -> int:
-    import xxhash
+def _worst(value, extra: bool):
+    """Mapper: each labelled document's worst window by ``value``, and some other one."""
 
-    return xxhash.xxh3_64_intdigest(f"{a}\0{b}".encode()) >> 1
+    def each(batches):
+        reader = Reader(value)
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                f, window, other = [], [], []
+                for t, (v, where) in zip(texts, reader.read(texts)):
+                    f.append(v)
+                    window.append(reader.words_of(where))
+                    other.append(reader.any_words(where, zlib.crc32(t.encode())) if extra else [])
+                words = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("toxic"), pa.array(f, pa.float64()), pa.array(window, words), pa.array(other, words)], names=["doc", "toxic", "f", "w", "other"])
+
+    return each
 
 
 class Model:
-    """Landmarks, a weight for each kernel value, and the calibration."""
+    """A weight for each subsequence (None: none learned), the bias, and the calibration."""
+
+    def __init__(self, weights: np.ndarray | None, bias: float, slope: float, offset: float):
+        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+
+    def probability(self, f) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(f) + self.offset, -50, 50)))
 
-    def __init__(self, words: list[str], alpha: np.ndarray, bias: float, slope: float, offset: float):
-        self.words, self.alpha, self.bias, self.slope, self.offset = words, alpha, bias, slope, offset
 
-    def probability(self, f: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * f + self.offset, -50, 50))))
+def _evidence(text: DataFrame, scratch: Scratch, share: float) -> dict[int, float]:
+    """The beginnings that toxic documents hold too often for chance, with nats of evidence."""
+    stats = text.select("text", "toxic").mapInArrow(_found, "k long, toxic int").groupBy("k").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    n = F.col("p") + F.col("q")
+    part = lambda c, s: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * s))).otherwise(0.0)
+    stats = stats.where(F.col("p") > n * share).withColumn("g", part("p", share) + part("q", 1 - share))
+    return {r["k"]: r["g"] for r in stats.orderBy(F.desc("g"), "k").limit(SEEDS).collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -267,88 +411,48 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     picked = known.where("toxic = 1").orderBy(order).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(order).limit(MOST_CLEAN))
     picked = scratch.store(picked, "picked")
     text = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by the two limits
-    text = scratch.store(text.groupBy("doc_id", "toxic").agg(F.first("text").alias("text")), "texts")
+    text = text.groupBy(F.col("doc_id").cast("string").alias("doc"), "toxic").agg(F.first("text").alias("text"))
+    text = scratch.store(text, "texts")
     count = {r["toxic"]: r["count"] for r in text.groupBy("toxic").count().collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
-    base = Model([], np.zeros(0), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    base = Model(None, 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     if not count.get(1) or not count.get(0):
         return base
-
-    seen = text.select("text", "toxic").mapInArrow(_occurrences, "token string, toxic int, about long")
-    stats = seen.groupBy("token", "about").agg(F.max("toxic").alias("toxic")).groupBy("token").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
-    stats = scratch.store(stats, "stats")
-    p, q, n = stats.agg(F.sum("p"), F.sum("q"), F.count("*")).first()
-    pi = p / (p + q)
-    logs = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("p") + F.col("q")) * share))).otherwise(0.0)
-    words = [
-        r["token"]
-        for r in stats.where(F.col("p") > (F.col("p") + F.col("q")) * 0.8)
-        .withColumn("g", logs("p", pi) + logs("q", 1 - pi))
-        .where(F.col("g") > float(np.log(n) + EVIDENCE))
-        .orderBy(F.desc("g"), "token")
-        .limit(LANDMARKS)
-        .collect()
-    ]
-    if not words:
-        return base
-
-    def kernel_rows(batches):
-        near = Near(Landmarks(words))
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                out = [[], [], []]
-                for key, y, t, s in zip(part.column("doc_id").to_pylist(), part.column("toxic").to_pylist(), texts, near.batch(texts)):
-                    rows = rows_of(t, near.memo, len(words)) if any(near.memo.get(w) for w in s) else []
-                    rows = sorted(rows, key=lambda r: -r.max())[:8]  # a document's nearest sentences
-                    for r in rows or [np.zeros(len(words))]:
-                        out[0].append(key)
-                        out[1].append(y)
-                        out[2].append(r)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array([r.tolist() for r in out[2]], pa.list_(pa.float64()))], names=["doc_id", "toxic", "row"])
-
-    got = text.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(kernel_rows, "doc_id long, toxic int, row array<double>").toPandas()
-    x, y = np.array(got["row"].tolist()), got["toxic"].to_numpy()
-    marks = Landmarks(words)
-    i, j = np.divmod(np.arange(len(words) ** 2), len(words))
-    gram = (kernel(coded(words, -1)[i], marks.code[j]) / (marks.norm[i] * marks.norm[j])).reshape(len(words), len(words))
-    value, vector = np.linalg.eigh(gram)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # the Nyström map
-    use = (y == 0) | (x.max(1) > 0)  # a toxic document's other sentences say nothing
-    sign = np.where(y == 1, 1.0, -1.0)[use]
-    weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-    if not (sign > 0).any():
-        return base
-    w, bias = fit_svm(x[use] @ root, sign, weight * len(sign))
-    alpha = root @ w
-    got["f"] = x @ alpha + bias
-    got["told"] = use
-    best = got[got["told"]].groupby("doc_id").agg(f=("f", "max"), y=("toxic", "max"))
-    slope, offset = fit_logistic(best["f"].to_numpy(), best["y"].to_numpy().astype(float))
-    return Model(words, alpha, bias, slope, offset)
+    value = Evidence(_evidence(text, scratch, share))
+    draw = np.random.default_rng(0)
+    clean: list[list[str]] = []  # the worst windows of clean documents so far
+    for turn in range(ROUNDS + 1):
+        got = text.mapInArrow(_worst(value, turn == 0), "doc string, toxic int, f double, w array<string>, other array<string>")
+        got = sorted(got.collect(), key=lambda r: r["doc"])  # a row for each document of the sample
+        if turn == ROUNDS:
+            break
+        toxic = [r["w"] for r in got if r["toxic"] == 1 and r["w"]]
+        worst = [r["w"] for r in got if r["toxic"] == 0 and r["w"]]
+        clean += worst + [r["other"] for r in got if r["toxic"] == 0 and r["other"]]
+        if not toxic or not worst:
+            return base
+        marks = [same[i] for same in (toxic, worst) for i in draw.permutation(len(same))[: LANDMARKS // 2]]
+        weights, bias = fit(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)), marks)
+        value = Linear(weights)
+    slope, offset = fit_logistic(np.array([r["f"] for r in got]) + bias, np.array([float(r["toxic"]) for r in got]))
+    return Model(weights, bias, slope, offset)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, the probability that ``text`` is toxic."""
     names = [c for c in docs.columns if c != "score"]
     at = names.index("text")
-    from pyspark.sql import types as T
 
     def each(batches):
-        near = Near(Landmarks(model.words)) if model.words else None
+        reader = None if model.weights is None else Reader(Linear(model.weights))
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                out = []
-                if near is None:
-                    out = [model.probability(0.0)] * part.num_rows
+                if reader is None:
+                    f = np.zeros(part.num_rows)
                 else:
-                    texts = [t or "" for t in part.column(at).to_pylist()]
-                    for t, s in zip(texts, near.batch(texts)):
-                        rows = rows_of(t, near.memo, len(model.words)) if any(near.memo.get(w) for w in s) else []
-                        out.append(model.probability(max([model.bias, *(float(r @ model.alpha) + model.bias for r in rows)])))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*names, "score"])
+                    f = np.array([v for v, _ in reader.read([t or "" for t in part.column(at).to_pylist()])]) + model.bias
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.probability(f), pa.float64())], names=[*names, "score"])
 
     d = docs.select(*names)
     return d.mapInArrow(each, T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -9,7 +9,7 @@ import pytest
 
 from catalograph.llm import bpe, gif, licences, lines, mixing, neardup, secrets, substrings, toxicity
 
-from .helpers import clashing, docs, empty, odd, passage, rows
+from .helpers import WORDS, clashing, docs, empty, odd, passage, rows
 
 
 def _scan(df, spark):
@@ -349,7 +349,8 @@ def _toxic_tables(spark):
 def test_toxicity_held_out_and_gapped(spark):
     d, labels = _toxic_tables(spark)
     model = toxicity.train(d, labels)
-    assert set(INSULTS) <= set(model.words)
+    worth = toxicity.Linear(model.weights)
+    assert worth(INSULTS).min() > 2 * worth([f"{w}{i}" for w in WORDS for i in range(10)]).max()
     out = toxicity.score(d, model).join(labels, "doc_id").toPandas()
     held = out[[zlib.crc32(str(i).encode()) % 3 == 1 for i in out.doc_id]]
     assert ((held.score >= 0.7) == (held.toxic == 1)).mean() > 0.97
@@ -361,11 +362,39 @@ def test_toxicity_held_out_and_gapped(spark):
 
 @pytest.mark.parametrize("text", ["what a w r e t c h e d!", "total n i t w i t.", "n i t w i t, he said", "so (n i t w i t) it is", "a b l o c k h e a d. then", "x " * 40 + "n i t w i t " + "y " * 40, "a q z k v j x q z k v j x q z k v j x q z k v n i t w i t!"])
 def test_insults_spelled_apart_are_found_alone(text):
-    """By the token set of the text itself, with no other document in the memo."""
-    near = toxicity.Near(toxicity.Landmarks(INSULTS))
-    (mine,) = near.batch([text])
-    assert any(near.memo.get(t) for t in mine)
-    assert toxicity.rows_of(text, near.memo, len(INSULTS))
+    """By the kernel with each insult alone, with no other text read before."""
+    value = toxicity.Linear(toxicity.Landmarks([[w] for w in INSULTS]).weights(np.ones(len(INSULTS))))
+    ((found, where),) = toxicity.Reader(value).read([text])
+    assert found > 0.5
+    assert toxicity.Reader(value).words_of(where)
+
+
+def test_a_window_ends_with_its_sentence_and_counts_a_word_once():
+    value = lambda words: np.array([{"a": 1.0, "b": 10.0, "c": 100.0}.get(w, 0.0) for w in words])
+    reader = toxicity.Reader(value)
+    texts = ["a b. c", "a a a a", "a b x c", "", "c\nb", "b, a x c!"]
+    assert [v for v, _ in reader.read(texts)] == [100.0, 1.0, 110.0, 0.0, 100.0, 101.0]
+    for t in texts * 3:  # whatever was read before
+        assert next(toxicity.Reader(value).read([t]))[0] == next(reader.read([t]))[0]
+
+
+def test_a_full_memo_changes_nothing(monkeypatch):
+    texts = [passage(i, 200) for i in range(30)]
+    value = toxicity.Linear(np.random.default_rng(0).normal(size=1 << toxicity.BITS))
+    want = [v for v, _ in toxicity.Reader(value).read(texts)]
+    monkeypatch.setattr(toxicity, "MEMO", 20)
+    reader = toxicity.Reader(value)
+    assert [v for t in texts for v, _ in reader.read([t])] == pytest.approx(want)
+
+
+def test_held_out_toxic_documents_by_language(spark):
+    """Floors on the driver's table: found by language where it has enough labels, and false alarms."""
+    d = "/root/testdata/sf0.1"
+    data = toxicity.op9_string_kernel(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    toxic = data[data.toxic == 1]
+    assert toxic[toxic.lang == "en"].predicted.mean() >= 0.8 and toxic.predicted.mean() >= 0.7
+    assert (toxic.groupby("lang").predicted.mean() >= 0.3).all()
+    assert data[data.toxic == 0].predicted.mean() <= 0.01
 
 
 def test_toxicity_odd_inputs(spark):
@@ -380,14 +409,16 @@ def test_toxicity_odd_inputs(spark):
 def test_kernel_by_definition():
     import itertools
 
-    def slow(s, t):
-        total = 0.0
-        for i in itertools.combinations(range(len(s)), 3):
-            for j in itertools.combinations(range(len(t)), 3):
-                if all(s[a] == t[b] for a, b in zip(i, j)):
-                    total += toxicity.DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1)
-        return total
-
-    for s, t in (("stupid", "stupid"), ("stxupid", "stupid"), ("abcabc", "cabbac"), ("ab", "abc")):
-        got = toxicity.kernel(toxicity.coded([s], -1), toxicity.coded([t], -2))[0]
-        assert got == pytest.approx(slow(s, t))
+    def shared(s, t):
+        s, t = f"\1{s}\2", f"\1{t}\2"
+        far = lambda x: [i for i in itertools.combinations(range(len(x)), toxicity.LENGTH) if i[-1] - i[0] <= toxicity.SPAN]
+        return sum(toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1) for i in far(s) for j in far(t) if [s[a] for a in i] == [t[b] for b in j])
+
+    def norm(s):
+        n, far = len(s) + 2, itertools.combinations(range(len(s) + 2), toxicity.LENGTH)
+        return sum(toxicity.DECAY ** (2 * (i[-1] - i[0] + 1)) for i in far if i[-1] - i[0] <= toxicity.SPAN) ** 0.5
+
+    for s, t in (("stupid", "stupid"), ("stxupid", "stupid"), ("abcabc", "cabbac"), ("ab", "abc"), ("é\U0001f600ab", "éab")):
+        want = shared(s, t) / norm(s) / norm(t)
+        assert toxicity.Landmarks([[t]]).kernel([s])[0, 0] == pytest.approx(want, rel=1e-4, abs=0.01)  # hashes may meet
+        assert toxicity.Linear(toxicity.Landmarks([[t]]).weights(np.ones(1)))([s])[0] == pytest.approx(want, rel=1e-4, abs=0.01)
