@@ -6,7 +6,11 @@ are vocabulary entries themselves. Tier two: other pre-tokens are merged over a
 of their bytes, with a heap of candidate pairs by (rank, place). Results of pre-tokens are kept in
 a bounded memo of each worker.
 
-Null texts are empty and give no tokens. Repeated rows stay; an empty table gives an empty result.
+Null texts are empty and give no tokens. Repeated rows stay, with equal tokens; an empty table gives
+an empty result. A text is one value in a task, however long: its ids take up to four times its
+bytes, and its decoded bytes as many again. Other columns pass through :meth:`Tokenizer.encode`, but
+one named ``ids`` (or ``decoded``) would then be there twice: drop it first; :func:`digest` ignores them.
+Ids are little-endian: workers are taken to be so too.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MASK, mix, table
+from .common import MASK, mix, table, tidy
 
 #: Pre-tokens and pairs that a worker remembers, each.
-MEMO = 200_000
+MEMO = 150_000
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -154,6 +158,9 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, array("I", ids)))
+
 
 _HELD: dict[tuple[str, str], Encoder] = {}
 
@@ -191,36 +198,55 @@ class Tokenizer:
                     ids = pa.array([coder.encode(t or "") for t in part.column(at).to_pylist()], pa.binary())
                     yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, "ids"])
 
-        return docs.mapInArrow(each, _with(docs, "ids"))
+        return docs.mapInArrow(tidy(each), _with(docs, "ids"))
 
     def decode(self, tokens: DataFrame) -> DataFrame:
         """``tokens`` with ``decoded``: the bytes of ``ids``, null for null."""
-        shared, names = self.shared, tokens.columns
+        shared, key, names = self.shared, self.key, tokens.columns
         at = names.index("ids")
 
         def each(batches):
-            word = shared.value[0].__getitem__
+            coder = _encoder(key, shared)
             for b in batches:
                 for i in range(0, b.num_rows, 512):
                     part = b.slice(i, 512)
-                    raw = [None if x is None else b"".join(map(word, np.frombuffer(x, "<u4").tolist())) for x in part.column(at).to_pylist()]
+                    raw = [None if x is None else coder.decode(x) for x in part.column(at).to_pylist()]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*names, "decoded"])
 
-        return tokens.mapInArrow(each, _with(tokens, "decoded"))
+        return tokens.mapInArrow(tidy(each), _with(tokens, "decoded"))
+
+    def digest(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``docs`` (doc_id, text)."""
+        shared, key = self.shared, self.key
+
+        def each(batches):
+            coder = _encoder(key, shared)
+            for b in batches:
+                for i in range(0, b.num_rows, 128):
+                    part = b.slice(i, 128)
+                    n, ids_sha, decoded_sha = [], [], []
+                    for text in part.column("text").to_pylist():
+                        ids = coder.encode(text or "")
+                        n.append(len(ids) // 4)
+                        ids_sha.append(hashlib.sha256(ids).hexdigest())
+                        decoded_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        d = docs.select("doc_id", "text")
+        long, string = T.LongType(), T.StringType()
+        return d.mapInArrow(tidy(each), T.StructType([d.schema["doc_id"], T.StructField("n_tokens", long), T.StructField("ids_sha256", string), T.StructField("decoded_sha256", string)]))
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Tokens of ``docs`` (doc_id, text), counted and hashed, and of their decoded bytes."""
+    """Tokens of ``docs`` (doc_id, text), counted and hashed, and of their decoded bytes.
+
+    Encodes and decodes in one pass, so that ids never leave the worker and only half as many
+    workers hold a vocabulary as with :meth:`Tokenizer.encode` and :meth:`Tokenizer.decode`.
+    """
     import public_tokenizers
 
     coder = Tokenizer(docs.sparkSession, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    tokens = coder.encode(docs.select("doc_id", "text")).drop("text")
-    return coder.decode(tokens).select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return coder.digest(docs)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

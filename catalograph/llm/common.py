@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -69,12 +72,36 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def hash128(c: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of different seeds; the second doesn't follow from the first."""
+    return F.xxhash64(c), F.xxhash64(F.lit(1), c)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else unchanged."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-# ---------------------------------------------------------------- words and hashes, inside tasks
+# ---------------------------------------------------------------- inside tasks
+
+
+def tidy(each):
+    """A mapper of batches that gives its memory back when its partition ends: Python workers, and
+    what their allocators keep, outlive tasks."""
+
+    @functools.wraps(each)
+    def run(batches):
+        yield from each(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+# words and hashes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
