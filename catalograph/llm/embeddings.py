@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocked, components, runs, table
+from .common import Scratch, blocked, components, runs, table, tidy
 
 COSINE = 0.9
 #: Target share of pairs at the threshold itself that some table brings together.
@@ -84,6 +84,7 @@ class Codes:
         return np.stack([signs[r][:, at] @ power for r, at in self.cuts], 1)
 
 
+@tidy
 def _vectors(batches):
     """Clean vectors as bytes of doubles; null for those that can't link."""
     for b in batches:

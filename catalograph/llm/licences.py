@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, small, table
+from .common import Scratch, ascii_lower, hash128, small, table
 
 CONTAINMENT = 0.8
 SPAN = 96
@@ -69,7 +69,7 @@ def _array(values: list[str]) -> Column:
 
 def _text_hash(text: Column) -> list[Column]:
     whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole).alias("t1"), F.xxhash64(whole, F.lit(1)).alias("t2")]
+    return [h.alias(n) for h, n in zip(hash128(whole), ("t1", "t2"))]
 
 
 def base_columns(df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, blocked, components, grams, lists, mix, runs, small, table
+from .common import Scratch, WordHashes, blocked, components, grams, lists, mix, runs, small, table, tidy
 
 WORDS = 5
 THRESHOLD = 85
@@ -144,6 +144,7 @@ def reach(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 # ---------------------------------------------------------------- tasks
 
 
+@tidy
 def _features(batches):
     memo = WordHashes()
     for b in batches:
@@ -158,6 +159,7 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "t", "n", "node", "regs"])
 
 
+@tidy
 def _band_rows(batches):
     for b in batches:
         for i in range(0, b.num_rows, 1024):
@@ -166,6 +168,7 @@ def _band_rows(batches):
             yield pa.RecordBatch.from_arrays([part.column("node"), lists(list(bands(regs)))], names=["node", "keys"])
 
 
+@tidy
 def _sets(batches):
     memo = WordHashes()
     for b in batches:
@@ -176,6 +179,7 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["node", "set"])
 
 
+@tidy
 def _estimated(batches):
     for b in batches:
         for i in range(0, b.num_rows, 2048):
@@ -185,18 +189,21 @@ def _estimated(batches):
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
 
+@tidy
 def _confirmed(batches):
     for b in batches:
-        ok = []
-        for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * common >= THRESHOLD * (len(both) - common))
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
+        for i in range(0, b.num_rows, 256):
+            part, ok = b.slice(i, 256), []
+            for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * common >= THRESHOLD * (len(both) - common))
+            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+@tidy
 def _across(batches):
     """Pairs of a bucket's blocks in different components that pass the estimate, in their first band."""
     for g in runs(batches, ["key", "bi", "bj"]):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, grams, lists, small, table
+from .common import Scratch, WordHashes, grams, lists, small, table, tidy
 
 WINDOW = 35
 GRAM = 12
@@ -54,6 +54,7 @@ def node_of(w: list[bytes]) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(b" ".join(w))).astype(np.int64)
 
 
+@tidy
 def _features(batches):
     memo = WordHashes()
     for b in batches:
@@ -76,6 +77,7 @@ def _features(batches):
             )
 
 
+@tidy
 def _windows(batches):
     """Start and hash of each window whose anchor is shared."""
     memo = WordHashes()
@@ -96,6 +98,7 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists(starts, np.int32), lists(hashes)], names=["node", "starts", "hashes"])
 
 
+@tidy
 def _removed(batches):
     for b in batches:
         for i in range(0, b.num_rows, 512):

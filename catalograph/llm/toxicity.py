@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, table, tidy
 
 #: Bounds of the labelled sample.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -351,6 +351,7 @@ def fit(windows: list[list[str]], toxic: np.ndarray, landmarks: list[list[str]])
     return marks.weights(root @ w), bias
 
 
+@tidy
 def _found(batches):
     """Each document's distinct beginnings."""
     for b in batches:
@@ -422,7 +423,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     draw = np.random.default_rng(0)
     clean: list[list[str]] = []  # the worst windows of clean documents so far
     for turn in range(ROUNDS + 1):
-        got = text.mapInArrow(_worst(value, turn == 0), "doc string, toxic int, f double, w array<string>, other array<string>")
+        got = text.mapInArrow(tidy(_worst(value, turn == 0)), "doc string, toxic int, f double, w array<string>, other array<string>")
         got = sorted(got.collect(), key=lambda r: r["doc"])  # a row for each document of the sample
         if turn == ROUNDS:
             break
@@ -455,7 +456,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.probability(f), pa.float64())], names=[*names, "score"])
 
     d = docs.select(*names)
-    return d.mapInArrow(each, T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType())]))
+    return d.mapInArrow(tidy(each), T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,9 +181,34 @@ def test_lines_against_brute_force(spark):
 def test_runs_are_compacted(spark):
     store = lines.LineRuns(spark)
     for i in range(5):
-        store.add(docs(spark, [(i, "a\nb")]))
+        store.add(lines.key_hashes(docs(spark, [(i, "a\nb")])))
     assert [len(x) for x in store.levels] == [1, 0, 1]
-    assert store._sum(store.runs()).agg({"docs": "sum"}).first()[0] == 10
+    assert sum(r.agg({"docs": "sum"}).first()[0] for r in store.runs()) == 10 and store.frequent().count() == 0
+    store.add(lines.key_hashes(docs(spark, [(i, "a\nc") for i in range(5)])))
+    assert store.frequent().count() == 1  # five of the runs, five of the batch
+    store.add(lines.key_hashes(docs(spark, [(9, "a")])))
+    assert store.frequent().count() == 1 and sum(r.count() for r in store.runs()) == 5  # the last added no row
+    store.close()
+
+
+def test_a_key_of_a_run_stays_sorted_and_meets_without_a_shuffle(spark):
+    store = lines.LineRuns(spark)
+    runs = [store._run(lines.key_hashes(docs(spark, [(k, f"{k}") for k in range(i, i + 40)])).selectExpr("keys[0].h1 h1", "keys[0].h2 h2", "1L docs")) for i in (0, 20)]
+    merged = store._merged(runs)
+    plan = merged._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(r["docs"] for r in merged.collect()) == [1] * 40 + [2] * 20
+
+
+def test_second_hash_is_a_second_hash(spark):
+    """It isn't the first one hashed on, as it would be if the seed came after the key."""
+    from pyspark.sql import functions as F
+
+    from catalograph.llm.common import hash128
+
+    h1, h2 = hash128(F.col("k"))
+    df = spark.range(100).select(F.col("id").cast("string").alias("k")).select(h1.alias("h1"), h2.alias("h2"), F.xxhash64("k", F.lit(1)).alias("folded"))
+    assert df.where("h2 = h1 or h2 = folded").count() == 0 and df.select("h2").distinct().count() == 100
 
 
 # ---------------------------------------------------------------- 5
