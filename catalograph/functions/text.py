@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -130,35 +131,38 @@ def _keyword_level(field: str, level: str, regex: str) -> Column:
 # ---------------------------------------------------------------- humanised values
 
 
+_KINDS = ("alias", "capitalize", "ignore", "priority", "trim_whitespace")
+
+
 def humanize(value: Column, rules: list[dict], field: str) -> Column:
     """A value after the rules of its field, in their order, each on the last one's result.
 
-    Gives a struct of value, priority and reportable; an ignored value is null.
+    Gives a struct of value, priority and reportable; an ignored value is null. One fold over an
+    array of the rules, so the plan has the same size for any number of them.
     """
-    out = F.struct(value.alias("value"), F.lit(0).alias("priority"), F.lit(False).alias("reportable"))
-    state = F.when(value.isNotNull(), out)
-    for r in sorted((r for r in rules if r["field"] == field), key=lambda r: r["order"]):
-        state = _apply(state, r)
-    return state
-
-
-def _apply(state: Column, rule: dict) -> Column:
-    v, p, said = state["value"], state["priority"], state["reportable"]
-    hit = v.isNotNull() & (F.lit(True) if rule.get("source_value") is None else v == F.lit(rule["source_value"]))
-    kind = rule["type"]
-    if kind == "ignore":
-        return F.when(~hit, state)
-    if kind == "trim_whitespace":
-        new = F.trim(F.regexp_replace(v, r"\s+", " "))
-    elif kind == "capitalize":  # every word starts upper-case; others become lower-case
-        new = F.array_join(F.transform(F.regexp_extract_all(v, F.lit(r"(\w+|\W+)"), F.lit(1)), lambda w: F.concat(F.upper(w.substr(1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), "")
-    elif kind == "alias":
-        new = F.lit(rule["replacement_value"])
-    elif kind == "priority":
-        new = v
-    else:
-        raise ValueError(f"unknown humanizer: {kind}")
-    changed = F.struct(new.alias("value"), (F.lit(rule["priority"]) if kind == "priority" else p).alias("priority"), (F.lit(True) if rule.get("reportable") else said).alias("reportable"))
+    own = sorted((r for r in rules if r["field"] == field), key=lambda r: r["order"])
+    for r in own:
+        if r["type"] not in _KINDS:
+            raise ValueError(f"unknown humanizer: {r['type']}")
+    table = [{k: r.get(k) for k in ("type", "source_value", "replacement_value", "priority")} | {"reportable": bool(r.get("reportable"))} for r in own]
+    rule = "array<struct<type:string,source_value:string,replacement_value:string,priority:int,reportable:boolean>>"
+    start = F.struct(value.cast("string").alias("value"), F.lit(0).alias("priority"), F.lit(False).alias("reportable"))
+    done = F.aggregate(F.from_json(F.lit(json.dumps(table)), rule), start, _apply)
+    return F.when(done["value"].isNotNull(), done)
+
+
+def _apply(state: Column, rule: Column) -> Column:
+    v, kind = state["value"], rule["type"]
+    # every word starts upper-case; others become lower-case
+    words = F.transform(F.regexp_extract_all(v, F.lit(r"(\w+|\W+)"), F.lit(1)), lambda w: F.concat(F.upper(w.substr(1, 1)), F.lower(w.substr(F.lit(2), F.length(w)))))
+    new = (
+        F.when(kind == "alias", rule["replacement_value"])
+        .when(kind == "capitalize", F.array_join(words, ""))
+        .when(kind == "trim_whitespace", F.trim(F.regexp_replace(v, r"\s+", " ")))
+        .when(kind == "priority", v)
+    )
+    changed = F.struct(new.alias("value"), F.when(kind == "priority", rule["priority"]).otherwise(state["priority"]).alias("priority"), (state["reportable"] | rule["reportable"]).alias("reportable"))
+    hit = v.isNotNull() & (rule["source_value"].isNull() | (v == rule["source_value"]))
     return F.when(hit, changed).otherwise(state)
 
 

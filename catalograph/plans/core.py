@@ -230,14 +230,12 @@ def _(spark, d):
     return jn.related_items(ad.read(spark, d, "orders"), inner, "o_custkey", "c_custkey").select("o_orderkey", "o_totalprice")
 
 
-@query("jn8_with_associations", """SELECT p_partkey AS concept_id, array_to_string(list_sort(list_distinct(list(s_name))), '|') AS names, count(DISTINCT s_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_quantity > 45 AND p_size < 10 GROUP BY 1""")
-def _(spark, d):
-    return _services(ad.read(spark, d, "lineitem").where("l_quantity > 45"), ad.read(spark, d, "part").where("p_size < 10"), ad.read(spark, d, "supplier"))
+_JN8 = """SELECT p_partkey AS concept_id, array_to_string(list_sort(list_distinct(list(s_name))), '|') AS names, count(DISTINCT s_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+    GROUP BY 1"""
 
 
-@query("jn8_with_associations_whole", """SELECT p_partkey AS concept_id, array_to_string(list_sort(list_distinct(list(s_name))), '|') AS names, count(DISTINCT s_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-    GROUP BY 1""")
+@query("jn8_with_associations", _JN8)
+@query("jn8_with_associations_whole", _JN8)
 def _(spark, d):
     """All links of all collections."""
     return _services(*(ad.read(spark, d, t) for t in ("lineitem", "part", "supplier")))
@@ -263,10 +261,15 @@ def _(spark, d):
     return jn.lookup_keywords(df, words, {"given": "k_name"}).select("s_suppkey", "n_name", "r_name")
 
 
-@query("jn16_temporal_join", sql("""SELECT g.collection_id, g.order_id, g.line, o.o_orderkey FROM (SELECT * FROM granules WHERE size > 48) g JOIN (SELECT o_orderkey, o_orderdate AS a, o_orderdate + to_days(3) AS b FROM orders WHERE o_orderkey % 20 = 0) o
+@query("jn16_temporal_join", sql("""SELECT g.collection_id, g.order_id, g.line, o.a AS from_date, o.n_orders FROM granules g JOIN
+    (SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP AS a, date_trunc('quarter', o_orderdate)::TIMESTAMP + INTERVAL 3 MONTH - INTERVAL 1 DAY AS b, count(*) AS n_orders FROM orders GROUP BY 1, 2) o
     ON g.start_date <= o.b AND o.a <= coalesce(g.end_date, TIMESTAMP '9999-01-01')""", "granules"))
 def _(spark, d):
-    return _overlaps(ad.granules(spark, d).where("size > 48"), ad.read(spark, d, "orders").where("o_orderkey % 20 = 0"))
+    """All granules and the quarters of all orders."""
+    start = F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz")
+    o = ad.read(spark, d, "orders").groupBy(start.alias("from_date")).agg(F.count("*").alias("n_orders"))
+    o = o.withColumn("to_date", (F.add_months("from_date", 3) - F.lit(1)).cast("timestamp_ntz"))
+    return jn.temporal_join(ad.granules(spark, d), o).select("collection_id", "order_id", "line", "from_date", "n_orders")
 
 
 @query("jn16_temporal_join_whole")
@@ -429,10 +432,10 @@ def _(spark, d):
     return ad.collections(spark, d).select("concept_id", so.bin_score(F.col("price")).alias("score_bin"), so.bin_usage(F.col("price")).alias("usage_bin"))
 
 
-@query("so8_relevance_sort", sql("""SELECT concept_id, short_name FROM collections ORDER BY floor(price / 400.0 + 0.5) DESC, level DESC, concept_id LIMIT 50""", "collections"))
+@query("so8_relevance_sort", sql("""SELECT concept_id, short_name FROM collections ORDER BY floor(price / 400.0 + 0.5) DESC, level DESC, concept_id""", "collections"))
 def _(spark, d):
     c = ad.collections(spark, d).select("concept_id", "short_name", F.col("price").alias("usage"), F.lit(None).cast("timestamp_ntz").alias("end_date"), F.col("level").alias("processing_level"))
-    return so.relevance_sort(c, dt.datetime(2024, 1, 1), score=None).limit(50).select("concept_id", "short_name")
+    return so.relevance_sort(c, dt.datetime(2024, 1, 1), score=None).select("concept_id", "short_name")
 
 
 @query("so10_autocomplete", sql("""SELECT type, value FROM (SELECT DISTINCT 'short_name' AS type, short_name AS value FROM collections UNION SELECT DISTINCT 'level', level FROM collections)

@@ -142,14 +142,12 @@ def _(spark, d):
     return fc.facet_cycle(g, 2)
 
 
-@query("ag25_keyword_tree", """SELECT '[' || string_agg('{"value":"' || r_name || '","below":[' || ns || ']}', ',' ORDER BY r_name) || ']' AS tree FROM (SELECT r_name, string_agg('{"value":"' || n_name || '","below":[]}', ',' ORDER BY n_name) AS ns FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)""")
-def _(spark, d):
-    n, r = ad.read(spark, d, "nation"), ad.read(spark, d, "region")
-    return fc.keyword_tree(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey), ["r_name", "n_name"])
+_AG25 = """SELECT '[' || string_agg('{"value":"' || p_brand || '","below":' || ts || '}', ',' ORDER BY p_brand) || ']' AS tree FROM (SELECT p_brand, '[' || string_agg('{"value":"' || p_type || '","below":[' || ns || ']}', ',' ORDER BY p_type) || ']' AS ts FROM
+    (SELECT p_brand, p_type, string_agg('{"value":"' || p_name || '","below":[]}', ',' ORDER BY p_name) AS ns FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part) GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@query("ag25_keyword_tree_whole", """SELECT '[' || string_agg('{"value":"' || p_brand || '","below":' || ts || '}', ',' ORDER BY p_brand) || ']' AS tree FROM (SELECT p_brand, '[' || string_agg('{"value":"' || p_type || '","below":[' || ns || ']}', ',' ORDER BY p_type) || ']' AS ts FROM
-    (SELECT p_brand, p_type, string_agg('{"value":"' || p_name || '","below":[]}', ',' ORDER BY p_name) AS ns FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part) GROUP BY 1, 2) GROUP BY 1)""")
+@query("ag25_keyword_tree", _AG25)
+@query("ag25_keyword_tree_whole", _AG25)
 def _(spark, d):
     return fc.keyword_tree(ad.read(spark, d, "part"), ["p_brand", "p_type", "p_name"])
 
@@ -161,17 +159,17 @@ def _(spark, d):
     return rl.rank_positions(*_tests(spark, d))
 
 
-@query("so2_default_sort", sql("SELECT provider_id, start_date, concept_id FROM (SELECT provider_id, start_date, order_id * 10 + line AS concept_id FROM granules) ORDER BY provider_id, start_date, concept_id LIMIT 100", "granules"))
+@query("so2_default_sort", sql("SELECT provider_id, start_date, concept_id FROM (SELECT provider_id, start_date, order_id * 10 + line AS concept_id FROM granules) ORDER BY provider_id, start_date, concept_id", "granules"))
 def _(spark, d):
     g = ad.granules(spark, d).select("provider_id", "start_date", (F.col("order_id") * 10 + F.col("line")).alias("concept_id"))
-    return so.page(so.sort_by(g, so.default_sort("granule"), "granule"), 100)
+    return so.sort_by(g, so.default_sort("granule"), "granule")
 
 
-@query("so5_has_granules_order", sql("SELECT concept_id FROM collections ORDER BY concept_id IN (SELECT collection_id FROM granules WHERE size > 49) DESC, concept_id LIMIT 30", "collections", "granules"))
+@query("so5_has_granules_order", sql("SELECT concept_id FROM collections ORDER BY concept_id IN (SELECT collection_id FROM granules WHERE size > 49) DESC, concept_id", "collections", "granules"))
 def _(spark, d):
     has = ad.granules(spark, d).where("size > 49").select(F.col("collection_id").alias("concept_id"), F.lit(True).alias("h")).distinct()
     c = ad.collections(spark, d).join(has, "concept_id", "left").withColumn("has_granules", F.coalesce("h", F.lit(False)))
-    return c.orderBy(so.has_granules_order(), "concept_id").limit(30).select("concept_id")
+    return c.orderBy(so.has_granules_order(), "concept_id").select("concept_id")
 
 
 # ---------------------------------------------------------------- documents and sinks

@@ -517,17 +517,12 @@ def _(spark, d):
     return gone.read().select("concept_id", "revision_id")
 
 
-@query("sm3_notify", sql("""SELECT r.concept_id, r.revision_id, c.c_custkey AS subscription_id, CASE WHEN deleted THEN 'Delete' WHEN revision_id = 1 THEN 'New' ELSE 'Update' END AS mode FROM revisions r JOIN customer c ON c.c_custkey % 150 = r.concept_id % 150 AND c.c_custkey < 150
-    WHERE deleted OR revision_id = 1""", "revisions"))
-def _(spark, d):
-    r = ad.revisions(spark, d).withColumn("collection_id", F.col("concept_id") % 150)
-    c = ad.read(spark, d, "customer").where("c_custkey < 150")
-    s = c.select(F.col("c_custkey").alias("concept_id"), F.col("c_name").alias("subscriber_id"), (F.col("c_custkey") % 150).alias("collection_id"), F.lit("q").alias("endpoint"), F.array(F.lit("New"), F.lit("Delete")).alias("modes"))
-    return st.notify(r, s).select("concept_id", "revision_id", "subscription_id", "mode")
+_SM3 = sql("""SELECT r.concept_id, r.revision_id, c.c_custkey AS subscription_id, CASE WHEN deleted THEN 'Delete' WHEN revision_id = 1 THEN 'New' ELSE 'Update' END AS mode FROM revisions r JOIN customer c ON c.c_custkey // 10 = r.concept_id
+    WHERE deleted OR revision_id = 1""", "revisions")
 
 
-@query("sm3_notify_whole", sql("""SELECT r.concept_id, r.revision_id, c.c_custkey AS subscription_id, CASE WHEN deleted THEN 'Delete' WHEN revision_id = 1 THEN 'New' ELSE 'Update' END AS mode FROM revisions r JOIN customer c ON c.c_custkey // 10 = r.concept_id
-    WHERE deleted OR revision_id = 1""", "revisions"))
+@query("sm3_notify", _SM3)
+@query("sm3_notify_whole", _SM3)
 def _(spark, d):
     """Every customer subscribes, ten to a collection; every collection is one concept."""
     r = ad.revisions(spark, d).withColumn("collection_id", F.col("concept_id"))

@@ -317,3 +317,18 @@ def test_links_by_host(spark):
     got = [r[0] for r in df.select(tx.classify_links(F.col("u"), r"cloud\.example\.org")).collect()]
     assert (got[0]["cloud"], got[0]["on_premises"], got[0]["error"]) == ("https://cloud.example.org/a", "http://local.example.net/b", None)
     assert got[1]["error"] and got[2]["error"]
+
+
+def test_hundreds_of_humanizer_rules(spark):
+    import time
+
+    from catalograph.functions import text as tx
+
+    rules = [{"order": i, "type": "alias", "field": "p", "source_value": f"name {i}", "replacement_value": f"name {i + 1}", "reportable": i == 5} for i in range(200)]
+    rules += [{"order": 300, "type": "capitalize", "field": "p"}, {"order": 301, "type": "ignore", "field": "p", "source_value": "Gone"}]
+    df = spark.createDataFrame([("name 0",), ("name 150",), ("gone",), (None,), ("name 6",)], "p string")
+    df.count()
+    began = time.time()
+    got = [tuple(r["h"]) if r["h"] else None for r in df.select(tx.humanize(F.col("p"), rules, "p").alias("h")).collect()]
+    assert time.time() - began < 5
+    assert got == [("Name 200", 0, True), ("Name 200", 0, False), None, None, ("Name 200", 0, False)]
