@@ -18,7 +18,7 @@ pairs of a bucket:
   split into pairs of blocks.
 
 All pairs of a bucket are so either compared or in one component already; nothing is capped.
-A pair at similarity s is missed if no band agrees: (1 - s^7)^36, under 1e-6 at 0.85. The estimate
+A pair at similarity s is missed if no band agrees: (1 - s^7)^36, under 1e-6 at 0.85, 2e-4 at 0.8. The estimate
 drops a pair only if it lies 4.5 standard deviations below the threshold.
 
 Null or empty texts have no set: ``n_shingles`` 0, component of their own, kept. Repeated rows are
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, blocked, components, grams, lists, mix, runs, small, table, tidy
 
 WORDS = 5
+#: Percent of similarity from which documents are linked, unless given.
 THRESHOLD = 85
 BAND, BANDS = 7, 36
 REGISTERS = BAND * BANDS
@@ -104,7 +105,7 @@ def bands(regs: np.ndarray) -> np.ndarray:
     return h
 
 
-def passes(equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def passes(equal: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """Whether pairs with so many equal registers may reach the threshold, by set sizes.
 
     Registers of different minima collide by chance; for buckets with a and b hashes that happens
@@ -114,20 +115,20 @@ def passes(equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     na, nb = na.astype(float), nb.astype(float)
     chance = 0.7213 / 2**MANTISSA * na * nb / (na + nb) ** 2
     est = (equal / REGISTERS - chance) / (1 - chance)
-    t = THRESHOLD / 100
+    t = threshold / 100
     least = np.minimum(na, nb)
     room = SLACK * np.sqrt(t * (1 - t) / (REGISTERS * -np.expm1(-least / REGISTERS)))
-    return (est >= t - room) & (100 * least >= THRESHOLD * np.maximum(na, nb))
+    return (est >= t - room) & (100 * least >= threshold * np.maximum(na, nb))
 
 
-def reach(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+def reach(a: np.ndarray, others: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarray:
     """Whether sets may reach the threshold with set ``a``, from the lowest hashes of each.
 
     Below the smaller of two cut-offs both samples are complete, so the share of common hashes there
     estimates the similarity; sets that aren't cut off are compared as a whole.
     """
     out = np.zeros(len(others), bool)
-    t = THRESHOLD / 100
+    t = threshold / 100
     for i, b in enumerate(others):
         x, y, room = a, b, 0.0
         if len(x) >= LOWEST or len(y) >= LOWEST:
@@ -179,68 +180,75 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["node", "set"])
 
 
-@tidy
-def _estimated(batches):
-    for b in batches:
-        for i in range(0, b.num_rows, 2048):
-            part = b.slice(i, 2048)
-            ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            ok = passes((ra == rb).sum(1), part.column("na").to_numpy(), part.column("nb").to_numpy())
-            yield part.select(["a", "b"]).filter(pa.array(ok))
+def _estimated(threshold: int):
+    def each(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+                ok = passes((ra == rb).sum(1), part.column("na").to_numpy(), part.column("nb").to_numpy(), threshold)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
 
+    return tidy(each)
 
-@tidy
-def _confirmed(batches):
-    for b in batches:
-        for i in range(0, b.num_rows, 256):
-            part, ok = b.slice(i, 256), []
-            for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= THRESHOLD * (len(both) - common))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+def _confirmed(threshold: int):
+    def each(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part, ok = b.slice(i, 256), []
+                for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    ok.append(100 * common >= threshold * (len(both) - common))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-@tidy
-def _across(batches):
+    return tidy(each)
+
+
+def _across(threshold: int):
     """Pairs of a bucket's blocks in different components that pass the estimate, in their first band."""
-    for g in runs(batches, ["key", "bi", "bj"]):
-        if g.num_rows < 2:
-            continue
-        node, comp, n, mine = (g.column(c).to_numpy() for c in ("node", "comp", "n", "mine"))
-        regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        low = [np.frombuffer(x, np.uint64) for x in g.column("low").to_pylist()]
-        keys = bands(regs)
-        key = g.column("key")[0].as_py()
-        band = int((keys[0].view(np.int64) == key).argmax())
-        bi, bj = g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
-        left = np.flatnonzero(mine == bi)
-        right = left if bi == bj else np.flatnonzero(mine == bj)
-        found_a, found_b = [], []
-        for x in left:
-            other = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if bi == bj else True)]
-            if not len(other):
+
+    def each(batches):
+        for g in runs(batches, ["key", "bi", "bj"]):
+            if g.num_rows < 2:
                 continue
-            ok = passes((regs[other] == regs[x]).sum(1), n[other], np.broadcast_to(n[x], len(other)))
-            other = other[ok]
-            if len(other) and band:
-                other = other[~(keys[other][:, :band] == keys[x][:band]).any(1)]
-            if len(other):
-                other = other[reach(low[x], [low[o] for o in other])]
-            found_a.append(np.full(len(other), node[x]))
-            found_b.append(node[other])
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+            node, comp, n, mine = (g.column(c).to_numpy() for c in ("node", "comp", "n", "mine"))
+            regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            low = [np.frombuffer(x, np.uint64) for x in g.column("low").to_pylist()]
+            keys = bands(regs)
+            key = g.column("key")[0].as_py()
+            band = int((keys[0].view(np.int64) == key).argmax())
+            bi, bj = g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
+            left = np.flatnonzero(mine == bi)
+            right = left if bi == bj else np.flatnonzero(mine == bj)
+            found_a, found_b = [], []
+            for x in left:
+                other = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if bi == bj else True)]
+                if not len(other):
+                    continue
+                ok = passes((regs[other] == regs[x]).sum(1), n[other], np.broadcast_to(n[x], len(other)), threshold)
+                other = other[ok]
+                if len(other) and band:
+                    other = other[~(keys[other][:, :band] == keys[x][:band]).any(1)]
+                if len(other):
+                    other = other[reach(low[x], [low[o] for o in other], threshold)]
+                found_a.append(np.full(len(other), node[x]))
+                found_b.append(node[other])
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    return tidy(each)
 
 
 # ---------------------------------------------------------------- plan
 
 
 class _Job:
-    def __init__(self, docs: DataFrame):
-        self.docs, self.spark = docs, docs.sparkSession
+    def __init__(self, docs: DataFrame, threshold: int = THRESHOLD):
+        self.docs, self.spark, self.threshold = docs, docs.sparkSession, threshold
         self.scratch = Scratch(self.spark, "near")
         self.raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("raw"))
         self.rows = self.scratch.store(self.raw.mapInArrow(_features, "doc_id long, t long, n long, node long, regs binary"), "rows")
@@ -255,7 +263,7 @@ class _Job:
     def estimate(self, pairs: DataFrame) -> DataFrame:
         side = self.nodes.select("node", "n", "regs")
         both = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-        return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, "a long, b long")
+        return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(self.threshold), "a long, b long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, set): whole shingle sets of some nodes; only their texts are read again."""
@@ -271,7 +279,7 @@ class _Job:
         if sets is None:
             sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        links = self.scratch.store(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), "links")
+        links = self.scratch.store(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed(self.threshold), "a long, b long"), "links")
         self.scratch.drop(sets)
         return links
 
@@ -298,7 +306,7 @@ class _Job:
         rest = rest.join(self.nodes.select("node", "n", "regs").join(low, "node"), "node")
         rest = blocked(rest, F.col("members"), F.col("node"), BLOCK)
         rest = rest.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-        across = rest.select("key", "bi", "bj", "mine", "node", "comp", "n", "regs", "low").mapInArrow(_across, "a long, b long")
+        across = rest.select("key", "bi", "bj", "mine", "node", "comp", "n", "regs", "low").mapInArrow(_across(self.threshold), "a long, b long")
         more = self.confirm(self.scratch.store(across, "across"), sets)
         return components(links.unionByName(more), self.scratch)
 
@@ -317,17 +325,17 @@ class _Job:
         ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    return _Job(docs).result().drop("t")
+    return _Job(docs, threshold).result().drop("t")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` less all but one document of each near-duplicate component: the one it is named after.
 
     Of repeated rows with one ``doc_id`` and text, one stays. Texts without words stay.
     """
-    job = _Job(docs)
+    job = _Job(docs, threshold)
     kept = job.result().where("kept").groupBy(F.col("doc_id").alias("id"), "t").agg(F.count("*").alias("n"))
     kept = job.scratch.store(kept, "kept")
     row = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that no name of the input can clash

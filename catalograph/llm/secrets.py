@@ -7,7 +7,8 @@ over the unseen ones only, appends their rows, and joins findings back to every
 the blob. A new rule version makes every blob unseen for that version alone.
 
 Null texts are empty. Repeated rows each get their own row of the result; an empty table gives an
-empty result. Extra columns are ignored.
+empty result. Extra columns pass through, less those named like one of the ledger's. A text is one
+value in a task, however long.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,7 +110,8 @@ class BlobLedger:
         """Scan the unseen blobs of ``versions`` (text) under ``version``; how many rows it added.
 
         Copies shuffle as a key and one text at most for each task, since Spark keeps the first
-        text of a blob on the map side.
+        text of a blob on the map side. The rows appear all at once, when the write commits; scans
+        of the same blobs at the same time may both add them, and readers take one of equal rows.
         """
         before = self.rows().where(F.col("rules") == version).select("blob")
         text = F.coalesce(F.col("text"), F.lit(""))
@@ -118,13 +120,17 @@ class BlobLedger:
             blobs = blobs.join(before, "blob", "left_anti")
         unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
         found = unseen.mapInArrow(_scanner(rules or RULES, version), LEDGER)
-        found.write.mode("append").parquet(self.path)
+        seen = Observation()
+        found.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path)
+        return seen.get["n"]
 
     def findings(self, versions: DataFrame, version: str = RULES_VERSION) -> DataFrame:
-        """``versions`` with its blob address and the ledger's columns for it: findings of every path."""
-        known = self.rows().where(F.col("rules") == version).drop("rules")
-        keyed = versions.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).drop("text")
-        return keyed.join(known, "blob", "left")
+        """``versions`` without its text, with its blob address and the ledger's columns for it:
+        findings of every path. A column of ``versions`` named like one of them is left out."""
+        known = self.rows().where(F.col("rules") == version).drop("rules").dropDuplicates(["blob"])
+        kept = [c for c in versions.columns if c != "text" and c not in known.columns]
+        keyed = versions.select(*kept, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
+        return keyed.join(known, "blob", "left").select(*kept, *known.columns)
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
