@@ -17,6 +17,8 @@ from catalograph.llm.common import Scratch, table
 
 #: How often the mix may read a source; every source is read at least once.
 REPEATS = 1.25
+#: Percent of five-word shingles that near duplicates share at least.
+SIMILARITY = 80
 
 
 OWN = ("doc_id", "text", "source")
@@ -46,7 +48,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
