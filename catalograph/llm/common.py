@@ -78,8 +78,9 @@ def hash128(c: Column) -> tuple[Column, Column]:
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z lower-cased, all else unchanged."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased, all else unchanged; by the faster function where nothing else could change."""
+    slow = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(slow)
 
 
 # ---------------------------------------------------------------- inside tasks

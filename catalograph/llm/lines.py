@@ -41,8 +41,7 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 def line_keys(text: Column) -> Column:
     """Each line of a text without ASCII white space at its ends, A-Z lower-cased."""
-    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
-    return F.transform(F.split(low, "\n", -1), lambda x: F.trim(x, F.lit(_SPACE)))
+    return F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.trim(x, F.lit(_SPACE)))
 
 
 def key_hashes(docs: DataFrame, least: int = MIN_CODE_POINTS) -> DataFrame:
