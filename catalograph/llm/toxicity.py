@@ -138,8 +138,8 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel of each word with each landmark."""
         out = np.zeros((len(words), self.n), np.float32)
-        for i in range(0, len(words) if len(self.known) else 0, 512):
-            part = words[i : i + 512]
+        for i in range(0, len(words) if len(self.known) else 0, 64):  # so that the joined arrays stay small
+            part = words[i : i + 64]
             row, h, weight = subsequences(part)
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             met = self.known[at] == h
@@ -147,17 +147,23 @@ class Landmarks:
             n = self.count[at]
             place = np.repeat(self.begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
             slot = np.repeat(row, n) * self.n + self.by_hash[0][place]
-            out[i : i + 512] = np.bincount(slot, np.repeat(weight, n) * self.by_hash[1][place], len(part) * self.n).reshape(len(part), self.n)
+            out[i : i + 64] = np.bincount(slot, np.repeat(weight, n) * self.by_hash[1][place], len(part) * self.n).reshape(len(part), self.n)
         return out
 
-    def rows(self, windows: list[list[str]]) -> np.ndarray:
-        """Kernel of each window with each landmark."""
+    def mapped(self, windows: list[list[str]], root: np.ndarray) -> np.ndarray:
+        """Kernel of each window with each landmark, times ``root``: sums over its words."""
         own: dict[str, int] = {}
         at = np.full((len(windows), max([WINDOW, *map(len, windows)])), -1, np.int64)
         for i, words in enumerate(windows):
             at[i, : len(words)] = [own.setdefault(w, len(own)) for w in words]
-        each = np.vstack([self.kernel(list(own)), np.zeros((1, self.n), np.float32)])  # the last: no word
-        return sum(each[at[:, k]] for k in range(at.shape[1]))
+        words = list(own)
+        each = np.zeros((len(own) + 1, self.n), np.float32)  # the last: no word
+        for i in range(0, len(words), 1024):
+            each[i : i + 1024][: len(words) - i] = self.kernel(words[i : i + 1024]) @ root
+        out = np.empty((len(windows), self.n), np.float32)
+        for i in range(0, len(windows), 1024):
+            out[i : i + 1024] = each[at[i : i + 1024]].sum(1)
+        return out
 
     def weights(self, alpha: np.ndarray) -> np.ndarray:
         """Per subsequence: the landmarks summed up with ``alpha``."""
@@ -311,15 +317,23 @@ class Reader:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Linear SVM, squared hinge loss and L2 penalty, by Newton steps on the active rows."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge * weight.sum())
+    """Linear SVM, squared hinge loss and L2 penalty, by Newton steps on the active rows.
+
+    Rows are read in blocks, so that no other array has their number of rows and columns.
+    """
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    penalty = np.full(n, ridge * weight.sum())
     penalty[-1] *= 1e-3
     for _ in range(30):
-        active = 1 - y * (z @ w) > 0
-        za, ca = z[active], weight[active]
-        new = np.linalg.solve((za * ca[:, None]).T @ za + np.diag(penalty), za.T @ (ca * y[active]))
+        square, right = np.diag(penalty), np.zeros(n)
+        for i in range(0, len(x), 2048):
+            z, sign, c = np.hstack([x[i : i + 2048].astype(float), np.ones((len(x[i : i + 2048]), 1))]), y[i : i + 2048], weight[i : i + 2048]
+            active = 1 - sign * (z @ w) > 0
+            za, ca = z[active], c[active]
+            square += (za * ca[:, None]).T @ za
+            right += za.T @ (ca * sign[active])
+        new = np.linalg.solve(square, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -343,11 +357,11 @@ def fit_logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(windows: list[list[str]], toxic: np.ndarray, landmarks: list[list[str]]) -> tuple[np.ndarray, float]:
     """Weight of each subsequence, and bias, of the SVM on windows mapped by their landmarks."""
     marks = Landmarks(landmarks)
-    value, vector = np.linalg.eigh(marks.rows(landmarks).astype(float))
+    value, vector = np.linalg.eigh(marks.mapped(landmarks, np.eye(marks.n, dtype=np.float32)).astype(float))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     sign = np.where(toxic == 1, 1.0, -1.0)
     weight = np.where(sign > 0, 0.5 / (sign > 0).sum(), 0.5 / (sign < 0).sum()) * len(sign)
-    w, bias = fit_svm(marks.rows(windows) @ root.astype(np.float32), sign, weight)
+    w, bias = fit_svm(marks.mapped(windows, root.astype(np.float32)), sign, weight)
     return marks.weights(root @ w), bias
 
 
