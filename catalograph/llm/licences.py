@@ -1,8 +1,11 @@
 """Operator 7, licence scans by an exact set-similarity join.
 
 Templates are licence notices as sets of words. A text block matches a template if it holds at
-least ``CONTAINMENT`` of the template's words. Blocks are ``2 * SPAN`` consecutive words, one each
-``SPAN`` words, so any passage of ``SPAN`` words, line breaks or not, lies whole in one.
+least ``CONTAINMENT`` of the template's words, among them the words that set it apart from its
+relatives, and none of the words that set a relative apart. Blocks are ``2 * span`` consecutive
+words, one each ``span`` words, with the least of ``SPANS`` that a template's wording fits in, so
+any passage as long as the wording, line breaks or not, lies whole in one. Identifiers are too
+short for sets: their words must stand consecutively, like the base phrases.
 
 The join: words are ordered by how many documents hold them, rarest first. A block that holds k of
 a template's n words must hold one of the first n - k + 1 in that order (its prefix), so templates
@@ -10,12 +13,15 @@ are indexed by their prefixes and blocks meet them by an equi-join on those word
 filter asks for k different words in the block, the positional filter for k words at or after the
 first prefix word that they share, on both sides. Blocks that are left are verified exactly.
 
-Only DataFrame functions. The template index is broadcast: its size is that of ``TEMPLATES``. The
-ordering needs the counts of template words only; they reach the driver, a few hundred at most.
-Matched texts are joined back by text hash; they are broadcast only within a counted bound.
+Only DataFrame functions. Texts are read into words once: that pass gives the base columns and the
+template words that a text holds, and keeps the words themselves where a text as a whole holds
+enough of some template; blocks are cut from those. The template index is broadcast: its size is
+that of ``TEMPLATES``. The ordering needs the counts of template words only; they reach the driver,
+a few hundred at most. Matches join their rows by the rows' places in the stored table.
 
-Null or empty texts have no words, no labels and score 0. Repeated rows each come back; an empty
-table gives an empty result; other columns are ignored.
+Null or empty texts have no words, no labels and score 0. Repeated rows each come back, as do ties.
+Very long texts are one row in a task, and their blocks together twice their words. An empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,31 +32,50 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, hash128, small, table
+from .common import Scratch, ascii_lower, table
 
 CONTAINMENT = 0.8
-SPAN = 96
+#: Strides of blocks; a template takes the least that its words fit in.
+SPANS = (12, 24, 48, 96)
 
 # Phrases of the contract and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
+# Identifiers of licences, as words, and their labels.
+IDENTIFIERS = [
+    ("cc by 4 0", "cc-by-4.0"), ("cc by nc 4 0", "cc-by-nc-4.0"), ("cc by nc nd 4 0", "cc-by-nc-nd-4.0"), ("cc by nc sa 4 0", "cc-by-nc-sa-4.0"),
+    ("cc by nd 4 0", "cc-by-nd-4.0"), ("cc by sa 4 0", "cc-by-sa-4.0"), ("cc0 1 0", "cc0-1.0"),
+]
+
 # Label and wording of published licence notices.
 TEMPLATES = [
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Words that set related licences apart, by the labels of each family. A template needs
+# those of its own wording, and its block must hold no other of its family's.
+APART = [
+    (("agpl", "gpl", "lgpl"), ("affero", "lesser")),
+    (("cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa"), ("noncommercial", "noderivatives", "sharealike")),
+    (("apache-2.0",), ("apache",)), (("mpl-2.0",), ("mozilla",)), (("unlicense",), ("unencumbered",)),
+]
+
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -59,42 +84,61 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
 def _array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _text_hash(text: Column) -> list[Column]:
-    whole = F.coalesce(text, F.lit(""))
-    return [h.alias(n) for h, n in zip(hash128(whole), ("t1", "t2"))]
+class Template:
+    """A notice: its label, words, how many of them a block needs, and words it must or mustn't hold."""
+
+    def __init__(self, label: str, text: str, containment: float = CONTAINMENT):
+        said = _words(text)
+        self.label, self.words = label, sorted(set(said))
+        self.need = math.ceil(containment * len(self.words) - 1e-9)
+        fits = [s for s in SPANS if s >= len(said)]
+        if not fits:
+            raise ValueError(f"a notice has more than {SPANS[-1]} words: {text}")
+        self.span = fits[0]
+        apart = {w for labels, line in APART if label in labels for w in line}
+        self.must, self.without = sorted(apart & set(self.words)), sorted(apart - set(self.words))
+
+    def holds(self, own: Column) -> Column:
+        """Whether distinct words ``own`` meet the template."""
+        out = F.size(F.array_intersect(own, _array(self.words))) >= self.need
+        if self.must:
+            out = out & (F.size(F.array_intersect(own, _array(self.must))) == len(self.must))
+        return out
 
 
 def base_columns(df: DataFrame) -> DataFrame:
-    """``df`` (with ``w``, its words) with n_words, n_base, first_word, last_word and base label flags.
+    """``df`` (with ``w``, its words) with n_words, n_base, first_word, last_word, the base labels and identifiers' ones.
 
     Words stand in one string as " word ", so a phrase's places never share a space, and the words
     before a place are half the spaces before it.
     """
     half = lambda piece: ((F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))) / 2).cast("long")
     d = df.withColumn("n_words", F.size("w").cast("long")).withColumn("_s", F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" ")))
+    mark = lambda phrase: " " + phrase.replace(" ", "  ") + " "
     count, first, last, labels = [], [], [], []
     for phrase, label in PHRASES:
-        mark = " " + phrase.replace(" ", "  ") + " "
-        pieces = F.split("_s", re.escape(mark).replace("\\ ", " "), -1)
-        has = F.contains(F.col("_s"), F.lit(mark))
+        pieces = F.split("_s", re.escape(mark(phrase)).replace("\\ ", " "), -1)
+        has = F.contains(F.col("_s"), F.lit(mark(phrase)))
         count.append(F.when(has, F.size(pieces) - 1).otherwise(0))
         first.append(F.when(has, half(F.element_at(pieces, 1))))
         last.append(F.when(has, F.col("n_words") - half(F.element_at(pieces, -1)) - len(phrase.split())))
         labels.append(F.when(has, F.lit(label)))
+    own = [F.when(F.contains(F.col("_s"), F.lit(mark(phrase))), F.lit(label)) for phrase, label in IDENTIFIERS]
     total = count[0] + count[1] + count[2]
     return (
         d.withColumn("n_base", total.cast("long"))
         .withColumn("first_word", F.least(*first))
         .withColumn("last_word", F.greatest(*last))
         .withColumn("_base", F.array_sort(F.array_compact(F.array(*labels))))
+        .withColumn("_named", F.array_compact(F.array(*own)))
         .drop("_s")
     )
 
@@ -102,70 +146,81 @@ def base_columns(df: DataFrame) -> DataFrame:
 class TemplateJoin:
     """Prefix-filtered containment join of text blocks with ``templates`` (label, text)."""
 
-    def __init__(self, spark: SparkSession, templates=None, containment: float = CONTAINMENT, span: int = SPAN):
-        self.spark, self.containment, self.span = spark, containment, span
-        self.templates = [(label, template_words(t)) for label, t in templates or TEMPLATES]
-        self.vocabulary = sorted({w for _, t in self.templates for w in t})
-        if any(len(t) > span for _, t in self.templates):
-            raise ValueError("a template has more words than a block's stride")
-
-    def needed(self, n: int) -> int:
-        return math.ceil(self.containment * n - 1e-9)
-
-    def index(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Rows (word, rank, template, label, tokens, place, need), and the word order."""
-        held = df.select(F.explode(F.array_intersect("w", _array(self.vocabulary))).alias("word"))
+    def __init__(self, spark: SparkSession, templates=None, containment: float = CONTAINMENT):
+        self.spark = spark
+        self.templates = [Template(label, t, containment) for label, t in templates or TEMPLATES]
+        self.vocabulary = sorted({w for t in self.templates for w in t.words})
+
+    def read(self, docs: DataFrame) -> DataFrame:
+        """Per row of ``docs`` (doc_id, text): base columns, ``own``, the template words that it holds,
+        and ``w``, all its words, if it may hold a template at all."""
+        d = base_columns(docs.select("doc_id", words(F.col("text")).alias("w"))).withColumn("own", F.array_intersect("w", _array(self.vocabulary)))
+        least = min(t.need for t in self.templates)
+        some = F.lit(False)
+        for t in self.templates:
+            some = some | t.holds(F.col("own"))
+        return d.withColumn("w", F.when((F.size("own") >= least) & some, F.col("w"))).withColumn("row", F.monotonically_increasing_id())
+
+    def order(self, read: DataFrame) -> list[str]:
+        """Template words, those in the fewest documents first."""
+        held = read.select(F.explode("own").alias("word"))
         seen = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
-        order = sorted(self.vocabulary, key=lambda w: (seen.get(w, 0), w))
+        return sorted(self.vocabulary, key=lambda w: (seen.get(w, 0), w))
+
+    def index(self, order: list[str]) -> DataFrame:
+        """Rows of the templates' prefixes: span, word and its rank, template, and what to verify."""
         rank = {w: i for i, w in enumerate(order)}
         rows = []
-        for i, (label, t) in enumerate(self.templates):
-            t = sorted(t, key=rank.get)
-            need = self.needed(len(t))
-            for place, w in enumerate(t[: len(t) - need + 1]):
-                rows.append(F.struct(F.lit(w).alias("word"), F.lit(rank[w]).alias("rank"), F.lit(i).alias("template"), F.lit(label).alias("label"), _array(t).alias("tokens"), F.lit(place).alias("place"), F.lit(need).alias("need")))
-        return self.spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*"), order
-
-    def matches(self, df: DataFrame) -> DataFrame:
-        """(t1, t2, label, containment) of blocks of ``df`` (t1, t2, w) that meet a template."""
-        index, order = self.index(df)
-        prefix = F.array_distinct(F.transform(_array(sorted({r["word"] for r in index.select("word").distinct().collect()})), lambda x: x))
-        start = F.sequence(F.lit(0), F.greatest(F.size("w") - self.span - 1, F.lit(0)), F.lit(self.span))
+        for t in self.templates:
+            ranked = sorted(t.words, key=rank.get)
+            for place, w in enumerate(ranked[: len(ranked) - t.need + 1]):
+                rows.append((t.span, w, rank[w], t.label, ranked, place, t.need, t.must, t.without))
+        kinds = "span int, word string, rank int, label string, tokens array<string>, place int, need int, must array<string>, without array<string>"
+        return self.spark.createDataFrame(rows, kinds)
+
+    @staticmethod
+    def _cut(span: int, prefix: Column) -> Column:
+        """Blocks of one stride, as structs of stride and distinct words, that hold a prefix word."""
+        start = F.sequence(F.lit(0), F.greatest(F.size("w") - span - 1, F.lit(0)), F.lit(span))
+        block = F.transform(start, lambda at: F.array_distinct(F.slice("w", at + 1, 2 * span)))
+        return F.transform(F.filter(block, lambda b: F.arrays_overlap(b, prefix)), lambda b: F.struct(F.lit(span).alias("span"), b.alias("b")))
+
+    def matches(self, read: DataFrame) -> DataFrame:
+        """(row, label, containment) of blocks of a stored :meth:`read` that meet a template."""
+        order = self.order(read)
+        index = self.index(order)
+        prefix = _array(sorted({w for t in self.templates for w in sorted(t.words, key=order.index)[: len(t.words) - t.need + 1]}))
+        cut = F.flatten(F.array(*[self._cut(span, prefix) for span in sorted({t.span for t in self.templates})]))
         blocks = (
-            df.where(F.arrays_overlap("w", prefix))
-            .select("t1", "t2", "w", F.explode(start).alias("at"))
-            .select("t1", "t2", F.array_distinct(F.slice("w", F.col("at") + 1, 2 * self.span)).alias("b"))
-            .withColumn("hit", F.array_intersect("b", prefix))
-            .where(F.size("hit") > 0)
+            read.where("w is not null").select("row", F.explode(cut).alias("x")).select("row", "x.span", "x.b")
             .withColumn("ranks", F.transform(F.array_intersect("b", _array(order)), lambda x: F.array_position(_array(order), x) - 1))
         )
         met = (
-            blocks.select("t1", "t2", "b", "ranks", F.explode("hit").alias("word"))
-            .join(F.broadcast(index), "word")
+            blocks.select("*", F.explode(F.array_intersect("b", prefix)).alias("word"))
+            .join(F.broadcast(index), ["span", "word"])
             .where(F.size("b") >= F.col("need"))
             .where(F.size("tokens") - F.col("place") >= F.col("need"))
             .where(F.size(F.filter("ranks", lambda r: r >= F.col("rank"))) >= F.col("need"))
         )
         shared = F.size(F.array_intersect("b", "tokens"))
-        return met.where(shared >= F.col("need")).select("t1", "t2", "label", (shared / F.size("tokens")).alias("containment"))
+        apart = (F.size(F.array_intersect("b", "must")) == F.size("must")) & ~F.arrays_overlap("b", "without")
+        return met.where((shared >= F.col("need")) & apart).select("row", "label", (shared / F.size("tokens")).alias("containment"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the columns of :func:`op7_template_join`."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "licences")
-    join = TemplateJoin(spark)
-    texts = docs.select(*_text_hash(F.col("text")), words(F.col("text")).alias("w"))
-    found = join.matches(texts).groupBy("t1", "t2").agg(F.array_sort(F.collect_set("label")).alias("own"), F.max("containment").alias("most"))
-    found = scratch.store(found, "matches")
-    d = base_columns(docs.select("doc_id", *_text_hash(F.col("text")), words(F.col("text")).alias("w"))).drop("w")
-    out = d.join(small(found, found.count()), ["t1", "t2"], "left")
-    named = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("own", F.array().cast("array<string>")))))
+    scratch = Scratch(docs.sparkSession, "licences")
+    join = TemplateJoin(docs.sparkSession)
+    read = scratch.store(join.read(docs), "read")
+    found = join.matches(read).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
+    out = read.drop("w", "own").join(found, "row", "left")
+    none = F.array().cast("array<string>")
+    named = F.array_sort(F.array_distinct(F.concat("_base", "_named", F.coalesce("found", none))))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(named, ",").alias("labels"),
-        F.greatest(F.coalesce("most", F.lit(0.0)), F.when(F.size("_base") > 0, F.lit(0.5)).otherwise(0.0)).alias("score"),
+        F.when(F.size("_named") > 0, F.lit(1.0)).otherwise(F.greatest(F.coalesce("most", F.lit(0.0)), F.when(F.size("_base") > 0, F.lit(0.5)).otherwise(0.0))).alias("score"),
     )
 
 
@@ -175,23 +230,22 @@ def op7_template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_list(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
 
 
-_T = ", ".join(f"('{label}', {_sql_list(template_words(t))})" for label, t in TEMPLATES)
-_P = ", ".join(f"('{label}', {_sql_list(p.split())})" for p, label in PHRASES)
+_T = ", ".join(f"('{t.label}', {_sql_list(t.words)}, {t.span}, {_sql_list(t.must)}, {_sql_list(t.without)})" for t in (Template(*x) for x in TEMPLATES))
+_P = ", ".join(f"('{label}', {_sql_list(p.split())}, {base})" for some, base in ((PHRASES, "true"), (IDENTIFIERS, "false")) for p, label in some)
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-t(label, toks) AS (VALUES {_T}),
-p(label, ph) AS (VALUES {_P}),
-b AS (SELECT rid, list_distinct(w[pos + 1:pos + {2 * SPAN}]) AS b FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {SPAN} - 1, 0) + 1, {SPAN})) AS pos FROM d)),
-m AS (SELECT rid, label, len(list_intersect(b, toks)) / len(toks) AS c FROM b, t WHERE len(list_intersect(b, toks)) >= ceil({CONTAINMENT} * len(toks) - 1e-9)),
-h AS (SELECT rid, label, i - 1 AS pos FROM (SELECT rid, w, label, ph, unnest(range(1, len(w) + 1)) AS i FROM d, p WHERE list_has_all(w, ph)) WHERE w[i:i + len(ph) - 1] = ph),
-hb AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY rid),
+t(label, toks, span, must, without) AS (VALUES {_T}),
+p(label, ph, base) AS (VALUES {_P}),
+b AS (SELECT rid, span, list_distinct(w[pos + 1:pos + 2 * span]) AS b FROM (SELECT rid, w, span, unnest(range(0, greatest(len(w) - span - 1, 0) + 1, span)) AS pos FROM d, (SELECT DISTINCT span FROM t))),
+m AS (SELECT rid, label, len(list_intersect(b, toks)) / len(toks) AS c FROM b JOIN t USING (span) WHERE len(list_intersect(b, toks)) >= ceil({CONTAINMENT} * len(toks) - 1e-9) AND list_has_all(b, must) AND NOT list_has_any(b, without)),
+h AS (SELECT rid, label, base, i - 1 AS pos FROM (SELECT rid, w, label, ph, base, unnest(range(1, len(w) + 1)) AS i FROM d, p WHERE list_has_all(w, ph)) WHERE w[i:i + len(ph) - 1] = ph),
+hb AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h WHERE base GROUP BY rid),
 l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM m UNION SELECT rid, label FROM h) GROUP BY rid),
-s AS (SELECT rid, max(c) AS c FROM m GROUP BY rid)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-       greatest(coalesce(c, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
+s AS (SELECT rid, max(c) AS c FROM (SELECT rid, c FROM m UNION ALL SELECT rid, 1.0 FROM h WHERE NOT base UNION ALL SELECT rid, 0.5 FROM h WHERE base) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(c, 0.0) AS score
 FROM d LEFT JOIN hb USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
 """
