@@ -5,27 +5,33 @@ interlacing, transparency and disposal (keep, background, previous), and gives t
 a colour histogram each. The encoder stores a payload as square frames of palette indices; the
 palette is the identity grey ramp, so each decoded pixel's level is the payload byte.
 
-Null texts are empty; a null or broken file gives no frames and a reason. Repeated rows stay.
+Null texts are empty; a null or broken file gives its good frames and a reason: so do a code size that
+the format doesn't know and a screen of more than ``MOST_PIXELS``. Repeated rows stay, with equal
+values. An empty table gives an empty result; other columns are ignored. A text is one value in a
+task, however long: its file takes up to 1.2 times its bytes, frames are decoded some at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 SIDE = 24
 UNIT = SIDE * SIDE
 DELAY_CS = 4
 BINS = 16
+#: Frames that are coded together, and pixels of the largest screen that is decoded.
+TOGETHER, MOST_PIXELS = 2048, 1 << 26
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -99,6 +105,60 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     return _pack(np.array(codes), np.array(widths))
 
 
+def lzw_encode_many(frames: np.ndarray, bits: int = 8) -> list[bytes]:
+    """:func:`lzw_encode` of each row of ``frames``, all rows step by step together.
+
+    Rows are too short to fill the code table (under 3800 samples). Each has a hash table of the
+    strings that it knows, with linear probing.
+    """
+    n, wide = frames.shape
+    first, slots = (1 << bits) + 2, 1 << max(8, int(wide * 4).bit_length())
+    width, place = _LAYOUT.get(bits) or _LAYOUT.setdefault(bits, _layout(bits))
+    known, code = np.full(n * slots, -1, np.int32), np.zeros(n * slots, np.int32)
+    codes = np.zeros((n, wide), np.int32)
+    size, base, columns = np.zeros(n, np.int64), np.arange(n) * slots, np.ascontiguousarray(frames.T).astype(np.int32)
+    prefix = columns[0]
+    for c in columns[1:]:
+        key = prefix << 8 | c
+        slot = base + (key * 40503 >> 4 & slots - 1)
+        got = known[slot]
+        met = got == key
+        astray = np.flatnonzero(~met & (got >= 0))
+        while len(astray):
+            slot[astray] = base[astray] + (slot[astray] + 1 & slots - 1)
+            got = known[slot[astray]]
+            met[astray] = got == key[astray]
+            astray = astray[(got >= 0) & (got != key[astray])]
+        new = np.flatnonzero(~met)
+        codes[new, size[new]] = prefix[new]
+        at = slot[new]
+        known[at] = key[new]
+        code[at] = first + size[new]
+        size[new] += 1
+        following = code[slot]
+        following[new] = c[new]
+        prefix = following
+    codes[np.arange(n), size] = prefix
+    size += 1
+    # a clear code, the codes at their fixed places, an end code
+    most = int(size.max())
+    cells = np.arange(most + 1)[None]
+    value = np.where(cells < size[:, None], np.pad(codes[:, :most], ((0, 0), (0, 1))), np.where(cells == size[:, None], (1 << bits) + 1, 0))
+    start = place[: most + 1] + bits + 1
+    stop = place[size] + width[size] + bits + 1
+    room = int(stop.max() + 7) // 8 + 3
+    out = np.zeros(n * room)
+    shifted = value << (start & 7)
+    rows = (np.arange(n) * room)[:, None] + (start >> 3)
+    for i in range(3):
+        out += np.bincount((rows + i).ravel(), (shifted >> 8 * i & 255).ravel(), n * room)
+    raw = out.astype(np.uint8).reshape(n, room)
+    head = (1 << bits, (1 << bits) >> 8)  # the clear code fills the first bits + 1
+    raw[:, 0] += head[0] & 255
+    raw[:, 1] += head[1]
+    return [r[: (e + 7) // 8].tobytes() for r, e in zip(raw, stop.tolist())]
+
+
 def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
     """The samples of a code stream, ``most`` at most; the end code or the stream's end stops it."""
     return lzw_decode_many([stream], bits, [most])[0]
@@ -212,19 +272,31 @@ def lzw_decode_many(streams: list[bytes], bits: int, most: list[int]) -> list[by
 # ---------------------------------------------------------------- files
 
 
+_HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + GREY
+_FRAME = b"\x21\xf9\x04\x04" + struct.pack("<H", DELAY_CS) + b"\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+
+
+def encode_gifs(payloads: list[bytes]) -> list[bytes]:
+    """Payloads (multiples of 576 bytes) as animated GIFs of 24 x 24 frames."""
+    all_frames = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT)
+    codes = (x for i in range(0, len(all_frames), TOGETHER) for x in lzw_encode_many(all_frames[i : i + TOGETHER]))
+    files = []
+    for payload in payloads:
+        out = [_HEAD]
+        for code in itertools.islice(codes, len(payload) // UNIT):
+            out.append(_FRAME)
+            for i in range(0, len(code), 255):
+                piece = code[i : i + 255]
+                out += (bytes((len(piece),)), piece)
+            out.append(b"\0")
+        out.append(b"\x3b")
+        files.append(b"".join(out))
+    return files
+
+
 def encode_gif(payload: bytes) -> bytes:
     """``payload`` (a multiple of 576 bytes) as an animated GIF of 24 x 24 frames."""
-    out = [b"GIF89a", struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0), GREY]
-    head = b"\x21\xf9\x04\x04" + struct.pack("<H", DELAY_CS) + b"\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    for at in range(0, len(payload), UNIT):
-        code = lzw_encode(payload[at : at + UNIT])
-        out.append(head)
-        for i in range(0, len(code), 255):
-            piece = code[i : i + 255]
-            out += (bytes((len(piece),)), piece)
-        out.append(b"\0")
-    out.append(b"\x3b")
-    return b"".join(out)
+    return encode_gifs([payload])[0]
 
 
 def parse_gif(data: bytes) -> tuple[tuple, list[dict], str | None]:
@@ -252,6 +324,8 @@ def parse_gif(data: bytes) -> tuple[tuple, list[dict], str | None]:
             palette, at = colours(at, flags)
         ground = palette[back] if palette is not None and back < len(palette) else np.zeros(3, np.uint8)
         screen = (wide, high, ground)
+        if wide * high > MOST_PIXELS:
+            return (0, 0, ground), [], "screen too large"
         delay, disposal, see_through = 0, 0, None
         while (kind := data[at]) != 0x3B:
             if kind == 0x21:
@@ -270,6 +344,8 @@ def parse_gif(data: bytes) -> tuple[tuple, list[dict], str | None]:
             if own is None:
                 return screen, images, "no palette"
             bits = data[at]
+            if not 2 <= bits <= 8:
+                return screen, images, "LZW code size out of range"
             code, at = blocks(at + 1)
             images.append({"box": (x, y, w, h), "laced": bool(f & 0x40), "palette": own, "bits": bits, "code": code, "delay": delay, "disposal": disposal, "clear": see_through})
             delay, disposal, see_through = 0, 0, None
@@ -300,7 +376,17 @@ def unpack(files: list[list[dict]]) -> None:
                 x["samples"] = samples
 
 
-def compose(screen: tuple, images: list[dict]) -> Iterator[dict]:
+def unpacked(images: list[dict]) -> Iterator[dict]:
+    """Images with their samples, decoded some at a time and dropped after use."""
+    for i in range(0, len(images), 64):
+        part = images[i : i + 64]
+        unpack([part])
+        for x in part:
+            yield x
+            del x["samples"]
+
+
+def compose(screen: tuple, images: Iterable[dict]) -> Iterator[dict]:
     """Frames as shown, by palette, interlacing, transparency and disposal.
 
     Pixels that no frame has drawn, and those that disposal cleared, are the background: palette
@@ -340,8 +426,7 @@ def compose(screen: tuple, images: list[dict]) -> Iterator[dict]:
 def decode_gif(data: bytes) -> Iterator[dict]:
     """Frames of one file: ``no``, ``start_ms``, ``delay_ms`` and ``rgb``, a (height, width, 3) array."""
     screen, images, broken = parse_gif(data)
-    unpack([images])
-    yield from compose(screen, images)
+    yield from compose(screen, unpacked(images))
     if broken:
         raise ValueError(broken)
 
@@ -373,7 +458,7 @@ def frames(media: DataFrame) -> DataFrame:
                     for f in decode_gif(data or b""):
                         h, w, _ = f["rgb"].shape
                         rows.append((key, f["no"], f["start_ms"], f["delay_ms"], w, h, histogram(f["rgb"]).tolist(), f["rgb"].tobytes(), None))
-                        if len(rows) == 64:
+                        if len(rows) * h * w > 1 << 21:
                             yield _frame_rows(rows)
                             rows = []
                 except (ValueError, IndexError, struct.error) as e:
@@ -383,7 +468,7 @@ def frames(media: DataFrame) -> DataFrame:
                 if rows:
                     yield _frame_rows(rows)
 
-    return media.select("media_id", "media").mapInArrow(each, FRAMES)
+    return media.select("media_id", "media").mapInArrow(tidy(each), FRAMES)
 
 
 def _frame_rows(rows):
@@ -399,15 +484,13 @@ def encode(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("raw")
             for i in range(0, b.num_rows, 256):
-                sizes, media = [], []
-                for raw in texts.slice(i, 256).to_pylist():
-                    payload = raw + b"\xff" * (-len(raw) % UNIT) if raw else b"\xff" * UNIT
-                    sizes.append(len(raw))
-                    media.append(encode_gif(payload))
+                held = texts.slice(i, 256).to_pylist()
+                sizes = [len(raw) for raw in held]
+                media = encode_gifs([raw + b"\xff" * (-len(raw) % UNIT) if raw else b"\xff" * UNIT for raw in held])
                 yield pa.RecordBatch.from_arrays([ids.slice(i, 256), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).mapInArrow(each, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).mapInArrow(tidy(each), "doc_id long, n_bytes long, media binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long"
@@ -444,7 +527,7 @@ def digest(media: DataFrame) -> DataFrame:
             i, s = pa.int64(), pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (i, i, i, s, i, i, s, s, i, i))], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return media.mapInArrow(each, DIGEST)
+    return media.mapInArrow(tidy(each), DIGEST)
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

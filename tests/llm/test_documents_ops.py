@@ -137,6 +137,72 @@ def test_lzw_against_its_own_slow_decoder():
             assert gif._one_by_one(code, 8, n) == data == gif.lzw_decode(code, 8, n)
 
 
+def test_frames_coded_together_as_one_by_one():
+    rng = np.random.default_rng(4)
+    for wide in (1, 2, 24, 576):
+        rows_ = np.vstack([rng.integers(0, top, (40, wide)).astype(np.uint8) for top in (1, 2, 30, 256)] + [np.frombuffer(passage(8, 200).encode()[:wide].ljust(wide), np.uint8)[None]])
+        assert gif.lzw_encode_many(rows_) == [gif.lzw_encode(r.tobytes()) for r in rows_]
+
+
+def _plain_gif(data):
+    """A GIF of full grey frames, by the format's description: bit by bit, code by code."""
+    wide, high = data[6] | data[7] << 8, data[8] | data[9] << 8
+    grey, at, out = data[13 : 13 + 768 : 3], 13 + 768, []
+    while data[at] != 0x3B:
+        kind = data[at]
+        at += 2 if kind == 0x21 else 11
+        bits, body = data[at - 1], b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if kind == 0x2C:
+            stream = "".join(format(b, "08b")[::-1] for b in body)
+            words, n, pos, last, got = [], 0, 0, None, []
+            while True:
+                if last is None and not words:
+                    n = bits + 1
+                code = int(stream[pos : pos + n][::-1], 2)
+                pos += n
+                if code == 1 << bits:
+                    words, n, last = [bytes([i]) for i in range(1 << bits)] + [b"", b""], bits + 1, None
+                    continue
+                if code == (1 << bits) + 1:
+                    break
+                word = words[code] if code < len(words) else last + last[:1]
+                if last is not None:
+                    words.append(last + word[:1])
+                    if len(words) == 1 << n and n < 12:
+                        n += 1
+                got.append(word)
+                last = word
+            frame = b"".join(got)
+            assert len(frame) == wide * high
+            out.append(bytes(grey[x] for x in frame))
+    return b"".join(out)
+
+
+def test_stored_files_by_another_decoder():
+    for text in (passage(3, 700), "\U0001f600é" * 300, "x" * 1152):
+        raw = text.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576)
+        assert _plain_gif(gif.encode_gif(payload)) == payload
+
+
+def test_broken_sizes(spark):
+    good = bytearray(gif.encode_gif(b"a" * 576))
+    at = good.index(b"\x2c\0\0\0\0") + 10
+    rows_ = []
+    for size in (0, 1, 9, 63, 255):
+        bad = bytearray(good)
+        bad[at] = size
+        rows_.append((size, bad))
+    huge = bytearray(good)
+    huge[6:10] = b"\xff" * 4
+    out = {r["media_id"]: r["error"] for r in gif.frames(spark.createDataFrame([*rows_, (1000, huge)], "media_id long, media binary")).collect()}
+    assert out == {**{size: "LZW code size out of range" for size in (0, 1, 9, 63, 255)}, 1000: "screen too large"}
+
+
 def _file(images, back=0, palette=(b"\0\0\0" b"\xff\0\0" b"\0\xff\0" b"\0\0\xff")):
     import struct
 
@@ -314,6 +380,51 @@ def test_licences_small(spark):
     assert (out[6]["n_base"], out[6]["first_word"], out[6]["last_word"]) == (2, 1, 4)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This work is licensed under CC BY-NC 4.0 here", "cc-by,cc-by-nc-4.0"),
+        ("licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("This work is licensed under a\nCreative Commons Attribution 4.0\nInternational License.", "cc-by"),
+        ("the fee of 4 dollars paid by him under the 0 rule was licensed", ""),
+        ("under version 2 of this work he licensed " + passage(3, 30) + " the apache license of 0", ""),
+        ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is free software.", "gpl,lgpl"),  # "general public license" is a base phrase
+    ],
+)
+def test_licence_labels(spark, text, want):
+    for around in (("", ""), (passage(1, 200) + " ", " " + passage(2, 90))):
+        assert licences.scan(docs(spark, [(1, around[0] + text + around[1])])).first()["labels"] == want
+
+
+def test_blocks_against_brute_force(spark):
+    """Templates from 4 to 90 words, at chance places and with words lost, against all blocks."""
+    rng = np.random.default_rng(3)
+    wording = [("t%d" % n, passage(40 + n, n)) for n in (4, 12, 13, 30, 90)]
+    data = []
+    for i in range(60):
+        w = passage(500 + i, int(rng.integers(0, 300))).split()
+        t = wording[i % 5][1].split()
+        keep = [x for x in t if rng.random() < (1.0, 0.9, 0.78)[i % 3]]
+        at = int(rng.integers(0, len(w) + 1))
+        data.append((i, " ".join(w[:at] + keep + w[at:])))
+    join = licences.TemplateJoin(spark, wording)
+    from catalograph.llm.common import Scratch
+
+    read = Scratch(spark, "t").store(join.read(docs(spark, data)))
+    ids = {r["row"]: r["doc_id"] for r in read.collect()}
+    got = {(ids[r["row"]], r["label"], round(r["containment"], 9)) for r in join.matches(read).collect()}
+    want = set()
+    for i, text in data:
+        w = text.split()
+        for t in join.templates:
+            for at in range(0, max(len(w) - t.span - 1, 0) + 1, t.span):
+                n = len(set(w[at : at + 2 * t.span]) & set(t.words))
+                if n >= 0.8 * len(t.words) - 1e-9:
+                    want.add((i, t.label, round(n / len(t.words), 9)))
+    assert want and got == want
+
+
 # ---------------------------------------------------------------- 8
 
 
