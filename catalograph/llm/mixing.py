@@ -164,8 +164,9 @@ def deal(docs: DataFrame, tokens: Column | None = None, target_entropy: float |
 
 def op1_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` dealt to weights that repeat no source more than twice and read each once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return deal(docs, repeats=REPEATS).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    docs = Scratch(spark, "words").store(docs, "words")  # texts are read once, and never dealt
+    return deal(docs, tokens=F.col("words"), repeats=REPEATS).drop("words")
 
 
 _KEY = "CAST('0x' || substr(md5('{seed}|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)"
