@@ -185,6 +185,11 @@ def assign_tiles(df: DataFrame, shape: str = "shape") -> DataFrame:
     return df.withColumn("tiles", met(F.col(shape)))
 
 
+def area_tiles(df: DataFrame, shape: str = "shape") -> DataFrame:
+    """(h, v) of each tile that any of the shapes meets."""
+    return assign_tiles(df, shape).select(F.explode("tiles").alias("t")).select("t.*").distinct()
+
+
 # ---------------------------------------------------------------- search areas
 
 

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import core, extra, more
+from . import core, extra, more, rest
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "extra", "more"]
+__all__ = ["QUERIES", "SQL", "core", "extra", "more", "rest"]

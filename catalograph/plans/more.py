@@ -14,7 +14,7 @@ from ..functions import filters as fl
 from ..functions.sql import register_functions
 from ..operators import access as ac, documents as dc, edits as ed, facets as fc, joins as jn, orbit as ob, quality as dq, relevance as rl, revisions as rv, sorting as so, spatial as sp, suggest as sg
 from ..sources import adapters as ad, readers as rd, sinks as sk
-from ..sources.adapters import sql
+from ..sources.adapters import inside_arcs, sql
 from ..streaming import events as st
 from .builder import Query, build_filter, script_filter
 from .registry import query
@@ -384,9 +384,12 @@ def _(spark, d):
     return ad.granules(spark, d).select("order_id", "line", t["h"].alias("h"), t["v"].alias("v"))
 
 
-@query("sp8_polygon_search")
+AREA = [(-30, -20), (40, -25), (50, 30), (0, 45), (-35, 20), (-30, -20)]
+
+
+@query("sp8_polygon_search", sql(f"SELECT order_id, line, lon, lat FROM granules WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -50 AND 60 AND {inside_arcs(AREA)}", "granules"))
 def _(spark, d):
-    area = sp.polygon([(-30, -20), (40, -25), (50, 30), (0, 45), (-35, 20), (-30, -20)])
+    area = sp.polygon(AREA)
     g = ad.granules(spark, d).select("order_id", "line", "lon", "lat")
     near = g.where("lon between -60 and 60 and lat between -50 and 60")  # the box test first
     return near.where(sp.shape_covers_point(area, F.col("lon"), F.col("lat")))

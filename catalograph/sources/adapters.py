@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -79,3 +81,17 @@ CTES = {
 def sql(body: str, *views: str) -> str:
     """``body`` over the named catalog views."""
     return "WITH " + ", ".join(CTES[v] for v in views) + " " + body
+
+
+def inside_arcs(ring: list[tuple[float, float]]) -> str:
+    """SQL for a point (lon, lat) on the left of each great circle along a convex ring."""
+    def vector(lon: float, lat: float) -> tuple[float, float, float]:
+        a, b = math.radians(lon), math.radians(lat)
+        return math.cos(b) * math.cos(a), math.cos(b) * math.sin(a), math.sin(b)
+
+    out = []
+    for p, q in zip(ring, ring[1:]):
+        (a, b, c), (e, f, g) = vector(*p), vector(*q)
+        x, y, z = b * g - c * f, c * e - a * g, a * f - b * e
+        out.append(f"cos(radians(lat)) * (cos(radians(lon)) * ({x!r}) + sin(radians(lon)) * ({y!r})) + sin(radians(lat)) * ({z!r}) >= -1e-9")
+    return " AND ".join(out)

@@ -148,7 +148,10 @@ def cascade_deletes(deletes: DataFrame, links: DataFrame, now) -> DataFrame:
 
 
 def with_retry(each: Callable[[DataFrame, int], None], dead_letters: str, tries: int = 3) -> Callable[[DataFrame, int], None]:
-    """A batch function that runs again on failure, and writes a batch that keeps failing to a table."""
+    """A batch function that runs again on failure, and writes a batch that keeps failing to a table.
+
+    The table is partitioned by batch, so a batch that is run again replaces its own rows.
+    """
     def run(batch: DataFrame, n: int) -> None:
         error = None
         for _ in range(tries):
@@ -157,7 +160,7 @@ def with_retry(each: Callable[[DataFrame, int], None], dead_letters: str, tries:
                 return
             except Exception as e:  # noqa: BLE001  any failure of the batch goes to the table
                 error = str(e)[:500]
-        batch.withColumns({"batch": F.lit(n), "error": F.lit(error)}).write.mode("append").parquet(dead_letters)
+        batch.withColumn("error", F.lit(error)).write.mode("overwrite").parquet(f"{dead_letters}/batch={n}")
 
     return run
 
