@@ -22,9 +22,17 @@ def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arctan2(np.linalg.norm(np.cross(a, b), axis=-1), (a * b).sum(-1))
 
 
+#: How far from an arc, in radians, a point still counts as on it: some 6 mm on the ground.
+ON_ARC = 1e-9
+
+
 def on_arc(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether points lie on arcs, within about a micrometre of a degree."""
-    return np.abs(_angle(a, p) + _angle(p, b) - _angle(a, b)) < 1e-9
+    """Whether points lie on arcs, within :data:`ON_ARC` of the arc itself; broadcasts."""
+    n = np.cross(a, b)
+    size = np.linalg.norm(n, axis=-1, keepdims=True)
+    n = n / np.maximum(size, 1e-15)
+    between = ((np.cross(a, p) * n).sum(-1) >= 0) & ((np.cross(p, b) * n).sum(-1) >= 0) & (size[..., 0] > 1e-15)
+    return (between & (np.abs((n * p).sum(-1)) < ON_ARC)) | (_angle(a, p) < ON_ARC) | (_angle(p, b) < ON_ARC)
 
 
 def arcs_cross(a, b, c, d) -> np.ndarray:

@@ -173,3 +173,13 @@ def test_narrow_swaths_over_a_line(spark):
         near = np.arccos(np.clip((ob._unit(tx, ty) @ dense.T).max(), -1, 1))
         if abs(near - half) > 0.1 * half:
             assert any(a <= lon <= b for a, b in got) == (near < half), (lon, near, half, got)
+
+
+def test_points_beside_an_arc_are_not_on_it():
+    """A point 5e-4 degrees outside a geodetic edge is outside, one on the edge inside."""
+    ring = [(-30, -20), (40, -25), (50, 30), (0, 45), (-35, 20), (-30, -20)]
+    assert not sh.geodetic_covers(ring, (34, 38))
+    assert sh.geodetic_covers(ring, (34, 37.999))
+    a, b = sh.vectors([(50, 30)])[0], sh.vectors([(0, 45)])[0]
+    mid = (a + b) / np.linalg.norm(a + b)
+    assert sh.on_arc(mid, a, b) and sh.on_arc(a, a, b) and sh.on_arc(a, a, a) and not sh.on_arc(-mid, a, b) and not sh.on_arc(-a, a, b)
