@@ -47,53 +47,64 @@ def arcs_cross(a, b, c, d) -> np.ndarray:
     return np.where(same, touch, hit | touch)
 
 
-def ring_winds(ring: np.ndarray, p: np.ndarray) -> float:
-    """Turns of a geodetic ring around a point, seen from the point: 1 inside a counter-clockwise ring."""
-    v = vectors(ring) if ring.shape[1] == 2 else ring
-    east = np.cross([0.0, 0.0, 1.0], p)
-    east = np.array([1.0, 0.0, 0.0]) if np.linalg.norm(east) < 1e-12 else east / np.linalg.norm(east)
-    north = np.cross(p, east)
-    t = np.arctan2(v @ north, v @ east)
+def ring_winds(v: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Turns of a geodetic ring around each point, seen from the point: 1 inside a counter-clockwise ring."""
+    east = np.cross([0.0, 0.0, 1.0], points)
+    size = np.linalg.norm(east, axis=1, keepdims=True)
+    east = np.where(size < 1e-12, [1.0, 0.0, 0.0], east / np.maximum(size, 1e-15))
+    north = np.cross(points, east)
+    t = np.arctan2(north @ v.T, east @ v.T)
     # an arc turns by the difference of directions, the short way: no great-circle arc passes the point's axis twice
-    step = (np.diff(t) + np.pi) % (2 * np.pi) - np.pi
-    return step.sum() / (2 * np.pi)
+    step = (np.diff(t, axis=1) + np.pi) % (2 * np.pi) - np.pi
+    return step.sum(1) / (2 * np.pi)
 
 
-def geodetic_covers(ring, point) -> bool:
-    """A point in or on a geodetic ring.
+#: Pairs of a point and an edge that are tested at once.
+BLOCK = 200_000
+
+
+def geodetic_covers_points(ring, points) -> np.ndarray:
+    """Which points lie in or on a geodetic ring.
 
-    The ring's turns around the point and around its antipode are 1 or 0 together: a point inside
+    The ring's turns around a point and around its antipode are 1 or 0 together: a point inside
     sees the ring go round once more than its antipode does.
     """
-    r, p = np.asarray(ring, float), vectors([point])[0]
-    v = vectors(r)
-    if on_arc(p, v[:-1], v[1:]).any():
-        return True
-    turns = ring_winds(v, p)
-    if abs(turns) < 0.5:
-        return False
+    v, p = vectors(ring), vectors(points)
+    block = max(1, BLOCK // len(v))
+    if len(p) > block:
+        return np.concatenate([geodetic_covers_points(ring, points[i : i + block]) for i in range(0, len(p), block)])
+    out = on_arc(p[:, None], v[:-1], v[1:]).any(1)
     # the ring separates the point from its antipode or circles both; inside is to the left
-    return turns > 0 and bool(_left_most(v, p))
+    maybe = np.flatnonzero(~out & (ring_winds(v, p) >= 0.5))
+    out[maybe] = _left_most(v, p[maybe])
+    return out
+
 
+def geodetic_covers(ring, point) -> bool:
+    """A point in or on a geodetic ring."""
+    return bool(geodetic_covers_points(ring, [point])[0])
 
-def _left_most(v: np.ndarray, p: np.ndarray) -> bool:
-    """Whether the point lies left of the ring's nearest edge."""
+
+def _left_most(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether each point lies left of its nearest edge."""
     a, b = v[:-1], v[1:]
     n = np.cross(a, b)
     n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-15)
-    foot = p - (n @ p)[:, None] * n
-    foot /= np.maximum(np.linalg.norm(foot, axis=1, keepdims=True), 1e-15)
-    d = np.where(on_arc(foot, a, b), np.arcsin(np.clip(np.abs(n @ p), 0, 1)), np.minimum(_angle(a, p), _angle(b, p)))
-    near = np.flatnonzero(d <= d.min() + 1e-12)
-    if len(near) == 1:
-        return (n[near[0]] @ p) > 0
-    # the nearest point is a corner: left of both edges at a convex corner, of either at a reflex one
-    i, j = near[0], near[-1]
-    if j - i > 1:
-        i, j = j, i
-    left = (n[i] @ p) > 0, (n[j] @ p) > 0
-    convex = np.cross(n[i], n[j]) @ b[i] > 0
-    return all(left) if convex else any(left)
+    side = p @ n.T
+    foot = p[:, None] - side[..., None] * n
+    foot /= np.maximum(np.linalg.norm(foot, axis=-1, keepdims=True), 1e-15)
+    ends = np.minimum(_angle(a, p[:, None]), _angle(b, p[:, None]))
+    d = np.where(on_arc(foot, a, b), np.arcsin(np.clip(np.abs(side), 0, 1)), ends)
+    near = d <= d.min(1, keepdims=True) + 1e-12
+    out = side[np.arange(len(p)), near.argmax(1)] > 0
+    for k in np.flatnonzero(near.sum(1) > 1):
+        # the nearest point is a corner: left of both edges at a convex corner, of either at a reflex one
+        i, j = np.flatnonzero(near[k])[[0, -1]]
+        if j - i > 1:
+            i, j = j, i
+        left = side[k, i] > 0, side[k, j] > 0
+        out[k] = all(left) if np.cross(n[i], n[j]) @ b[i] > 0 else any(left)
+    return out
 
 
 def cartesian_covers(ring, point) -> bool:
@@ -114,6 +125,13 @@ def ring_covers(ring, point, kind: str) -> bool:
     return geodetic_covers(ring, point) if kind == "geodetic" else cartesian_covers(ring, point)
 
 
+def ring_covers_points(ring, points: np.ndarray, kind: str) -> np.ndarray:
+    """Which points a ring covers."""
+    if kind == "geodetic":
+        return geodetic_covers_points(ring, points)
+    return np.array([cartesian_covers(ring, (x, y)) for x, y in points], bool)
+
+
 def segments_cross(a, b, c, d) -> np.ndarray:
     """Whether straight segments share a point; broadcasts."""
     def side(p, q, r):
@@ -136,15 +154,21 @@ def paths_cross(p, q, kind: str) -> bool:
     return bool(segments_cross(v[:-1, None], v[1:, None], w[None, :-1], w[None, 1:]).any())
 
 
-def polygon_covers_point(rings, point, kind: str) -> bool:
-    """In the outer ring and in no hole (a hole's edge is still covered)."""
-    if not ring_covers(rings[0], point, kind):
-        return False
+def polygon_covers_points(rings, points, kind: str) -> np.ndarray:
+    """Which points are in the outer ring and in no hole (a hole's edge is still covered)."""
+    points = np.asarray(points, float).reshape(-1, 2)
+    out = ring_covers_points(rings[0], points, kind)
     for hole in rings[1:]:
-        edge = paths_cross(hole, [point, point], kind) if kind == "cartesian" else on_arc(vectors([point])[0], vectors(hole)[:-1], vectors(hole)[1:]).any()
-        if not edge and ring_covers(np.asarray(hole)[::-1] if _clockwise(hole, kind) else hole, point, kind):
-            return False
-    return True
+        turned = np.asarray(hole)[::-1] if _clockwise(hole, kind) else hole
+        for i in np.flatnonzero(out):
+            point = tuple(points[i])
+            edge = paths_cross(hole, [point, point], kind) if kind == "cartesian" else on_arc(vectors([point])[0], vectors(hole)[:-1], vectors(hole)[1:]).any()
+            out[i] = edge or not ring_covers(turned, point, kind)
+    return out
+
+
+def polygon_covers_point(rings, point, kind: str) -> bool:
+    return bool(polygon_covers_points(rings, [point], kind)[0])
 
 
 def _clockwise(ring, kind: str) -> bool:

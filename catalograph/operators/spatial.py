@@ -43,8 +43,17 @@ def shape_intersects(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def shape_covers_point(a: pd.DataFrame, lon: pd.Series, lat: pd.Series) -> pd.Series:
-    """Whether a polygon column covers a point."""
-    return pd.Series([None if x is None else sh.polygon_covers_point(_rings(x["rings"]), (p, q), x["coord_sys"]) for x, p, q in zip(_each(a), lon, lat)], dtype=object)
+    """Whether a polygon column covers a point; runs of rows with one polygon are tested together."""
+    points = np.column_stack([lon, lat]).astype(float)
+    out: list = [None] * len(points)
+    start = 0
+    shapes = [None if x is None else (_rings(x["rings"]), x["coord_sys"]) for x in _each(a)]
+    for i in range(1, len(shapes) + 1):
+        if i == len(shapes) or shapes[i] != shapes[start]:
+            if shapes[start] is not None:
+                out[start:i] = sh.polygon_covers_points(shapes[start][0], points[start:i], shapes[start][1]).tolist()
+            start = i
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
