@@ -9,17 +9,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Positions that one task ranks at most.
+STEP = 10_000
+
+
+def ranks(df: DataFrame, group: str, bucket: list[Column], order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's rank from 1 in its group by ``order``.
+
+    ``bucket`` never falls along ``order``: rows are ranked within a bucket and moved up by the rows
+    of the buckets before, so a large group is spread over its buckets.
+    """
+    d = df.withColumn("_b", F.struct(*bucket))
+    n = d.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_of")).agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_g").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select("_g", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    d = d.withColumn("_in", F.row_number().over(W.partitionBy(group, "_b").orderBy(*order)))
+    d = d.join(n, F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_of")))
+    return d.withColumn(name, (F.col("_in") + F.col("_before")).cast("int")).drop("_b", "_g", "_of", "_before", "_in")
+
+
+def _expected(expected: DataFrame) -> DataFrame:
+    """(test_id, place from 1, concept_id) of expected records, given so or as an array in order."""
+    if "place" in expected.columns:
+        return expected.select("test_id", "place", "concept_id")
+    return expected.select("test_id", F.posexplode("concept_ids").alias("place", "concept_id")).withColumn("place", F.col("place") + 1)
+
+
 def rank_positions(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """(test_id, place, expected, position): where each expected record came back, 0 if it didn't.
+    """(test_id, place, position): where each expected record came back, 0 if it didn't.
 
-    ``results``: test_id, concept_id, position from 1; ``expected``: test_id, concept_ids in order.
-    Positions count among the test's expected records, so that irrelevant hits don't move them.
+    ``results``: test_id, concept_id, position from 1; ``expected``: test_id, and place and
+    concept_id, or concept_ids in order. Positions count among the test's expected records, so
+    that irrelevant hits don't move them.
     """
-    e = expected.select("test_id", F.posexplode("concept_ids").alias("place", "concept_id"))
-    found = results.join(e.select("test_id", "concept_id", "place"), ["test_id", "concept_id"])
-    w = W.partitionBy("test_id").orderBy("position")
-    found = found.select("test_id", "concept_id", F.row_number().over(w).alias("_pos"))
-    return e.join(found, ["test_id", "concept_id"], "left").select("test_id", (F.col("place") + 1).alias("place"), F.coalesce("_pos", F.lit(0)).alias("position"))
+    e = _expected(expected)
+    found = results.join(e, ["test_id", "concept_id"]).select("test_id", "concept_id", "position")
+    found = ranks(found, "test_id", [F.floor(F.col("position") / STEP).alias("at")], [F.col("position")], "_pos").select("test_id", "concept_id", "_pos")
+    return e.join(found, ["test_id", "concept_id"], "left").select("test_id", "place", F.coalesce("_pos", F.lit(0)).alias("position"))
 
 
 def relevance_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -29,7 +55,7 @@ def relevance_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:
     divided by log2(rank + 1).
     """
     pos = rank_positions(results, expected)
-    n = expected.select("test_id", F.size("concept_ids").alias("n"))
+    n = _expected(expected).groupBy("test_id").agg(F.count("*").alias("n"))
     log2 = lambda c: F.log(c + 1) / F.log(F.lit(2.0))
     gain = F.when(F.col("position") > 0, (F.col("n") + 1 - F.col("place")) / log2(F.col("position"))).otherwise(0.0)
     ideal = (F.col("n") + 1 - F.col("place")) / log2(F.col("place"))
@@ -73,8 +99,8 @@ def tune_boosts(candidates: DataFrame, expected: DataFrame, hits: dict[str, Colu
     w = W.partitionBy("grid_id", "test_id").orderBy(F.desc("score"), "concept_id")
     ranked = each.withColumn("position", F.row_number().over(w))
     keyed = ranked.select(F.concat_ws("#", "grid_id", "test_id").alias("test_id"), "concept_id", "position")
-    ids = ranked.select("grid_id").distinct()
-    want = expected.join(ids, how="cross").select(F.concat_ws("#", "grid_id", "test_id").alias("test_id"), "concept_ids")
+    each_set = F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("grid_id")
+    want = _expected(expected).select("*", each_set).select(F.concat_ws("#", "grid_id", "test_id").alias("test_id"), "place", "concept_id")
     m = relevance_metrics(keyed, want)
     return m.groupBy(F.split("test_id", "#")[0].cast("int").alias("grid_id")).agg(F.avg("dcg").alias("dcg")).orderBy(F.desc("dcg"), "grid_id")
 

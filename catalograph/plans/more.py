@@ -121,14 +121,18 @@ def _(spark, d):
 # ---------------------------------------------------------------- relevance
 
 
-def _tests(spark, d):
-    docs, labels = ad.read(spark, d, "documents"), ad.read(spark, d, "labels")
-    j = docs.join(labels, "doc_id")
-    expected = j.where("quality = 0").groupBy(F.col("source").alias("test_id")).agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x).alias("concept_ids"))
-    from pyspark.sql.window import Window as W
+def _by_length(docs):
+    """Documents of each source as results, longest first."""
+    bucket = [(-F.col("n_chars")).alias("length"), F.floor(F.col("doc_id") / rl.STEP).alias("ids")]
+    r = docs.select(F.col("source").alias("test_id"), "doc_id", "n_chars")
+    return rl.ranks(r, "test_id", bucket, [F.desc("n_chars"), F.col("doc_id")], "position").select("test_id", F.col("doc_id").alias("concept_id"), "position")
+
 
-    results = j.select(F.col("source").alias("test_id"), F.col("doc_id").alias("concept_id"), F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("position"))
-    return results, expected
+def _tests(spark, d):
+    j = ad.read(spark, d, "documents").join(ad.read(spark, d, "labels"), "doc_id")
+    e = j.where("quality = 0").select(F.col("source").alias("test_id"), F.col("doc_id").alias("concept_id"))
+    expected = rl.ranks(e, "test_id", [F.floor(F.col("concept_id") / rl.STEP).alias("ids")], [F.col("concept_id")], "place")
+    return _by_length(j), expected
 
 
 _RL = """WITH j AS (SELECT source AS t, doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)),
@@ -148,10 +152,8 @@ def _(spark, d):
 
 @query("rl4_top_n", """SELECT doc_id % 50 AS test_id, bool_or(pos <= 3) AS ok FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents) GROUP BY 1""")
 def _(spark, d):
-    from pyspark.sql.window import Window as W
-
     docs = ad.read(spark, d, "documents")
-    r = docs.select(F.col("doc_id").alias("test_id"), F.col("doc_id").alias("concept_id"), F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("position"))
+    r = _by_length(docs).select(F.col("concept_id").alias("test_id"), "concept_id", "position")
     t = docs.select(F.col("doc_id").alias("test_id"), F.col("doc_id").alias("concept_id"), F.lit(3).alias("n"))
     return rl.top_n(r, t).groupBy((F.col("test_id") % 50).alias("test_id")).agg(F.bool_or("ok").alias("ok"))
 
