@@ -158,7 +158,12 @@ def _(spark, d):
     return rl.top_n(r, t).groupBy((F.col("test_id") % 50).alias("test_id")).agg(F.bool_or("ok").alias("ok"))
 
 
-@query("rl2_tune_boosts")
+@query("rl2_tune_boosts", """WITH g(grid_id, en) AS (VALUES (0, 1.0), (1, 1.5), (2, 2.0)),
+e AS (SELECT grid_id, source AS t, row_number() OVER (PARTITION BY grid_id, source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY grid_id, source) AS n,
+  row_number() OVER (PARTITION BY grid_id, source ORDER BY CASE WHEN lang = 'en' THEN en ELSE 1.0 END * CASE WHEN n_chars > 2000 THEN 1.5 ELSE 1.0 END DESC, doc_id) AS pos
+  FROM documents JOIN labels USING (doc_id) CROSS JOIN g WHERE quality = 0),
+m AS (SELECT grid_id, t, sum((n + 1 - place) / (ln(pos + 1) / ln(2.0))) / sum((n + 1 - place) / (ln(place + 1) / ln(2.0))) AS dcg FROM e GROUP BY 1, 2)
+SELECT grid_id, avg(dcg) AS dcg FROM m GROUP BY 1""")
 def _(spark, d):
     c = ad.read(spark, d, "documents").join(ad.read(spark, d, "labels"), "doc_id").select(F.col("source").alias("test_id"), F.col("doc_id").alias("concept_id"), F.col("lang").alias("lang"), "n_chars")
     hits = {"english": F.col("lang") == "en", "long": F.col("n_chars") > 2000}
