@@ -332,3 +332,17 @@ def test_hundreds_of_humanizer_rules(spark):
     got = [tuple(r["h"]) if r["h"] else None for r in df.select(tx.humanize(F.col("p"), rules, "p").alias("h")).collect()]
     assert time.time() - began < 5
     assert got == [("Name 200", 0, True), ("Name 200", 0, False), None, None, ("Name 200", 0, False)]
+
+
+def test_ranks_of_ties_nulls_and_large_groups(spark):
+    """Ranks by buckets equal one sort of each group, with null groups and values, and with an empty table."""
+    rows = [(g, v, i) for i, (g, v) in enumerate([("a", 3), ("a", 3), ("a", None), ("a", 1), (None, 2), (None, 1), ("b", 5)] * 3)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    out = rl.ranks(df, "g", [F.floor(F.col("v") / 2).alias("b")], [F.col("v"), F.col("id")], "rank")
+    got = {r["id"]: r["rank"] for r in out.collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: i + 1 for i, r in enumerate(mine)}
+    assert got == want
+    assert rl.ranks(df.where("false"), "g", [F.col("v")], [F.col("v")], "rank").count() == 0
