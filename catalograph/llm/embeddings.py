@@ -6,12 +6,15 @@ Procrustes problem, repeat). Several such rotations, from different starts, give
 into substrings; each substring is the key of one Hamming table. Vectors that agree on a substring
 in any table meet in a task, where original vectors decide by cosine in double precision.
 
-Substrings have about log2 of the number of vectors less four bits, so buckets keep their size as
-data grow; the number of tables follows from the target recall: a pair at cosine c differs in a bit
+Substrings have at least 8 bits, and about log2 of the number of vectors less nine beyond 130,000,
+so buckets keep their size as data grow: a few hundred vectors, which one matrix product compares,
+while fewer bits need fewer tables and so fewer copies of a vector. The number of tables follows from the target recall: a pair at cosine c differs in a bit
 with probability arccos(c) / pi, and tables are independent draws of substrings. Pairs of a bucket
 are counted and joined inside tasks, never given out: a task adds to each vector's number of links
 the pairs for which this is the first table that they share, and returns the edges of a spanning
-forest of its links. Buckets of any size are split into pairs of blocks; none is capped.
+forest of its links. Buckets of any size are split into pairs of blocks; none is capped. Only keys
+of such buckets are joined to the vectors, which are shuffled once, in single precision where the
+column has it.
 
 Copies (equal components) first collapse to one vector with a weight. Vectors that are null, zero,
 or hold null or non-finite components link with nothing, and neither do vectors of different
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocked, components, runs, table, tidy
+from .common import Scratch, blocked, components, runs, small, table, tidy
 
 COSINE = 0.9
 #: Target share of pairs at the threshold itself that some table brings together.
@@ -38,12 +41,14 @@ SAMPLE = 20_000
 ITERATIONS = 20
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
-BITS_LEAST, BITS_MOST = 6, 24
+BITS_LEAST, BITS_MOST = 8, 24
+#: A bucket has about two to the power of this vectors.
+BUCKET_BITS = 9
 
 
 def plan_tables(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a substring and number of tables for ``n`` vectors."""
-    bits = min(BITS_MOST, max(BITS_LEAST, math.ceil(math.log2(max(n, 2))) - 4))
+    bits = min(BITS_MOST, max(BITS_LEAST, math.ceil(math.log2(max(n, 2))) - BUCKET_BITS))
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
@@ -84,35 +89,43 @@ class Codes:
         return np.stack([signs[r][:, at] @ power for r, at in self.cuts], 1)
 
 
-@tidy
-def _vectors(batches):
-    """Clean vectors as bytes of doubles; null for those that can't link."""
-    for b in batches:
-        out = []
-        for v in b.column("embedding").to_pylist():
-            ok = v is not None and len(v) and all(c is not None and math.isfinite(c) for c in v) and any(v)
-            out.append(np.array(v, np.float64).tobytes() if ok else None)
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+def _vectors(kind: str):
+    """Clean vectors as bytes of ``kind``, the column's own precision; null for those that can't link."""
+
+    @tidy
+    def each(batches):
+        for b in batches:
+            out = []
+            for v in b.column("embedding"):
+                own = v.values if v.is_valid else None
+                x = own.to_numpy(zero_copy_only=False).astype(kind) + 0.0 if own is not None and not own.null_count else None
+                ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
+                out.append(x.tobytes() if ok else None)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+
+    return each
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    """Unit vectors; scaled first, so that no norm overflows or vanishes."""
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: str = "f8") -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no norm overflows or vanishes."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keyed(codes: dict[int, Codes]):
+def _keyed(codes: dict[int, Codes], kind: str):
+    width = np.dtype(kind).itemsize
+
     def each(batches):
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
                 raw = part.column("vec").to_pylist()
-                size = np.array([len(v) // 8 for v in raw])
+                size = np.array([len(v) // width for v in raw])
                 for dim in np.unique(size):
                     at = np.flatnonzero(size == dim)
                     own = codes[int(dim)]
-                    keys = own.keys(unit([raw[k] for k in at]))
+                    keys = own.keys(unit([raw[k] for k in at], kind))
                     tables = np.tile(np.arange(own.tables), len(at))
                     rows = part.take(pa.array(np.repeat(at, own.tables)))
                     yield pa.RecordBatch.from_arrays(
@@ -123,7 +136,7 @@ def _keyed(codes: dict[int, Codes]):
     return each
 
 
-def _linked(codes: dict[int, Codes]):
+def _linked(codes: dict[int, Codes], kind: str):
     """Of each pair of blocks: links that each vector gains, and the edges of a spanning forest."""
 
     def each(batches):
@@ -132,7 +145,7 @@ def _linked(codes: dict[int, Codes]):
                 continue
             node, copies, mine = (g.column(c).to_numpy() for c in ("node", "copies", "mine"))
             tab, bi, bj = (g.column(c)[0].as_py() for c in ("tab", "bi", "bj"))
-            x = unit(g.column("vec").to_pylist())
+            x = unit(g.column("vec").to_pylist(), kind)
             keys = codes[x.shape[1]].keys(x)[:, :tab]
             left = np.flatnonzero(mine == bi)
             right = left if bi == bj else np.flatnonzero(mine == bj)
@@ -183,24 +196,27 @@ def _linked(codes: dict[int, Codes]):
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = scratch.store(rows.mapInArrow(_vectors, "vec_id long, vec binary").withColumn("h", F.xxhash64("vec")), "rows")
+    held = vectors.schema["embedding"].dataType.simpleString()
+    kind, width = ("f4", 4) if held == "array<float>" else ("f8", 8)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if width == 4 else "array<double>").alias("embedding"))
+    rows = scratch.store(rows.mapInArrow(_vectors(kind), "vec_id long, vec binary").withColumn("h", F.xxhash64("vec")), "rows")
     groups = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     nodes = scratch.store(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    sizes = {r["dim"]: r["n"] for r in nodes.groupBy((F.length("vec") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()}
+    sizes = {r["dim"]: r["n"] for r in nodes.groupBy((F.length("vec") / width).cast("int").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()}
     codes = {}
     for dim, n in sizes.items():
         share = min(1.0, 1.2 * SAMPLE / n)  # by hash, so no sort of the whole; the limit is the bound
-        some = nodes.where(F.length("vec") == 8 * dim)
+        some = nodes.where(F.length("vec") == width * dim)
         some = some if share == 1 else some.where(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        codes[dim] = Codes(unit([r["vec"] for r in some.select("vec").limit(SAMPLE).collect()]), n)
+        codes[dim] = Codes(unit([r["vec"] for r in some.select("vec").limit(SAMPLE).collect()], kind), n)
     label = nodes.select("node", "vec", "vec_id", "copies")
     if codes:
-        keyed = nodes.select("node", "vec", "copies").mapInArrow(_keyed(codes), "tab int, key long, node long, vec binary, copies long")
-        count = scratch.store(keyed.groupBy("tab", "key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-        meet = blocked(keyed.join(count, ["tab", "key"]), F.col("members"), F.col("node"), BLOCK)
+        keyed = nodes.select("node", "vec", "copies").mapInArrow(_keyed(codes, kind), "tab int, key long, node long, vec binary, copies long")
+        large = scratch.store(keyed.groupBy("tab", "key").agg(F.count("*").alias("members")).where(f"members > {BLOCK}"), "buckets")
+        keyed = keyed.join(small(large, large.count()), ["tab", "key"], "left")
+        meet = blocked(keyed, F.coalesce("members", F.lit(1)), F.col("node"), BLOCK)
         meet = meet.select("tab", "key", "bi", "bj", "mine", "node", "vec", "copies").repartition("tab", "key", "bi", "bj").sortWithinPartitions("tab", "key", "bi", "bj")
-        found = scratch.store(meet.mapInArrow(_linked(codes), "a long, b long, links long"), "links")
+        found = scratch.store(meet.mapInArrow(_linked(codes, kind), "a long, b long, links long"), "links")
         comp = scratch.store(components(found.where("b is not null").select("a", "b"), scratch), "components")
         links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
         label = label.join(comp, "node", "left").join(links, "node", "left")
