@@ -453,6 +453,37 @@ def test_repeats_against_brute_force(spark):
     assert rows(substrings.dedup(docs(spark, data)), "doc_id", "n_words", "n_removed", "kept_sha256") == _windows(data)
 
 
+def test_repeats_over_many_partitions_and_few_remembered(spark, monkeypatch):
+    """Random texts of few words and cut-up passages: segments, windows and their ends all differ."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    pool = [passage(200 + k, 90).split() for k in range(6)]
+    data = []
+    for i in range(60):
+        w = []
+        for _ in range(rng.integers(1, 5)):
+            p = pool[rng.integers(6)]
+            a = rng.integers(0, 60)
+            w += p[a : a + rng.integers(10, 60)] + [f"u{rng.integers(10**6)}"] * int(rng.integers(0, 3))
+        data.append((i, " ".join(w)))
+    data += [(100, "b c " * 90), (101, "c b " * 40), (102, "z " * 36), (103, "z " * 35)]
+    monkeypatch.setattr(substrings, "SEEN", 5)
+    frame = docs(spark, data).repartition(7)
+    assert rows(substrings.dedup(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == _windows(data)
+    covered = substrings.repeats(frame).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    want = {r[0]: r[2] for r in _windows(data) if r[2]}
+    assert {r["doc_id"]: r["n"] for r in covered.collect()} == want
+
+
+def test_segments_cover_shared_windows_once():
+    rng = np.random.default_rng(3)
+    m = np.repeat(rng.integers(0, 5, 40), rng.integers(1, 60, 40)).astype(np.uint64)
+    start, span = substrings.segments(m, np.array([1, 3], np.uint64))
+    assert np.concatenate([np.arange(a, a + n) for a, n in zip(start, span)]).tolist() == np.flatnonzero((m == 1) | (m == 3)).tolist()
+    assert span.max() <= substrings.SPAN and all(len(set(m[a : a + n])) == 1 for a, n in zip(start, span))
+
+
 def test_sliding_min():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1000, 200).astype(np.uint64)
