@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, grams, lists, mix, signed, small, table, tidy
+from .common import BROADCAST_ROWS, Scratch, WordHashes, grams, lists, mix, signed, small, table, tidy
 
 WINDOW = 35
 GRAM = 12
@@ -188,32 +188,37 @@ class RepeatedWindows:
         """(node, raw, shared): text and shared anchors of each node that has some."""
         at = self.nodes.select("node", "doc_id", F.explode("anchors").alias("h"))
         shared = self.scratch.store(at.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
-        sets = self.scratch.store(at.join(small(shared, shared.count()), "h", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.collect_set("h").alias("shared")), "shared")
+        sets = self.scratch.store(at.join(shared.hint("merge"), "h", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.collect_set("h").alias("shared")), "shared")
         ids = self.scratch.store(sets.select(F.col("doc_id").alias("_id")).distinct(), "ids")
-        raw = self.raw.where("raw is not null").join(small(ids, ids.count()), F.expr("doc_id <=> _id"), "left_semi")
+        raw, n = self.raw.where("raw is not null"), ids.count()
+        if n <= BROADCAST_ROWS:  # beyond it, the join alone
+            raw = raw.join(small(ids, n), F.expr("doc_id <=> _id"), "left_semi")
         held = raw.join(sets.withColumnRenamed("doc_id", "_id"), F.expr("doc_id <=> _id")).select("node", "raw", "shared")
-        return self.scratch.store(held, "texts")
+        texts = self.scratch.store(held, "texts")
+        for done in (shared, sets, ids):
+            self.scratch.drop(done)
+        return texts
 
     def kept(self) -> DataFrame:
         """(node, n_removed, turns, kept) of nodes that lose words to a repeat; ``turns`` has the
         first word of each maximal repeat and the first one after it, in turn.
 
-        Tables that a hot key is joined with are stored, not aggregates, so that Spark can split it.
+        Tables that a hot key is joined with are stored, not aggregates, so that Spark can split it;
+        these joins are merge joins at any size.
         """
         texts = self.texts()
         found = texts.mapInArrow(_segments, "node binary, start int, span int, c1 long, c2 long, w1 array<long>, w2 array<long>")
         found = self.scratch.store(found, "segments")
         classes = found.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
         classes = self.scratch.store(classes, "classes")
-        classes = small(classes, classes.count())
-        whole = found.select("node", "start", "span", "c1", "c2").join(classes, ["c1", "c2"], "left_semi").select("node", "start", "span")
-        given = found.where("size(w1) > 0").join(classes.withColumn("copied", F.lit(True)), ["c1", "c2"], "left")
+        whole = found.select("node", "start", "span", "c1", "c2").join(classes.hint("merge"), ["c1", "c2"], "left_semi").select("node", "start", "span")
+        given = found.where("size(w1) > 0").join(classes.withColumn("copied", F.lit(True)).hint("merge"), ["c1", "c2"], "left")
         given = given.select("node", "start", F.coalesce("copied", F.lit(False)).alias("copied"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "x"))
         at = given.select("node", (F.col("start") + F.col("i")).alias("start"), "copied", F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"))
         at = self.scratch.store(at, "windows")
         twice = at.groupBy("w1", "w2").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"), F.min("copied").alias("all"))
         twice = self.scratch.store(twice.where("n > 1 and not all").select("w1", "w2"), "twice")
-        parts = at.where("not copied").join(small(twice, twice.count()), ["w1", "w2"], "left_semi").select("node", "start", F.lit(1).alias("span"))
+        parts = at.where("not copied").join(twice.hint("merge"), ["w1", "w2"], "left_semi").select("node", "start", F.lit(1).alias("span"))
         held = whole.unionByName(parts).groupBy("node").agg(F.collect_list(F.struct("start", "span")).alias("found"))
         return texts.select("node", "raw").join(held, "node").mapInArrow(_removed, "node binary, n_removed long, turns array<int>, kept string")
 
