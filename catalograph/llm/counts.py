@@ -8,7 +8,9 @@ first, over linked symbols with a heap, and remembered in a bounded memo of each
 
 Texts are normalised (NFC, then lower case by character) and split as the vocabulary's file says;
 a file that asks for anything else is refused. Strings of special tokens count one each, wherever
-they stand, and split the text there, which is the library's default.
+they stand, and split the text there, which is the library's default. Characters that this Python's
+Unicode tables don't know yet may belong to other classes in the library's: a text with any is split
+by the library's own steps.
 
 Null texts are empty and have no tokens. Repeated rows stay, with equal counts; an empty table gives
 an empty result. Other columns are ignored, whatever their names, and ``doc_id`` may have any type.
@@ -18,6 +20,7 @@ iterator, never held as a whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -51,6 +54,16 @@ def normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+@functools.cache
+def _library(pattern: str):
+    """The library's own normaliser and split, for characters unknown here."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    steps = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+    split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+    return lambda text: [piece for piece, _ in split.pre_tokenize_str(steps.normalize_str(text))]
+
+
 class Vocabulary:
     """What the counts need of a tokenizer file, and the strings proved to be one token."""
 
@@ -95,6 +108,7 @@ class Counts(dict):
         self.split = regex.compile(vocabulary.pattern).findall
         self.each = regex.compile(vocabulary.pattern).finditer
         self.special = regex.compile(vocabulary.special) if vocabulary.special else None
+        self.pattern, self.known = vocabulary.pattern, set(map(chr, range(128)))
 
     def __missing__(self, piece: str) -> int:
         n = self.merge(piece)
@@ -136,7 +150,17 @@ class Counts(dict):
             at = m.end()
         return n + self._count(text[at:])
 
+    def unknown(self, text: str) -> bool:
+        """Whether a text holds characters without a category."""
+        new = set(text) - self.known
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return True
+        self.known |= new
+        return False
+
     def _count(self, text: str) -> int:
+        if not text.isascii() and self.unknown(text):
+            return sum(map(self.__getitem__, _library(self.pattern)(text)))
         text = normal(text)
         if len(text) < 1_000_000:
             return sum(map(self.__getitem__, self.split(text)))

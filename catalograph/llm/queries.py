@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, gif, licences, lines, mixing, neardup, secrets, substrings, toxicity
+from . import bpe, codes, counts, embeddings, gif, licences, lines, mixing, neardup, search, secrets, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_seed_extend": substrings.op8_seed_extend,
         "op9_string_kernel": toxicity.op9_string_kernel,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_ball_codes": codes.op11_ball_codes,
+        "op12_aho_corasick_search": search.op12_aho_corasick_search,
+        "op13_whole_token_counts": counts.op13_whole_token_counts,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_itq_hamming": embeddings.SQL,
         "op7_template_join": licences.SQL,
         "op8_seed_extend": substrings.SQL,
+        "op11_ball_codes": codes.SQL,
+        "op12_aho_corasick_search": search.SQL,
     }
