@@ -218,17 +218,18 @@ def compress(vectors: DataFrame) -> DataFrame:
     label = vectors.schema["label"].dataType.simpleString()
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     held = scratch.store(rows.mapInArrow(_integers, f"vec_id long, label {label}, q binary").where("q is not null"), "integers")
-    first = held.select("vec_id", "q").orderBy(F.asc_nulls_last("vec_id"), F.length("q"), "q").limit(ENTRIES).collect()
-    if not first:
+    order = F.asc_nulls_last("vec_id"), F.length("q"), F.col("q")
+    least = held.select("vec_id", "q").orderBy(*order).first()
+    if least is None:
         return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
-    size = len(first[0]["q"])
-    held = held.where(F.length("q") == size)
-    start = np.array([np.frombuffer(r["q"], "<i4") for r in first if len(r["q"]) == size], np.int64).reshape(-1, PARTS, size // 4 // PARTS)
+    same = held.where(F.length("q") == len(least["q"]))
+    first = same.select("vec_id", "q").orderBy(*order).limit(ENTRIES).collect()
+    start = np.array([np.frombuffer(r["q"], "<i4") for r in first], np.int64).reshape(len(first), PARTS, -1)
     balls = [Balls(start[:, p]) for p in range(PARTS)]
     kind = f"vec_id long, label {label}, q binary, code binary, part int, entry int, n long, total array<long>, far long"
     coded = None
     for k in range(ROUNDS):
-        own = held if coded is None else coded.where("part is null").select("vec_id", "label", "q", "code")
+        own = same if coded is None else coded.where("part is null").select("vec_id", "label", "q", "code")
         new = scratch.store(own.mapInArrow(_assigned(spark.sparkContext.broadcast(balls)), kind), f"round{k}")
         scratch.drop(held if coded is None else coded)
         coded = new
