@@ -243,10 +243,12 @@ class Reader:
             short = [i for i, w in enumerate(plain) if 0 < len(w) <= WIDE]
             worth[short] = self.value([plain[i] for i in short])
             for i, w in enumerate(plain):
-                if len(w) > WIDE:
-                    worth[i] = self.value(pieces(w)).max()
+                if len(w) > WIDE:  # it stands for its piece of most worth, in training too
+                    own = pieces(w)
+                    each = self.value(own)
+                    worth[i], plain[i] = each.max(), own[int(each.argmax())]
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.letters += [w[:WIDE] for w in plain]
+            self.letters += plain
             self.worth = np.concatenate([self.worth, worth])
             self.ends = np.concatenate([self.ends, np.array([w[-1] in ".!?\0" for w in new])])
             self.single = np.concatenate([self.single, np.array([len(w) == 1 for w in plain])])
@@ -373,7 +375,7 @@ def _found(batches):
             part = b.slice(i, 256)
             keys, toxic = [], []
             for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                mine = {k for w in {letters(w) for w in (text or "").lower().split()} for k in beginnings(w[:WIDE])}
+                mine = {k for w in {letters(w) for w in (text or "").lower().split()} for own in pieces(w) for k in beginnings(own)}
                 keys += mine
                 toxic += [y] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(toxic, pa.int32())], names=["k", "toxic"])

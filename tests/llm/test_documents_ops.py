@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from catalograph.llm import bpe, gif, licences, lines, mixing, neardup, secrets, substrings, toxicity
@@ -610,3 +611,35 @@ def test_kernel_by_definition():
         want = shared(s, t) / norm(s) / norm(t)
         assert toxicity.Landmarks([[t]]).kernel([s])[0, 0] == pytest.approx(want, rel=1e-4, abs=0.01)  # hashes may meet
         assert toxicity.Linear(toxicity.Landmarks([[t]]).weights(np.ones(1)))([s])[0] == pytest.approx(want, rel=1e-4, abs=0.01)
+
+
+def test_web_tokens_are_found_in_one_pass():
+    import random
+    import re
+    import time
+
+    from catalograph.llm import secrets
+
+    rule = next(re.compile(p) for k, p, _, _ in secrets.RULES if k == "jwt")
+    r = random.Random(0)
+    for _ in range(30_000):
+        text = "".join(r.choice(["eyJ", "eyJ", "a", ".", ".", ".eyJ", "_", " ", "é"]) for _ in range(r.randint(0, 25)))
+        assert list(secrets.web_tokens(text)) == [m.span() for m in rule.finditer(text)], text
+    began = time.time()
+    compiled = secrets._compiled(secrets.RULES)
+    assert secrets.find("eyJ" * 350_000 + " " + "eyJaaaaaaaaaa." * 60_000, compiled)
+    assert time.time() - began < 3
+
+
+def test_insult_late_in_a_long_word():
+    """A long word stands for the piece of most worth, when it is scored and when it is learned from."""
+    from catalograph.llm import toxicity
+
+    word = "x" * 40 + "dumbass"
+    reader = toxicity.Reader(lambda words: np.array([1.0 if "dumb" in w else 0.0 for w in words]))
+    value, where = next(iter(reader.read([f"a very {word} thing"])))
+    assert value == 1.0 and any("dumb" in w for w in reader.words_of(where))
+    batch = pa.RecordBatch.from_pydict({"text": [word], "toxic": pa.array([1], pa.int32())})
+    keys = {k for b in toxicity._found([batch]) for k in b.column("k").to_pylist()}
+    late = [p for p in toxicity.pieces(word) if "dumb" in p]
+    assert late and set(toxicity.beginnings(late[-1])) <= keys
