@@ -1,4 +1,4 @@
-"""Lines and polygons, inside tasks: NumPy over a row's rings, called from Arrow UDFs.
+"""Lines and rings, inside tasks: NumPy over a row's rings, called from Arrow UDFs (see ``relations``).
 
 Geodetic edges are great-circle arcs between unit vectors. Cartesian edges are straight in
 longitude and latitude. A ring is closed and counter-clockwise: its inside lies to its left.
@@ -121,17 +121,6 @@ def cartesian_covers(ring, point) -> bool:
     return bool((span & (x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / dy + a[:, 0])).sum() % 2)
 
 
-def ring_covers(ring, point, kind: str) -> bool:
-    return geodetic_covers(ring, point) if kind == "geodetic" else cartesian_covers(ring, point)
-
-
-def ring_covers_points(ring, points: np.ndarray, kind: str) -> np.ndarray:
-    """Which points a ring covers."""
-    if kind == "geodetic":
-        return geodetic_covers_points(ring, points)
-    return np.array([cartesian_covers(ring, (x, y)) for x, y in points], bool)
-
-
 def segments_cross(a, b, c, d) -> np.ndarray:
     """Whether straight segments share a point; broadcasts."""
     def side(p, q, r):
@@ -145,81 +134,17 @@ def segments_cross(a, b, c, d) -> np.ndarray:
     return proper | on(a, b, c) | on(a, b, d) | on(c, d, a) | on(c, d, b)
 
 
-def paths_cross(p, q, kind: str) -> bool:
-    """Whether two lines share a point."""
-    if kind == "geodetic":
-        v, w = vectors(p), vectors(q)
-        return bool(arcs_cross(v[:-1, None], v[1:, None], w[None, :-1], w[None, 1:]).any())
-    v, w = np.asarray(p, float), np.asarray(q, float)
-    return bool(segments_cross(v[:-1, None], v[1:, None], w[None, :-1], w[None, 1:]).any())
-
-
-def polygon_covers_points(rings, points, kind: str) -> np.ndarray:
-    """Which points are in the outer ring and in no hole (a hole's edge is still covered)."""
-    points = np.asarray(points, float).reshape(-1, 2)
-    out = ring_covers_points(rings[0], points, kind)
-    for hole in rings[1:]:
-        turned = np.asarray(hole)[::-1] if _clockwise(hole, kind) else hole
-        for i in np.flatnonzero(out):
-            point = tuple(points[i])
-            edge = paths_cross(hole, [point, point], kind) if kind == "cartesian" else on_arc(vectors([point])[0], vectors(hole)[:-1], vectors(hole)[1:]).any()
-            out[i] = edge or not ring_covers(turned, point, kind)
-    return out
-
-
-def polygon_covers_point(rings, point, kind: str) -> bool:
-    return bool(polygon_covers_points(rings, [point], kind)[0])
-
-
 def _clockwise(ring, kind: str) -> bool:
     r = np.asarray(ring, float)
     return float(((r[1:, 0] - r[:-1, 0]) * (r[1:, 1] + r[:-1, 1])).sum()) > 0
 
 
-def polygons_intersect(a, b, kind: str) -> bool:
-    if any(paths_cross(x, y, kind) for x in a for y in b):
-        return True
-    return polygon_covers_point(a, tuple(b[0][0]), kind) or polygon_covers_point(b, tuple(a[0][0]), kind)
-
-
-def polygon_covers_polygon(a, b, kind: str) -> bool:
-    """All of b in a: its corners are, and no edge of a's outline or holes passes through b."""
-    if not all(polygon_covers_point(a, tuple(p), kind) for p in b[0]):
-        return False
-    holes = [h for h in a[1:] if polygon_covers_point(b, tuple(h[0]), kind)]
-    mids = [((p[0] + q[0]) / 2, (p[1] + q[1]) / 2) for p, q in zip(b[0][:-1], b[0][1:])]
-    return not holes and (kind == "geodetic" or all(polygon_covers_point(a, m, kind) for m in mids))
-
-
 def box_ring(west, north, east, south):
     """A box as a cartesian ring; one that crosses the antimeridian goes beyond 180."""
     e = east + 360 if west > east else east
     return [(west, south), (e, south), (e, north), (west, north), (west, south)]
 
 
-def line_intersects(line, rings, kind: str) -> bool:
-    return any(paths_cross(line, r, kind) for r in rings) or polygon_covers_point(rings, tuple(line[0]), kind)
-
-
-def shape_intersects(a: dict, b: dict) -> bool:
-    """Shapes {kind, coord_sys, rings} of point, line, box (as a ring) and polygon."""
-    kind = "geodetic" if "geodetic" in (a["coord_sys"], b["coord_sys"]) else "cartesian"
-    order = {"point": 0, "line": 1, "box": 2, "polygon": 2}
-    if order[a["kind"]] > order[b["kind"]]:
-        a, b = b, a
-    pa, pb = a["rings"], b["rings"]
-    if order[a["kind"]] == 0:
-        p = tuple(pa[0][0])
-        if order[b["kind"]] == 0:
-            return bool(np.allclose(vectors([p]), vectors([pb[0][0]]), atol=1e-12))
-        if order[b["kind"]] == 1:
-            return paths_cross(pb[0], [p, p], kind) if kind == "cartesian" else bool(on_arc(vectors([p])[0], vectors(pb[0])[:-1], vectors(pb[0])[1:]).any())
-        return polygon_covers_point(pb, p, kind)
-    if order[a["kind"]] == 1:
-        return paths_cross(pa[0], pb[0], kind) if order[b["kind"]] == 1 else line_intersects(pa[0], pb, kind)
-    return polygons_intersect(pa, pb, kind)
-
-
 def shape_box(rings, kind: str) -> tuple[float, float, float, float]:
     """West, north, east, south around a ring or line; arcs reach past their ends, poles take all longitudes."""
     r = np.asarray(rings[0], float)

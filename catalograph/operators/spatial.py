@@ -10,68 +10,95 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import boxes as bx
+from ..functions import relations as rl
 from ..functions import shapes as sh
 
 POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 SHAPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("coord_sys", T.StringType()), T.StructField("rings", T.ArrayType(T.ArrayType(POINT)))])
 BOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("west", "north", "east", "south")])
-CELL = 5
 
 
-def _rings(rings) -> list[list[tuple[float, float]]]:
-    return [[(p["lon"], p["lat"]) for p in r] for r in rings]
+def _decoded(a: pa.StructArray) -> list[tuple[str, str, list[np.ndarray]] | None]:
+    """(kind, coord_sys, rings) of a shape column, rings as arrays of degrees; None for null."""
+    kind, system = a.field("kind").to_pylist(), a.field("coord_sys").to_pylist()
+    outer = a.field("rings")
+    ring, point = outer.offsets.to_numpy(), outer.values.offsets.to_numpy()
+    flat = outer.values.values
+    xy = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat")])
+    ok = a.is_valid().to_numpy(zero_copy_only=False)
+    return [(kind[i], system[i], [xy[point[k] : point[k + 1]] for k in range(ring[i], ring[i + 1])]) if ok[i] and kind[i] is not None else None for i in range(len(a))]
 
 
-def _shape(row) -> dict:
-    return {"kind": row["kind"], "coord_sys": row["coord_sys"], "rings": _rings(row["rings"])}
+class _Figures(dict):
+    """Figures of a column's shapes; equal shapes are one figure. It forgets all when it is full."""
 
+    MOST = 4096
+
+    def of(self, a: pa.StructArray) -> list[rl.Figure | None]:
+        out = []
+        for x in _decoded(a):
+            if x is None:
+                out.append(None)
+                continue
+            key = (x[0], x[1], *(r.tobytes() for r in x[2]))
+            if key not in self:
+                if len(self) >= self.MOST:
+                    self.clear()
+                self[key] = rl.Figure(*x)
+            out.append(self[key])
+        return out
+
+
+_FIGURES = _Figures()
 
-def _each(frame: pd.DataFrame):
-    return (None if r["kind"] is None else r for r in frame.to_dict("records"))
 
+def _related(test, a: pa.StructArray, b: pa.StructArray) -> pa.Array:
+    return pa.array([None if x is None or y is None else test(x, y) for x, y in zip(_FIGURES.of(a), _FIGURES.of(b))], pa.bool_())
 
-@F.pandas_udf(T.BooleanType())
-def shape_intersects(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    """Whether two shape columns share a point; null if either is missing."""
-    return pd.Series([None if x is None or y is None else sh.shape_intersects(_shape(x), _shape(y)) for x, y in zip(_each(a), _each(b))], dtype=object)
 
+@F.arrow_udf(T.BooleanType())
+def shape_intersects(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether two shape columns, of any kinds and systems, share a point; null if either is missing."""
+    return _related(rl.intersects, a, b)
 
-@F.pandas_udf(T.BooleanType())
-def shape_covers_point(a: pd.DataFrame, lon: pd.Series, lat: pd.Series) -> pd.Series:
-    """Whether a polygon column covers a point; runs of rows with one polygon are tested together."""
-    points = np.column_stack([lon, lat]).astype(float)
-    out: list = [None] * len(points)
-    start = 0
-    shapes = [None if x is None else (_rings(x["rings"]), x["coord_sys"]) for x in _each(a)]
-    for i in range(1, len(shapes) + 1):
-        if i == len(shapes) or shapes[i] != shapes[start]:
-            if shapes[start] is not None:
-                out[start:i] = sh.polygon_covers_points(shapes[start][0], points[start:i], shapes[start][1]).tolist()
-            start = i
-    return pd.Series(out, dtype=object)
 
+@F.arrow_udf(T.BooleanType())
+def shape_covers(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether the first shape column covers the second, of any kinds and systems."""
+    return _related(rl.covers, a, b)
 
-@F.pandas_udf(T.BooleanType())
-def shape_covers(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    """Whether one polygon column covers another."""
-    return pd.Series([None if x is None or y is None else sh.polygon_covers_polygon(_rings(x["rings"]), _rings(y["rings"]), x["coord_sys"]) for x, y in zip(_each(a), _each(b))], dtype=object)
 
+@F.arrow_udf(T.BooleanType())
+def shape_covers_point(a: pa.Array, lon: pa.Array, lat: pa.Array) -> pa.Array:
+    """Whether a shape column covers a point; all points of a batch that meet one shape are tested together."""
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in (lon, lat))
+    points = np.column_stack([x, y])
+    rows: dict[int, tuple[rl.Figure, list[int]]] = {}
+    for i, f in enumerate(_FIGURES.of(a)):
+        if f is not None and np.isfinite(points[i]).all():
+            rows.setdefault(id(f), (f, []))[1].append(i)
+    out = np.full(len(points), None, object)
+    for f, at in rows.values():
+        out[at] = f.covers_points(points[at])
+    return pa.array(out, pa.bool_())
 
-@F.pandas_udf(BOX)
-def shape_box(a: pd.DataFrame) -> pd.DataFrame:
+
+@F.arrow_udf(BOX)
+def shape_box(a: pa.Array) -> pa.Array:
     """The box around a shape column."""
-    rows = [(None,) * 4 if x is None else sh.shape_box(_rings(x["rings"]), x["coord_sys"]) for x in _each(a)]
-    return pd.DataFrame(rows, columns=["west", "north", "east", "south"])
+    rows = [(None,) * 4 if x is None else sh.shape_box(x[2], x[1]) for x in _decoded(a)]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in range(4)], names=["west", "north", "east", "south"])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def shape_errors(a: pd.DataFrame) -> pd.Series:
-    return pd.Series([[] if x is None else sh.shape_errors(x["kind"], x["coord_sys"], _rings(x["rings"])) for x in _each(a)])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def shape_errors(a: pa.Array) -> pa.Array:
+    return pa.array([[] if x is None else sh.shape_errors(x[0], x[1], x[2]) for x in _decoded(a)], pa.list_(pa.string()))
 
 
 def polygon(points: list[tuple[float, float]], coord_sys: str = "geodetic", holes=()) -> Column:
@@ -85,7 +112,7 @@ def point_shape(lon: Column, lat: Column, coord_sys: str = "geodetic") -> Column
 
 
 def box_shape(b: Column) -> Column:
-    """A box as a cartesian ring, for exact tests."""
+    """A box column as a shape; one that crosses the antimeridian goes beyond 180."""
     e = F.when(bx.crosses(b), b["east"] + 360).otherwise(b["east"])
     p = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
     ring = F.array(p(b["west"], b["south"]), p(e, b["south"]), p(e, b["north"]), p(b["west"], b["north"]), p(b["west"], b["south"]))
@@ -98,41 +125,93 @@ def shapes_doc(df: DataFrame, boxes: str = "boxes") -> DataFrame:
     return df.withColumn("box", F.aggregate(F.slice(boxes, 2, F.greatest(F.size(boxes) - 1, F.lit(0))), first, bx.box_union))
 
 
-def _cells(b: Column) -> Column:
-    """Grid cells of a box: (x, y) of each part, and a cell of its own for a pole that it touches."""
-    def part(p: Column) -> Column:
-        xs = F.sequence(F.floor(p["west"] / CELL).cast("int"), F.floor(p["east"] / CELL).cast("int"))
-        ys = F.sequence(F.floor(p["south"] / CELL).cast("int"), F.floor(p["north"] / CELL).cast("int"))
-        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+#: Levels of the quadtree that boxes are dealt to: cells are 360 by 180 degrees over two to the power of the level.
+LEVELS = (0, 2, 4, 6, 8, 10)
+
+
+def _flat(df: DataFrame, box: str, tag: str) -> DataFrame:
+    """``df`` with a box's bounds as doubles: one or two ranges of longitude (the second null), south and north."""
+    b = F.col(box)
+    cross = bx.crosses(b)
+    return df.withColumns({
+        f"_{tag}w0": b["west"] + 0.0, f"_{tag}e0": F.when(cross, F.lit(180.0)).otherwise(b["east"]),
+        f"_{tag}w1": F.when(cross, F.lit(-180.0)), f"_{tag}e1": F.when(cross, b["east"]),
+        f"_{tag}s": b["south"] + 0.0, f"_{tag}n": b["north"] + 0.0,
+    })
+
+
+def _dealt(df: DataFrame, tag: str) -> DataFrame:
+    """A row for each cell of each part: cells of the level that a part fits in, and their ancestors.
+
+    A side's own cells (``_own``) meet the other side's own cells and ancestors, and its ancestors the
+    other side's own cells only, so two boxes meet at the coarser one's level and nowhere else.
+    """
+    s, n = F.col(f"_{tag}s"), F.col(f"_{tag}n")
+
+    def part(k: int) -> Column:
+        w, e = F.col(f"_{tag}w{k}"), F.col(f"_{tag}e{k}")
+        size = F.greatest((e - w) / 360, (n - s) / 180)
+
+        def at(level: int) -> Column:
+            scale = 1 << level
+            cell = lambda c, low, wide: F.least(F.floor((c - low) / wide * scale), F.lit(scale - 1)).cast("int")
+            xs, ys = F.sequence(cell(w, -180, 360), cell(e, -180, 360)), F.sequence(cell(s, -90, 180), cell(n, -90, 180))
+            finer = LEVELS[LEVELS.index(level) + 1 :]
+            own = size > 1 / (1 << finer[0]) if finer else F.lit(True)  # else it fits in a finer level
+            here = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(F.lit(level).alias("level"), x.alias("x"), y.alias("y"), own.alias("own"), F.lit(k).alias("part")))))
+            return F.when(size <= 1 / scale, here).otherwise(F.array().cast("array<struct<level:int,x:int,y:int,own:boolean,part:int>>"))
 
-    pole = lambda hit, y: F.when(hit, F.array(F.struct(F.lit(999).alias("x"), F.lit(y).alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
-    return F.array_distinct(F.concat(F.flatten(F.transform(bx.box_split(b), part)), pole(b["north"] == 90, 1), pole(b["south"] == -90, -1)))
+        none = F.array().cast("array<struct<level:int,x:int,y:int,own:boolean,part:int>>")
+        return F.when(w.isNotNull() & e.isNotNull(), F.concat(*[at(level) for level in LEVELS])).otherwise(none)
+
+    pole = lambda hit, y: F.when(hit, F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("x"), F.lit(y).alias("y"), F.lit(True).alias("own"), F.lit(-1).alias("part")))).otherwise(F.array().cast("array<struct<level:int,x:int,y:int,own:boolean,part:int>>"))
+    cells = F.explode(F.concat(part(0), part(1), pole(n == 90, 1), pole(s == -90, -1)))
+    return df.withColumn(f"_{tag}c", cells)
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_box: str = "box", right_box: str = "area_box", exact=None) -> DataFrame:
     """Pairs of rows whose boxes intersect and, if given, that meet ``exact``, a boolean column.
 
-    Boxes are dealt to grid cells and meet by an equi-join on the cell. A pair counts in the cell
-    of the lower left corner of the first part that both share (or, if they only touch a pole
-    together, in the pole's cell), so it comes once, without a distinct. Large boxes take many
-    cells; hot cells are split by the optimizer.
+    Boxes are dealt to the quadtree's cells of the level that they fit in (four cells at most for
+    each part) and to the ancestors of those, six levels in all, so a box of any size takes a few
+    dozen rows and small boxes share a cell with few others. They meet by an equi-join on the cell at
+    the coarser one's level. A pair counts in the cell of the lower left corner of the first parts
+    that overlap (or, if they only touch a pole together, in the pole's), so it comes once, without a
+    distinct. Four comparisons of doubles come first. Hot cells are split by the optimizer.
     """
-    a = left.withColumn("_cell", F.explode(_cells(F.col(left_box))))
-    b = right.withColumn("_cell", F.explode(_cells(F.col(right_box))))
-    both = a.join(b, "_cell")
-    shared = bx.box_intersections(F.col(left_box), F.col(right_box))
-    both = both.withColumn("_first", F.get(shared, F.lit(0)))
-    corner = F.struct(F.floor(F.col("_first.west") / CELL).cast("int").alias("x"), F.floor(F.col("_first.south") / CELL).cast("int").alias("y"))
-    north = (F.col(left_box)["north"] == 90) & (F.col(right_box)["north"] == 90)
-    pole = F.struct(F.lit(999).alias("x"), F.when(north, 1).otherwise(-1).alias("y"))
-    home = F.when(F.col("_first").isNotNull(), corner).otherwise(pole)
-    out = both.where(F.col("_cell") == home).drop("_cell", "_first")
+    a, b = _dealt(_flat(left, left_box, "l"), "l"), _dealt(_flat(right, right_box, "r"), "r")
+    key = lambda c, space: F.struct(F.lit(space).alias("space"), F.col(c)["level"].alias("level"), F.col(c)["x"].alias("x"), F.col(c)["y"].alias("y"))
+    # space 1: left's own cells with right's own and ancestors; space 2: left's ancestors with right's own
+    a = a.withColumn("_cell", F.when(F.col("_lc.own"), key("_lc", 1)).otherwise(key("_lc", 2)))
+    spaces = F.when(F.col("_rc.own") & (F.col("_rc.level") >= 0), F.array(key("_rc", 1), key("_rc", 2))).otherwise(F.array(key("_rc", 1)))
+    b = b.withColumn("_cell", F.explode(spaces))
+
+    def overlap(i: int, j: int) -> Column:
+        return F.coalesce((F.col(f"_lw{i}") <= F.col(f"_re{j}")) & (F.col(f"_rw{j}") <= F.col(f"_le{i}")), F.lit(False))
+
+    lat = (F.col("_ls") <= F.col("_rn")) & (F.col("_rs") <= F.col("_ln"))
+    south = F.greatest("_ls", "_rs")
+    first = F.lit(False)
+    before = F.lit(False)
+    for i in (0, 1):
+        for j in (0, 1):
+            scale = F.pow(F.lit(2.0), F.col("_lc.level"))
+            cell = lambda c, low, wide, scale=scale: F.least(F.floor((c - low) / wide * scale), scale - 1).cast("int")
+            corner = (cell(F.greatest(f"_lw{i}", f"_rw{j}"), -180, 360) == F.col("_lc.x")) & (cell(south, -90, 180) == F.col("_lc.y"))
+            first = first | ((F.col("_lc.part") == i) & (F.col("_rc.part") == j) & overlap(i, j) & ~before & corner)
+            before = before | overlap(i, j)
+    north = (F.col("_ln") == 90) & (F.col("_rn") == 90)
+    polar = (F.col("_lc.part") == -1) & ~(lat & before) & ((F.col("_lc.y") == 1) | ~north)
+    out = a.join(b, "_cell").where((F.col("_lc.part") == -1) | lat).where((lat & first) | polar)
+    out = out.drop("_cell", "_lc", "_rc", *[f"_{t}{c}" for t in "lr" for c in ("w0", "e0", "w1", "e1", "s", "n")])
     return out.where(exact) if exact is not None else out
 
 
 # ---------------------------------------------------------------- tiles of the sinusoidal grid
 
-COLUMNS, ROWS, STEPS = 36, 18, 20
+COLUMNS, ROWS = 36, 18
+#: Degrees between the points of an edge that is followed through the tiles.
+WALK = 0.1
 
 
 def tile_of(lon: Column, lat: Column) -> Column:
@@ -143,55 +222,70 @@ def tile_of(lon: Column, lat: Column) -> Column:
     return F.struct(h.alias("h"), v.alias("v"))
 
 
-def tile_ring(h: int, v: int) -> list[tuple[float, float]] | None:
-    """A tile's outline in degrees, edges densified; None if the tile lies off the globe."""
-    top, bottom = 90 - 10 * v, 80 - 10 * v
-    west, east = 10 * h - 180, 10 * h - 170
+def _tile(x: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """Number of the tile of points in the grid's plane, 36 v + h."""
+    h = np.clip(np.floor((x + 180) / 10), 0, COLUMNS - 1)
+    v = np.clip(np.floor((90 - lat) / 10), 0, ROWS - 1)
+    return (v * COLUMNS + h).astype(int)
+
+
+def _middles() -> tuple[np.ndarray, np.ndarray]:
+    """Tiles on the globe, and a point (degrees) inside each: on its side towards the equator, where it is widest."""
+    v, h = np.divmod(np.arange(ROWS * COLUMNS), COLUMNS)
+    lat = np.where(v < ROWS // 2, 80.0 - 10 * v + 1e-7, 90.0 - 10 * v - 1e-7)
+    most = 180 * np.cos(np.radians(lat))
+    low, high = np.maximum(10.0 * h - 180, -most), np.minimum(10.0 * h - 170, most)
+    on = high > low
+    return np.flatnonzero(on), np.column_stack([((low + high) / 2 / np.cos(np.radians(lat))), lat])[on]
+
+
+TILES, MIDDLES = _middles()
+
+
+def _walked(path: rl.Path) -> np.ndarray:
+    """Tiles that edges pass through: points along them in the grid's plane, and the tile between two that part by a corner."""
+    if not len(path):
+        return _tile(path.corners[:, 0] * np.cos(np.radians(path.corners[:, 1])), path.corners[:, 1])
+    long = np.degrees(sh._angle(path.a, path.b)) if path.arcs else np.abs(path.b - path.a).max(1)
+    n = np.maximum(1, np.ceil(long / WALK)).astype(int)
+    edge = np.repeat(np.arange(len(n)), n + 1)
+    p = path.at(edge, (np.arange(len(edge)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)) / n[edge])
+    p[:, 0] = np.where(np.abs(p[:, 0]) > 180, np.mod(p[:, 0] + 180, 360) - 180, p[:, 0])
+    x, y = p[:, 0] * np.cos(np.radians(p[:, 1])), p[:, 1]
+    out = [_tile(x, y)]
+    two = (edge[1:] == edge[:-1]) & (np.abs(np.diff(p[:, 0])) < 180)
+    a, b = np.column_stack([x, y])[:-1][two], np.column_stack([x, y])[1:][two]
+    part = (np.floor(a[:, 0] / 10) != np.floor(b[:, 0] / 10)) & (np.floor(a[:, 1] / 10) != np.floor(b[:, 1] / 10))
+    a, b = a[part], b[part]
+    side = 10 * np.floor(np.maximum(a[:, 0], b[:, 0]) / 10)  # the step crosses this upright and a level line: before or after?
+    mid = a + ((side - a[:, 0]) / (b[:, 0] - a[:, 0]))[:, None] * (b - a)
+    for shift in (-1e-9, 1e-9):
+        out.append(_tile(mid[:, 0] + shift, mid[:, 1]))
+    return np.concatenate(out)
+
+
+def tiles_of(f: rl.Figure) -> np.ndarray:
+    """Tiles that a shape meets, sorted by (h, v): those its edges pass through, and those without an edge that lie inside.
+
+    Edges are followed in steps of ``WALK`` degrees, straight in the grid's plane, which is within a
+    few ten thousandths of a degree of the edge.
+    """
+    met = _walked(f.path) if f.kind != "point" else _tile(f.some[:, 0] * np.cos(np.radians(f.some[:, 1])), f.some[:, 1])
+    if f.area:
+        rest = ~np.isin(TILES, met)
+        met = np.concatenate([met, TILES[rest][f.covers_points(MIDDLES[rest])]])
+    met = np.unique(met)
+    return met[np.lexsort((met // COLUMNS, met % COLUMNS))]
 
-    def lon(x: float, lat: float) -> float:
-        c = np.cos(np.radians(lat))
-        return float(np.clip(x / c if c > 1e-9 else np.sign(x) * 180, -180, 180))
 
-    lats = np.linspace(bottom, top, STEPS + 1)
-    left = [(lon(west, y), float(y)) for y in lats]
-    right = [(lon(east, y), float(y)) for y in lats]
-    if max(r[0] - x[0] for r, x in zip(right, left)) <= 0:
-        return None
-    ring = [*right, *reversed(left)]
-    out = [ring[0]]
-    for p in ring[1:]:
-        if abs(p[0] - out[-1][0]) + abs(p[1] - out[-1][1]) > 1e-9:
-            out.append(p)
-    return [*out, out[0]] if out[0] != out[-1] else out
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("h", T.IntegerType()), T.StructField("v", T.IntegerType())])))
+def _tiles(a: pa.Array) -> pa.Array:
+    return pa.array([None if f is None else [{"h": int(t % COLUMNS), "v": int(t // COLUMNS)} for t in tiles_of(f)] for f in _FIGURES.of(a)], pa.list_(pa.struct([("h", pa.int32()), ("v", pa.int32())])))
 
 
 def assign_tiles(df: DataFrame, shape: str = "shape") -> DataFrame:
-    """``df`` with ``tiles``, the sorted (h, v) of tiles that each shape meets.
-
-    The 36 x 18 tiles are a constant of the tasks; a shape tests those whose box meets its own.
-    """
-    tiles = [(h, v, r) for h in range(COLUMNS) for v in range(ROWS) if (r := tile_ring(h, v)) is not None]
-
-    @F.pandas_udf("array<struct<h:int,v:int>>")
-    def met(a: pd.DataFrame) -> pd.Series:
-        out = []
-        for x in _each(a):
-            if x is None:
-                out.append(None)
-                continue
-            s = _shape(x)
-            w, n, e, so = sh.shape_box(s["rings"], s["coord_sys"])
-            got = []
-            for h, v, ring in tiles:
-                lats, lons = [p[1] for p in ring], [p[0] for p in ring]
-                if min(lats) > n or max(lats) < so or (w <= e and (min(lons) > e or max(lons) < w)):
-                    continue
-                if sh.shape_intersects({**s, "coord_sys": "cartesian"} if s["kind"] == "point" else s, {"kind": "polygon", "coord_sys": "cartesian", "rings": [ring]}):
-                    got.append({"h": h, "v": v})
-            out.append(sorted(got, key=lambda t: (t["h"], t["v"])))
-        return pd.Series(out)
-
-    return df.withColumn("tiles", met(F.col(shape)))
+    """``df`` with ``tiles``, the sorted (h, v) of tiles that each shape meets; null for null."""
+    return df.withColumn("tiles", _tiles(F.col(shape)))
 
 
 def area_tiles(df: DataFrame, shape: str = "shape") -> DataFrame:
@@ -239,23 +333,25 @@ def simplify_areas(df: DataFrame, most: int, shape: str = "shape", tolerance: fl
 
     A try whose outline crosses itself or collapses is passed over; adds ``simplified``.
     """
-    @F.pandas_udf(T.StructType([T.StructField("shape", SHAPE), T.StructField("simplified", T.BooleanType())]))
-    def run(a: pd.DataFrame) -> pd.DataFrame:
-        shapes, done = [], []
-        for x in _each(a):
-            s = None if x is None else _shape(x)
-            best, t = s, tolerance
-            ok = s is None or sum(map(len, s["rings"])) <= most
+    point = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
+    a_type = pa.struct([("shape", pa.struct([("kind", pa.string()), ("coord_sys", pa.string()), ("rings", pa.list_(pa.list_(point)))])), ("simplified", pa.bool_())])
+
+    @F.arrow_udf(T.StructType([T.StructField("shape", SHAPE), T.StructField("simplified", T.BooleanType())]))
+    def run(a: pa.Array) -> pa.Array:
+        out = []
+        for x in _decoded(a):
+            best, t = x, tolerance
+            ok = x is None or sum(map(len, x[2])) <= most
             for _ in range(tries):
                 if ok:
                     break
-                rings = [sh.simplify(r, t) for r in s["rings"]]
+                rings = [sh.simplify(r, t) for r in x[2]]
                 t *= 10
-                if all(len(r) >= (4 if s["kind"] == "polygon" else 2) for r in rings) and not sh.shape_errors(s["kind"], "cartesian", rings):
-                    best = {**s, "rings": rings}
+                if all(len(r) >= (4 if x[0] == "polygon" else 2) for r in rings) and not sh.shape_errors(x[0], "cartesian", rings):
+                    best = (x[0], x[1], rings)
                     ok = sum(map(len, rings)) <= most
-            shapes.append(None if best is None else {**best, "rings": [[{"lon": float(p[0]), "lat": float(p[1])} for p in r] for r in best["rings"]]})
-            done.append(best is not s)
-        return pd.DataFrame({"shape": shapes, "simplified": done})
+            shape = None if best is None else {"kind": best[0], "coord_sys": best[1], "rings": [[{"lon": float(p[0]), "lat": float(p[1])} for p in r] for r in best[2]]}
+            out.append({"shape": shape, "simplified": best is not x})
+        return pa.array(out, a_type)
 
     return df.withColumn("_s", run(F.col(shape))).withColumn(shape, F.col("_s.shape")).withColumn("simplified", F.col("_s.simplified")).drop("_s")

@@ -10,7 +10,7 @@ from ..sources import adapters as ad, readers as rd
 from ..sources.adapters import inside_arcs, sql
 from ..streaming import events as st
 from .builder import build_filter, script_sort
-from .more import _scratch
+from .more import AREA, _scratch
 from .registry import query
 
 DAYS = lambda n: F.make_dt_interval(F.lit(n))
@@ -348,6 +348,75 @@ def _(spark, d):
     return _places(spark, d).where(sp.shape_intersects(line, box)).select("p_partkey")
 
 
+def _corner(lon: str, lat: str) -> str:
+    """SQL: a point's unit vector as three numbers."""
+    return f"cos(radians({lat})) * cos(radians({lon})) AS vx, cos(radians({lat})) * sin(radians({lon})) AS vy, sin(radians({lat})) AS vz"
+
+
+CAP = [(0, 60), (90, 60), (180, 60), (-90, 60), (0, 60)]
+_ARC = "degrees(atan(tan(radians(60)) / cos(radians(45)) * cos(radians({0} - floor({0} / 90) * 90 - 45))))"  # latitude of the cap's side at a longitude
+_BOX = _XY.replace(" AS x", " + 0.2 AS x").replace(" AS y", " + 0.3 AS y")
+
+
+@query("sp8_box_meets_cap", f"""SELECT p_partkey, n >= least(a, b, CASE WHEN floor(x / 90) < floor((x + 8) / 90) THEN 60 ELSE 90 END) AS met,
+    y >= greatest(a, b, CASE WHEN floor((x + 45) / 90) < floor((x + 53) / 90) THEN {_ARC.format(45)} ELSE -90 END) AS covered
+    FROM (SELECT *, {_ARC.format("x")} AS a, {_ARC.format("(x + 8)")} AS b, least(y + 14, 90) AS n FROM (SELECT p_partkey, {_BOX} FROM part))""")
+def _(spark, d):
+    """Boxes against a geodetic polygon around a pole: parallels against arcs."""
+    p = _places(spark, d).withColumns({"x": F.col("x") + 0.2, "y": F.col("y") + 0.3})
+    box = sp.box_shape(bx.box(F.col("x"), F.least(F.col("y") + 14, F.lit(90.0)), F.col("x") + 8, F.col("y")))
+    return p.select("p_partkey", sp.shape_intersects(sp.polygon(CAP), box).alias("met"), sp.shape_covers(sp.polygon(CAP), box).alias("covered"))
+
+
+@query("sp8_polygons_meet", f"""WITH c AS (SELECT p_partkey, k, lon, lat, {_corner("lon", "lat")} FROM
+    (SELECT p_partkey, k, x / 2 + CASE WHEN k IN (1, 2) THEN 6 ELSE 0 END AS lon, y / 2 + CASE WHEN k IN (2, 3) THEN 6 ELSE 0 END AS lat FROM (SELECT p_partkey, {_BOX} FROM part), range(4) r(k))),
+    i AS (SELECT p_partkey, bool_or(inside) AS any_in, bool_and(inside) AS all_in FROM (SELECT p_partkey, {inside_arcs(AREA)} AS inside FROM c) GROUP BY 1),
+    s AS (SELECT a.p_partkey, a.vx AS ax, a.vy AS ay, a.vz AS az, b.vx AS bx, b.vy AS by_, b.vz AS bz FROM c a JOIN c b ON a.p_partkey = b.p_partkey AND b.k = (a.k + 1) % 4),
+    o AS (SELECT i, {_corner("lon", "lat")} FROM (VALUES {", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(AREA))}) t(i, lon, lat)),
+    t AS (SELECT a.vx AS cx, a.vy AS cy, a.vz AS cz, b.vx AS dx, b.vy AS dy, b.vz AS dz FROM o a JOIN o b ON b.i = a.i + 1),
+    x AS (SELECT DISTINCT p_partkey FROM (SELECT *, ay * bz - az * by_ AS nx, az * bx - ax * bz AS ny, ax * by_ - ay * bx AS nz, cy * dz - cz * dy AS mx, cz * dx - cx * dz AS my, cx * dy - cy * dx AS mz FROM s, t)
+      WHERE (nx * cx + ny * cy + nz * cz) * (nx * dx + ny * dy + nz * dz) < 0 AND (mx * ax + my * ay + mz * az) * (mx * bx + my * by_ + mz * bz) < 0 AND (ax + bx) * (cx + dx) + (ay + by_) * (cy + dy) + (az + bz) * (cz + dz) > 0)
+    SELECT i.p_partkey, any_in OR x.p_partkey IS NOT NULL AS met, all_in AS covered FROM i LEFT JOIN x USING (p_partkey)""")
+def _(spark, d):
+    """Geodetic polygons against a geodetic polygon."""
+    p = _places(spark, d).withColumns({"x": (F.col("x") + 0.2) / 2, "y": (F.col("y") + 0.3) / 2})
+    own = _made("polygon", _ring((0, 0), (6, 0), (6, 6), (0, 6), (0, 0)), "geodetic")
+    return p.select("p_partkey", sp.shape_intersects(sp.polygon(AREA), own).alias("met"), sp.shape_covers(sp.polygon(AREA), own).alias("covered"))
+
+
+NOTCHED = [(-100, -60), (100, -60), (100, 60), (30, 60), (30, 0), (-10, 0), (-10, 60), (-100, 60), (-100, -60)]
+HOLE = [(-70, -40), (-70, -10), (-40, -10), (-40, -40), (-70, -40)]
+
+
+@query("sp8_notch_and_hole", f"""SELECT p_partkey, x <= 100 AND x + 8 >= -100 AND y <= 60 AND y + 8 >= -60 AND NOT (x > -10 AND x + 8 < 30 AND y > 0) AND NOT (x > -70 AND x + 8 < -40 AND y > -40 AND y + 8 < -10) AS met,
+    x >= -100 AND x + 8 <= 100 AND y >= -60 AND y + 8 <= 60 AND NOT (x < 30 AND x + 8 > -10 AND y + 8 > 0) AND NOT (x < -40 AND x + 8 > -70 AND y < -10 AND y + 8 > -40) AS covered FROM (SELECT p_partkey, {_BOX} FROM part)""")
+def _(spark, d):
+    """Cartesian squares against a polygon with a notch and a hole."""
+    p = _places(spark, d).withColumns({"x": F.col("x") + 0.2, "y": F.col("y") + 0.3})
+    area, own = sp.polygon(NOTCHED, "cartesian", [HOLE]), _made("polygon", _ring((0, 0), (8, 0), (8, 8), (0, 8), (0, 0)))
+    return p.select("p_partkey", sp.shape_intersects(area, own).alias("met"), sp.shape_covers(area, own).alias("covered"))
+
+
+@query("sp8_antimeridian", f"""SELECT p_partkey, lo <= 210 AND lo + 6 >= 160 AND y <= 30 AND y + 6 >= -30 AS met, lo >= 160 AND lo + 6 <= 210 AND y >= -30 AND y + 6 <= 30 AS covered
+    FROM (SELECT p_partkey, (p_partkey * 7) % 100 + 130.25 AS lo, y FROM (SELECT p_partkey, {_BOX} FROM part))""")
+def _(spark, d):
+    """Cartesian squares about the antimeridian, some of them beyond 180, against a box across it."""
+    p = _places(spark, d).withColumns({"x": F.col("p_partkey") * 7 % 100 + 130.25, "y": F.col("y") + 0.3})
+    p = p.withColumn("x", F.when(F.col("x") >= 180, F.col("x") - 360).otherwise(F.col("x")))  # a square across it ends beyond 180
+    area, own = sp.box_shape(bx.box(*[F.lit(float(v)) for v in (160, 30, -150, -30)])), _made("polygon", _ring((0, 0), (6, 0), (6, 6), (0, 6), (0, 0)))
+    return p.select("p_partkey", sp.shape_intersects(area, own).alias("met"), sp.shape_covers(area, own).alias("covered"))
+
+
+@query("jn17_tile_shapes", f"""SELECT DISTINCT p_partkey, CAST(h AS INTEGER) AS h, CAST(v AS INTEGER) AS v FROM (SELECT p_partkey, v, unnest(range(CAST(least(floor((CASE WHEN w >= 0 THEN w * c0 ELSE w * c1 END + 180) / 10), 35) AS BIGINT), CAST(least(floor((CASE WHEN e >= 0 THEN e * c1 ELSE e * c0 END + 180) / 10), 35) AS BIGINT) + 1)) AS h
+    FROM (SELECT *, least(cos(radians(lo)), cos(radians(hi))) AS c0, greatest(cos(radians(lo)), cos(radians(hi))) AS c1 FROM (SELECT p_partkey, v, w, w + 20 AS e, greatest(s, 80 - 10 * v) AS lo, least(s + 8, 90 - 10 * v) AS hi
+      FROM (SELECT p_partkey, x * 0.9 + 0.37 AS w, y + 0.41 AS s FROM (SELECT p_partkey, {_XY} FROM part)), range(18) r(v)) WHERE lo < hi))""")
+def _(spark, d):
+    """Tiles of polygons."""
+    p = _places(spark, d).withColumns({"x": F.col("x") * 0.9 + 0.37, "y": F.col("y") + 0.41})
+    t = sp.assign_tiles(p.withColumn("shape", _made("polygon", _ring((0, 0), (20, 0), (20, 8), (0, 8), (0, 0)))))
+    return t.select("p_partkey", F.explode("tiles").alias("t")).select("p_partkey", "t.h", "t.v")
+
+
 @query("sp10_shape_box", """SELECT p_partkey, x AS west, CASE WHEN x + 60 > 180 THEN x - 300 ELSE x + 60 END AS east, round(CASE WHEN y > 0 THEN degrees(atan(tan(radians(y)) / cos(radians(30)))) ELSE y END, 6) AS north,
     round(CASE WHEN y < 0 THEN degrees(atan(tan(radians(y)) / cos(radians(30)))) ELSE y END, 6) AS south FROM (SELECT p_partkey, """ + _XY + " FROM part)")
 def _(spark, d):

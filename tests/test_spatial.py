@@ -38,15 +38,6 @@ def test_small_rings_agree():
             assert sh.geodetic_covers(ring, p) == sh.cartesian_covers(ring, p)
 
 
-def test_holes_and_polygons():
-    rings = [PLAIN, HOLE]
-    assert not sh.polygon_covers_point(rings, (20, 20), "cartesian") and sh.polygon_covers_point(rings, (18, 20), "cartesian") and sh.polygon_covers_point(rings, (12, 12), "cartesian")
-    inner = [[(12, 12), (14, 12), (14, 14), (12, 14), (12, 12)]]
-    assert sh.polygon_covers_polygon([PLAIN], inner, "cartesian") and sh.polygons_intersect(inner, [PLAIN], "cartesian")
-    within = [[(19, 19), (21, 19), (21, 21), (19, 21), (19, 19)]]
-    assert not sh.polygons_intersect(rings, within, "cartesian") and not sh.polygon_covers_polygon(rings, within, "cartesian")
-
-
 def test_shape_boxes_reach_past_their_ends():
     w, n, e, s = sh.shape_box([[(-60, 50), (60, 50)]], "geodetic")
     assert n > 60 and (w, e, s) == (-60, 60, pytest.approx(50))
