@@ -126,47 +126,41 @@ def shapes_doc(df: DataFrame, boxes: str = "boxes") -> DataFrame:
 
 
 #: Levels of the quadtree that boxes are dealt to: cells are 360 by 180 degrees over two to the power of the level.
-LEVELS = (0, 2, 4, 6, 8, 10)
+LEVELS = (0, 2, 4, 6, 8, 10)  # eleven bits for a cell's number
 
 
-def _flat(df: DataFrame, box: str, tag: str) -> DataFrame:
-    """``df`` with a box's bounds as doubles: one or two ranges of longitude (the second null), south and north."""
-    b = F.col(box)
-    cross = bx.crosses(b)
-    return df.withColumns({
-        f"_{tag}w0": b["west"] + 0.0, f"_{tag}e0": F.when(cross, F.lit(180.0)).otherwise(b["east"]),
-        f"_{tag}w1": F.when(cross, F.lit(-180.0)), f"_{tag}e1": F.when(cross, b["east"]),
-        f"_{tag}s": b["south"] + 0.0, f"_{tag}n": b["north"] + 0.0,
-    })
-
-
-def _dealt(df: DataFrame, tag: str) -> DataFrame:
-    """A row for each cell of each part: cells of the level that a part fits in, and their ancestors.
+def _dealt(df: DataFrame, box: str, tag: str) -> DataFrame:
+    """A row for each cell of each part of a box, with its bounds as doubles (``_w0`` to ``_n`` after ``tag``).
 
-    A side's own cells (``_own``) meet the other side's own cells and ancestors, and its ancestors the
-    other side's own cells only, so two boxes meet at the coarser one's level and nowhere else.
+    Cells (``_level``, ``_x``, ``_y``) are those of the deepest level that the part fits in, marked
+    ``_own``, and their ancestors. A box across the antimeridian has two parts, and a pole that a box
+    touches is one more with a cell of its own.
     """
-    s, n = F.col(f"_{tag}s"), F.col(f"_{tag}n")
-
-    def part(k: int) -> Column:
-        w, e = F.col(f"_{tag}w{k}"), F.col(f"_{tag}e{k}")
-        size = F.greatest((e - w) / 360, (n - s) / 180)
-
-        def at(level: int) -> Column:
-            scale = 1 << level
-            cell = lambda c, low, wide: F.least(F.floor((c - low) / wide * scale), F.lit(scale - 1)).cast("int")
-            xs, ys = F.sequence(cell(w, -180, 360), cell(e, -180, 360)), F.sequence(cell(s, -90, 180), cell(n, -90, 180))
-            finer = LEVELS[LEVELS.index(level) + 1 :]
-            own = size > 1 / (1 << finer[0]) if finer else F.lit(True)  # else it fits in a finer level
-            here = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(F.lit(level).alias("level"), x.alias("x"), y.alias("y"), own.alias("own"), F.lit(k).alias("part")))))
-            return F.when(size <= 1 / scale, here).otherwise(F.array().cast("array<struct<level:int,x:int,y:int,own:boolean,part:int>>"))
-
-        none = F.array().cast("array<struct<level:int,x:int,y:int,own:boolean,part:int>>")
-        return F.when(w.isNotNull() & e.isNotNull(), F.concat(*[at(level) for level in LEVELS])).otherwise(none)
-
-    pole = lambda hit, y: F.when(hit, F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("x"), F.lit(y).alias("y"), F.lit(True).alias("own"), F.lit(-1).alias("part")))).otherwise(F.array().cast("array<struct<level:int,x:int,y:int,own:boolean,part:int>>"))
-    cells = F.explode(F.concat(part(0), part(1), pole(n == 90, 1), pole(s == -90, -1)))
-    return df.withColumn(f"_{tag}c", cells)
+    b, c = F.col(box), lambda name: F.col(f"_{tag}{name}")
+    cross = bx.crosses(b)
+    bounds = {
+        "w0": b["west"] + 0.0, "e0": F.when(cross, F.lit(180.0)).otherwise(b["east"]),
+        "w1": F.when(cross, F.lit(-180.0)), "e1": F.when(cross, b["east"] + 0.0), "s": b["south"] + 0.0, "n": b["north"] + 0.0,
+    }
+    d = df.where(b["west"].isNotNull() & b["east"].isNotNull() & b["south"].isNotNull() & b["north"].isNotNull()).withColumns({f"_{tag}{k}": v for k, v in bounds.items()})
+    # parts 0 and 1 of a box, and those of the north and the south pole
+    d = d.withColumn(f"_{tag}part", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    d = d.where((c("part") == 0) | ((c("part") == 1) & c("w1").isNotNull()) | ((c("part") == 2) & (c("n") == 90)) | ((c("part") == 3) & (c("s") == -90)))
+    west, east = F.when(c("part") == 1, c("w1")).otherwise(c("w0")), F.when(c("part") == 1, c("e1")).otherwise(c("e0"))
+    size = F.greatest((east - west) / 360, (c("n") - c("s")) / 180)
+    deepest = F.lit(0)
+    for level in LEVELS[1:]:
+        deepest = F.when(size <= 1 / (1 << level), level).otherwise(deepest)
+    d = d.withColumn(f"_{tag}deep", F.when(c("part") > 1, 0).otherwise(deepest)).withColumn(f"_{tag}level", F.explode(F.sequence(F.lit(0), c("deep"), F.lit(LEVELS[1]))))
+    d = d.withColumns({f"_{tag}own": c("level") == c("deep"), f"_{tag}scale": F.expr(f"shiftleft(1, _{tag}level)").cast("double")})
+    polar = c("part") > 1
+    span = lambda low, high, at, wide: F.sequence(F.when(polar, 0).otherwise(_cell(low, at, wide, c("scale"))), F.when(polar, 0).otherwise(_cell(high, at, wide, c("scale"))))
+    return d.withColumn(f"_{tag}x", F.explode(span(west, east, -180, 360))).withColumn(f"_{tag}y", F.explode(span(c("s"), c("n"), -90, 180))).drop(f"_{tag}deep")
+
+
+def _cell(c: Column, low: int, wide: int, scale: Column) -> Column:
+    """Number of the cell that a degree lies in, of ``scale`` cells in all."""
+    return F.least(F.floor((c - low) / wide * scale), scale - 1).cast("int")
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_box: str = "box", right_box: str = "area_box", exact=None) -> DataFrame:
@@ -179,31 +173,32 @@ def spatial_join(left: DataFrame, right: DataFrame, left_box: str = "box", right
     that overlap (or, if they only touch a pole together, in the pole's), so it comes once, without a
     distinct. Four comparisons of doubles come first. Hot cells are split by the optimizer.
     """
-    a, b = _dealt(_flat(left, left_box, "l"), "l"), _dealt(_flat(right, right_box, "r"), "r")
-    key = lambda c, space: F.struct(F.lit(space).alias("space"), F.col(c)["level"].alias("level"), F.col(c)["x"].alias("x"), F.col(c)["y"].alias("y"))
+    a, b = _dealt(left, left_box, "l"), _dealt(right, right_box, "r")
+
+    def key(tag: str, space) -> Column:
+        c = lambda name: F.col(f"_{tag}{name}").cast("long")
+        return (((F.lit(space).cast("long") * 32 + c("level")) * 4 + F.greatest(c("part") - 1, F.lit(0))) * 2048 + c("x")) * 2048 + c("y")
+
     # space 1: left's own cells with right's own and ancestors; space 2: left's ancestors with right's own
-    a = a.withColumn("_cell", F.when(F.col("_lc.own"), key("_lc", 1)).otherwise(key("_lc", 2)))
-    spaces = F.when(F.col("_rc.own") & (F.col("_rc.level") >= 0), F.array(key("_rc", 1), key("_rc", 2))).otherwise(F.array(key("_rc", 1)))
-    b = b.withColumn("_cell", F.explode(spaces))
+    a = a.withColumn("_cell", F.when(F.col("_lown"), key("l", 1)).otherwise(key("l", 2)))
+    b = b.withColumn("_cell", F.explode(F.when(F.col("_rown") & (F.col("_rpart") < 2), F.array(key("r", 1), key("r", 2))).otherwise(F.array(key("r", 1)))))
+    b = b.drop("_rlevel", "_rscale", "_rx", "_ry", "_rown")
 
     def overlap(i: int, j: int) -> Column:
         return F.coalesce((F.col(f"_lw{i}") <= F.col(f"_re{j}")) & (F.col(f"_rw{j}") <= F.col(f"_le{i}")), F.lit(False))
 
     lat = (F.col("_ls") <= F.col("_rn")) & (F.col("_rs") <= F.col("_ln"))
-    south = F.greatest("_ls", "_rs")
-    first = F.lit(False)
-    before = F.lit(False)
+    row = _cell(F.greatest("_ls", "_rs"), -90, 180, F.col("_lscale")) == F.col("_ly")
+    first, before = F.lit(False), F.lit(False)
     for i in (0, 1):
         for j in (0, 1):
-            scale = F.pow(F.lit(2.0), F.col("_lc.level"))
-            cell = lambda c, low, wide, scale=scale: F.least(F.floor((c - low) / wide * scale), scale - 1).cast("int")
-            corner = (cell(F.greatest(f"_lw{i}", f"_rw{j}"), -180, 360) == F.col("_lc.x")) & (cell(south, -90, 180) == F.col("_lc.y"))
-            first = first | ((F.col("_lc.part") == i) & (F.col("_rc.part") == j) & overlap(i, j) & ~before & corner)
+            column = _cell(F.greatest(f"_lw{i}", f"_rw{j}"), -180, 360, F.col("_lscale")) == F.col("_lx")
+            first = first | ((F.col("_lpart") == i) & (F.col("_rpart") == j) & overlap(i, j) & ~before & column)
             before = before | overlap(i, j)
     north = (F.col("_ln") == 90) & (F.col("_rn") == 90)
-    polar = (F.col("_lc.part") == -1) & ~(lat & before) & ((F.col("_lc.y") == 1) | ~north)
-    out = a.join(b, "_cell").where((F.col("_lc.part") == -1) | lat).where((lat & first) | polar)
-    out = out.drop("_cell", "_lc", "_rc", *[f"_{t}{c}" for t in "lr" for c in ("w0", "e0", "w1", "e1", "s", "n")])
+    polar = (F.col("_lpart") > 1) & (F.col("_rpart") > 1) & ~(lat & before) & ((F.col("_lpart") == 2) | ~north)
+    out = a.join(b, "_cell").where(F.when((F.col("_lpart") > 1) | (F.col("_rpart") > 1), polar).otherwise(lat & first & row))
+    out = out.drop("_cell", "_llevel", "_lscale", "_lx", "_ly", "_lown", *[f"_{t}{c}" for t in "lr" for c in ("part", "w0", "e0", "w1", "e1", "s", "n")])
     return out.where(exact) if exact is not None else out
 
 
