@@ -137,27 +137,87 @@ def with_orbit(granules: DataFrame, collections: DataFrame) -> DataFrame:
     return granules.join(collections.select(F.col(ID).alias(PARENT), F.col("orbit").alias("orbit_parameters")), PARENT, "left")
 
 
-def temporal_join(left: DataFrame, right: DataFrame, left_cols=("start_date", "end_date"), right_cols=("from_date", "to_date"), bucket_days: int = 32, inclusive: bool = True) -> DataFrame:
-    """Pairs of rows whose times overlap; a null end is open.
+#: Days of the time line's dyadic tree, from the year 1: two bits a level, 4 million days.
+DEPTH = 11
+_FIRST_DAY = -719_162
 
-    Closed ranges meet by an equi-join on time buckets and count in the later of their first
-    buckets, so no pair comes twice. Long or open ranges take one bucket row for each bucket up to
-    the other side's latest time, which is one aggregate of each side.
+
+def _day(c: str) -> Column:
+    """Place on the tree's last level of a time: its day, held to the tree's ends."""
+    day = F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) - _FIRST_DAY
+    return F.greatest(F.lit(0), F.least(day, F.lit(4**DEPTH - 1)))
+
+
+def _above(day: Column, least: int | Column = 0) -> Column:
+    """(level, node) of a day's nodes from a level down to the last, where a node is a day."""
+    return F.transform(F.sequence(F.lit(least) if isinstance(least, int) else least, F.lit(DEPTH)), lambda k: _node(k, F.floor(day / F.pow(F.lit(4.0), DEPTH - k)).cast("long")))
+
+
+def _node(level: Column, node: Column) -> Column:
+    """A node as one number."""
+    return (level.cast("long") * 4**DEPTH) + node
+
+
+def _since(day: Column) -> Column:
+    """The nodes that make up all days from a day on: at most three on each level, and the day itself."""
+    def right(k: Column) -> Column:
+        own = F.floor(day / F.pow(F.lit(4.0), DEPTH - k)).cast("long")
+        last = F.pmod(own, F.lit(4))
+        return F.transform(F.filter(F.array(*[F.lit(x) for x in (1, 2, 3)]), lambda x: x > last), lambda x: _node(k, own - last + x))
+
+    return F.concat(F.array(_node(F.lit(DEPTH), day.cast("long"))), F.flatten(F.transform(F.sequence(F.lit(1), F.lit(DEPTH)), right)))
+
+
+def _fitted(df: DataFrame, s: str, e: str, tag: str) -> DataFrame:
+    """A row for each node of a closed range: the one or two of the deepest level that it fits in, and all above those."""
+    a, b = F.col(f"_{tag}a"), F.col(f"_{tag}b")
+    d = df.withColumns({f"_{tag}a": _day(s), f"_{tag}b": _day(e)})
+    deep = F.lit(0)
+    for k in range(1, DEPTH + 1):
+        deep = F.when(b - a < 4 ** (DEPTH - k), k).otherwise(deep)
+    d = d.withColumn(f"_{tag}deep", deep)
+    d = d.withColumn(f"_{tag}level", F.explode(F.sequence(F.lit(0), F.col(f"_{tag}deep"))))
+    width = F.pow(F.lit(4.0), DEPTH - F.col(f"_{tag}level"))
+    d = d.withColumn(f"_{tag}node", F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor(b / width).cast("long"))))
+    return d.withColumn(f"_{tag}own", F.col(f"_{tag}level") == F.col(f"_{tag}deep")).withColumn("_key", _node(F.col(f"_{tag}level"), F.col(f"_{tag}node")))
+
+
+def temporal_join(left: DataFrame, right: DataFrame, left_cols=("start_date", "end_date"), right_cols=("from_date", "to_date"), inclusive: bool = True) -> DataFrame:
+    """Pairs of rows whose times overlap; a null end is open. Equal rows pair each for itself.
+
+    Closed ranges go to the nodes of a dyadic tree of days that they fit in (two at most) and to the
+    nodes above: a dozen levels, whatever their lengths. Two ranges meet at the longer one's level,
+    where one side's own nodes are the other side's own or above, and count in the node of the later
+    start, so no pair comes twice. An open range is all days from its start on: at most three nodes on
+    each level, and the other side's end lies below exactly one of them. Both are equi-joins, nothing
+    depends on the latest time there is, and no side is looked at while the plan is built. Rows
+    without a start, or that end before it, overlap with nothing. The names of the four times differ.
     """
     (ls, le), (rs, re) = left_cols, right_cols
-    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
-    last = left.select(F.greatest(F.max(ls), F.max(le)).alias("m")).unionByName(right.select(F.greatest(F.max(rs), F.max(re)).alias("m"))).agg(F.max("m")).first()[0]
-    stop = F.lit(last).cast("timestamp_ntz")
-
-    def bucketed(df: DataFrame, s: str, e: str, tag: str) -> DataFrame:
-        d = df.withColumn(f"_{tag}e", F.coalesce(F.col(e), F.greatest(stop, F.col(s)))).where(F.col(s).isNotNull() & (F.col(f"_{tag}e") >= F.col(s)))
-        a, b = F.floor(day(s) / bucket_days), F.floor(day(f"_{tag}e") / bucket_days)
-        return d.withColumn(f"_{tag}0", a).withColumn("_bucket", F.explode(F.sequence(a, b)))
-
-    lb, rb = bucketed(left, ls, le, "l"), bucketed(right, rs, re, "r")
-    both = lb.join(rb, "_bucket").where(F.col("_bucket") == F.greatest("_l0", "_r0"))
-    meet = (F.col(ls) <= F.col("_re")) & (F.col(rs) <= F.col("_le")) if inclusive else (F.col(ls) < F.col("_re")) & (F.col(rs) < F.col("_le"))
-    return both.where(meet).drop("_bucket", "_l0", "_r0", "_le", "_re")
+    sides = {"l": (left, ls, le), "r": (right, rs, re)}
+    closed = {t: df.where(F.col(s).isNotNull() & (F.col(e) >= F.col(s))) for t, (df, s, e) in sides.items()}
+    opened = {t: df.where(F.col(s).isNotNull() & F.col(e).isNull()) for t, (df, s, e) in sides.items()}
+    names = [*left.columns, *right.columns]
+
+    a, b = _fitted(closed["l"], ls, le, "l"), _fitted(closed["r"], rs, re, "r")
+    # space 0: left's own nodes with right's own and those above; space 1: nodes above left's with right's own
+    a = a.withColumn("_key", F.col("_key") * 2 + F.when(F.col("_lown"), 0).otherwise(1))
+    b = b.withColumn("_key", F.explode(F.when(F.col("_rown"), F.array(F.col("_key") * 2, F.col("_key") * 2 + 1)).otherwise(F.array(F.col("_key") * 2))))
+    home = F.floor(F.greatest("_la", "_ra") / F.pow(F.lit(4.0), DEPTH - F.col("_llevel"))) == F.col("_lnode")
+    meet = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) if inclusive else (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
+    out = a.join(b, "_key").where(meet & home).select(*names)
+
+    def later(t: str, u: str, other: DataFrame) -> DataFrame:
+        """Open rows of side t with rows of ``other``, of side u, that end at or after their start."""
+        (_, s, _), (_, _, e) = sides[t], sides[u]
+        own = opened[t].withColumn("_key", F.explode(_since(_day(s))))
+        end = F.coalesce(_day(e), F.lit(4**DEPTH - 1))
+        met = own.join(other.withColumn("_key", F.explode(_above(end, 1))), "_key")
+        after = F.col(e) >= F.col(s) if inclusive else F.col(e) > F.col(s)
+        return met.where(F.col(e).isNull() | after).select(*names)
+
+    right_all = closed["r"].unionByName(opened["r"])
+    return out.unionByName(later("l", "r", right_all)).unionByName(later("r", "l", closed["l"]))
 
 
 def to_virtual(granules: DataFrame, config: DataFrame) -> DataFrame:

@@ -226,17 +226,38 @@ def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
     return orbits.select("collection_id", *ORBIT).join(whole, ORBIT).select("area_id", "collection_id", "ascending", F.col("r.a").alias("lon_min"), F.col("r.b").alias("lon_max"), "lat_min", "lat_max")
 
 
+#: Degrees of a bin of crossing longitudes.
+BIN = 10
+
+
 def orbit_join(granules: DataFrame, ranges: DataFrame) -> DataFrame:
     """(area_id, and granule columns) of granules whose pass sees an area: a range join by collection.
 
     Granules have crossing_lon and the circular latitudes start_clat and end_clat that they cover.
     Ascending passes over latitudes [a, b] lie at circular latitudes [a, b], descending ones at
-    [180 - b, 180 - a], each also a turn later or earlier.
+    [180 - b, 180 - a], each also a turn later or earlier. A range of longitudes with its first beyond
+    its last wraps.
+
+    A granule crosses at one longitude and so is in one bin; an area's ranges are gathered for each bin
+    of each collection that they touch (few: they are merged by then). So a granule meets an area at
+    most once, equal granules each come back, and a collection's granules are spread over its bins.
     """
+    last = 360 // BIN - 1
+    at = lambda c: F.greatest(F.lit(0), F.least(F.floor((F.col(c) + 180) / BIN).cast("int"), F.lit(last)))
+    bins = F.when(F.col("lon_min") <= F.col("lon_max"), F.sequence(at("lon_min"), at("lon_max"))).otherwise(F.array_union(F.sequence(at("lon_min"), F.lit(last)), F.sequence(F.lit(0), at("lon_max"))))
     lo = F.when(F.col("ascending"), F.col("lat_min")).otherwise(180 - F.col("lat_max"))
     hi = F.when(F.col("ascending"), F.col("lat_max")).otherwise(180 - F.col("lat_min"))
-    both = granules.join(ranges, "collection_id").where(F.col("crossing_lon").between(F.col("lon_min"), F.col("lon_max")))
-    meets = F.lit(False)
-    for turn in (-360, 0, 360):
-        meets = meets | ((F.col("start_clat") <= hi + turn) & (F.col("end_clat") >= lo + turn))
-    return both.where(meets).select("area_id", *granules.columns).distinct()
+    known = ranges.where(F.col("lon_min").isNotNull() & F.col("lon_max").isNotNull())
+    seen = known.select("area_id", "collection_id", F.explode(bins).alias("_bin"), F.struct(F.col("lon_min").alias("a"), F.col("lon_max").alias("b"), lo.alias("lo"), hi.alias("hi")).alias("r"))
+    seen = seen.groupBy("area_id", "collection_id", "_bin").agg(F.collect_list("r").alias("_seen"))
+
+    def meets(r: Column) -> Column:
+        x = F.col("crossing_lon")
+        inside = F.when(r["a"] <= r["b"], (x >= r["a"]) & (x <= r["b"])).otherwise((x >= r["a"]) | (x <= r["b"]))
+        lat = F.lit(False)
+        for turn in (-360, 0, 360):
+            lat = lat | ((F.col("start_clat") <= r["hi"] + turn) & (F.col("end_clat") >= r["lo"] + turn))
+        return inside & lat
+
+    both = granules.withColumn("_bin", at("crossing_lon")).join(seen, ["collection_id", "_bin"])
+    return both.where(F.exists("_seen", meets)).select("area_id", *granules.columns)

@@ -283,6 +283,17 @@ def _overlaps(g: DataFrame, orders: DataFrame) -> DataFrame:
     return jn.temporal_join(g, o).select("collection_id", "order_id", "line", "o_orderkey")
 
 
+@query("jn16_overlap_counts", sql("""SELECT o_orderkey, CAST(coalesce(started.n, 0) - coalesce(ended.n, 0) AS BIGINT) AS n_granules FROM
+    (SELECT o_orderkey, o_orderdate + INTERVAL 3 DAY AS b, o_orderdate AS a FROM orders) o
+    ASOF LEFT JOIN (SELECT start_date AS t, sum(count(*)) OVER (ORDER BY start_date) AS n FROM granules GROUP BY 1) started ON o.b >= started.t
+    ASOF LEFT JOIN (SELECT end_date AS t, sum(count(*)) OVER (ORDER BY end_date) AS n FROM granules WHERE end_date IS NOT NULL GROUP BY 1) ended ON o.a > ended.t""", "granules"))
+def _(spark, d):
+    """Granules that each order's three days overlap, of all granules and all orders: the whole join, counted."""
+    o = ad.read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("from_date"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(3))).alias("to_date"))
+    n = jn.temporal_join(ad.granules(spark, d).select("start_date", "end_date"), o).groupBy("o_orderkey").agg(F.count("*").alias("n_granules"))
+    return o.select("o_orderkey").join(n, "o_orderkey", "left").fillna(0, ["n_granules"])
+
+
 # ---------------------------------------------------------------- facets and counts
 
 _FACET_FIELDS = ["platform", "level", "version"]
