@@ -15,7 +15,7 @@ from ..functions.sql import register_functions
 from ..operators import access as ac, documents as dc, edits as ed, facets as fc, joins as jn, orbit as ob, quality as dq, relevance as rl, revisions as rv, sorting as so, spatial as sp, suggest as sg
 from ..sources import adapters as ad, readers as rd, sinks as sk
 from ..sources.adapters import inside_arcs, sql
-from ..streaming import events as st
+from ..streaming import events as st, targets as tg
 from .builder import Query, build_filter, script_filter
 from .registry import query
 
@@ -513,7 +513,7 @@ def _stream(spark, d, name: str = "events"):
 def _(spark, d):
     root = _scratch(spark)
     e = _stream(spark, d).select(F.col("user_id").alias("concept_id"), F.col("event_id").alias("revision_id"), "value", (F.col("event_type") == "error").alias("deleted"))
-    target = st.TargetTable(spark, f"{root}/target", e.schema)
+    target = tg.TargetTable(spark, f"{root}/target", e.schema, ["concept_id"], tg.newest(["concept_id"], "revision_id"), buckets=4)
     st.stream_upsert(e, target, f"{root}/checkpoint").awaitTermination()
     return target.read()
 
@@ -522,9 +522,9 @@ def _(spark, d):
 def _(spark, d):
     root = _scratch(spark)
     e = _stream(spark, d).select(F.col("user_id").alias("concept_id"), F.col("event_id").alias("revision_id"), (F.col("event_type") == "error").alias("deleted"))
-    target, gone = (st.TargetTable(spark, f"{root}/{x}", e.schema) for x in ("target", "gone"))
-    st.stream_deletes(e, target, gone, f"{root}/checkpoint").awaitTermination()
-    return gone.read().select("concept_id", "revision_id")
+    target = tg.TargetTable(spark, f"{root}/target", e.schema, ["concept_id"], tg.newest(["concept_id"], "revision_id"), buckets=4)
+    st.stream_upsert(e, target, f"{root}/checkpoint").awaitTermination()
+    return st.live(target)[1].select("concept_id", "revision_id")
 
 
 _SM3 = sql("""SELECT r.concept_id, r.revision_id, c.c_custkey AS subscription_id, CASE WHEN deleted THEN 'Delete' WHEN revision_id = 1 THEN 'New' ELSE 'Update' END AS mode FROM revisions r JOIN customer c ON c.c_custkey // 10 = r.concept_id
@@ -562,7 +562,7 @@ def _(spark, d):
     li = _stream(spark, d, "lineitem")
     e = F.when(~((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")), F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int")))
     g = li.select(F.col("l_partkey").alias("collection_id"), F.col("l_shipdate").alias("start_date"), e.alias("end_date"))
-    target = st.TargetTable(spark, f"{root}/bounds", g.schema)
+    target = tg.TargetTable(spark, f"{root}/bounds", g.schema, ["collection_id"], tg.widest(["collection_id"]), buckets=4)
     st.stream_bounds(g, target, f"{root}/checkpoint").awaitTermination()
     return target.read()
 

@@ -13,49 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.facets import granule_bounds, merge_bounds
-from ..operators.revisions import change_mode, upsert_latest
-
-
-class TargetTable:
-    """A Parquet table replaced as a whole by version folders; a pointer file names the current one.
-
-    Readers see the old or the new version. A batch that is run again finds its number in the
-    pointer and changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The batch that wrote the current version, -1 without one."""
-        p, fs = self._fs(f"{self.path}/_current")
-        if not fs.exists(p):
-            return -1
-        return max([int(x.getPath().getName()) for x in fs.listStatus(p)], default=-1)
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        if v < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
-
-    def replace(self, df: DataFrame, version: int) -> None:
-        """Write a version, then point to it, then drop those before the last one."""
-        if version <= self.version():
-            return
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        p, fs = self._fs(f"{self.path}/_current/{version}")
-        fs.create(p, True).close()
-        root, fs = self._fs(self.path)
-        for x in fs.listStatus(root):
-            name = x.getPath().getName()
-            if name[:1] == "v" and int(name[1:]) < version - 1:
-                fs.delete(x.getPath(), True)
+from ..operators.facets import granule_bounds
+from ..operators.revisions import change_mode
+from .targets import TargetTable
 
 
 def read_events(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -75,27 +35,20 @@ def _run(events: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_upsert(events: DataFrame, target: TargetTable, checkpoint: str, key: str = "concept_id", version: str = "revision_id"):
-    """Apply events to the target whatever their order; returns the running query."""
-    def each(batch: DataFrame, n: int) -> None:
-        target.replace(upsert_latest(target.read(), batch.select(*target.schema.names), [key], version), n)
-
-    return _run(events, each, checkpoint)
+def stream_upsert(events: DataFrame, target: TargetTable, checkpoint: str):
+    """Apply events to the target whatever their order; returns the running query.
 
+    With a target of the :func:`~.targets.newest` rule a late revision loses to a higher one. Deletes
+    are revisions too: a target with a ``deleted`` column holds live and deleted records, and both
+    change with one manifest, so no reader misses a record between them (see :func:`live`).
+    """
+    return _run(events, lambda batch, n: target.apply(batch, n), checkpoint)
 
-def stream_deletes(events: DataFrame, target: TargetTable, gone: TargetTable, checkpoint: str):
-    """As :func:`stream_upsert`, with deleted records moved to ``gone`` until they come back."""
-    def each(batch: DataFrame, n: int) -> None:
-        names = target.schema.names
-        both = upsert_latest(target.read().unionByName(gone.read()), batch.select(*names), ["concept_id"], "revision_id")
-        both = both.persist()
-        try:
-            target.replace(both.where("not deleted"), n)
-            gone.replace(both.where("deleted"), n)
-        finally:
-            both.unpersist()
 
-    return _run(events, each, checkpoint)
+def live(target: TargetTable) -> tuple[DataFrame, DataFrame]:
+    """The live and the deleted records of a target, as one batch left both; a deleted one may come back."""
+    rows = target.read()
+    return rows.where("not deleted"), rows.where("deleted")
 
 
 def notify(events: DataFrame, subs: DataFrame, permitted: DataFrame | None = None) -> DataFrame:
@@ -130,11 +83,8 @@ def derive_granules(events: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def stream_bounds(events: DataFrame, target: TargetTable, checkpoint: str):
-    """Temporal bounds of collections that only widen with each batch of granules."""
-    def each(batch: DataFrame, n: int) -> None:
-        target.replace(merge_bounds(target.read(), granule_bounds(batch)).drop("changed"), n)
-
-    return _run(events, each, checkpoint)
+    """Temporal bounds of collections that only widen with each batch of granules: a target of the :func:`~.targets.widest` rule."""
+    return _run(events, lambda batch, n: target.apply(granule_bounds(batch), n), checkpoint)
 
 
 def cascade_deletes(deletes: DataFrame, links: DataFrame, now) -> DataFrame:

@@ -1,9 +1,10 @@
 """Streams give what batches give."""
 
 import datetime as dt
+import json
 
 from catalograph.operators.revisions import upsert_latest
-from catalograph.streaming import events as st
+from catalograph.streaming import events as st, targets as tg
 
 SCHEMA = "concept_id string, revision_id int, deleted boolean, v string"
 ROWS = [("a", 2, False, "a2"), ("b", 1, False, "b1"), ("a", 1, False, "a1"), ("b", 2, True, "b2"), ("c", 5, True, "c5"), ("c", 6, False, "c6"), ("a", 2, False, "a2")]
@@ -16,25 +17,97 @@ def _files(spark, tmp_path):
     return src
 
 
+def _table(spark, path, buckets=3):
+    return tg.TargetTable(spark, str(path), spark.createDataFrame([], SCHEMA).schema, ["concept_id"], tg.newest(["concept_id"], "revision_id"), buckets)
+
+
 def test_upsert_equals_batch(spark, tmp_path):
     src = _files(spark, tmp_path)
-    schema = spark.createDataFrame([], SCHEMA).schema
-    target = st.TargetTable(spark, str(tmp_path / "t"), schema)
+    target = _table(spark, tmp_path / "t")
     for _ in range(2):  # a restart finds nothing new
-        st.stream_upsert(st.read_events(spark, src, schema, 2), target, str(tmp_path / "cp")).awaitTermination()
+        st.stream_upsert(st.read_events(spark, src, target.schema, 2), target, str(tmp_path / "cp")).awaitTermination()
     want = upsert_latest(spark.createDataFrame([], SCHEMA), spark.createDataFrame(ROWS, SCHEMA), ["concept_id"], "revision_id")
     assert sorted(map(tuple, target.read().collect())) == sorted(map(tuple, want.collect()))
     before = target.version()
-    target.replace(spark.createDataFrame([], SCHEMA), before)
-    assert target.read().count() == 3  # a batch that runs again changes nothing
+    target.apply(spark.createDataFrame([("z", 1, False, "z")], SCHEMA), before)
+    assert target.read().count() == 3 and target.version() == before  # a batch that runs again changes nothing
 
 
 def test_deletes_come_back(spark, tmp_path):
     src = _files(spark, tmp_path)
-    schema = spark.createDataFrame([], SCHEMA).schema
-    live, gone = (st.TargetTable(spark, str(tmp_path / x), schema) for x in ("live", "gone"))
-    st.stream_deletes(st.read_events(spark, src, schema, 1), live, gone, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["v"] for r in live.read().collect()) == ["a2", "c6"] and [r["v"] for r in gone.read().collect()] == ["b2"]
+    target = _table(spark, tmp_path / "t")
+    st.stream_upsert(st.read_events(spark, src, target.schema, 1), target, str(tmp_path / "cp")).awaitTermination()
+    live, gone = st.live(target)
+    assert sorted(r["v"] for r in live.collect()) == ["a2", "c6"] and [r["v"] for r in gone.collect()] == ["b2"]
+
+
+def _size(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    """One percent of the keys costs about one percent of the bytes; other buckets' files stay as they are."""
+    schema = "concept_id long, revision_id int, v string"
+    keys = ["concept_id"]
+    target = tg.TargetTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, keys, tg.newest(keys, "revision_id"), 4)
+    from pyspark.sql import functions as F
+
+    rows = lambda n, rev: spark.range(n).select(F.col("id").alias("concept_id"), F.lit(rev).alias("revision_id"), F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{rev}")), 512).alias("v"))
+    target.apply(rows(100_000, 1), 0)
+    base = _size(tmp_path / "t")
+    target.apply(rows(1_000, 2), 1)
+    assert _size(tmp_path / "t") - base < 0.02 * base
+    assert target.read().groupBy("revision_id").count().orderBy("revision_id").collect() == [(1, 99_000), (2, 1_000)]
+    target.apply(rows(500, 1), 2)  # late: loses
+    assert target.read().where("revision_id = 2").count() == 1_000
+    target.apply(rows(1, 3), 3)
+    touched = [k for k, v in target.manifest()["buckets"].items() if "delta-3" in v]
+    assert len(touched) == 1
+
+
+def test_buckets_are_compacted_alone(spark, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(tg, "MANY", 2)
+    rng = random.Random(0)
+    target, held = _table(spark, tmp_path / "t", 4), []
+    for n in range(9):
+        rows = [(rng.choice("abcdefghij") + ("" if n % 2 else "x"), rng.randrange(6), rng.random() < 0.3, str(rng.random())) for _ in range(rng.randrange(5))]
+        held.append(rows)
+        target.apply(spark.createDataFrame(rows, SCHEMA), n)
+    want = {}
+    for rows in held:
+        own = {}
+        for r in sorted(rows, key=lambda r: (r[1], json.dumps({"revision_id": r[1], "deleted": r[2], "v": r[3]}, separators=(",", ":")))):
+            own[r[0]] = r
+        for k, r in own.items():
+            if k not in want or r[1] >= want[k][1]:
+                want[k] = r
+    assert sorted(map(tuple, target.read().collect())) == sorted(want.values())
+    folders = target.manifest()["buckets"]
+    assert any(f.startswith("base-") for own in folders.values() for f in own) and all(len(own) <= 3 for own in folders.values())
+    left = {x.name for x in (tmp_path / "t").iterdir() if x.name.startswith(("delta-", "base-"))}
+    assert left >= {f for own in folders.values() for f in own} and len(left) <= 9
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    target = _table(spark, tmp_path / "t")
+    target.apply(spark.createDataFrame([("a", 1, False, "a1")], SCHEMA), 0)
+    seen = target.read()
+    target.apply(spark.createDataFrame([("a", 2, False, "a2"), ("b", 1, False, "b1")], SCHEMA), 1)
+    assert [r["v"] for r in seen.collect()] == ["a1"] and sorted(r["v"] for r in target.read().collect()) == ["a2", "b1"]
+    target.apply(spark.createDataFrame([], SCHEMA), 2)
+    assert target.version() == 2 and target.read().count() == 2
+
+
+def test_bounds_only_widen(spark, tmp_path):
+    schema = "collection_id string, start_date timestamp_ntz, end_date timestamp_ntz"
+    target = tg.TargetTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["collection_id"], tg.widest(["collection_id"]), 2)
+    day = lambda n: dt.datetime(2020, 1, n)
+    batches = [[("A", day(5), day(6)), ("B", day(1), None)], [("A", day(2), day(3)), ("B", day(2), day(9))], [("A", day(4), day(8)), ("C", day(1), day(1))]]
+    for n, rows in enumerate(batches):
+        target.apply(spark.createDataFrame(rows, schema), n)
+    assert sorted(map(tuple, target.read().collect())) == [("A", day(2), day(8)), ("B", day(1), None), ("C", day(1), day(1))]
 
 
 def test_notify_modes_and_permission(spark):
