@@ -2,7 +2,7 @@
 
 A rule (``acls``) names its provider, whether it applies to collections or granules, optional entry
 titles and concept ids, an access-value range, a temporal range with a mask, and permissions (group
-or user type, grants). Rules are few per provider; records meet them by an equi-join on provider.
+or user type, grants).
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import point_cells, range_cells
+from .joins import temporal_join
+
 
 def access_value_ok(value: Column, low: Column, high: Column, undefined: Column) -> Column:
     """A value in the rule's range, or none where the rule includes undefined; no rule permits all."""
@@ -42,12 +45,42 @@ def granting(acls: DataFrame, sids: list[str], permission: str) -> DataFrame:
 
 
 def _paired(records: DataFrame, acls: DataFrame, now) -> DataFrame:
+    """Records with the rules (``r_`` columns) that let them through, each pair once.
+
+    Rules meet records by what they name: titles and ids by equi-joins on them, access-value ranges by
+    the cells of their range, times that must meet by the tree of days, each within the provider. Only
+    rules that ask for none of these meet all records of their provider, which they permit. So a
+    provider's many rules add what they match. Each pair that is found is held against the whole rule.
+    """
     now = F.lit(now).cast("timestamp_ntz")
     rules = acls.select(*[F.col(c).alias(f"r_{c}") for c in acls.columns])
-    both = records.join(rules, F.col("provider_id") == F.col("r_provider_id"))
-    return both.where(
-        collection_rule_ok(F.col("entry_title"), F.col("concept_id"), F.col("r_entry_titles"), F.col("r_concept_ids"))
-        & access_value_ok(F.col("access_value"), F.col("r_access.min"), F.col("r_access.max"), F.col("r_access.include_undefined"))
+    provider = F.col("provider_id") == F.col("r_provider_id")
+    names = [*records.columns, *rules.columns]
+    titled, known = F.col("r_entry_titles").isNotNull(), F.col("r_concept_ids").isNotNull()
+    in_title = F.coalesce(F.array_contains("r_entry_titles", F.col("entry_title")), F.lit(False))
+
+    by_title = rules.where(titled).select("*", F.explode(F.array_distinct("r_entry_titles")).alias("_title"))
+    found = records.join(by_title, provider & (F.col("entry_title") == F.col("_title"))).select(*names)
+    by_id = rules.where(known).select("*", F.explode(F.array_distinct("r_concept_ids")).alias("_id"))
+    found = found.unionByName(records.join(by_id, provider & (F.col("concept_id") == F.col("_id"))).where(~in_title).select(*names))
+
+    open_ = rules.where(~titled & ~known)
+    low, high, none = F.col("r_access.min"), F.col("r_access.max"), F.coalesce(F.col("r_access.include_undefined"), F.lit(False))
+    ranged = low.isNotNull() | high.isNotNull()
+    cells = open_.where(ranged).select("*", F.explode(range_cells(low.cast("double"), high.cast("double"))).alias("_cell"))
+    valued = records.select("*", F.explode(point_cells(F.col("access_value").cast("double"))).alias("_own"))
+    found = found.unionByName(valued.join(cells, provider & (F.col("_own") == F.col("_cell"))).select(*names))
+    found = found.unionByName(records.where(F.col("access_value").isNull()).join(open_.where(none), provider).select(*names))
+
+    free = open_.where(low.isNull() & high.isNull() & F.col("r_access.include_undefined").isNull())
+    timely = F.coalesce(F.col("r_temporal.mask").isin("intersect", "contains") & (F.col("r_temporal.start") <= F.col("r_temporal.stop")), F.lit(False))
+    stop = F.coalesce("end_date", now)
+    timed = records.withColumns({"_from": F.least("start_date", stop), "_to": F.greatest("start_date", stop)}).where(F.col("start_date").isNotNull())
+    spans = free.where(timely).withColumns({"_since": F.col("r_temporal.start"), "_until": F.col("r_temporal.stop")})
+    found = found.unionByName(temporal_join(timed, spans, ("_from", "_to"), ("_since", "_until"), by=("provider_id", "r_provider_id")).select(*names))
+    found = found.unionByName(records.join(free.where(~timely), provider).select(*names))
+    return found.where(
+        access_value_ok(F.col("access_value"), low, high, F.col("r_access.include_undefined"))
         & temporal_rule_ok(F.col("start_date"), F.col("end_date"), F.col("r_temporal.start"), F.col("r_temporal.stop"), F.col("r_temporal.mask"), now)
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.numbers import point_cells, range_cells
+
 #: The parent's key, and the child's column that holds it.
 ID, PARENT = "concept_id", "collection_id"
 
@@ -182,9 +184,11 @@ def _fitted(df: DataFrame, s: str, e: str, tag: str) -> DataFrame:
     return d.withColumn(f"_{tag}own", F.col(f"_{tag}level") == F.col(f"_{tag}deep")).withColumn("_key", _node(F.col(f"_{tag}level"), F.col(f"_{tag}node")))
 
 
-def temporal_join(left: DataFrame, right: DataFrame, left_cols=("start_date", "end_date"), right_cols=("from_date", "to_date"), inclusive: bool = True) -> DataFrame:
+def temporal_join(left: DataFrame, right: DataFrame, left_cols=("start_date", "end_date"), right_cols=("from_date", "to_date"), inclusive: bool = True, by: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of rows whose times overlap; a null end is open. Equal rows pair each for itself.
 
+    ``by``: a column of each side, of different names, that must be equal too.
+
     Closed ranges go to the nodes of a dyadic tree of days that they fit in (two at most) and to the
     nodes above: a dozen levels, whatever their lengths. Two ranges meet at the longer one's level,
     where one side's own nodes are the other side's own or above, and count in the node of the later
@@ -205,14 +209,16 @@ def temporal_join(left: DataFrame, right: DataFrame, left_cols=("start_date", "e
     b = b.withColumn("_key", F.explode(F.when(F.col("_rown"), F.array(F.col("_key") * 2, F.col("_key") * 2 + 1)).otherwise(F.array(F.col("_key") * 2))))
     home = F.floor(F.greatest("_la", "_ra") / F.pow(F.lit(4.0), DEPTH - F.col("_llevel"))) == F.col("_lnode")
     meet = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) if inclusive else (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-    out = a.join(b, "_key").where(meet & home).select(*names)
+    same = F.lit(True) if by is None else F.col(by[0]) == F.col(by[1])
+    b = b.withColumnRenamed("_key", "_rkey")
+    out = a.join(b, (F.col("_key") == F.col("_rkey")) & same).where(meet & home).select(*names)
 
     def later(t: str, u: str, other: DataFrame) -> DataFrame:
         """Open rows of side t with rows of ``other``, of side u, that end at or after their start."""
         (_, s, _), (_, _, e) = sides[t], sides[u]
         own = opened[t].withColumn("_key", F.explode(_since(_day(s))))
         end = F.coalesce(_day(e), F.lit(4**DEPTH - 1))
-        met = own.join(other.withColumn("_key", F.explode(_above(end, 1))), "_key")
+        met = own.join(other.withColumn("_rkey", F.explode(_above(end, 1))), (F.col("_key") == F.col("_rkey")) & same)
         after = F.col(e) >= F.col(s) if inclusive else F.col(e) > F.col(s)
         return met.where(F.col(e).isNull() | after).select(*names)
 
@@ -235,11 +241,61 @@ def to_source(virtual: DataFrame, config: DataFrame) -> DataFrame:
     return v.withColumn("source_ur", F.replace("granule_ur", F.col("ur_to"), F.col("ur_from"))).drop("ur_from", "ur_to")
 
 
-def match_subscriptions(changes: DataFrame, subs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
-    """Changes x subscriptions of their collection, revised after the last run, by each query's rule."""
-    s = subs.select(F.col("concept_id").alias("subscription_id"), "subscriber_id", "collection_id", "query", "last_notified_at")
-    both = changes.join(s, "collection_id").where(F.col("last_notified_at").isNull() | (F.col("revision_date") > F.col("last_notified_at")))
-    ok = F.lit(True)
-    for query, rule in (rules or {}).items():
-        ok = F.when(F.col("query") == query, F.coalesce(rule, F.lit(False))).otherwise(ok)
-    return both.where(ok)
+ATOM = "struct<field:string,value:string,low:double,high:double>"
+
+
+def match_subscriptions(changes: DataFrame, subs: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Changes x subscriptions of their collection, revised after the last run, that meet all its atoms.
+
+    A subscription's query is data: ``atoms``, an array of (field, value, low, high). With a value the
+    change's field must equal it, or hold it if the field is an array, without case; without one the
+    field's number must lie in the range, a null bound being open. No atoms match every change.
+    ``fields``: columns that atoms may name, by default all strings, numbers and arrays of strings; a
+    field that isn't there meets nothing.
+
+    Each subscription is indexed under one atom: of its values the one that the fewest subscriptions
+    of the collection ask for, else its narrowest range. Changes find it by an equi-join on that value,
+    or on the cells of that range, and only what they find so is held against the other atoms. So
+    subscriptions that a change can't meet cost nothing, and a pair comes once.
+    """
+    kinds = dict(changes.dtypes)
+    names = [c for c in (fields or changes.columns) if c != "collection_id"]
+    texts = [c for c in names if kinds[c] in ("string", "array<string>")]
+    numbers = [c for c in names if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")]
+
+    def lower(c: str) -> Column:
+        own = F.array(c) if kinds[c] == "string" else F.coalesce(F.col(c), F.array().cast("array<string>"))
+        return F.array_distinct(F.transform(F.array_compact(own), F.lower))
+
+    def mapped(some: list[str], value, kind: str) -> Column:
+        return F.create_map(*[x for c in some for x in (F.lit(c), value(c))]) if some else F.create_map().cast(f"map<string,{kind}>")
+
+    c = changes.withColumns({"_texts": mapped(texts, lower, "array<string>"), "_numbers": mapped(numbers, lambda x: F.col(x).cast("double"), "double")})
+    atoms = F.transform(F.coalesce(F.col("atoms"), F.array().cast(f"array<{ATOM}>")), lambda a: a.withField("value", F.lower(a["value"])))
+    s = subs.select(F.col("concept_id").alias("subscription_id"), "subscriber_id", "collection_id", "last_notified_at", atoms.alias("_atoms"))
+    own = ["subscription_id", "subscriber_id", "collection_id", "last_notified_at", "_atoms"]
+    s = s.groupBy(*own).agg(F.count("*").alias("_copies"))  # equal rows as one, with their number
+
+    value = F.struct(F.col("a.field").alias("field"), F.col("a.value").alias("value"))
+    valued = s.select(*own, "_copies", F.explode("_atoms").alias("a")).where("a.value is not null").withColumn("_value", value)
+    asked = valued.groupBy(F.col("collection_id").alias("_c"), F.col("_value").alias("_v")).agg(F.sum("_copies").alias("_n"))
+    rare = valued.join(asked, (F.col("collection_id") == F.col("_c")) & (F.col("_value") == F.col("_v"))).groupBy(*own, "_copies").agg(F.min_by("_value", F.struct("_n", "_value")).alias("_value"))
+    rest = s.where(~F.exists("_atoms", lambda a: a["value"].isNotNull()))
+    width = F.transform("_atoms", lambda a: F.struct(F.coalesce(a["high"] - a["low"], F.lit(float("inf"))).alias("width"), a["field"].alias("field"), a["low"].alias("low"), a["high"].alias("high")))
+    ranged = rest.where(F.size("_atoms") > 0).withColumn("_range", F.array_min(width))
+    free = rest.where(F.size("_atoms") == 0)
+
+    by_value = c.select("*", F.explode("_texts").alias("_f", "_vs")).select("*", F.explode("_vs").alias("_v")).withColumn("_key", F.struct(F.col("_f").alias("field"), F.col("_v").alias("value"))).drop("_f", "_vs", "_v")
+    by_cell = c.select("*", F.explode("_numbers").alias("_f", "_x")).select("*", F.explode(point_cells(F.col("_x"))).alias("_cell")).withColumn("_key", F.struct(F.col("_f").alias("field"), "_cell")).drop("_f", "_x", "_cell")
+    cells = ranged.select("*", F.explode(range_cells(F.col("_range.low"), F.col("_range.high"))).alias("_cell")).withColumn("_key", F.struct(F.col("_range.field").alias("field"), "_cell")).drop("_range", "_cell")
+    found = by_value.join(rare.withColumnRenamed("_value", "_key"), ["collection_id", "_key"]).drop("_key")
+    found = found.unionByName(by_cell.join(cells, ["collection_id", "_key"]).drop("_key")).unionByName(c.join(free, "collection_id"))
+
+    def met(a: Column) -> Column:
+        x = F.col("_numbers")[a["field"]]
+        inside = x.isNotNull() & (a["low"].isNull() | (x >= a["low"])) & (a["high"].isNull() | (x <= a["high"]))
+        return F.coalesce(F.when(a["value"].isNotNull(), F.array_contains(F.col("_texts")[a["field"]], a["value"])).otherwise(inside), F.lit(False))
+
+    recent = F.col("last_notified_at").isNull() | (F.col("revision_date") > F.col("last_notified_at"))
+    out = found.where(recent & F.forall("_atoms", met)).select("*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    return out.select(*changes.columns, "subscription_id", "subscriber_id", F.col("_atoms").alias("atoms"), "last_notified_at")

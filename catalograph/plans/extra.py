@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import math
 
 from pyspark.sql import functions as F
 
@@ -120,11 +120,30 @@ def _(spark, d):
     return jn.to_virtual(g, config).select("order_id", "line", "virtual_ur")
 
 
+def _atom(field: str, value=None, low=None, high=None):
+    return F.struct(F.lit(field).alias("field"), *[(F.lit(None) if x is None else x).cast(t).alias(n) for n, x, t in (("value", value, "string"), ("low", low, "double"), ("high", high, "double"))])
+
+
 @query("jn21_match_subscriptions", sql("SELECT r.concept_id, r.revision_id, c.c_custkey AS subscription_id FROM revisions r JOIN customer c ON c.c_custkey = r.concept_id WHERE r.revision_date > TIMESTAMP '2024-01-20' AND (c.c_mktsegment <> 'BUILDING' OR r.value > 20)", "revisions"))
 def _(spark, d):
     r = ad.revisions(spark, d).withColumn("collection_id", F.col("concept_id"))
-    s = ad.read(spark, d, "customer").select(F.col("c_custkey").alias("concept_id"), F.lit("u").alias("subscriber_id"), F.col("c_custkey").alias("collection_id"), F.col("c_mktsegment").alias("query"), TS("2024-01-20").alias("last_notified_at"))
-    return jn.match_subscriptions(r, s, {"BUILDING": F.col("value") > 20}).select("concept_id", "revision_id", "subscription_id")
+    atoms = F.when(F.col("c_mktsegment") == "BUILDING", F.array(_atom("value", low=F.lit(math.nextafter(20.0, 21.0)))))
+    s = ad.read(spark, d, "customer").select(F.col("c_custkey").alias("concept_id"), F.lit("u").alias("subscriber_id"), F.col("c_custkey").alias("collection_id"), atoms.alias("atoms"), TS("2024-01-20").alias("last_notified_at"))
+    return jn.match_subscriptions(r, s).select("concept_id", "revision_id", "subscription_id")
+
+
+@query("jn21_subscription_atoms", sql("""SELECT r.concept_id, r.revision_id, c.c_custkey AS subscription_id FROM revisions r JOIN customer c ON c.c_custkey % 10 = r.concept_id % 10
+    WHERE (c.c_nationkey % 5 = 0 OR r.event_type = CASE c.c_nationkey % 5 WHEN 1 THEN 'click' WHEN 2 THEN 'error' WHEN 3 THEN 'view' ELSE 'purchase' END)
+    AND (c.c_nationkey % 3 = 0 OR r.value BETWEEN c.c_custkey % 97 AND c.c_custkey % 97 + c.c_nationkey)
+    AND (c.c_nationkey % 4 <> 1 OR r.revision_id >= 40) AND (c.c_nationkey % 6 <> 5 OR r.revision_date > TIMESTAMP '2024-01-15')""", "revisions"))
+def _(spark, d):
+    """Every customer subscribes by values, ranges, both or neither, a tenth of them to a collection of its own."""
+    r = ad.revisions(spark, d).withColumn("collection_id", F.col("concept_id") % 10)
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    kind = F.when(n % 5 == 1, "CLICK").when(n % 5 == 2, "error").when(n % 5 == 3, "View").otherwise("purchase")
+    atoms = F.array_compact(F.array(F.when(n % 5 != 0, _atom("event_type", kind)), F.when(n % 3 != 0, _atom("value", low=k % 97, high=k % 97 + n)), F.when(n % 4 == 1, _atom("revision_id", low=F.lit(40)))))
+    s = ad.read(spark, d, "customer").select(k.alias("concept_id"), F.lit("u").alias("subscriber_id"), (k % 10).alias("collection_id"), atoms.alias("atoms"), F.when(n % 6 == 5, TS("2024-01-15")).alias("last_notified_at"))
+    return jn.match_subscriptions(r, s).select("concept_id", "revision_id", "subscription_id")
 
 
 @query("st4_intersect_ids", sql("SELECT concept_id FROM collections WHERE version > 25 AND level = 'PROMO' AND short_name LIKE '%ring%'", "collections"))
