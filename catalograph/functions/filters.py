@@ -487,10 +487,29 @@ for _name, _make in {
 }.items():
     register_filter(_name, _make)
 
-# Limits on conditions, and on keyword wildcards by the longest keyword's length.
+# Limits on conditions and wildcards, and how many keywords with wildcards a query may
+# have by the length of the longest of them (up to so many characters, so many keywords; longer: none).
 MAX_CONDITIONS = 4100
 MAX_LEADING_WILDCARDS = 5
 MAX_KEYWORD_WILDCARDS = 30
+KEYWORD_LIMITS = [(4, 115), (5, 75), (7, 60), (16, 36), (40, 22), (74, 16), (110, 13), (182, 10), (241, 5)]
+
+
+def keyword_limit(longest: int) -> int:
+    """Keywords with wildcards that a query may have if the longest of them has so many characters."""
+    return min(MAX_KEYWORD_WILDCARDS, next((n for most, n in KEYWORD_LIMITS if longest <= most), 0))
+
+
+def keyword_problem(text: Column) -> Column:
+    """What is wrong with the wildcards of a column of keyword texts, such as those of saved queries; null if nothing is."""
+    text = F.coalesce(text, F.lit(""))
+    wild = F.filter(F.split(text, r"\s+"), lambda t: F.contains(t, F.lit("*")) | F.contains(t, F.lit("?")))
+    n, longest = F.size(wild), F.array_max(F.transform(wild, F.length))
+    most = F.lit(0)
+    for length, number in reversed(KEYWORD_LIMITS):
+        most = F.when(longest <= length, number).otherwise(most)
+    by_length = F.format_string("%d keywords with wildcards, %d allowed as the longest has %d characters", n, most, longest)
+    return F.when(n > MAX_KEYWORD_WILDCARDS, F.format_string("%d keywords with wildcards, %d allowed", n, F.lit(MAX_KEYWORD_WILDCARDS))).when(n > most, by_length)
 
 
 def check_query(spec: dict, max_conditions: int = MAX_CONDITIONS, max_leading: int = MAX_LEADING_WILDCARDS) -> None:
@@ -511,8 +530,9 @@ def check_query(spec: dict, max_conditions: int = MAX_CONDITIONS, max_leading: i
                         text = x.get("value") if isinstance(x, dict) else x
                         if isinstance(text, str) and text[:1] in ("*", "?"):
                             leading += 1
-                        if k == "keyword" and isinstance(text, str) and sum("*" in t or "?" in t for t in text.split()) > MAX_KEYWORD_WILDCARDS:
-                            raise ValueError("too many keyword wildcards")
+                        wild = [t for t in text.split() if "*" in t or "?" in t] if k == "keyword" and isinstance(text, str) else []
+                        if wild and len(wild) > keyword_limit(max(map(len, wild))):
+                            raise ValueError(f"too many keyword wildcards: {len(wild)}")
     if count > max_conditions:
         raise ValueError(f"too many conditions: {count}")
     if leading > max_leading:

@@ -294,6 +294,19 @@ def _(spark, d):
     return st.failed(spark, path).select("event_id", "batch", "error")
 
 
+# ---------------------------------------------------------------- guards
+
+_LIMIT = "CASE " + " ".join(f"WHEN longest <= {most} THEN {n}" for most, n in fl.KEYWORD_LIMITS) + " ELSE 0 END"
+
+
+@query("flt42_query_guards", f"""SELECT doc_id, CASE WHEN n > 30 THEN n || ' keywords with wildcards, 30 allowed' WHEN n > {_LIMIT} THEN n || ' keywords with wildcards, ' || {_LIMIT} || ' allowed as the longest has ' || longest || ' characters' END AS problem FROM
+    (SELECT doc_id, len(wild) AS n, list_max(list_transform(wild, lambda t: length(t))) AS longest FROM (SELECT doc_id, list_filter(regexp_split_to_array(replace(replace(coalesce(text, ''), 'qu', 'q*'), 'z', '?'), '\\s+'), lambda t: contains(t, '*') OR contains(t, '?')) AS wild FROM documents))""")
+def _(spark, d):
+    """Keyword texts of saved queries (texts of documents, with wildcards for some letters) against the limits."""
+    text = F.replace(F.replace("text", F.lit("qu"), F.lit("q*")), F.lit("z"), F.lit("?"))
+    return ad.read(spark, d, "documents").select("doc_id", fl.keyword_problem(text).alias("problem"))
+
+
 # ---------------------------------------------------------------- shapes
 
 _XY = "CAST(p_partkey * 7 % 340 - 170 AS DOUBLE) AS x, CAST(p_partkey * 3 % 160 - 80 AS DOUBLE) AS y"

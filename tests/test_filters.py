@@ -119,3 +119,21 @@ def test_data_type_default(spark):
     df = spark.createDataFrame([(1, None), (2, "SCIENCE_QUALITY"), (3, "OTHER")], "id int, data_type string")
     assert ids(df.where(fl.collection_data_type("science_quality"))) == [1, 2]
     assert ids(df.where(F.coalesce(fl.collection_data_type("other"), F.lit(False)))) == [3]
+
+
+def test_keyword_wildcards_by_length(spark):
+    """At each edge of the table: as many as allowed, one more, and one character more."""
+    edges = {1: 30, 4: 30, 5: 30, 7: 30, 8: 30, 16: 30, 17: 22, 40: 22, 41: 16, 74: 16, 75: 13, 110: 13, 111: 10, 182: 10, 183: 5, 241: 5, 242: 0}
+    texts = []
+    for length, most in edges.items():
+        assert fl.keyword_limit(length) == most
+        texts += [(" ".join(["x" * (length - 1) + "*"] + ["?"] * (n - 1) + ["plain"] * 9), n <= most) for n in (most, most + 1) if n]
+    df = spark.createDataFrame([*texts, (None, True), ("", True), ("no wildcard " * 200, True)], "t string, ok boolean")
+    assert df.where(fl.keyword_problem(F.col("t")).isNull() != F.col("ok")).count() == 0
+    for text, ok in texts:
+        if ok:
+            fl.check_query({"keyword": text})
+        else:
+            with pytest.raises(ValueError, match="keyword wildcards"):
+                fl.check_query({"and": [{"not": {"keyword": text}}]}, max_leading=10**6)
+    assert spark.createDataFrame([(" ".join(["a" * 20 + "*"] * 23),)], "t string").select(fl.keyword_problem(F.col("t"))).first()[0] == "23 keywords with wildcards, 22 allowed as the longest has 21 characters"
