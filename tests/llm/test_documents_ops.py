@@ -381,6 +381,9 @@ def test_licences_small(spark):
     assert (out[6]["n_base"], out[6]["first_word"], out[6]["last_word"]) == (2, 1, 4)
 
 
+BOTH = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. The code is licensed under a Creative Commons Attribution 4.0 International License"
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
@@ -388,6 +391,10 @@ def test_licences_small(spark):
         ("licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
         ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
         ("This work is licensed under a\nCreative Commons Attribution 4.0\nInternational License.", "cc-by"),
+        (BOTH, "cc-by,cc-by-nc"),
+        ("The code is under a Creative Commons Attribution 4.0 International License, this work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by,cc-by-nc-sa"),
+        ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("SPDX-License-Identifier: MIT", "mit"), ("BSD 3-Clause License", "bsd"), ("Licensed under MIT license", "mit"), ("CC BY-SA 3.0", "cc-by,cc-by-sa-3.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
         ("the fee of 4 dollars paid by him under the 0 rule was licensed", ""),
         ("under version 2 of this work he licensed " + passage(3, 30) + " the apache license of 0", ""),
         ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is free software.", "gpl,lgpl"),  # "general public license" is a base phrase
@@ -398,6 +405,41 @@ def test_licence_labels(spark, text, want):
         assert licences.scan(docs(spark, [(1, around[0] + text + around[1])])).first()["labels"] == want
 
 
+def test_families_from_the_requirement(spark):
+    """Notices of two families side by side, some words lost: each notice's own label, whatever stands beside it."""
+    rng = np.random.default_rng(5)
+    family = {label: text for label, text in licences.TEMPLATES if label.startswith("cc-by") or (label in ("gpl", "agpl", "lgpl") and text.startswith("This ") and len(text) > 100)}
+    anchors = {"attribution", "noncommercial", "noderivatives", "sharealike", "gnu", "affero", "lesser", "general", "4"}
+    data, want = [], {}
+    for i in range(60):
+        labels = [list(family)[k] for k in rng.permutation(len(family))[: int(rng.integers(1, 3))]]
+        parts = []
+        for label in labels:
+            said = family[label].replace("-", " ").split()
+            lost = int(rng.integers(0, 1 + len({w.lower() for w in said}) // 10))
+            can = [k for k, w in enumerate(said) if w.lower().strip(".,:;()") not in anchors]
+            drop = set(rng.permutation(can)[:lost].tolist())
+            parts.append(" ".join(w for k, w in enumerate(said) if k not in drop))
+        data.append((i, passage(700 + i, 40) + " " + f" {passage(800 + i, 3)} ".join(parts) + " " + passage(900 + i, 40)))
+        want[i] = set(labels)
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licences.scan(docs(spark, data)).collect()}
+    for i, labels in want.items():
+        assert labels <= got[i] <= labels | {"gpl"}, (i, labels, got[i])  # "general public license" is a base phrase
+
+
+def test_long_templates_have_no_cap(spark):
+    long = passage(70, 700)
+    join = licences.TemplateJoin(spark, [("long", long)])
+    from catalograph.llm.common import Scratch
+
+    assert join.templates[0].span >= 700
+    near = " ".join(w for k, w in enumerate(long.split()) if k % 8)
+    data = [(1, passage(71, 900) + " " + long), (2, passage(72, 300) + " " + near + " " + passage(73, 2000)), (3, " ".join(long.split()[:350])), (4, None)]
+    read = Scratch(spark, "t").store(join.read(docs(spark, data)))
+    ids = {r["row"]: r["doc_id"] for r in read.collect()}
+    assert {ids[r["row"]] for r in join.matches(read).collect()} == {1, 2}
+
+
 def test_blocks_against_brute_force(spark):
     """Templates from 4 to 90 words, at chance places and with words lost, against all blocks."""
     rng = np.random.default_rng(3)
