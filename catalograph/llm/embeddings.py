@@ -11,8 +11,9 @@ so buckets keep their size as data grow: a few hundred vectors, which one matrix
 while fewer bits need fewer tables and so fewer copies of a vector. The number of tables follows from the target recall: a pair at cosine c differs in a bit
 with probability arccos(c) / pi, and tables are independent draws of substrings. Pairs of a bucket
 are counted and joined inside tasks, never given out: a task adds to each vector's number of links
-the pairs for which this is the first table that they share, and returns the edges of a spanning
-forest of its links. Buckets of any size are split into pairs of blocks; none is capped. Only keys
+the pairs for which this is the first table that they share, and returns edges from its components'
+members to their smallest. A pair of blocks whose members all met in a table before is passed over,
+so a group of near copies costs one comparison, not one for each table. Buckets of any size are split into pairs of blocks; none is capped. Only keys
 of such buckets are joined to the vectors, which are shuffled once, in single precision where the
 column has it.
 
@@ -136,8 +137,24 @@ def _keyed(codes: dict[int, Codes], kind: str):
     return each
 
 
+def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest member that links i-j lead to, for each of ``n``: minima passed along until nothing changes."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _linked(codes: dict[int, Codes], kind: str):
-    """Of each pair of blocks: links that each vector gains, and the edges of a spanning forest."""
+    """Of each pair of blocks: links that each vector gains, and edges that lead to each component's smallest member."""
 
     def each(batches):
         for g in runs(batches, ["tab", "key", "bi", "bj"]):
@@ -149,46 +166,38 @@ def _linked(codes: dict[int, Codes], kind: str):
             keys = codes[x.shape[1]].keys(x)[:, :tab]
             left = np.flatnonzero(mine == bi)
             right = left if bi == bj else np.flatnonzero(mine == bj)
-            if not len(left) or not len(right):
-                continue
-            gained = np.zeros(len(node), np.int64)
-            parent = np.arange(len(node))
-
-            def root(i):
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            edges = []
+            if not len(left) or not len(right) or (keys == keys[:1]).all(0).any():
+                continue  # in some table before, all of these met already
+            gained, label = np.zeros(len(node), np.int64), np.arange(len(node))
             for k in range(0, len(left), 256):
                 rows = left[k : k + 256]
                 link = x[rows] @ x[right].T >= COSINE
                 if bi == bj:
                     link &= rows[:, None] < right[None]
+                some = int(link.sum())
+                if not some:
+                    continue
+                if 8 * some > link.size:  # many: all pairs of the slice at once
+                    for t in range(tab):
+                        link &= keys[rows, t][:, None] != keys[right, t][None]
                 i, j = np.nonzero(link)
+                if tab and 8 * some <= link.size:
+                    new = ~(keys[rows[i]] == keys[right[j]]).any(1)
+                    link[i[~new], j[~new]] = False
+                    i, j = i[new], j[new]
                 if not len(i):
                     continue
+                gained[rows] += link @ copies[right]
+                gained[right] += copies[rows] @ link
                 i, j = rows[i], right[j]
-                if tab:
-                    new = np.ones(len(i), bool)
-                    for c in range(0, len(i), 1 << 16):
-                        new[c : c + (1 << 16)] = ~(keys[i[c : c + (1 << 16)]] == keys[j[c : c + (1 << 16)]]).any(1)
-                    i, j = i[new], j[new]
-                np.add.at(gained, i, copies[j])
-                np.add.at(gained, j, copies[i])
-                for a, b in zip(i.tolist(), j.tolist()):
-                    p, q = root(a), root(b)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        edges.append((a, b))
+                apart = label[i] != label[j]
+                if apart.any():
+                    label = joined(len(node), np.concatenate([np.arange(len(node)), i[apart]]), np.concatenate([label, j[apart]]))
             some = np.flatnonzero(gained)
-            a = np.array([e[0] for e in edges], np.int64)
-            b = np.array([e[1] for e in edges], np.int64)
-            none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), none, pa.array(gained[some])], names=["a", "b", "links"])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "links"])
+            led = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(gained[some])], names=["a", "b", "links"])
+            if len(led):
+                yield pa.RecordBatch.from_arrays([pa.array(node[led]), pa.array(node[label[led]]), pa.array(np.zeros(len(led), np.int64))], names=["a", "b", "links"])
 
     return each
 

@@ -76,3 +76,28 @@ def test_recall_at_the_threshold():
     for size in (1000, 50_000, 2_000_000):
         codes = em.Codes(np.vstack([a, b])[:3000], size)
         assert (codes.keys(a) == codes.keys(b)).any(1).mean() >= 0.9
+
+
+def test_labels_of_links():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 0), (200, 120), (200, 400), (300, 299)):
+        i, j = (np.arange(m), np.arange(1, m + 1)) if m == n - 1 else (rng.integers(0, n, m), rng.integers(0, n, m))
+        want = np.arange(n)
+        for _ in range(n):
+            for a, b in zip(i, j):
+                want[a] = want[b] = min(want[a], want[b])
+        assert (em.joined(n, i, j) == want).all()
+
+
+def test_many_near_copies_in_time(spark):
+    """6000 near copies and others: every link counted once, whatever the number of tables they share."""
+    import time
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    x = np.vstack([base + 0.02 * rng.normal(size=(6000, 64)), rng.normal(size=(500, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    began = time.time()
+    got = em.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert (got.n_links[:6000] == 5999).all() and (got.n_links[6000:] == 0).all() and (got.component_id[:6000] == 0).all()
+    assert time.time() - began < 60
