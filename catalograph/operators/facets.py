@@ -191,8 +191,24 @@ def partition_balance(granules: DataFrame, own_share: float = 0.01) -> DataFrame
     return n.crossJoin(F.broadcast(total)).select("collection_id", "n", (F.col("n") >= F.col("total") * own_share).alias("own"))
 
 
+def keyword_nodes(keywords: DataFrame, levels: list[str]) -> DataFrame:
+    """(path, depth, value, children, leaves) of each node of a vocabulary: siblings merged, empty levels collapsed.
+
+    A node is a row, so a wide level is many rows and no task holds the tree; ``children`` counts the
+    nodes right below, ``leaves`` the different keywords at or below.
+    """
+    path = F.array_compact(F.array(*levels))
+    flat = keywords.select(path.alias("p")).where(F.size("p") > 0).distinct()
+    steps = flat.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth"))
+    here = F.slice("p", 1, F.col("depth"))
+    nodes = steps.groupBy(here.alias("path"), "depth").agg(F.count("*").alias("leaves"))
+    below = nodes.where("depth > 1").groupBy(F.slice("path", 1, F.col("depth") - 1).alias("_up")).agg(F.count("*").alias("children"))
+    out = nodes.join(below, F.col("path") == F.col("_up"), "left")
+    return out.select("path", "depth", F.element_at("path", -1).alias("value"), F.coalesce("children", F.lit(0)).alias("children"), "leaves")
+
+
 def keyword_tree(keywords: DataFrame, levels: list[str]) -> DataFrame:
-    """Flat vocabulary rows as nested levels: siblings merged, empty levels collapsed, sorted by value."""
+    """The tree of :func:`keyword_nodes` as one JSON text, sorted by value, for vocabularies that one answer can hold."""
     path = F.array_compact(F.array(*levels))
     flat = keywords.select(path.alias("p")).where(F.size("p") > 0).distinct()
     steps = flat.select(F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth"), "p").select(F.slice("p", 1, F.col("depth")).alias("p"), "depth").distinct()

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_M = 6378137.0
 #: Degrees that the earth turns in a second, against the stars.
@@ -45,37 +47,60 @@ def edges(lon: float, inclination: float, period_s: float, width_m: float, t: np
     return out[0], out[1]
 
 
+def swaths(lon, inclination, period_min, width_km, t0, t1, step: float = 300.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rings of the ground that passes see, for arrays of passes at once: (pass, points, points (lon, lat)).
+
+    A pass from t0 to t1 seconds after its crossing has a ring for each revolution: its left edge
+    forth, its right edge back, closed. The first result names each ring's pass, the second counts
+    its points.
+    """
+    lon, inclination, period, width, t0, t1 = (np.asarray(v, float) for v in (lon, inclination, np.multiply(period_min, 60.0), np.multiply(width_km, 1000.0), t0, t1))
+    rounds = np.maximum(0, np.ceil((t1 - t0) / period - 1e-12)).astype(int)
+    own = np.repeat(np.arange(len(lon)), rounds)
+    turn = np.arange(len(own)) - np.repeat(np.cumsum(rounds) - rounds, rounds)
+    start = t0[own] + turn * period[own]
+    stop = np.minimum(start + period[own], t1[own])
+    n = np.ceil((stop - start) / step - 1e-9).astype(int) + 1  # moments of a ring, its last included
+    ring = np.repeat(np.arange(len(own)), n)
+    k = np.arange(len(ring)) - np.repeat(np.cumsum(n) - n, n)
+    t = np.where(k == n[ring] - 1, stop[ring], start[ring] + k * step)
+    at = own[ring]
+    left, right = edges(lon[at], inclination[at], period[at], width[at, None], t)
+    points = np.empty((2 * n.sum() + len(n), 2))
+    begin = np.cumsum(2 * n + 1) - (2 * n + 1)
+    points[begin[ring] + k] = left
+    points[begin[ring] + 2 * n[ring] - 1 - k] = right
+    points[begin + 2 * n] = points[begin]
+    return own, 2 * n + 1, points
+
+
 def swath_rings(lon: float, inclination: float, period_min: float, width_km: float, t0: float, t1: float, step: float = 300.0) -> list[list[tuple[float, float]]]:
     """Rings of the ground seen from t0 to t1 seconds after the crossing, one for each revolution."""
-    period = period_min * 60.0
-    out, a = [], t0
-    while a < t1:
-        b = min(a + period, t1)
-        t = np.append(np.arange(a, b, step), b)
-        left, right = edges(lon, inclination, period, width_km * 1000.0, t)
-        ring = [*map(tuple, left), *map(tuple, right[::-1])]
-        out.append([*ring, ring[0]])
-        a = b
-    return out
+    _, size, points = swaths([lon], [inclination], [period_min], [width_km], [t0], [t1], step)
+    return [list(map(tuple, p)) for p in np.split(points, np.cumsum(size)[:-1])] if len(size) else []
 
 
-RINGS = "array<array<struct<lon:double,lat:double>>>"
+RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("lon", "lat")])))
 
 
 def swath_polygons(df: DataFrame, step: float = 300.0) -> DataFrame:
-    """``df`` with ``swath``, rings of each granule's ground.
+    """``df`` with ``swath``, rings of each granule's ground; null where a value is missing.
 
     Columns: crossing_lon, crossing_time, start_date, end_date, and orbit parameters inclination,
-    period (minutes) and swath_width (km).
+    period (minutes) and swath_width (km). A batch's granules are worked out together.
     """
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
-    @F.pandas_udf(RINGS)
-    def rings(lon: pd.Series, inc: pd.Series, period: pd.Series, width: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if any(pd.isna(v) for v in row) else [[{"lon": float(x), "lat": float(y)} for x, y in ring] for ring in swath_rings(*row, step)]
-            for row in zip(lon, inc, period, width, a, b)
-        ])
+    @F.arrow_udf(RINGS)
+    def rings(lon: pa.Array, inc: pa.Array, period: pa.Array, width: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        given = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (lon, inc, period, width, a, b)])
+        known = np.isfinite(given).all(1) & (given[:, 2] > 0)
+        own, size, points = swaths(*given[known].T, step)
+        flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], names=["lon", "lat"])
+        inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
+        count = np.zeros(len(given), np.int64)
+        np.add.at(count, np.flatnonzero(known)[own], 1)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), inner, mask=pa.array(~known))
 
     t = seconds("crossing_time")
     return df.withColumn("swath", rings("crossing_lon", "inclination", "period", "swath_width", seconds("start_date") - t, seconds("end_date") - t))

@@ -6,8 +6,6 @@ plain columns (``functions.boxes``); lines and polygons go through Arrow UDFs.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -291,36 +289,59 @@ def area_tiles(df: DataFrame, shape: str = "shape") -> DataFrame:
 # ---------------------------------------------------------------- search areas
 
 
-def read_areas(spark, path: str) -> DataFrame:
-    """(area_id, shape) of GeoJSON feature collections: a row for each polygon, line or point.
+#: Geometry types: the kind of shape, and how deep a shape's coordinates lie.
+GEOMETRIES = {"Polygon": ("polygon", 3), "MultiPolygon": ("polygon", 4), "LineString": ("line", 2), "MultiLineString": ("line", 3), "Point": ("point", 1), "MultiPoint": ("point", 2)}
+
+
+def _turned(ring: Column, hole: Column) -> Column:
+    """A ring of (lon, lat) counter-clockwise, a hole clockwise."""
+    x, y = (lambda p: p["lon"]), (lambda p: p["lat"])
+    sides = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: (x(q) - x(p)) * (y(q) + y(p)))
+    clockwise = F.aggregate(sides, F.lit(0.0), lambda a, v: a + v) > 0
+    return F.when((F.size(ring) > 1) & (clockwise != hole), F.reverse(ring)).otherwise(ring)
 
-    Features without geometry are dropped, rings are turned counter-clockwise (holes clockwise).
+
+def areas(features: DataFrame) -> DataFrame:
+    """(area_id, shape) of GeoJSON features, one text each in ``feature``: a row for each polygon, line or point.
+
+    ``area_id`` is the feature's id, else the text in ``place``. Features without geometry give no row.
+    """
+    f = features.select(F.coalesce(F.get_json_object("feature", "$.id"), F.col("place").cast("string")).alias("area_id"), F.get_json_object("feature", "$.geometry.type").alias("type"), F.get_json_object("feature", "$.geometry.coordinates").alias("c"))
+    deep = lambda n: "array<" * n + "double" + ">" * n
+    pair = lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))
+    out = None
+    for depth in (1, 2, 3, 4):
+        own = [t for t, (_, n) in GEOMETRIES.items() if n == depth]
+        if depth == 1:
+            parts = F.array(F.array(F.array(F.col("v"))))
+        elif depth == 2:  # a line, or points
+            parts = F.when(F.col("type") == "LineString", F.array(F.array(F.col("v")))).otherwise(F.transform("v", lambda p: F.array(F.array(p))))
+        elif depth == 3:  # a polygon, or lines
+            parts = F.when(F.col("type") == "Polygon", F.array(F.col("v"))).otherwise(F.transform("v", lambda r: F.array(r)))
+        else:
+            parts = F.col("v")
+        one = f.where(F.col("type").isin(own)).withColumn("v", F.from_json("c", deep(depth))).where(F.col("v").isNotNull())
+        one = one.select("area_id", "type", F.explode(parts).alias("rings"))
+        out = one if out is None else out.unionByName(one)
+    rings = F.transform("rings", lambda r: F.transform(r, pair))
+    kind = F.lit(None).cast("string")
+    for t, (name, _) in GEOMETRIES.items():
+        kind = F.when(F.col("type") == t, name).otherwise(kind)
+    turned = F.when(kind == "polygon", F.transform(rings, lambda r, k: _turned(r, k > 0))).otherwise(rings)
+    return out.select("area_id", F.struct(kind.alias("kind"), F.lit("geodetic").alias("coord_sys"), turned.alias("rings")).alias("shape"))
+
+
+def read_areas(spark, path: str, lines: bool = False) -> DataFrame:
+    """(area_id, shape) of GeoJSON files: collections of features or single ones, or with ``lines`` a feature a line.
+
+    Features without geometry are dropped, rings are turned counter-clockwise (holes clockwise). A
+    collection is cut into its features' texts first, which are parsed as rows of their own; files of
+    lines are split by Spark, however large.
     """
-    raw = spark.read.text(path, wholetext=True)
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("area_id", T.StringType()), T.StructField("shape", SHAPE)])))
-    def parse(texts: pd.Series) -> pd.Series:
-        return pd.Series([_areas(json.loads(t)) for t in texts])
-
-    return raw.select(F.explode(parse("value")).alias("a")).select("a.*")
-
-
-def _areas(doc: dict) -> list[dict]:
-    features = doc.get("features", [doc] if doc.get("type") == "Feature" else [])
-    out = []
-    for i, f in enumerate(features):
-        g = f.get("geometry")
-        if not g:
-            continue
-        name = str(f.get("id", i))
-        kind, c = g["type"], g.get("coordinates")
-        parts = {"Polygon": [c], "MultiPolygon": c, "LineString": [[c]], "MultiLineString": [[x] for x in c or []], "Point": [[[c]]], "MultiPoint": [[[x]] for x in c or []]}.get(kind, [])
-        name_of = {"Polygon": "polygon", "MultiPolygon": "polygon", "LineString": "line", "MultiLineString": "line"}.get(kind, "point")
-        for rings in parts:
-            if name_of == "polygon":
-                rings = [list(reversed(r)) if sh._clockwise([p[:2] for p in r], "cartesian") != (k > 0) else r for k, r in enumerate(rings)]
-            out.append({"area_id": name, "shape": {"kind": name_of, "coord_sys": "geodetic", "rings": [[{"lon": float(p[0]), "lat": float(p[1])} for p in r] for r in rings]}})
-    return out
+    raw = spark.read.text(path, wholetext=not lines)
+    whole = F.from_json("value", "struct<type:string,features:array<string>>")
+    each = F.when(whole["type"] == "Feature", F.array(F.col("value"))).otherwise(whole["features"])
+    return areas(raw.select(F.posexplode(each).alias("place", "feature")))
 
 
 def simplify_areas(df: DataFrame, most: int, shape: str = "shape", tolerance: float = 1e-4, tries: int = 5) -> DataFrame:

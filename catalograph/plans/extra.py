@@ -171,6 +171,14 @@ def _(spark, d):
     return fc.keyword_tree(ad.read(spark, d, "part"), ["p_brand", "p_type", "p_name"])
 
 
+@query("ag25_keyword_nodes", """WITH k AS (SELECT DISTINCT list_filter([p_brand, CASE WHEN p_size % 7 <> 0 THEN p_type END, p_name], lambda x: x IS NOT NULL) AS p FROM part),
+    n AS (SELECT p[1:d] AS path, d AS depth, count(*) AS leaves FROM k, range(1, 4) r(d) WHERE d <= len(p) GROUP BY 1, 2)
+    SELECT array_to_string(n.path, '|') AS path, CAST(n.depth AS INTEGER) AS depth, n.path[-1] AS value, count(b.path) AS children, n.leaves FROM n LEFT JOIN n b ON b.depth = n.depth + 1 AND b.path[1:n.depth] = n.path GROUP BY n.path, n.depth, n.leaves""")
+def _(spark, d):
+    p = ad.read(spark, d, "part").withColumn("p_type", F.when(F.col("p_size") % 7 != 0, F.col("p_type")))  # some without that level
+    return fc.keyword_nodes(p, ["p_brand", "p_type", "p_name"]).withColumn("path", F.array_join("path", "|"))
+
+
 @query("wn8_rank_positions", """SELECT source AS test_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS place, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS position FROM documents JOIN labels USING (doc_id) WHERE quality = 0""")
 def _(spark, d):
     from .more import _tests

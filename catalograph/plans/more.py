@@ -422,6 +422,28 @@ def _(spark, d):
     return ob.swath_polygons(g).select("order_id", "line", F.size("swath").alias("rings"), F.size(F.col("swath")[0]).alias("points"))
 
 
+_TRACK = """cos(radians({lat})) * cos(radians({lon})) AS {p}x, cos(radians({lat})) * sin(radians({lon})) AS {p}y, sin(radians({lat})) AS {p}z"""
+_LAT = "degrees(asin(sin(radians(94)) * sin(2 * pi() * ({t}) / 5802)))"
+_LON = "lon + degrees(atan2(cos(radians(94)) * sin(2 * pi() * ({t}) / 5802), cos(2 * pi() * ({t}) / 5802))) - 360 / 86164.0905 * ({t})"
+
+
+@query("sp15_swath_sums", sql(f"""SELECT order_id, line, CAST(count(*) + 1 AS INTEGER) AS points, round(sum(vx) + max(fx), 4) + 0.0 AS x, round(sum(vy) + max(fy), 4) + 0.0 AS y, round(sum(vz) + max(fz), 4) + 0.0 AS z FROM
+    (SELECT *, CASE WHEN t = 0 AND side = 1 THEN vx END AS fx, CASE WHEN t = 0 AND side = 1 THEN vy END AS fy, CASE WHEN t = 0 AND side = 1 THEN vz END AS fz FROM
+      (SELECT *, hx * c + side * nx / n * s AS vx, hy * c + side * ny / n * s AS vy, hz * c + side * nz / n * s AS vz FROM
+        (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS n, cos(200000 / 6378137.0) AS c, sin(200000 / 6378137.0) AS s FROM
+          (SELECT *, hy * az - hz * ay AS nx, hz * ax - hx * az AS ny, hx * ay - hy * ax AS nz FROM
+            (SELECT rid, order_id, line, t, {_TRACK.format(lat=_LAT.format(t="t"), lon=_LON.format(t="t"), p="h")}, {_TRACK.format(lat=_LAT.format(t="t + 1"), lon=_LON.format(t="t + 1"), p="a")}
+             FROM (SELECT row_number() OVER () AS rid, order_id, line, lon FROM granules), (SELECT 300.0 * i AS t FROM range(7) r(i)))), (VALUES (1), (-1)) w(side)))) GROUP BY rid, order_id, line""", "granules"))
+def _(spark, d):
+    """Swaths of half an hour of all granules: their points, summed up as vectors."""
+    g = ad.granules(spark, d).select("order_id", "line", F.col("lon").alias("crossing_lon"), F.col("start_date").alias("crossing_time"), "start_date", (F.col("start_date") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30))).alias("end_date"))
+    ring = F.col("swath")[0]
+    r = ob.swath_polygons(g.withColumns({"inclination": F.lit(94.0), "period": F.lit(96.7), "swath_width": F.lit(400.0)})).select("order_id", "line", ring.alias("ring"))
+    flat = lambda p: F.cos(F.radians(p["lat"]))
+    total = lambda f: F.round(F.aggregate("ring", F.lit(0.0), lambda a, p: a + f(p)), 4) + 0.0
+    return r.select("order_id", "line", F.size("ring").alias("points"), total(lambda p: flat(p) * F.cos(F.radians(p["lon"]))).alias("x"), total(lambda p: flat(p) * F.sin(F.radians(p["lon"]))).alias("y"), total(lambda p: F.sin(F.radians(p["lat"]))).alias("z"))
+
+
 # ---------------------------------------------------------------- documents, sources, sinks
 
 
@@ -549,6 +571,18 @@ def _(spark, d):
     return found.select("subscription_id", F.size("ids").cast("long").alias("n"))
 
 
+@query("sm5_digest_stream", """WITH e AS (SELECT c_custkey AS subscription_id, time_bucket(INTERVAL 6 HOUR, ts) AS since, user_id AS concept_id, event_id AS revision_id FROM events JOIN customer ON c_custkey // 10 = user_id % 10)
+    SELECT subscription_id, since, since + INTERVAL 6 HOUR AS until, concept_id, max(revision_id) AS revision_id FROM e WHERE since + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
+def _(spark, d):
+    """Digests of six hours for every customer, ten to a collection, of the periods that are over."""
+    root = _scratch(spark)
+    e = _stream(spark, d).select(F.col("user_id").alias("concept_id"), (F.col("user_id") % 10).alias("collection_id"), F.col("event_id").alias("revision_id"), F.col("ts").cast("timestamp").alias("revision_date"))
+    subs = ad.read(spark, d, "customer").select(F.col("c_custkey").alias("concept_id"), F.floor(F.col("c_custkey") / 10).alias("collection_id"))
+    out = st.digest_stream(e, subs, "6 hours", "1 hour")
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("since", "until")})
+
+
 @query("sm6_derive_granules", sql("SELECT 'v' || (concept_id + 1000) AS collection_id, 'virt-' || transaction_id AS granule_ur, revision_id, deleted FROM revisions WHERE concept_id % 2 = 0", "revisions"))
 def _(spark, d):
     r = ad.revisions(spark, d).select(F.col("concept_id").alias("collection_id"), F.concat(F.lit("src-"), F.col("transaction_id")).alias("granule_ur"), "revision_id", "deleted")

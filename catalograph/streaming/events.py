@@ -75,6 +75,23 @@ def digest(changes: DataFrame, subs: DataFrame, now, lookback_hours: int = 24) -
     return out, subs.withColumn("last_notified_at", now)
 
 
+def digest_stream(events: DataFrame, subs: DataFrame, period: str = "1 hour", delay: str = "10 minutes", time: str = "revision_date") -> DataFrame:
+    """(subscription_id, since, until, concept_id, revision_id): digests as a stream, a row for each record of a digest.
+
+    Each subscription's digest covers a period of the clock and comes once, when the watermark says
+    that no change of it is still to come; a record revised several times comes with its highest
+    revision. The state is one row for each subscription and record of an open period, spread by both,
+    so no subscription is one group. Restarted from its checkpoint the stream goes on where it was, and
+    with a file or table sink no digest is written twice. Changes later than ``delay`` are left to
+    :func:`digest`. Works on batches too, where every period is given out.
+    """
+    s = subs.select(F.col("concept_id").alias("subscription_id"), "collection_id").distinct()
+    found = events.withWatermark(time, delay).join(s, "collection_id")
+    w = F.window(time, period).alias("w")
+    out = found.groupBy(w, "subscription_id", "concept_id").agg(F.max("revision_id").alias("revision_id"))
+    return out.select("subscription_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "concept_id", "revision_id")
+
+
 def derive_granules(events: DataFrame, config: DataFrame) -> DataFrame:
     """Changes of derived records that a change of their source brings; deletes carry over."""
     c = config.select("collection_id", "virtual_collection_id", "ur_from", "ur_to")

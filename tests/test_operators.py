@@ -94,6 +94,12 @@ def test_location_prefers_the_shallowest(spark):
     assert dict(out(fixed, "location", "uuid"))["Chad"] == "u1"
 
 
+def test_keyword_nodes(spark):
+    k = spark.createDataFrame([("A", "x", "1"), ("A", "x", "2"), ("A", None, "2"), ("A", "x", "1"), ("B", None, None), (None, None, None)], "a string, b string, c string")
+    got = sorted((tuple(r["path"]), r["depth"], r["value"], r["children"], r["leaves"]) for r in fc.keyword_nodes(k, ["a", "b", "c"]).collect())
+    assert got == [(("A",), 1, "A", 2, 3), (("A", "2"), 2, "2", 0, 1), (("A", "x"), 2, "x", 2, 2), (("A", "x", "1"), 3, "1", 0, 1), (("A", "x", "2"), 3, "2", 0, 1), (("B",), 1, "B", 0, 1)]
+
+
 def test_interval_join_equals_brute_force(spark):
     import random
 

@@ -108,6 +108,63 @@ def test_tiles(spark):
         assert r["t"] in r["tiles"]
 
 
+def test_swaths_of_many_passes_at_once():
+    """Each ring of a batch is what the pass alone gives, with none, one and several revolutions."""
+    rng = random.Random(8)
+    passes = [(rng.uniform(-180, 180), rng.uniform(60, 120), 96.7, rng.uniform(50, 2000), t := rng.uniform(-3000, 3000), t + rng.choice([0, 299, 300, 301, 1800, 5802, 5803, 20000, -5])) for _ in range(60)]
+    own, size, points = ob.swaths(*zip(*passes))
+    rings = np.split(points, np.cumsum(size)[:-1])
+    for i, (lon, inc, period, width, a, b) in enumerate(passes):
+        mine = [r for r, k in zip(rings, own) if k == i]
+        assert len(mine) == max(0, math.ceil((b - a) / (period * 60) - 1e-12))
+        for turn, ring in enumerate(mine):
+            start = a + turn * period * 60
+            stop = min(start + period * 60, b)
+            n = (len(ring) - 1) // 2
+            assert n == math.ceil((stop - start) / 300 - 1e-9) + 1 and (ring[0] == ring[-1]).all()
+            for k, t in enumerate([*np.arange(start, stop - 1e-6, 300), stop]):
+                here = ob._unit(*ob.track(lon, inc, period * 60, np.array([t])))[0]
+                for p in (ring[k], ring[2 * n - 1 - k]):  # both edges lie half a swath off the track
+                    assert np.arccos(np.clip(ob._unit(*p) @ here, -1, 1)) * ob.EARTH_M == pytest.approx(width * 500, rel=1e-3)
+
+
+def test_swath_column(spark):
+    import datetime as dt
+
+    t = dt.datetime(2020, 1, 1)
+    df = spark.createDataFrame([(1, 10.0, t, t, t + dt.timedelta(hours=4), 94.0, 96.7, 400.0), (2, None, t, t, t, 94.0, 96.7, 400.0), (3, 10.0, t, t, t, 94.0, 96.7, 400.0)], "k int, crossing_lon double, crossing_time timestamp_ntz, start_date timestamp_ntz, end_date timestamp_ntz, inclination double, period double, swath_width double")
+    a, b, c = ob.swath_polygons(df).orderBy("k").collect()
+    assert [[tuple(p) for p in r] for r in a["swath"]] == ob.swath_rings(10.0, 94.0, 96.7, 400.0, 0, 4 * 3600) and len(a["swath"]) == 3
+    assert b["swath"] is None and c["swath"] == []
+
+
+def test_geojson_of_all_types(spark, tmp_path):
+    """Each geometry type, rings turned, ids of the feature or its place; a file of features a line gives the same."""
+    import json
+
+    square, hole = [[0, 0], [0, 4], [4, 4], [4, 0], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 2], [1, 1]]
+    geometry = [
+        ("Polygon", [square, hole]), ("MultiPolygon", [[square], [hole]]), ("LineString", [[0, 0], [1, 1, 9]]), ("MultiLineString", [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]),
+        ("Point", [5, 6]), ("MultiPoint", [[5, 6], [7, 8]]), ("GeometryCollection", None),
+    ]
+    features = [{"type": "Feature", **({"id": f"f{i}"} if i % 2 else {}), "properties": {"a": "{"}, "geometry": {"type": t, "coordinates": c}} for i, (t, c) in enumerate(geometry)] + [{"type": "Feature", "geometry": None}]
+    (tmp_path / "one.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(f) for f in features))
+    (tmp_path / "single.json").write_text(json.dumps(features[1]))
+    plain = lambda df: sorted((r["area_id"], r["shape"]["kind"], [[tuple(p) for p in ring] for ring in r["shape"]["rings"]]) for r in df.collect())
+    got = plain(sp.read_areas(spark, str(tmp_path / "one.json")))
+    turn = lambda ring: [tuple(map(float, p[:2])) for p in ring]
+    ccw = turn(square[::-1])
+    want = sorted([
+        ("0", "polygon", [ccw, turn(hole[::-1])]), ("f1", "polygon", [ccw]), ("f1", "polygon", [turn(hole)]), ("2", "line", [[(0.0, 0.0), (1.0, 1.0)]]), ("f3", "line", [[(0.0, 0.0), (1.0, 1.0)]]), ("f3", "line", [[(2.0, 2.0), (3.0, 3.0)]]),
+        ("4", "point", [[(5.0, 6.0)]]), ("f5", "point", [[(5.0, 6.0)]]), ("f5", "point", [[(7.0, 8.0)]]),
+    ])
+    assert got == want
+    lines = plain(sp.read_areas(spark, str(tmp_path / "lines.json"), lines=True))
+    assert [r[1:] for r in lines if r[0][0] == "f"] == [r[1:] for r in want if r[0][0] == "f"]
+    assert plain(sp.read_areas(spark, str(tmp_path / "single.json"))) == [r for r in want if r[0] == "f1"]
+
+
 def test_geojson_areas(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text('{"type":"FeatureCollection","features":[{"type":"Feature","id":"x","geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[0,1],[1,1],[1,0],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}},{"type":"Feature","geometry":null}]}')

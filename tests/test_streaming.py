@@ -137,3 +137,24 @@ def test_failing_batches_go_to_the_table(spark, tmp_path):
 
     st.with_retry(bad, str(tmp_path / "dead"), tries=2)(spark.createDataFrame(ROWS[:2], SCHEMA), 7)
     assert calls == [7, 7] and st.failed(spark, str(tmp_path / "dead")).where("batch = 7 and error = 'no'").count() == 2
+
+
+def test_digest_stream_goes_on_after_a_restart(spark, tmp_path):
+    """A stream stopped and started again: each period's digest once, with each record's last revision."""
+    schema = "concept_id string, collection_id string, revision_id int, revision_date timestamp"
+    at = lambda h, m=0: dt.datetime(2020, 1, 1, h, m)
+    subs = spark.createDataFrame([("S1", "C"), ("S1", "C"), ("S2", "C"), ("S3", "D")], "concept_id string, collection_id string")
+    parts = [
+        [("G1", "C", 1, at(0, 5)), ("G2", "C", 1, at(0, 10)), ("G9", "X", 1, at(0, 20))],
+        [("G1", "C", 2, at(0, 50)), ("G3", "D", 1, at(1, 5))],
+        [("G1", "C", 3, at(1, 30)), ("G2", "C", 2, at(4))],
+        [("G4", "D", 1, at(9)), ("G1", "C", 9, at(0, 1))],  # the last is too late
+    ]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        e = st.read_events(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        out = st.digest_stream(e, subs)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r["subscription_id"], r["since"].hour, r["concept_id"], r["revision_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("S1", 0, "G1", 2), ("S1", 0, "G2", 1), ("S1", 1, "G1", 3), ("S1", 4, "G2", 2), ("S2", 0, "G1", 2), ("S2", 0, "G2", 1), ("S2", 1, "G1", 3), ("S2", 4, "G2", 2), ("S3", 1, "G3", 1)]
