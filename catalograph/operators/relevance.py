@@ -28,6 +28,23 @@ def ranks(df: DataFrame, group: str, bucket: list[Column], order: list[Column],
     return d.withColumn(name, (F.col("_in") + F.col("_before")).cast("int")).drop("_b", "_g", "_of", "_before", "_in")
 
 
+#: Buckets that equal scores are spread over by id, and ids that their bounds are drawn from, at most about.
+SPREAD, DRAWN = 64, 4096
+
+
+def id_bucket(df: DataFrame, key: str) -> Column:
+    """A number that never falls along the ids of ``df``, equal for about one in ``SPREAD`` of them.
+
+    Its bounds are ids drawn by a hash, so the same rows give the same buckets.
+    """
+    n = df.count()
+    some = df.select(key).where(F.pmod(F.xxhash64(key), F.lit(max(1, n // DRAWN))) == 0).distinct().orderBy(key).limit(2 * DRAWN).collect()
+    ids = [r[0] for r in some if r[0] is not None]
+    bounds = sorted({ids[len(ids) * k // SPREAD] for k in range(1, SPREAD)}) if ids else []
+    kind = df.schema[key].dataType
+    return F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+
+
 def _expected(expected: DataFrame) -> DataFrame:
     """(test_id, place from 1, concept_id) of expected records, given so or as an array in order."""
     if "place" in expected.columns:
@@ -92,13 +109,15 @@ def tune_boosts(candidates: DataFrame, expected: DataFrame, hits: dict[str, Colu
     """(grid_id, dcg) of each boost set, best first; the first best of equal ones.
 
     ``candidates``: test_id, concept_id and the columns of ``hits``, a boolean column for each
-    boosted field. Scores of a pair under all sets come from one pass over the candidates.
+    boosted field. Scores of a pair under all sets come from one pass over the candidates. Ranks are
+    counted within one score and a range of ids, and moved up by what comes before, so no task ranks
+    a whole test, though most of its scores may be equal.
     """
     scores = F.array(*[_score(hits, b).alias("s") for b in grid])
     each = candidates.select("test_id", "concept_id", F.posexplode(scores).alias("grid_id", "score"))
-    w = W.partitionBy("grid_id", "test_id").orderBy(F.desc("score"), "concept_id")
-    ranked = each.withColumn("position", F.row_number().over(w))
-    keyed = ranked.select(F.concat_ws("#", "grid_id", "test_id").alias("test_id"), "concept_id", "position")
+    keyed = each.withColumn("_run", F.concat_ws("#", "grid_id", "test_id"))
+    keyed = ranks(keyed, "_run", [(-F.col("score")).alias("s"), id_bucket(candidates, "concept_id").alias("at")], [F.desc("score"), F.col("concept_id")], "position")
+    keyed = keyed.select(F.col("_run").alias("test_id"), "concept_id", "position")
     each_set = F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("grid_id")
     want = _expected(expected).select("*", each_set).select(F.concat_ws("#", "grid_id", "test_id").alias("test_id"), "place", "concept_id")
     m = relevance_metrics(keyed, want)

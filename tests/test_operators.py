@@ -94,6 +94,25 @@ def test_location_prefers_the_shallowest(spark):
     assert dict(out(fixed, "location", "uuid"))["Chad"] == "u1"
 
 
+def test_equal_scores_are_ranked_in_buckets(spark):
+    """One test whose candidates nearly all score the same: ranks by id, buckets of a bounded share."""
+    rows = [("T", i, i % 50 == 0) for i in range(20_000)] + [("U", i, True) for i in range(100)]
+    df = spark.createDataFrame(rows, "test_id string, concept_id int, hit boolean").repartition(5)
+    b = df.withColumn("b", rl.id_bucket(df, "concept_id"))
+    sizes = [r["count"] for r in b.groupBy("b").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 1500
+    assert b.groupBy("b").agg(F.min("concept_id").alias("lo"), F.max("concept_id").alias("hi")).selectExpr("sum(hi - lo + 1)").first()[0] == 20_000
+    expected = spark.createDataFrame([("T", 1, 50), ("T", 2, 1), ("U", 1, 7)], "test_id string, place int, concept_id int")
+    got = {r["grid_id"]: r["dcg"] for r in rl.tune_boosts(df, expected, {"h": F.col("hit")}, [{"h": 1.0}, {"h": 2.0}]).collect()}
+    import math
+
+    gain = lambda order: sum((3 - place) / math.log2(r + 2) for r, place in enumerate(order))
+    assert got == {0: pytest.approx((gain([2, 1]) / gain([1, 2]) + 1) / 2), 1: pytest.approx(1.0)}
+    text = df.select(F.concat(F.lit("C"), "concept_id").alias("concept_id"))
+    assert text.withColumn("b", rl.id_bucket(text, "concept_id")).groupBy("b").agg(F.min("concept_id").alias("lo"), F.max("concept_id").alias("hi")).orderBy("lo").selectExpr("count(*)").first()[0] > 40
+    assert df.limit(0).withColumn("b", rl.id_bucket(df.limit(0), "concept_id")).count() == 0
+
+
 def test_keyword_nodes(spark):
     k = spark.createDataFrame([("A", "x", "1"), ("A", "x", "2"), ("A", None, "2"), ("A", "x", "1"), ("B", None, None), (None, None, None)], "a string, b string, c string")
     got = sorted((tuple(r["path"]), r["depth"], r["value"], r["children"], r["leaves"]) for r in fc.keyword_nodes(k, ["a", "b", "c"]).collect())
