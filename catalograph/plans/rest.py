@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx, dates, filters as fl, text as tx
-from ..operators import access as ac, documents as dc, edits as ed, facets as fc, orbit as ob, spatial as sp, suggest as sg
+from ..operators import access as ac, documents as dc, edits as ed, facets as fc, granule_edits as gd, orbit as ob, spatial as sp, suggest as sg
 from ..sources import adapters as ad, readers as rd
 from ..sources.adapters import inside_arcs, sql
 from ..streaming import events as st
@@ -294,6 +294,25 @@ def _(spark, d):
     return st.failed(spark, path).select("event_id", "batch", "error")
 
 
+@query("js2_link_edits", """SELECT o_orderkey AS granule_ur, k < 8 AND k <> 4 AS edited, CASE k WHEN 4 THEN 'a direct link must start with s3://, but was http://bad' END AS message,
+    CASE k WHEN 0 THEN 'http://b,s3://old' WHEN 1 THEN a || ',s3://old,http://c' WHEN 2 THEN 's3://old' WHEN 3 THEN 's3://n,s3://m,' || a WHEN 5 THEN a || ',s3://old,https://opendap.cloud.x/' || o_orderkey WHEN 6 THEN a || ',s3://old,s3://m' ELSE a || ',s3://old' END AS urls,
+    CASE k WHEN 7 THEN 'm,-' ELSE CASE WHEN k IN (2) THEN '-' WHEN k IN (1, 3, 5, 6) THEN '-,-,-' ELSE '-,-' END END AS mime_types FROM (SELECT o_orderkey, o_orderkey % 9 AS k, 'http://a/' || o_orderkey AS a FROM orders)""")
+def _(spark, d):
+    """Edits of links by eight events over all orders, some broken, some with nothing asked."""
+    key = F.col("o_orderkey")
+    k, own = key % 9, F.concat(F.lit("http://a/"), key)
+    o = ad.read(spark, d, "orders").select("o_orderkey")
+    link = lambda url, kind: F.struct(url.alias("url"), F.lit(kind).alias("type"), *[F.lit(None).cast("string").alias(n) for n in ("subtype", "mime_type", "description")])
+    g = o.select(key.alias("granule_ur"), F.array(link(own, "GET DATA"), link(F.lit("s3://old"), gd.DIRECT)).alias("related_urls"), F.lit(None).cast(f"array<struct<{gd.FILE}>>").alias("files"))
+    given = lambda **v: F.array(F.struct(*[v.get(n, F.lit(None)).cast("string").alias(n) for n in ("url", "from", "to", "type", "subtype", "mime_type", "description")]))
+    names = ["update_field:relatedurl", "append_to_field:relatedurl", "remove_field:relatedurl", "update_field:s3link", "update_field:s3link", "append_to_field:opendaplink", "append_to_field:s3link", "update_field:mimetype"]
+    links = F.when(k == 0, given(**{"from": own, "to": F.lit("http://b")})).when(k == 1, given(url=F.lit("http://c"))).when(k == 2, given(url=own)).when(k == 7, given(url=own, mime_type=F.lit("m")))
+    value = F.when(k == 3, "s3://n, s3://n,s3://m").when(k == 4, "s3://n,http://bad").when(k == 5, F.concat(F.lit("https://opendap.cloud.x/"), key)).when(k == 6, "s3://old,s3://m")
+    i = o.where(k < 8).select(key.alias("granule_ur"), F.element_at(F.array(*[F.lit(n) for n in names]), (k + 1).cast("int")).alias("event_type"), links.alias("links"), value.alias("value"), F.lit(None).cast(f"array<struct<{gd.FILE}>>").alias("files"))
+    e = gd.edit_links_and_files(g, i)
+    return e.select("granule_ur", "edited", "message", F.array_join("related_urls.url", ",").alias("urls"), F.array_join(F.transform("related_urls", lambda x: F.coalesce(x["mime_type"], F.lit("-"))), ",").alias("mime_types"))
+
+
 # ---------------------------------------------------------------- guards
 
 _LIMIT = "CASE " + " ".join(f"WHEN longest <= {most} THEN {n}" for most, n in fl.KEYWORD_LIMITS) + " ELSE 0 END"
