@@ -8,8 +8,8 @@ a bounded memo of each worker.
 
 Null texts are empty and give no tokens. Repeated rows stay, with equal tokens; an empty table gives
 an empty result. A text is one value in a task, however long: its ids take up to four times its
-bytes, and its decoded bytes as many again. Other columns pass through :meth:`Tokenizer.encode`, but
-one named ``ids`` (or ``decoded``) would then be there twice: drop it first; :func:`digest` ignores them.
+bytes, and its decoded bytes as many again. Other columns pass through :meth:`Tokenizer.encode`, and
+one named ``ids`` (or ``decoded``) is replaced; :func:`digest` ignores them.
 Ids are little-endian: workers are taken to be so too.
 """
 
@@ -187,6 +187,7 @@ class Tokenizer:
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``ids``: the tokens of ``text`` as little-endian unsigned 32-bit integers."""
+        docs = docs.drop("ids")
         shared, key, names = self.shared, self.key, docs.columns
         at = names.index("text")
 
@@ -202,6 +203,7 @@ class Tokenizer:
 
     def decode(self, tokens: DataFrame) -> DataFrame:
         """``tokens`` with ``decoded``: the bytes of ``ids``, null for null."""
+        tokens = tokens.drop("decoded")
         shared, key, names = self.shared, self.key, tokens.columns
         at = names.index("ids")
 

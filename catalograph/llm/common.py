@@ -63,7 +63,11 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of :meth:`store` that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self.remove(df._scratch_path)
+
+    def remove(self, path: str) -> None:
+        """Delete files below the shared folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

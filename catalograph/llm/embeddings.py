@@ -19,7 +19,7 @@ column has it.
 
 Copies (equal components) first collapse to one vector with a weight. Vectors that are null, zero,
 or hold null or non-finite components link with nothing, and neither do vectors of different
-length. Rows with one ``vec_id`` are vectors of their own that share an id. An empty table gives
+length. ``vec_id`` is an integer; a vector is one value in a task, however long. Rows with one ``vec_id`` are vectors of their own that share an id. An empty table gives
 an empty result; labels and other columns are ignored.
 """
 

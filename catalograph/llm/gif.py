@@ -5,6 +5,7 @@ interlacing, transparency and disposal (keep, background, previous), and gives t
 a colour histogram each. The encoder stores a payload as square frames of palette indices; the
 palette is the identity grey ramp, so each decoded pixel's level is the payload byte.
 
+``doc_id`` is an integer, or text that reads as one. Equal texts give equal values, so there are no ties.
 Null texts are empty; a null or broken file gives its good frames and a reason: so do a code size that
 the format doesn't know and a screen of more than ``MOST_PIXELS``. Repeated rows stay, with equal
 values. An empty table gives an empty result; other columns are ignored. A text is one value in a

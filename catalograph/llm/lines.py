@@ -77,9 +77,10 @@ class LineRuns:
         return self.spark.table(name)
 
     def close(self) -> None:
-        """Drop all runs; their tables' files are no longer needed once results are written."""
+        """Drop all runs and their files; what :meth:`dropped` stored stays."""
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.scratch.remove(f"{self.scratch.root}/{name}")
         self.levels, self.known, self.tables = [], [], []
 
     def frequent(self) -> DataFrame | None:
@@ -156,12 +157,13 @@ class LineRuns:
 def dedup(docs: DataFrame, batches: int = BATCHES, **settings) -> DataFrame:
     """Feed ``docs`` to a new store in ``batches`` by text hash, then drop frequent lines."""
     store = LineRuns(docs.sparkSession, **settings)
-    keyed = store.scratch.store(key_hashes(docs, store.least), "keys")
-    for i in range(batches):
-        store.add(keyed.where(F.pmod("t1", F.lit(batches)) == i) if batches > 1 else keyed)
-    out = store.dedup(docs, keyed)  # reads what is stored by now, no run
-    store.close()
-    return out
+    try:
+        keyed = store.scratch.store(key_hashes(docs, store.least), "keys")
+        for i in range(batches):
+            store.add(keyed.where(F.pmod("t1", F.lit(batches)) == i) if batches > 1 else keyed)
+        return store.dedup(docs, keyed)  # reads what is stored by now, no run
+    finally:
+        store.close()
 
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

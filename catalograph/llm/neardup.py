@@ -24,7 +24,7 @@ drops a pair only if it lies 4.5 standard deviations below the threshold.
 Null or empty texts have no set: ``n_shingles`` 0, component of their own, kept. Repeated rows are
 copies: each row comes back. Rows with a null ``doc_id`` take part; a component's id is its
 smallest non-null id (null if it has none; such rows are kept). An empty table gives an empty result.
-Hashes are 64-bit: two sets are taken for equal if their digests are.
+``doc_id`` is an integer, or text that reads as one. Hashes are 64-bit: two sets are taken for equal if their digests are.
 """
 
 from __future__ import annotations

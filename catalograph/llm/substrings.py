@@ -17,7 +17,7 @@ collapse: rows with one word sequence are one node; of several rows with one seq
 or more every word occurs elsewhere.
 
 Null or empty texts have no words. Repeated rows are copies of each other. A null ``doc_id`` is a
-value like another. An empty table gives an empty result. Columns other than ``doc_id`` and ``text``
+value like another; ``doc_id`` is an integer, or text that reads as one. An empty table gives an empty result. Columns other than ``doc_id`` and ``text``
 are ignored, whatever their names. A text is one value in a task, with some ten times its size in
 hashes while it is read. Texts, windows and segments are equal if their 128-bit hashes are.
 """

@@ -27,7 +27,7 @@ one window of each in a round. Scores use the text alone, all of it.
 Null or empty texts score like a window without any shared subsequence. Repeated rows stay, with
 equal scores; so do very long texts, which are one row in a task like any other. Without labels of
 both kinds every score is the share of toxic labels (0 without labels). An empty table gives an
-empty result. A null ``doc_id`` has no label and counts as held out. Other columns pass through; a
+empty result. Of several texts of one id the first in order is learned from. A null ``doc_id`` has no label and counts as held out. Other columns pass through; a
 column named ``score`` is replaced.
 """
 
@@ -428,7 +428,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     picked = known.where("toxic = 1").orderBy(order).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(order).limit(MOST_CLEAN))
     picked = scratch.store(picked, "picked")
     text = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by the two limits
-    text = text.groupBy(F.col("doc_id").cast("string").alias("doc"), "toxic").agg(F.first("text").alias("text"))
+    text = text.groupBy(F.col("doc_id").cast("string").alias("doc"), "toxic").agg(F.min("text").alias("text"))
     text = scratch.store(text, "texts")
     count = {r["toxic"]: r["count"] for r in text.groupBy("toxic").count().collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))

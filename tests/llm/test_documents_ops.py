@@ -31,22 +31,64 @@ OPS = {
 }
 
 
-@pytest.mark.parametrize("name", OPS)
-def test_odd_rows_each_come_back(spark, name):
+def _words(pattern, t):
+    return re.findall(pattern, t or "")
+
+
+def _shingles(t):
+    w = _words(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    return len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0
+
+
+#: What each operator says of a row by its text alone, whatever stands beside it: columns, and their values.
+SAYS = {
+    "op2": (("n_assign", "n_access", "n_hex", "spans", "blob"), lambda t: (0, 0, 0, "", hashlib.sha256((t or "").encode()).hexdigest())),
+    "op3": (("n_bytes", "payload_bytes"), lambda t: (n := len((t or "").encode()), 576 * max(1, -(-n // 576)))),
+    "op4": (("n_lines", "n_dropped", "text"), lambda t: ((t or "").count("\n") + 1, 0, t or "")),
+    "op5": (("n_shingles",), lambda t: (_shingles(t),)),
+    "op7": (("n_words", "n_base", "first_word", "labels", "score"), lambda t: (len(_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())), 0, None, "", 0.0)),
+    "op8": (("n_words",), lambda t: (len(_words(r"[^\x20\x09-\x0D]+", t)),)),
+    "op10": (("decoded_sha256",), lambda t: (hashlib.sha256((t or "").encode()).hexdigest(),)),
+}
+
+
+@pytest.mark.parametrize("name", SAYS)
+def test_odd_rows_each_have_their_values(spark, name):
+    """Null, blank, very long and repeated rows: every row once, with what its text asks for."""
+    df = odd(spark)
+    columns, says = SAYS[name]
+    want = sorted(((r.doc_id, *says(r.text)) for r in df.collect()), key=repr)
+    assert rows(OPS[name](df, spark), "doc_id", *columns) == want
+
+
+def test_odd_rows_are_mixed_whole(spark):
+    """Operator 1 gives every row at least once; rows of one id and source share its readings."""
     df = odd(spark)
-    n = OPS[name](df, spark).count()
-    assert n == df.count() if name != "op1" else n >= df.count()
+    got = OPS["op1"](df, spark).groupBy("doc_id", "text", "source").count().collect()
+    want = {(r.doc_id, r.text, r.source) for r in df.collect()}
+    assert {(r.doc_id, r.text, r.source) for r in got} == want and sum(r["count"] for r in got) >= df.count()
+
+
+@pytest.mark.parametrize("name", ("op5", "op8"))
+def test_odd_copies_are_found(spark, name):
+    got = {(r.doc_id, *((r.component_id, r.kept) if name == "op5" else (r.n_removed,))) for r in OPS[name](odd(spark), spark).collect() if r.doc_id in (4, 5, 6, 7)}
+    assert got == ({(4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True)} if name == "op5" else {(4, 6000), (5, 6000), (6, 0), (7, 0)})
 
 
 @pytest.mark.parametrize("name", OPS)
 def test_empty_table(spark, name):
-    assert OPS[name](empty(spark), spark).count() == 0
+    """No rows, and the columns that rows would have."""
+    out = OPS[name](empty(spark), spark)
+    assert out.count() == 0 and out.dtypes == OPS[name](docs(spark, [(1, "a b c")]), spark).dtypes
 
 
 @pytest.mark.parametrize("name", OPS)
 def test_clashing_columns(spark, name):
-    df = docs(spark, [(1, "a b c"), (2, "d e f")])
-    assert OPS[name](clashing(df), spark).count() == 2
+    """Columns named like an operator's own change no row of its result."""
+    df = docs(spark, [(k, passage(k % 3, 40) + f" tail {k} password: abcdefgh1") for k in range(6)]).unionByName(odd(spark))
+    plain, clash = OPS[name](df, spark), OPS[name](clashing(df), spark)
+    own = [c for c in plain.columns if c not in ("place", "mix_block", "mix_key", "epoch")]
+    assert rows(clash, *own) == rows(plain, *own)
 
 
 # ---------------------------------------------------------------- 1
