@@ -39,6 +39,14 @@ def sweep(events: DataFrame, key: str, at: str, change: str) -> DataFrame:
     return events.withColumn("running", F.sum(change).over(w))
 
 
+def merge_adjacent(spans: DataFrame, interval: str, key: str = "collection_id") -> DataFrame:
+    """Spans (key, s, e, n, left) merged where one ends a unit before the next starts; counts add up, ``left`` is the last's."""
+    w = W.partitionBy(key).orderBy("s")
+    apart = F.coalesce(_steps(interval, F.lag("e").over(w), F.col("s")) != 1, F.lit(True))
+    d = spans.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_span", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return d.groupBy(key, "_span").agg(F.min("s").alias("s"), F.max_by("e", "s").alias("e"), F.max_by("left", "s").alias("left"), F.sum("n").alias("n"))
+
+
 def timeline(granules: DataFrame, interval: str, start: dt.datetime, end: dt.datetime, check: bool = False) -> DataFrame:
     """(collection_id, start, end, n): spans with granules at the granularity, clipped to the request.
 
@@ -62,11 +70,7 @@ def timeline(granules: DataFrame, interval: str, start: dt.datetime, end: dt.dat
     spans = swept.groupBy("collection_id", "_closed").agg(
         F.min("at").alias("s"), F.max(F.when(F.col("change") < 0, F.col("at"))).alias("e"), F.sum("hits").alias("n"), F.sum("change").alias("left")
     )
-    # adjacent spans: an earlier end one unit before this start
-    w = W.partitionBy("collection_id").orderBy("s")
-    apart = F.coalesce(_steps(interval, F.lag("e").over(w), F.col("s")) != 1, F.lit(True))
-    spans = spans.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_span", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    merged = spans.groupBy("collection_id", "_span").agg(F.min("s").alias("s"), F.max_by("e", "s").alias("e"), F.max_by("left", "s").alias("left"), F.sum("n").alias("n"))
+    merged = merge_adjacent(spans, interval)
     open_ = (F.col("left") != 0) | F.col("e").isNull()
     out = merged.select(
         "collection_id", F.greatest("s", a).alias("start"), F.when(open_, b).otherwise(F.least(_plus(interval, F.col("e")), b)).alias("end"), "n"

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import core, extra, more, rest
+from . import core, extra, more, rest, single
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "extra", "more", "rest"]
+__all__ = ["QUERIES", "SQL", "core", "extra", "more", "rest", "single"]
