@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, filters as fl
-from ..operators import sorting as so, timeline as tl
+from ..functions import boxes as bx, dates, filters as fl
+from ..operators import quality as dq, sorting as so, spatial as sp, timeline as tl
 from ..sources import adapters as ad, sinks as sk
 from ..sources.adapters import sql
 from .more import _scratch, _stream
@@ -91,3 +91,69 @@ def _(spark, d):
 @query("so6_offset_page", sql("SELECT concept_id, version FROM collections ORDER BY version DESC, concept_id LIMIT 123 OFFSET 456", "collections"))
 def _(spark, d):
     return so.page(so.sort_by(ad.collections(spark, d), ["-version"], "variable"), 123, offset=456).select("concept_id", "version")
+
+
+# ---------------------------------------------------------------- every branch of a rule
+
+
+@query("dq3_reference_branches", sql("""SELECT order_id, line, concat_ws(';', CASE WHEN len(a) > 0 THEN 'platforms: ' || array_to_string(a, ', ') END, CASE WHEN len(b) > 0 THEN 'sensors: ' || array_to_string(b, ', ') END) AS errors FROM
+    (SELECT order_id, line, list_sort(list_filter([lower(flag), 'x' || line], lambda x: NOT list_contains(CASE WHEN version % 5 > 0 THEN [lower(substr(level, 1, 1)), 'x' || version % 7, 'n'] ELSE [] END, x))) AS a,
+      CASE WHEN line % 3 > 0 THEN list_filter(['s' || line], lambda x: x <> 's' || version % 4) ELSE [] END AS b FROM granules g JOIN collections c ON g.collection_id = c.concept_id)""", "granules", "collections"))
+def _(spark, d):
+    """Names in two fields: several lost, one, none, and nulls on either side."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    g = ad.granules(spark, d).withColumns({"platforms": F.array(F.col("flag"), text("X", F.col("line"))), "sensors": F.when(F.col("line") % 3 > 0, F.array(text("s", F.col("line"))))})
+    c = ad.collections(spark, d).withColumns({"platforms": F.when(F.col("version") % 5 > 0, F.array(F.col("level").substr(1, 1), text("x", F.col("version") % 7), F.lit("N"))), "sensors": F.array(text("S", F.col("version") % 4))})
+    return dq.check_references(g, c.select("concept_id", "platforms", "sensors"), ["platforms", "sensors"]).select("order_id", "line", F.array_join("errors", ";").alias("errors"))
+
+
+@query("dq5_grid_branches", sql("""SELECT order_id, line, CASE WHEN line = 7 THEN 'grid unknown to parent' ELSE concat_ws(',', CASE WHEN size < 5 OR size > 30 THEN 'start_1 out of bounds' END, CASE WHEN size + line > 30 THEN 'end_1 out of bounds' END,
+    CASE WHEN lat < -60 OR lat > 45 THEN 'start_2 out of bounds' END, CASE WHEN line % 2 = 0 AND lat + line > 45 OR line % 2 = 0 AND lat + line < -60 THEN 'end_2 out of bounds' END) END AS errors FROM granules""", "granules"))
+def _(spark, d):
+    """Each end of both axes on either side of its bounds, ends left out, and a grid that the parent doesn't know."""
+    x, y, k = F.col("size"), F.col("lat"), F.col("line")
+    bounds = F.when(k != 7, F.struct(F.lit(5.0).alias("min_1"), F.lit(30.0).alias("max_1"), F.lit(-60.0).alias("min_2"), F.lit(45.0).alias("max_2")))
+    g = ad.granules(spark, d).withColumns({"grid": F.struct(x.alias("start_1"), (x + k).alias("end_1"), y.alias("start_2"), F.when(k % 2 == 0, y + k).alias("end_2")), "bounds": bounds})
+    g = g.withColumn("grid", F.when(k != 7, F.col("grid").withField("end_1", F.greatest(F.col("grid.end_1"), F.lit(5.0)))).otherwise(F.col("grid")))
+    return dq.check_grid(g).select("order_id", "line", F.array_join("errors", ",").alias("errors"))
+
+
+_KINDS = ["FLOAT", "INT", "BOOLEAN", "DATE", "DATETIME", "STRING", "TIME_STRING"]
+_VALUES = ["12.5", "40", "true", "2001-02-03", "2001-02-03T04:05:06", "abc", "2001-02-30", "-7", None]
+
+
+@query("dq6_attribute_branches", """WITH k(i, kind, lo, hi) AS (VALUES (0, 'FLOAT', '0', '30'), (1, 'INT', '-3', NULL), (2, 'BOOLEAN', NULL, NULL), (3, 'DATE', '2001-03-01', NULL), (4, 'DATETIME', NULL, '2001-01-01T00:00:00'), (5, 'STRING', 'a', NULL), (6, 'TIME_STRING', NULL, NULL)),
+    v(j, value) AS (VALUES (0, '12.5'), (1, '40'), (2, 'true'), (3, '2001-02-03'), (4, '2001-02-03T04:05:06'), (5, 'abc'), (6, '2001-02-30'), (7, '-7'), (8, NULL)),
+    e AS (SELECT kind, value, CASE kind || ':' || coalesce(value, '') WHEN 'FLOAT:12.5' THEN '' WHEN 'FLOAT:40' THEN 'value out of range' WHEN 'FLOAT:-7' THEN 'value out of range' WHEN 'FLOAT:' THEN '' WHEN 'INT:40' THEN '' WHEN 'INT:-7' THEN 'value out of range' WHEN 'INT:' THEN ''
+      WHEN 'BOOLEAN:true' THEN '' WHEN 'BOOLEAN:' THEN '' WHEN 'DATE:2001-02-03' THEN 'value out of range' WHEN 'DATE:2001-02-03T04:05:06' THEN 'value out of range' WHEN 'DATE:' THEN '' WHEN 'DATETIME:2001-02-03' THEN 'value out of range' WHEN 'DATETIME:2001-02-03T04:05:06' THEN 'value out of range' WHEN 'DATETIME:' THEN ''
+      ELSE CASE kind WHEN 'STRING' THEN 'range not allowed' WHEN 'TIME_STRING' THEN '' ELSE 'value does not parse' END END AS errors, i, j FROM k, v)
+    SELECT event_id, kind, e.value, errors FROM events JOIN e ON i = event_id % 7 AND j = event_id % 9""")
+def _(spark, d):
+    """Each type with values that fit, don't parse, lie outside, and ranges where none belongs."""
+    pick = lambda some, n: F.element_at(F.array(*[F.lit(x).cast("string") for x in some]), (F.col("event_id") % n + 1).cast("int"))
+    e = ad.read(spark, d, "events").select("event_id", pick(_KINDS, 7).alias("kind"), pick(_VALUES, 9).alias("value"), pick(["0", "-3", None, "2001-03-01", None, "a", None], 7).alias("lo"), pick(["30", None, None, None, "2001-01-01T00:00:00", None, None], 7).alias("hi"))
+    return e.select("event_id", "kind", "value", F.array_join(dq.attribute_errors(F.col("kind"), F.col("value"), F.col("lo"), F.col("hi")), ",").alias("errors"))
+
+
+@query("dq7_repeated_names", """WITH n AS (SELECT o_custkey, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT o_custkey, coalesce('priority must be unique: ' || string_agg(p, ', ' ORDER BY p) FILTER (n > 1), '') AS errors FROM n GROUP BY 1""")
+def _(spark, d):
+    """Which names a record has twice, each once and in order."""
+    o = ad.read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("names"))
+    return dq.check_unique(o, F.col("names"), "priority").select("o_custkey", F.array_join("errors", ";").alias("errors"))
+
+
+_AT = "degrees(atan(tan(radians(y)) * cos(radians({} - x - 30)) / cos(radians(30))))"
+
+
+@query("sp9_arcs_meet_box", f"""SELECT p_partkey, lo <= hi AND least(a, b, CASE WHEN x + 30 BETWEEN lo AND hi THEN m ELSE 90 END) <= 40 AND greatest(a, b, CASE WHEN x + 30 BETWEEN lo AND hi THEN m ELSE -90 END) >= -35 AS met FROM
+    (SELECT *, {_AT.format("lo")} AS a, {_AT.format("hi")} AS b, {_AT.format("(x + 30)")} AS m FROM (SELECT *, greatest(x, -50) AS lo, least(x + 60, 70) AS hi FROM
+      (SELECT p_partkey, p_partkey * 7 % 290 - 170 + 0.2 AS x, p_partkey * 3 % 160 - 80 + 0.3 AS y FROM part)))""")
+def _(spark, d):
+    """Geodetic lines against a box: arcs that rise over its parallels and come down within it."""
+    k = F.col("p_partkey")
+    p = ad.read(spark, d, "part").select("p_partkey", (k * 7 % 290 - 170 + 0.2).alias("x"), (k * 3 % 160 - 80 + 0.3).alias("y"))
+    point = lambda x: F.struct(x.alias("lon"), F.col("y").alias("lat"))
+    line = F.struct(F.lit("line").alias("kind"), F.lit("geodetic").alias("coord_sys"), F.array(F.array(point(F.col("x")), point(F.col("x") + 60))).alias("rings"))
+    box = sp.box_shape(bx.box(*[F.lit(float(v)) for v in (-50, 40, 70, -35)]))
+    return p.select("p_partkey", sp.shape_intersects(line, box).alias("met"))
