@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spatial import shape_covers_point
+
 EARTH_M = 6378137.0
 #: Degrees that the earth turns in a second, against the stars.
 TURN = 360.0 / 86164.0905
@@ -106,56 +108,83 @@ def swath_polygons(df: DataFrame, step: float = 300.0) -> DataFrame:
     return df.withColumn("swath", rings("crossing_lon", "inclination", "period", "swath_width", seconds("start_date") - t, seconds("end_date") - t))
 
 
-def crossing_range(lon: float, lat: float, inclination: float, period_min: float, width_km: float, ascending: bool) -> tuple[float, float] | None:
-    """Crossing longitudes (min, max; wrapping if min > max) of passes whose swath sees a point.
+#: Moments at which a pass is looked at: first all of its half turn, then the part where it is near. Points at once.
+COARSE, FINE, ROWS = 2001, 6001, 32
+
+
+def crossings(lat, inclination, period_min, width_km, ascending) -> tuple[np.ndarray, np.ndarray]:
+    """Crossing longitudes (first, last; wrapping if first > last) of passes whose swath sees a point at longitude 0.
 
-    None if no pass sees it; (-180, 180) if every pass does. The longitudes that the swath of a pass
-    crossing at longitude 0 sees on the point's circle of latitude give the crossings by a shift.
+    Arrays of points and orbits at once; nan if no pass sees the point, -180 and 180 if every pass does.
+    The longitudes that the swath of a pass crossing at longitude 0 sees on the point's circle of
+    latitude give the crossings by a shift. They are as exact as a pass moves between two moments.
     """
-    period, half = period_min * 60.0, np.degrees(width_km * 1000.0 / 2 / EARTH_M)
-    top = inclination if inclination <= 90 else 180 - inclination
-    if abs(lat) > top + half:
-        return None
-    if abs(lat) >= 180 - top - half and top + half > 90:
-        return -180.0, 180.0
+    lat, inclination, period, half = (np.asarray(v, float) for v in (lat, inclination, np.multiply(period_min, 60.0), np.degrees(np.multiply(width_km, 1000.0) / 2 / EARTH_M)))
+    ascending = np.asarray(ascending, bool)
+    top = np.where(inclination <= 90, inclination, 180 - inclination)
+    a, b = np.full(len(lat), np.nan), np.full(len(lat), np.nan)
+    every = (np.abs(lat) >= 180 - top - half) & (top + half > 90) & (np.abs(lat) <= top + half)
+    a[every], b[every] = -180.0, 180.0
+    rest = np.flatnonzero((np.abs(lat) <= top + half) & ~every)
+    for i in range(0, len(rest), ROWS):
+        at = rest[i : i + ROWS]
+        a[at], b[at] = _crossings(lat[at], inclination[at], period[at], half[at], ascending[at])
+    return a, b
+
+
+def _crossings(lat, inclination, period, half, ascending):
+    column = lambda v: v[:, None]
     target, widest = np.sin(np.radians(lat)), np.radians(half)
 
     def offsets(t: np.ndarray):
         """At each moment the swath is the arc across the track; where it cuts the circle of latitude."""
-        x, y = track(0.0, inclination, period, t)
-        here, ahead = _unit(x, y), _unit(*track(0.0, inclination, period, t + 1.0))
+        here = _unit(*track(0.0, column(inclination), column(period), t))
+        ahead = _unit(*track(0.0, column(inclination), column(period), t + 1.0))
         side = np.cross(here, ahead)
         side /= np.linalg.norm(side, axis=-1, keepdims=True)
-        r = np.hypot(here[:, 2], side[:, 2])
-        base, off = np.arctan2(side[:, 2], here[:, 2]), np.arccos(np.clip(target / np.maximum(r, 1e-15), -1, 1))
+        r = np.hypot(here[..., 2], side[..., 2])
+        base, off = np.arctan2(side[..., 2], here[..., 2]), np.arccos(np.clip(column(target) / np.maximum(r, 1e-15), -1, 1))
         turn = lambda d: (d + np.pi) % (2 * np.pi) - np.pi
-        return here, side, r >= abs(target), (turn(base + off), turn(base - off))
+        return here, side, r >= np.abs(column(target)), (turn(base + off), turn(base - off))
+
+    def moments(first, last, n: int) -> np.ndarray:
+        return column(first) + column(last - first) * np.linspace(0, 1, n)
 
-    a, b = (-period / 4, period / 4) if ascending else (period / 4, 3 * period / 4)
-    t = np.linspace(a, b, 2001)
+    start, stop = np.where(ascending, -period / 4, period / 4), np.where(ascending, period / 4, 3 * period / 4)
+    t = moments(start, stop, COARSE)
     _, _, ok, both = offsets(t)
-    near = np.flatnonzero(ok & (np.minimum(*np.abs(both)) <= 3 * widest + 0.05))
-    if not len(near):
-        return None
-    t = np.linspace(max(a, t[near[0]] - 6.0), min(b, t[near[-1]] + 6.0), 6001)  # finer where it matters
-    here, side, ok, both = offsets(t)
-    found = []
+    near = ok & (np.minimum(*np.abs(both)) <= column(3 * widest + 0.05))
+    rows = np.arange(len(lat))
+    first, last = t[rows, near.argmax(1)], t[rows, COARSE - 1 - near[:, ::-1].argmax(1)]
+    here, side, ok, both = offsets(moments(np.maximum(start, first - 6.0), np.minimum(stop, last + 6.0), FINE))  # finer where it matters
+    seen = []
     for d in both:
-        hit = ok & (np.abs(d) <= widest)
-        v = here[hit] * np.cos(d[hit])[:, None] + side[hit] * np.sin(d[hit])[:, None]
-        found.append(np.degrees(np.arctan2(v[:, 1], v[:, 0])))
-    seen = np.concatenate(found)
-    if not len(seen):
+        v = here * np.cos(d)[..., None] + side * np.sin(d)[..., None]
+        hit = ok & (np.abs(d) <= column(widest)) & column(near.any(1))
+        # a pass crossing at c sees the point if the track at 0 sees longitude -c
+        seen.append(np.where(hit, np.mod(-np.degrees(np.arctan2(v[..., 1], v[..., 0])), 360), np.nan))
+    cross = np.sort(np.concatenate(seen, 1), 1)  # what isn't seen comes last
+    n = np.isfinite(cross).sum(1)
+    end = np.maximum(n - 1, 0)
+    gaps = np.full(cross.shape, -1.0)
+    gaps[:, :-1] = np.nan_to_num(np.diff(cross, axis=1), nan=-1.0)
+    gaps[rows, end] = cross[rows, 0] + 360 - cross[rows, end]
+    k = np.nan_to_num(gaps, nan=-1.0).argmax(1)  # the largest gap lies between the last crossing and the first
+    one = (n == 1) | (gaps[rows, k] < 1e-9)
+    wrap = lambda v: (v + 180) % 360 - 180
+    a = np.where(one, cross[:, 0], cross[rows, (k + 1) % np.maximum(n, 1)])
+    b = np.where(one, cross[:, 0], cross[rows, k])
+    return np.where(n > 0, wrap(a), np.nan), np.where(n > 0, wrap(b), np.nan)
+
+
+def crossing_range(lon: float, lat: float, inclination: float, period_min: float, width_km: float, ascending: bool) -> tuple[float, float] | None:
+    """:func:`crossings` of one point: a range of longitudes, or None if no pass sees it."""
+    a, b = crossings([lat], [inclination], [period_min], [width_km], [ascending])
+    if np.isnan(a[0]):
         return None
-    # a pass crossing at c sees the point if the track at 0 sees longitude lon - c
-    cross = np.sort(np.mod(lon - seen, 360))
-    gaps = np.diff(np.append(cross, cross[0] + 360))
-    k = int(gaps.argmax())
-    if gaps[k] < 1e-9 or len(cross) == 1:
-        c = float((cross[0] + 180) % 360 - 180)
-        return c, c
-    wrap = lambda v: float((v + 180) % 360 - 180)
-    return wrap(cross[(k + 1) % len(cross)]), wrap(cross[k])
+    if (a[0], b[0]) == (-180.0, 180.0):
+        return -180.0, 180.0
+    return float((a[0] + lon + 180) % 360 - 180), float((b[0] + lon + 180) % 360 - 180)
 
 
 def merge_circular(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -178,8 +207,6 @@ def area_points(areas: DataFrame) -> DataFrame:
     ``areas``: ring, gap, and columns that come back with lon and lat. An outline of one point is
     that point, and one of three or fewer has no inside.
     """
-    from ..functions import shapes as sh
-
     keys = [c for c in areas.columns if c not in ("ring", "gap")]
     steps = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int")))
     x, y = (lambda p: F.col(p)["lon"]), (lambda p: F.col(p)["lat"])
@@ -198,11 +225,8 @@ def area_points(areas: DataFrame) -> DataFrame:
         n = F.ceil((F.col(f"max_{c}") - F.col(f"min_{c}")) / F.col("gap") - 0.5)
         grid = grid.withColumn("n", n).where("n > 0").withColumn("k", steps(F.col("n") - 1)).withColumn(c, F.col(f"min_{c}") + (F.col("k") + 0.5) * F.col("gap"))
 
-    @F.pandas_udf("boolean")
-    def inside(ring: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.Series:
-        return pd.Series([bool(sh.cartesian_covers(np.array([(q["lon"], q["lat"]) for q in r], float), (a, b))) for r, a, b in zip(ring, lon, lat)])
-
-    grid = grid.where(inside("ring", "lon", "lat")).select(*keys, "lon", "lat")
+    inner = F.struct(F.lit("polygon").alias("kind"), F.lit("cartesian").alias("coord_sys"), F.array("ring").alias("rings"))
+    grid = grid.where(shape_covers_point(inner, F.col("lon"), F.col("lat"))).select(*keys, "lon", "lat")
     return first.unionByName(outline).unionByName(grid)
 
 
@@ -225,10 +249,10 @@ def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
     points = area_points(outlines.join(kinds, how="cross").withColumn("gap", gap)).withColumn("gap", gap)
     points = points.withColumn("ascending", F.explode(F.array(F.lit(True), F.lit(False))))
 
-    @F.pandas_udf("struct<a:double,b:double>")
-    def sees(lat: pd.Series, inc: pd.Series, period: pd.Series, width: pd.Series, up: pd.Series) -> pd.DataFrame:
-        found = [crossing_range(0.0, *row) or (None, None) for row in zip(lat, inc, period, width, up)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=float)
+    @F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("a", "b")]))
+    def sees(lat: pa.Array, inc: pa.Array, period: pa.Array, width: pa.Array, up: pa.Array) -> pa.Array:
+        a, b = crossings(*(c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (lat, inc, period, width)), up.to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (a, b)], names=["a", "b"])
 
     sees = sees.asNondeterministic()  # else the filter and each use of its result work it out again
 

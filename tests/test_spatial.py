@@ -205,6 +205,21 @@ def test_crossing_ranges_see_what_swaths_cover():
     assert ob.crossing_range(0, 89.9, 60.0, 96.7, 400.0, True) is None
 
 
+def test_crossings_of_many_points_are_those_of_each():
+    """A batch of points and orbits gives what each gives alone; ranges hold the tracks that come near, by distance."""
+    rng = random.Random(11)
+    rows = [(rng.uniform(-90, 90), rng.uniform(40, 140), rng.uniform(90, 110), rng.choice([5.0, 300.0, 2500.0]), rng.random() < 0.5) for _ in range(70)]
+    a, b = ob.crossings(*zip(*rows))
+    kinds = set()
+    for k, (lat, inc, period, width, up) in enumerate(rows):
+        got = ob.crossing_range(0.0, lat, inc, period, width, up)
+        assert (got is None) == np.isnan(a[k]) and (got is None or got == pytest.approx((a[k], b[k]), abs=1e-9))
+        top = min(inc, 180 - inc) + np.degrees(width * 500 / ob.EARTH_M)
+        assert (got is None) == (abs(lat) > top) or abs(abs(lat) - top) < 0.05
+        kinds.add(None if got is None else got == (-180.0, 180.0))
+    assert kinds == {None, False, True} or kinds == {None, False}
+
+
 def test_narrow_swaths_over_a_line(spark):
     """A 5 km swath misses no pass over a line, by the distance of tracks from the line."""
     line, inc, period, width = [(10.0, 20.0), (10.6, 20.0)], 94.0, 96.7, 5.0
