@@ -109,7 +109,7 @@ def swath_polygons(df: DataFrame, step: float = 300.0) -> DataFrame:
 
 
 #: Moments at which a pass is looked at: first all of its half turn, then the part where it is near. Points at once.
-COARSE, FINE, ROWS = 2001, 6001, 32
+COARSE, FINE, ROWS = 2001, 3001, 32
 
 
 def crossings(lat, inclination, period_min, width_km, ascending) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def _crossings(lat, inclination, period, half, ascending):
     start, stop = np.where(ascending, -period / 4, period / 4), np.where(ascending, period / 4, 3 * period / 4)
     t = moments(start, stop, COARSE)
     _, _, ok, both = offsets(t)
-    near = ok & (np.minimum(*np.abs(both)) <= column(3 * widest + 0.05))
+    near = ok & (np.minimum(*np.abs(both)) <= column(1.2 * widest + 0.02))
     rows = np.arange(len(lat))
     first, last = t[rows, near.argmax(1)], t[rows, COARSE - 1 - near[:, ::-1].argmax(1)]
     here, side, ok, both = offsets(moments(np.maximum(start, first - 6.0), np.minimum(stop, last + 6.0), FINE))  # finer where it matters
