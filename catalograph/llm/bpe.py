@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import MASK, mix, table, tidy
 
-#: Pre-tokens and pairs that a worker remembers, each.
-MEMO = 150_000
+#: Pre-tokens and pairs that a worker remembers, each: some 150 MB when full.
+MEMO = 800_000
 STEP = 0x9E3779B97F4A7C15
 
 
