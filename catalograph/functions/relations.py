@@ -12,6 +12,8 @@ Longitudes count modulo 360, so a ring or box may run beyond 180. Edges belong t
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from . import shapes as sh
@@ -74,8 +76,8 @@ class Path:
 
 def _arcs_meet(a, b, c, d):
     """Pairs (i, j) and points where arcs a-b and c-d cross."""
-    line = np.cross(np.cross(a, b)[:, None], np.cross(c, d)[None])
-    size = np.linalg.norm(line, axis=-1, keepdims=True)
+    line = sh.cross(sh.cross(a, b)[:, None], sh.cross(c, d)[None])
+    size = sh.norm(line, True)
     x = line / np.maximum(size, 1e-15)
     out = []
     for v in (x, -x):
@@ -102,7 +104,7 @@ def _segments_meet(a, b, c, d):
 
 def _parallel_meets(a, b, c, d):
     """Pairs and points where arcs cross pieces of parallels: A cos(lon) + B sin(lon) + C = 0."""
-    n = np.cross(a, b)
+    n = sh.cross(a, b)
     lat = np.radians(c[:, 1])
     size = np.hypot(n[:, 0], n[:, 1])[:, None]
     value = -n[:, 2:3] * np.tan(lat)[None] / np.maximum(size, 1e-300)
@@ -122,7 +124,7 @@ def _parallel_meets(a, b, c, d):
 
 def _slope_meets(a, b, c, d):
     """Pairs and points where arcs cross one sloped segment c-d: roots of the height over the arc's plane."""
-    n = np.cross(a, b)
+    n = sh.cross(a, b)
     steps = int(np.ceil(np.abs(d - c).max() / STEP)) + 1
     t = np.linspace(0, 1, steps + 1)
 
@@ -235,6 +237,34 @@ class Figure:
         if self.geodetic and self.area:
             self.holes = [h[::-1] if sh._clockwise(h, "geodetic") else h for h in self.rings[1:]]
 
+    @functools.cached_property
+    def cap(self) -> tuple[np.ndarray, float]:
+        """A circle on the sphere around the shape: its centre, and its radius in radians (pi: no circle is known)."""
+        i = np.repeat(np.arange(len(self.path)), 5)
+        edge = self.path.at(i, np.tile(np.linspace(0, 1, 5), len(self.path)))
+        v = sh.vectors(np.concatenate([edge, self.path.corners if len(self.path.corners) else self.some]))
+        middle = v.sum(0)
+        size = float(np.sqrt(middle @ middle))
+        if size < 0.2 * len(v):
+            return v[0], np.pi
+        middle /= size
+        gap = sh._angle(v.reshape(-1, 3)[: len(edge)].reshape(-1, 5, 3)[:, :-1], v[: len(edge)].reshape(-1, 5, 3)[:, 1:]).max() if len(edge) else 0.0
+        radius = float(sh._angle(v, middle).max() + gap)
+        if radius > 1.4:
+            return middle, np.pi
+        if self.area and self.geodetic:  # its inside lies to the left: in the circle, or all but the circle
+            a, b = self.path.a[: len(self.rings[0]) - 1], self.path.b[: len(self.rings[0]) - 1]
+            if sh.cross(a, b).sum(0) @ middle <= 0:
+                return middle, np.pi
+        if self.kind == "box" and self.covers_points(lonlat(-middle[None]))[0]:
+            return middle, np.pi
+        return middle, radius
+
+    def far(self, other: Figure) -> bool:
+        """Whether two shapes lie apart by their circles alone."""
+        (a, r), (b, s) = self.cap, other.cap
+        return r + s < np.pi and float(np.arccos(np.clip(a @ b, -1, 1))) > r + s + 1e-6
+
     def on_edge(self, p: np.ndarray) -> np.ndarray:
         return self.path.holds(p).any(1) if len(self.path) else np.zeros(len(p), bool)
 
@@ -283,6 +313,8 @@ def intersects(a: Figure, b: Figure) -> bool:
     if a.kind == "point" or b.kind == "point":
         a, b = (a, b) if b.kind == "point" else (b, a)
         return bool(a.covers_points(b.some)[0])
+    if a.far(b):
+        return False
     if len(cuts(a.path, b.path)[0]):
         return True
     return bool((a.area and a.covers_points(b.some)[0]) or (b.area and b.covers_points(a.some)[0]))
@@ -292,7 +324,7 @@ def covers(a: Figure, b: Figure) -> bool:
     """Whether all of b lies in a."""
     if b.kind == "point" or a.kind == "point":
         return bool(a.covers_points(b.path.corners if len(b.path.corners) else b.some).all())
-    if not a.covers_points(b.path.corners if len(b.path.corners) else b.some).all():
+    if a.far(b) or not a.covers_points(b.path.corners if len(b.path.corners) else b.some).all():
         return False
     if not a.covers_points(pieces(b.path, a.path)).all():
         return False
