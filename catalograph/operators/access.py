@@ -44,43 +44,55 @@ def granting(acls: DataFrame, sids: list[str], permission: str) -> DataFrame:
     return acls.where(hit)
 
 
+def _key(kind: str, text: Column | None = None, cell: Column | None = None) -> Column:
+    """What a rule and a record may meet on: a title, an id, a cell of access values, no value, or anything."""
+    return F.struct(
+        F.lit(kind).alias("kind"), F.coalesce(text.cast("string"), F.lit("")).alias("text") if text is not None else F.lit("").alias("text"),
+        (cell["level"] if cell is not None else F.lit(0)).alias("level"), (cell["cell"] if cell is not None else F.lit(0).cast("long")).alias("cell"),
+    )
+
+
+KEYS = "array<struct<kind:string,text:string,level:int,cell:bigint>>"
+
+
 def _paired(records: DataFrame, acls: DataFrame, now) -> DataFrame:
     """Records with the rules (``r_`` columns) that let them through, each pair once.
 
-    Rules meet records by what they name: titles and ids by equi-joins on them, access-value ranges by
-    the cells of their range, times that must meet by the tree of days, each within the provider. Only
-    rules that ask for none of these meet all records of their provider, which they permit. So a
-    provider's many rules add what they match. Each pair that is found is held against the whole rule.
+    Rules meet records by what they name: titles, ids, and cells of access-value ranges, in one
+    equi-join within the provider, and times that must meet by the tree of days. Only rules that ask
+    for none of these meet all records of their provider, which they permit. So a provider's many
+    rules add what they match. Each pair that is found is held against the whole rule.
     """
     now = F.lit(now).cast("timestamp_ntz")
     rules = acls.select(*[F.col(c).alias(f"r_{c}") for c in acls.columns])
-    provider = F.col("provider_id") == F.col("r_provider_id")
     names = [*records.columns, *rules.columns]
-    titled, known = F.col("r_entry_titles").isNotNull(), F.col("r_concept_ids").isNotNull()
     in_title = F.coalesce(F.array_contains("r_entry_titles", F.col("entry_title")), F.lit(False))
+    empty = F.array().cast(KEYS)
 
-    by_title = rules.where(titled).select("*", F.explode(F.array_distinct("r_entry_titles")).alias("_title"))
-    found = records.join(by_title, provider & (F.col("entry_title") == F.col("_title"))).select(*names)
-    by_id = rules.where(known).select("*", F.explode(F.array_distinct("r_concept_ids")).alias("_id"))
-    found = found.unionByName(records.join(by_id, provider & (F.col("concept_id") == F.col("_id"))).where(~in_title).select(*names))
+    low, high, undefined = F.col("r_access.min"), F.col("r_access.max"), F.col("r_access.include_undefined")
+    each = lambda some, make: F.coalesce(F.transform(some, make), empty)
+    named = F.concat(each(F.array_distinct(F.array_compact("r_entry_titles")), lambda t: _key("title", t)), each(F.array_distinct(F.array_compact("r_concept_ids")), lambda i: _key("id", i)))
+    ranged = F.when(low.isNotNull() | high.isNotNull(), F.transform(range_cells(low.cast("double"), high.cast("double")), lambda c: _key("value", cell=c))).otherwise(empty)
+    absent = F.when(F.coalesce(undefined, F.lit(False)), F.array(_key("absent"))).otherwise(empty)
+    timely = F.coalesce(F.col("r_temporal.mask").isin("intersect", "contains") & (F.col("r_temporal.start") <= F.col("r_temporal.stop")), F.lit(False))
+    whole = low.isNull() & high.isNull() & undefined.isNull()
+    open_ = F.when(~whole, F.concat(ranged, absent)).when(timely, empty).otherwise(F.array(_key("any")))
+    asked = rules.withColumn("_key", F.explode(F.when(F.col("r_entry_titles").isNotNull() | F.col("r_concept_ids").isNotNull(), named).otherwise(open_)))
 
-    open_ = rules.where(~titled & ~known)
-    low, high, none = F.col("r_access.min"), F.col("r_access.max"), F.coalesce(F.col("r_access.include_undefined"), F.lit(False))
-    ranged = low.isNotNull() | high.isNotNull()
-    cells = open_.where(ranged).select("*", F.explode(range_cells(low.cast("double"), high.cast("double"))).alias("_cell"))
-    valued = records.select("*", F.explode(point_cells(F.col("access_value").cast("double"))).alias("_own"))
-    found = found.unionByName(valued.join(cells, provider & (F.col("_own") == F.col("_cell"))).select(*names))
-    found = found.unionByName(records.where(F.col("access_value").isNull()).join(open_.where(none), provider).select(*names))
+    value = F.col("access_value").cast("double")
+    title = F.when(F.col("entry_title").isNotNull(), F.array(_key("title", F.col("entry_title")))).otherwise(empty)
+    cells = F.when(value.isNull(), F.array(_key("absent"))).otherwise(F.transform(point_cells(value), lambda c: _key("value", cell=c)))
+    own = records.withColumn("_own", F.explode(F.concat(title, F.array(_key("id", F.col("concept_id")), _key("any")), cells)))
+    found = own.join(asked, (F.col("provider_id") == F.col("r_provider_id")) & (F.col("_own") == F.col("_key")))
+    found = found.where((F.col("_key.kind") != "id") | ~in_title).select(*names)
 
-    free = open_.where(low.isNull() & high.isNull() & F.col("r_access.include_undefined").isNull())
-    timely = F.coalesce(F.col("r_temporal.mask").isin("intersect", "contains") & (F.col("r_temporal.start") <= F.col("r_temporal.stop")), F.lit(False))
     stop = F.coalesce("end_date", now)
     timed = records.withColumns({"_from": F.least("start_date", stop), "_to": F.greatest("start_date", stop)}).where(F.col("start_date").isNotNull())
-    spans = free.where(timely).withColumns({"_since": F.col("r_temporal.start"), "_until": F.col("r_temporal.stop")})
+    spans = rules.where(F.col("r_entry_titles").isNull() & F.col("r_concept_ids").isNull() & whole & timely).withColumns({"_since": F.col("r_temporal.start"), "_until": F.col("r_temporal.stop")})
     found = found.unionByName(temporal_join(timed, spans, ("_from", "_to"), ("_since", "_until"), by=("provider_id", "r_provider_id")).select(*names))
-    found = found.unionByName(records.join(free.where(~timely), provider).select(*names))
     return found.where(
-        access_value_ok(F.col("access_value"), low, high, F.col("r_access.include_undefined"))
+        collection_rule_ok(F.col("entry_title"), F.col("concept_id"), F.col("r_entry_titles"), F.col("r_concept_ids"))
+        & access_value_ok(F.col("access_value"), low, high, undefined)
         & temporal_rule_ok(F.col("start_date"), F.col("end_date"), F.col("r_temporal.start"), F.col("r_temporal.stop"), F.col("r_temporal.mask"), now)
     )
 
