@@ -82,15 +82,15 @@ def _(spark, d):
     return g.where(F.col("start_date").between(F.col("w.a"), F.col("w.b"))).select("w.year", "order_id", "line")
 
 
-@query("so3_tiebreak_page", sql("SELECT concept_id, platform FROM collections ORDER BY platform, concept_id LIMIT 700 OFFSET 700", "collections"))
+@query("so3_tiebreak_page", sql("SELECT concept_id, platform FROM collections ORDER BY platform, concept_id LIMIT 60 OFFSET 60", "collections"))
 def _(spark, d):
     """The second page by a key of few values: which collections it holds follows from the tie-breakers."""
-    return so.page(so.sort_by(ad.collections(spark, d), ["+platform"], "variable"), 700, 2).select("concept_id", "platform")
+    return so.page(so.sort_by(ad.collections(spark, d), ["+platform"], "variable"), 60, 2).select("concept_id", "platform")
 
 
-@query("so6_offset_page", sql("SELECT concept_id, version FROM collections ORDER BY version DESC, concept_id LIMIT 123 OFFSET 456", "collections"))
+@query("so6_offset_page", sql("SELECT concept_id, version FROM collections ORDER BY version DESC, concept_id LIMIT 23 OFFSET 56", "collections"))
 def _(spark, d):
-    return so.page(so.sort_by(ad.collections(spark, d), ["-version"], "variable"), 123, offset=456).select("concept_id", "version")
+    return so.page(so.sort_by(ad.collections(spark, d), ["-version"], "variable"), 23, offset=56).select("concept_id", "version")
 
 
 # ---------------------------------------------------------------- every branch of a rule

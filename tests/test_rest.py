@@ -7,17 +7,18 @@ import re
 import duckdb
 import pytest
 
-from catalograph.plans import QUERIES, SQL, rest
+from catalograph.plans import QUERIES, SQL, rest, single
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [n for n in re.findall(r'@query\("(\w+)"', inspect.getsource(rest)) if n in SQL] + ["sp8_polygon_search"]
+OTHERS = ["sp8_polygon_search", "sp15_swath_sums", "jn14_spatial_join", "jn16_overlap_counts", "jn21_match_subscriptions", "jn21_subscription_atoms", "ag25_keyword_nodes", "sm1_stream_upsert", "sm2_stream_deletes", "sm5_digest_stream", "sm7_stream_bounds", "pm4_rules_for"]
+NAMES = [n for n in re.findall(r'@query\("(\w+)"', inspect.getsource(rest) + inspect.getsource(single)) if n in SQL] + OTHERS
 
 
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
