@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import MASK, mix, table, tidy
 
-#: Pre-tokens and pairs that a worker remembers, each: some 150 MB when full.
-MEMO = 800_000
+#: Pre-tokens and pairs that a worker remembers, each, where it has other work too, and where it has none (some 200 MB).
+MEMO, MEMO_ALONE = 150_000, 800_000
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -109,8 +109,8 @@ class PerfectHash:
 class Encoder(dict):
     """Memo of pre-token to its ids (little-endian unsigned 32-bit), resolved on first sight."""
 
-    def __init__(self, words: list[bytes], found: PerfectHash, pattern: str):
-        self.words, self.found = words, found
+    def __init__(self, words: list[bytes], found: PerfectHash, pattern: str, memo: int = MEMO):
+        self.words, self.found, self.memo = words, found, memo
         self.split = regex.compile(pattern).findall
         self.byte = [found.get(bytes((i,))) for i in range(256)]
         self.pairs: dict[int, int | None] = {}
@@ -119,7 +119,7 @@ class Encoder(dict):
         raw = piece.encode()
         whole = self.found.get(raw)
         ids = array("I", (whole,) if whole is not None else self.merge(raw)).tobytes()
-        if len(self) < MEMO and len(piece) < 64:
+        if len(self) < self.memo and len(piece) < 64:
             self[piece] = ids
         return ids
 
@@ -129,7 +129,7 @@ class Encoder(dict):
             return self.pairs[key]
         except KeyError:
             rank = self.found.get(self.words[a] + self.words[b])
-            if len(self.pairs) < MEMO:
+            if len(self.pairs) < self.memo:
                 self.pairs[key] = rank
             return rank
 
@@ -162,10 +162,10 @@ class Encoder(dict):
         return b"".join(map(self.words.__getitem__, array("I", ids)))
 
 
-_HELD: dict[tuple[str, str], Encoder] = {}
+_HELD: dict[tuple[str, str, int], Encoder] = {}
 
 
-def _encoder(key: tuple[str, str], shared) -> Encoder:
+def _encoder(key: tuple[str, str, int], shared) -> Encoder:
     """This worker's encoder of a vocabulary file and pattern; its memo outlives the task."""
     if key not in _HELD:
         _HELD.clear()
@@ -180,10 +180,10 @@ def _with(df: DataFrame, name: str) -> T.StructType:
 class Tokenizer:
     """A vocabulary on the driver, broadcast to tasks: a few MB, bounded by the vocabulary file."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, memo: int = MEMO):
         words = read_ranks(path)
-        self.shared = spark.sparkContext.broadcast((words, PerfectHash(words), pattern))
-        self.key = (hashlib.sha256(b"\0".join(words)).hexdigest(), pattern)
+        self.shared = spark.sparkContext.broadcast((words, PerfectHash(words), pattern, memo))
+        self.key = (hashlib.sha256(b"\0".join(words)).hexdigest(), pattern, memo)
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``ids``: the tokens of ``text`` as little-endian unsigned 32-bit integers."""
@@ -239,7 +239,7 @@ class Tokenizer:
         return d.mapInArrow(tidy(each), T.StructType([d.schema["doc_id"], T.StructField("n_tokens", long), T.StructField("ids_sha256", string), T.StructField("decoded_sha256", string)]))
 
 
-def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None, memo: int = MEMO) -> DataFrame:
     """Tokens of ``docs`` (doc_id, text), counted and hashed, and of their decoded bytes.
 
     Encodes and decodes in one pass, so that ids never leave the worker and only half as many
@@ -247,10 +247,10 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """
     import public_tokenizers
 
-    coder = Tokenizer(docs.sparkSession, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    coder = Tokenizer(docs.sparkSession, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN, memo)
     return coder.digest(docs)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded and decoded."""
-    return digest(table(spark, sf_dir, "documents"))
+    return digest(table(spark, sf_dir, "documents"), memo=MEMO_ALONE)
