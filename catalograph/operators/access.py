@@ -89,7 +89,7 @@ def _paired(records: DataFrame, acls: DataFrame, now) -> DataFrame:
     stop = F.coalesce("end_date", now)
     timed = records.withColumns({"_from": F.least("start_date", stop), "_to": F.greatest("start_date", stop)}).where(F.col("start_date").isNotNull())
     spans = rules.where(F.col("r_entry_titles").isNull() & F.col("r_concept_ids").isNull() & whole & timely).withColumns({"_since": F.col("r_temporal.start"), "_until": F.col("r_temporal.stop")})
-    found = found.unionByName(temporal_join(timed, spans, ("_from", "_to"), ("_since", "_until"), by=("provider_id", "r_provider_id")).select(*names))
+    found = found.unionByName(temporal_join(timed, spans, ("_from", "_to"), ("_since", "_until"), by=("provider_id", "r_provider_id"), hint=None).select(*names))
     return found.where(
         collection_rule_ok(F.col("entry_title"), F.col("concept_id"), F.col("r_entry_titles"), F.col("r_concept_ids"))
         & access_value_ok(F.col("access_value"), low, high, undefined)

@@ -7,6 +7,7 @@ import time
 import pytest
 
 from catalograph.operators import joins as jn, orbit as ob
+from catalograph.plans import QUERIES, SQL
 
 D = dt.datetime
 
@@ -81,3 +82,34 @@ def test_crossing_longitudes(spark):
 
     want = sorted((a, x[1]) for x in granules for a in {y[0] for y in ranges} if any(y[0] == a and sees(x, y) for y in ranges))
     assert sorted((x["area_id"], x["k"]) for x in ob.orbit_join(g, r).collect()) == want and len(want) > len(set(want)) > 15
+
+
+def test_overlaps_counted_without_pairs(spark):
+    """As many as the join pairs, of odd ranges too, and no row is dealt to nodes or paired."""
+    rng = random.Random(11)
+    left, right = _some(rng, 150, D(1999, 6, 1), 40), _some(rng, 120, D(2000, 1, 1), 5)
+    left += left[:9] + [(501, D(1, 1, 1), None), (502, D(2000, 1, 1), D(2000, 1, 1))]
+    right += [(600, D(2000, 1, 1), D(2000, 1, 1)), (601, D(9999, 12, 31), None)]
+    l, r = _frames(spark, left, right)  # noqa: E741
+    pairs = {x["j"]: x["count"] for x in jn.temporal_join(l, r).groupBy("j").count().collect()}
+    counted = jn.overlap_counts(l, r)
+    assert {x["j"]: x["n"] for x in counted.collect()} == {j: pairs.get(j, 0) for j, _, _ in right}
+    assert jn.overlap_counts(l.limit(0), r).where("n <> 0").count() == 0
+    plan = QUERIES["jn16_overlap_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_large_sides_are_not_broadcast(spark):
+    """Sizes that the optimizer guesses don't count the nodes; only quarters, which are few, are broadcast, and then granules aren't shuffled."""
+    def plan(name):
+        return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+    assert "Broadcast" not in plan("jn16_temporal_join_whole")
+    few = plan("jn16_temporal_join")
+    assert "SortMergeJoin" not in few and not [x for x in few.splitlines() if "Exchange hashpartitioning(_key" in x or "Exchange hashpartitioning(_rkey" in x]
+
+
+def test_merged_ranges_of_equal_times_by_sql():
+    """The SQL orders rows once: two windows that each break ties as they like can put one of two equal ranges into the island before."""
+    assert SQL["wn7_merge_ranges"].count("ORDER BY start_date") == 1
+    assert SQL["wn7_merge_ranges"].count("ORDER BY i ROWS") == 2
