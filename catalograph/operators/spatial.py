@@ -6,6 +6,8 @@ plain columns (``functions.boxes``); lines and polygons go through Arrow UDFs.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,31 +35,70 @@ def _decoded(a: pa.StructArray) -> list[tuple[str, str, list[np.ndarray]] | None
     return [(kind[i], system[i], [xy[point[k] : point[k + 1]] for k in range(ring[i], ring[i + 1])]) if ok[i] and kind[i] is not None else None for i in range(len(a))]
 
 
-class _Figures(dict):
-    """Figures of a column's shapes; equal shapes are one figure. It forgets all when it is full."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all cores before geometry, by columns if some are given: a small file of shapes is one task else."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+class _Kept(dict):
+    """What a worker has found out, for shapes that come again. It forgets all when it is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def of(self, key, work):
+        if key not in self:
+            found = work()
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return self[key]
+
+
+#: Figures of shapes, and results of functions of one shape or two; equal shapes have equal keys.
+_FIGURES, _RESULTS = _Kept(4096), _Kept(50_000)
+
+
+def _key(x: tuple[str, str, list[np.ndarray]] | None) -> bytes | None:
+    """128 bits of a decoded shape, the same for equal ones; None for null."""
+    if x is None:
+        return None
+    h = hashlib.blake2b(repr((x[0], x[1], [len(r) for r in x[2]])).encode(), digest_size=16)
+    for r in x[2]:
+        h.update(np.ascontiguousarray(r))
+    return h.digest()
 
-    MOST = 4096
 
-    def of(self, a: pa.StructArray) -> list[rl.Figure | None]:
-        out = []
-        for x in _decoded(a):
-            if x is None:
-                out.append(None)
-                continue
-            key = (x[0], x[1], *(r.tobytes() for r in x[2]))
-            if key not in self:
-                if len(self) >= self.MOST:
-                    self.clear()
-                self[key] = rl.Figure(*x)
-            out.append(self[key])
-        return out
+def _figure(key: bytes, x: tuple[str, str, list[np.ndarray]]) -> rl.Figure:
+    # a copy of the rings, as a view would keep the whole batch
+    return _FIGURES.of(key, lambda: rl.Figure(x[0], x[1], [r.copy() for r in x[2]]))
 
 
-_FIGURES = _Figures()
+def _shapes(a: pa.StructArray) -> list[tuple[bytes | None, tuple | None]]:
+    """(key, decoded shape) of a column; a column of one shape is worked out once."""
+    if len(a) > 1 and a.null_count == 0 and _alike(a):
+        return [(_key(x), x) for x in _decoded(a[:1])] * len(a)
+    return [(_key(x), x) for x in _decoded(a)]
+
+
+def _alike(a: pa.StructArray) -> bool:
+    """Whether a batch has one shape only, as of a literal."""
+    return a[:1].equals(a[-1:]) and a[:-1].equals(a[1:])
+
+
+def _each(name: str, work, a: pa.StructArray) -> list:
+    """``work`` of each decoded shape, once for equal ones; None for null."""
+    return [None if x is None else _RESULTS.of((name, k), lambda: work(x)) for k, x in _shapes(a)]
 
 
 def _related(test, a: pa.StructArray, b: pa.StructArray) -> pa.Array:
-    return pa.array([None if x is None or y is None else test(x, y) for x, y in zip(_FIGURES.of(a), _FIGURES.of(b))], pa.bool_())
+    """``test`` of each pair of shapes, once for equal pairs; None if either is null."""
+    out = []
+    for (k, x), (m, y) in zip(_shapes(a), _shapes(b)):
+        out.append(None if x is None or y is None else _RESULTS.of((test.__name__, k, m), lambda: test(_figure(k, x), _figure(m, y))))
+    return pa.array(out, pa.bool_())
 
 
 @F.arrow_udf(T.BooleanType())
@@ -77,10 +118,13 @@ def shape_covers_point(a: pa.Array, lon: pa.Array, lat: pa.Array) -> pa.Array:
     """Whether a shape column covers a point; all points of a batch that meet one shape are tested together."""
     x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in (lon, lat))
     points = np.column_stack([x, y])
-    rows: dict[int, tuple[rl.Figure, list[int]]] = {}
-    for i, f in enumerate(_FIGURES.of(a)):
-        if f is not None and np.isfinite(points[i]).all():
-            rows.setdefault(id(f), (f, []))[1].append(i)
+    rows: dict[bytes, tuple[rl.Figure, list[int]]] = {}
+    finite = np.isfinite(points).all(1)
+    for i, (k, s) in enumerate(_shapes(a)):
+        if s is not None and finite[i]:
+            if k not in rows:
+                rows[k] = _figure(k, s), []
+            rows[k][1].append(i)
     out = np.full(len(points), None, object)
     for f, at in rows.values():
         out[at] = f.covers_points(points[at])
@@ -90,13 +134,13 @@ def shape_covers_point(a: pa.Array, lon: pa.Array, lat: pa.Array) -> pa.Array:
 @F.arrow_udf(BOX)
 def shape_box(a: pa.Array) -> pa.Array:
     """The box around a shape column."""
-    rows = [(None,) * 4 if x is None else sh.shape_box(x[2], x[1]) for x in _decoded(a)]
+    rows = [r or (None,) * 4 for r in _each("box", lambda x: sh.shape_box(x[2], x[1]), a)]
     return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in range(4)], names=["west", "north", "east", "south"])
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def shape_errors(a: pa.Array) -> pa.Array:
-    return pa.array([[] if x is None else sh.shape_errors(x[0], x[1], x[2]) for x in _decoded(a)], pa.list_(pa.string()))
+    return pa.array([r or [] for r in _each("errors", lambda x: sh.shape_errors(x[0], x[1], x[2]), a)], pa.list_(pa.string()))
 
 
 def polygon(points: list[tuple[float, float]], coord_sys: str = "geodetic", holes=()) -> Column:
@@ -273,12 +317,19 @@ def tiles_of(f: rl.Figure) -> np.ndarray:
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("h", T.IntegerType()), T.StructField("v", T.IntegerType())])))
 def _tiles(a: pa.Array) -> pa.Array:
-    return pa.array([None if f is None else [{"h": int(t % COLUMNS), "v": int(t // COLUMNS)} for t in tiles_of(f)] for f in _FIGURES.of(a)], pa.list_(pa.struct([("h", pa.int32()), ("v", pa.int32())])))
+    def work(x):
+        return tiles_of(rl.Figure(*x))
+
+    some = _each("tiles", work, a)
+    flat = np.concatenate([np.zeros(0, int), *[t for t in some if t is not None]])
+    ends = np.append(0, np.cumsum([0 if t is None else len(t) for t in some])).astype(np.int32)
+    tiles = pa.StructArray.from_arrays([pa.array(flat % COLUMNS, pa.int32()), pa.array(flat // COLUMNS, pa.int32())], names=["h", "v"])
+    return pa.ListArray.from_arrays(pa.array(ends), tiles, mask=pa.array([t is None for t in some], pa.bool_()))
 
 
 def assign_tiles(df: DataFrame, shape: str = "shape") -> DataFrame:
-    """``df`` with ``tiles``, the sorted (h, v) of tiles that each shape meets; null for null."""
-    return df.withColumn("tiles", _tiles(F.col(shape)))
+    """``df`` with ``tiles``, the sorted (h, v) of tiles that each shape meets; null for null. Rows are dealt over all cores first."""
+    return spread(df).withColumn("tiles", _tiles(F.col(shape)))
 
 
 def area_tiles(df: DataFrame, shape: str = "shape") -> DataFrame:
@@ -347,27 +398,27 @@ def read_areas(spark, path: str, lines: bool = False) -> DataFrame:
 def simplify_areas(df: DataFrame, most: int, shape: str = "shape", tolerance: float = 1e-4, tries: int = 5) -> DataFrame:
     """Outlines simplified until they have at most ``most`` points: tolerance times ten at each try.
 
-    A try whose outline crosses itself or collapses is passed over; adds ``simplified``.
+    A try whose outline crosses itself or collapses is passed over; adds ``simplified``. Rows are dealt over all cores first.
     """
     point = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
     a_type = pa.struct([("shape", pa.struct([("kind", pa.string()), ("coord_sys", pa.string()), ("rings", pa.list_(pa.list_(point)))])), ("simplified", pa.bool_())])
 
+    def simplified(x) -> dict:
+        best, t = x, tolerance
+        ok = sum(map(len, x[2])) <= most
+        for _ in range(tries):
+            if ok:
+                break
+            rings = [sh.simplify(r, t) for r in x[2]]
+            t *= 10
+            if all(len(r) >= (4 if x[0] == "polygon" else 2) for r in rings) and not sh.shape_errors(x[0], "cartesian", rings):
+                best = (x[0], x[1], rings)
+                ok = sum(map(len, rings)) <= most
+        shape = {"kind": best[0], "coord_sys": best[1], "rings": [[{"lon": float(p[0]), "lat": float(p[1])} for p in r] for r in best[2]]}
+        return {"shape": shape, "simplified": best is not x}
+
     @F.arrow_udf(T.StructType([T.StructField("shape", SHAPE), T.StructField("simplified", T.BooleanType())]))
     def run(a: pa.Array) -> pa.Array:
-        out = []
-        for x in _decoded(a):
-            best, t = x, tolerance
-            ok = x is None or sum(map(len, x[2])) <= most
-            for _ in range(tries):
-                if ok:
-                    break
-                rings = [sh.simplify(r, t) for r in x[2]]
-                t *= 10
-                if all(len(r) >= (4 if x[0] == "polygon" else 2) for r in rings) and not sh.shape_errors(x[0], "cartesian", rings):
-                    best = (x[0], x[1], rings)
-                    ok = sum(map(len, rings)) <= most
-            shape = None if best is None else {"kind": best[0], "coord_sys": best[1], "rings": [[{"lon": float(p[0]), "lat": float(p[1])} for p in r] for r in best[2]]}
-            out.append({"shape": shape, "simplified": best is not x})
-        return pa.array(out, a_type)
-
-    return df.withColumn("_s", run(F.col(shape))).withColumn(shape, F.col("_s.shape")).withColumn("simplified", F.col("_s.simplified")).drop("_s")
+        return pa.array([{"shape": None, "simplified": False} if r is None else r for r in _each(f"simplified {most} {tolerance} {tries}", simplified, a)], a_type)
+
+    return spread(df).withColumn("_s", run(F.col(shape))).withColumn(shape, F.col("_s.shape")).withColumn("simplified", F.col("_s.simplified")).drop("_s")

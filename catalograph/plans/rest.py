@@ -337,6 +337,11 @@ def _places(spark, d):
     return ad.read(spark, d, "part").select("p_partkey", (k * 7 % 340 - 170).cast("double").alias("x"), (k * 3 % 160 - 80).cast("double").alias("y"))
 
 
+def _shape_places(spark, d):
+    """Places for shapes, dealt over all cores."""
+    return sp.spread(_places(spark, d), "p_partkey")
+
+
 def _ring(*points):
     x, y = F.col("x"), F.col("y")
     return F.array(*[F.struct((x + a).alias("lon"), (y + b).alias("lat")) for a, b in points])
@@ -377,7 +382,7 @@ def _(spark, d):
 def _(spark, d):
     line = F.struct(F.lit("line").alias("kind"), F.lit("cartesian").alias("coord_sys"), F.array(F.array(*[F.struct(F.lit(float(a)).alias("lon"), F.lit(float(b)).alias("lat")) for a, b in ((-60, -40), (70, 55))])).alias("rings"))
     box = sp.box_shape(bx.box(F.col("x"), F.col("y") + 8, F.col("x") + 8, F.col("y")))
-    return _places(spark, d).where(sp.shape_intersects(line, box)).select("p_partkey")
+    return _shape_places(spark, d).where(sp.shape_intersects(line, box)).select("p_partkey")
 
 
 def _corner(lon: str, lat: str) -> str:
@@ -395,7 +400,7 @@ _BOX = _XY.replace(" AS x", " + 0.2 AS x").replace(" AS y", " + 0.3 AS y")
     FROM (SELECT *, {_ARC.format("x")} AS a, {_ARC.format("(x + 8)")} AS b, least(y + 14, 90) AS n FROM (SELECT p_partkey, {_BOX} FROM part))""")
 def _(spark, d):
     """Boxes against a geodetic polygon around a pole: parallels against arcs."""
-    p = _places(spark, d).withColumns({"x": F.col("x") + 0.2, "y": F.col("y") + 0.3})
+    p = _shape_places(spark, d).withColumns({"x": F.col("x") + 0.2, "y": F.col("y") + 0.3})
     box = sp.box_shape(bx.box(F.col("x"), F.least(F.col("y") + 14, F.lit(90.0)), F.col("x") + 8, F.col("y")))
     return p.select("p_partkey", sp.shape_intersects(sp.polygon(CAP), box).alias("met"), sp.shape_covers(sp.polygon(CAP), box).alias("covered"))
 
@@ -411,7 +416,7 @@ def _(spark, d):
     SELECT i.p_partkey, any_in OR x.p_partkey IS NOT NULL AS met, all_in AS covered FROM i LEFT JOIN x USING (p_partkey)""")
 def _(spark, d):
     """Geodetic polygons against a geodetic polygon."""
-    p = _places(spark, d).withColumns({"x": (F.col("x") + 0.2) / 2, "y": (F.col("y") + 0.3) / 2})
+    p = _shape_places(spark, d).withColumns({"x": (F.col("x") + 0.2) / 2, "y": (F.col("y") + 0.3) / 2})
     own = _made("polygon", _ring((0, 0), (6, 0), (6, 6), (0, 6), (0, 0)), "geodetic")
     return p.select("p_partkey", sp.shape_intersects(sp.polygon(AREA), own).alias("met"), sp.shape_covers(sp.polygon(AREA), own).alias("covered"))
 
@@ -424,7 +429,7 @@ HOLE = [(-70, -40), (-70, -10), (-40, -10), (-40, -40), (-70, -40)]
     x >= -100 AND x + 8 <= 100 AND y >= -60 AND y + 8 <= 60 AND NOT (x < 30 AND x + 8 > -10 AND y + 8 > 0) AND NOT (x < -40 AND x + 8 > -70 AND y < -10 AND y + 8 > -40) AS covered FROM (SELECT p_partkey, {_BOX} FROM part)""")
 def _(spark, d):
     """Cartesian squares against a polygon with a notch and a hole."""
-    p = _places(spark, d).withColumns({"x": F.col("x") + 0.2, "y": F.col("y") + 0.3})
+    p = _shape_places(spark, d).withColumns({"x": F.col("x") + 0.2, "y": F.col("y") + 0.3})
     area, own = sp.polygon(NOTCHED, "cartesian", [HOLE]), _made("polygon", _ring((0, 0), (8, 0), (8, 8), (0, 8), (0, 0)))
     return p.select("p_partkey", sp.shape_intersects(area, own).alias("met"), sp.shape_covers(area, own).alias("covered"))
 
@@ -433,7 +438,7 @@ def _(spark, d):
     FROM (SELECT p_partkey, (p_partkey * 7) % 100 + 130.25 AS lo, y FROM (SELECT p_partkey, {_BOX} FROM part))""")
 def _(spark, d):
     """Cartesian squares about the antimeridian, some of them beyond 180, against a box across it."""
-    p = _places(spark, d).withColumns({"x": F.col("p_partkey") * 7 % 100 + 130.25, "y": F.col("y") + 0.3})
+    p = _shape_places(spark, d).withColumns({"x": F.col("p_partkey") * 7 % 100 + 130.25, "y": F.col("y") + 0.3})
     p = p.withColumn("x", F.when(F.col("x") >= 180, F.col("x") - 360).otherwise(F.col("x")))  # a square across it ends beyond 180
     area, own = sp.box_shape(bx.box(*[F.lit(float(v)) for v in (160, 30, -150, -30)])), _made("polygon", _ring((0, 0), (6, 0), (6, 6), (0, 6), (0, 0)))
     return p.select("p_partkey", sp.shape_intersects(area, own).alias("met"), sp.shape_covers(area, own).alias("covered"))
@@ -454,7 +459,7 @@ def _(spark, d):
 def _(spark, d):
     far = F.when(F.col("x") + 60 > 180, F.col("x") - 300).otherwise(F.col("x") + 60)
     ring = F.array(F.struct(F.col("x").alias("lon"), F.col("y").alias("lat")), F.struct(far.alias("lon"), F.col("y").alias("lat")))
-    b = _places(spark, d).select("p_partkey", sp.shape_box(_made("line", ring, "geodetic")).alias("b"))
+    b = _shape_places(spark, d).select("p_partkey", sp.shape_box(_made("line", ring, "geodetic")).alias("b"))
     return b.select("p_partkey", *[F.round(f"b.{c}", 6).alias(c) for c in ("west", "east", "north", "south")])
 
 
@@ -465,7 +470,7 @@ def _(spark, d):
         F.when(k == 1, _ring((0, 0), (8, 0), (8, 8), (0, 8))).when(k == 2, _ring((0, 0), (8, 0), (8, 0), (8, 8), (0, 0))).when(k == 3, _ring((0, 0), (8, 8), (8, 0), (0, 8), (0, 0)))
         .when(k == 4, _ring((0, 0), (8, 0), (8, 200), (0, 0))).otherwise(_ring((0, 0), (8, 0), (8, 8), (0, 8), (0, 0)))
     )
-    return _places(spark, d).select("p_partkey", F.array_join(sp.shape_errors(_made("polygon", ring)), "; ").alias("errors"))
+    return _shape_places(spark, d).select("p_partkey", F.array_join(sp.shape_errors(_made("polygon", ring)), "; ").alias("errors"))
 
 
 @query("sp13_shapes_doc", "SELECT p_partkey, least(x, x / 2 - 3) AS west, greatest(y + 4, y / 2 + 1) AS north, greatest(x + 5, x / 2) AS east, least(y, y / 2) AS south FROM (SELECT p_partkey, x / 2 AS x, y FROM (SELECT p_partkey, " + _XY + " FROM part))")

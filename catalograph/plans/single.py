@@ -156,4 +156,4 @@ def _(spark, d):
     point = lambda x: F.struct(x.alias("lon"), F.col("y").alias("lat"))
     line = F.struct(F.lit("line").alias("kind"), F.lit("geodetic").alias("coord_sys"), F.array(F.array(point(F.col("x")), point(F.col("x") + 60))).alias("rings"))
     box = sp.box_shape(bx.box(*[F.lit(float(v)) for v in (-50, 40, 70, -35)]))
-    return p.select("p_partkey", sp.shape_intersects(line, box).alias("met"))
+    return sp.spread(p, "p_partkey").select("p_partkey", sp.shape_intersects(line, box).alias("met"))

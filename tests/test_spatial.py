@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalograph.functions import boxes as bx, shapes as sh
+from catalograph.functions import boxes as bx, relations as rl, shapes as sh
 from catalograph.operators import orbit as ob, spatial as sp
+from catalograph.plans import QUERIES
 
 NORTH = [(0, 60), (90, 60), (180, 60), (-90, 60), (0, 60)]
 SOUTH = [(0, -60), (-90, -60), (180, -60), (90, -60), (0, -60)]
@@ -246,3 +247,30 @@ def test_points_beside_an_arc_are_not_on_it():
     a, b = sh.vectors([(50, 30)])[0], sh.vectors([(0, 45)])[0]
     mid = (a + b) / np.linalg.norm(a + b)
     assert sh.on_arc(mid, a, b) and sh.on_arc(a, a, b) and sh.on_arc(a, a, a) and not sh.on_arc(-mid, a, b) and not sh.on_arc(-a, a, b)
+
+
+def test_shapes_are_dealt_over_tasks_and_worked_out_once(spark):
+    """A table in one part goes to several tasks, and equal shapes give equal results, nulls and other shapes between them."""
+    one = spark.range(400).coalesce(1).selectExpr("id", "cast(id % 5 * 30 - 80 as double) as x", "cast(id % 3 * 20 - 40 as double) as y")
+    assert sp.spread(one, "id").rdd.getNumPartitions() >= 16
+    for name in ("sp8_box_meets_cap", "sp8_notch_and_hole", "sp8_polygons_meet", "sp8_antimeridian", "sp9_line_meets_box", "sp9_arcs_meet_box", "sp10_shape_box", "sp12_shape_errors", "sp16_simplify_areas", "jn17_tile_shapes"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
+    ring = "array(named_struct('lon', x, 'lat', y), named_struct('lon', x + 20, 'lat', y), named_struct('lon', x + 20, 'lat', y + 8), named_struct('lon', x, 'lat', y + 8), named_struct('lon', x, 'lat', y))"
+    shaped = one.selectExpr("id", f"case when id % 7 <> 0 then named_struct('kind', 'polygon', 'coord_sys', case when id % 2 = 0 then 'cartesian' else 'geodetic' end, 'rings', array({ring})) end as shape")
+    rows = sp.assign_tiles(shaped).select("id", "shape", "tiles").collect()
+    assert len(rows) == 400 and {r["tiles"] is None for r in rows if r["id"] % 7 == 0} == {True}
+    for r in rows:
+        if r["tiles"] is not None:
+            f = rl.Figure(r["shape"]["kind"], r["shape"]["coord_sys"], [[(p["lon"], p["lat"]) for p in g] for g in r["shape"]["rings"]])
+            assert [36 * t["v"] + t["h"] for t in r["tiles"]] == list(sp.tiles_of(f))
+    box = sp.polygon([(-30, -20), (40, -25), (50, 30), (0, 45), (-35, 20), (-30, -20)])
+    met = {r["id"]: r["met"] for r in shaped.select("id", sp.shape_intersects(box, "shape").alias("met")).collect()}
+    assert all((met[i] is None) == (i % 7 == 0) for i in met) and len({(i % 30, met[i]) for i in met if i % 7}) == 30
+
+
+def test_results_kept_for_equal_shapes_are_those_asked_for():
+    kept, calls = sp._Kept(2), []
+    for k in (1, 1, 2, 3, 1):
+        assert kept.of(k, lambda: calls.append(k) or k * 10) == k * 10 and len(kept) <= 2
+    assert calls == [1, 2, 3, 1]
