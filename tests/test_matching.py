@@ -132,3 +132,16 @@ def test_many_rules_of_one_provider(spark):
     found = ac.rules_for(records, rules)
     assert found.count() == 3000 and found.where("substr(concept_id, 2) <> acl_id").count() == 0
     assert ac.permitted(records, rules, ["g"]).count() == 3000 and ac.permitted(records, rules, ["h"]).count() == 0
+
+
+def test_changes_are_dealt_to_what_is_asked_for(spark):
+    """Changes go to the keys that their collection's subscriptions have and to no others; a large collection's changes are split."""
+    changes = spark.createDataFrame([(i % 2, i, float(i % 50), "abc"[i % 3]) for i in range(3000)], "collection_id long, k long, x double, name string")
+    changes = changes.withColumn("revision_date", F.lit("2024-01-01").cast("timestamp_ntz"))
+    some = [(i, "u", 0, [("x", None, float(i % 50), None)] if i % 3 else [("name", "B", None, None)], None) for i in range(1200)] + [(5000, "u", 1, [("x", None, 10.0, 12.0)], None)]
+    found = jn.match_subscriptions(changes, spark.createDataFrame(some, ATOMS))
+    want = sum(1 for i in range(3000) if i % 2 == 0 for s in range(1200) if (i % 50 >= s % 50 if s % 3 else "abc"[i % 3] == "b")) + sum(1 for i in range(3000) if i % 2 and 10 <= i % 50 <= 12)
+    assert found.count() == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(flatten(") == 1  # once, not once for each kind of key
+    assert "_part" in plan
