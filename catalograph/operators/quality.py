@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def _messages(*rules: tuple[Column, str | Column]) -> Column:
@@ -157,6 +158,9 @@ def check_revisions(df: DataFrame, most: int = 2_000_000_000) -> DataFrame:
 def check_links(links: DataFrame, concepts: DataFrame) -> DataFrame:
     """Links whose target is missing or deleted, and links with and without revision to one target."""
     c = concepts.select(F.col("concept_id").alias("associated_id"), F.col("deleted").alias("_gone"))
-    kinds = links.where("not deleted").groupBy("source_id", "associated_id").agg(F.count("associated_revision").alias("_with"), F.count_if(F.col("associated_revision").isNull()).alias("_without"))
-    d = links.join(c, "associated_id", "left").join(kinds, ["source_id", "associated_id"], "left")
-    return d.withColumn("errors", _messages((F.col("_gone").isNull(), "target does not exist"), (F.col("_gone"), "target is deleted"), ((F.col("_with") > 0) & (F.col("_without") > 0), "linked with and without revision"))).drop("_gone", "_with", "_without")
+    rest = [x for x in links.columns if x not in ("source_id", "associated_id")]
+    pair, live = W.partitionBy("source_id", "associated_id"), ~F.col("deleted") & F.col("source_id").isNotNull() & F.col("associated_id").isNotNull()
+    revision = F.col("associated_revision")
+    d = links.withColumns({"_with": F.count_if(live & revision.isNotNull()).over(pair), "_without": F.count_if(live & revision.isNull()).over(pair)})
+    d = d.join(c, "associated_id", "left")
+    return d.withColumn("errors", _messages((F.col("_gone").isNull(), "target does not exist"), (F.col("_gone"), "target is deleted"), ((F.col("_with") > 0) & (F.col("_without") > 0), "linked with and without revision"))).select("source_id", "associated_id", *rest, "errors")

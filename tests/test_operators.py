@@ -371,3 +371,16 @@ def test_ranks_of_ties_nulls_and_large_groups(spark):
         want |= {r[2]: i + 1 for i, r in enumerate(mine)}
     assert got == want
     assert rl.ranks(df.where("false"), "g", [F.col("v")], [F.col("v")], "rank").count() == 0
+
+
+def test_links_with_and_without_revision(spark):
+    """Deleted links count for nothing but are told so too, null ends meet nothing, equal links come back each; the links are dealt once."""
+    rows = [(1, 5, None, False), (1, 5, 2, False), (1, 5, 7, True), (1, 6, None, False), (1, 6, 3, True), (2, 7, None, False), (2, 9, 1, None), (None, 5, 1, False), (None, 5, None, False), (3, 8, 4, False), (3, 8, 4, False)]
+    links = spark.createDataFrame(rows, "source_id int, associated_id int, associated_revision int, deleted boolean")
+    concepts = spark.createDataFrame([(5, False), (6, False), (7, True), (8, False)], "concept_id int, deleted boolean")
+    d = dq.check_links(links, concepts)
+    both = "linked with and without revision"
+    want = [(1, 5, None, [both]), (1, 5, 2, [both]), (1, 5, 7, [both]), (1, 6, None, []), (1, 6, 3, []), (2, 7, None, ["target is deleted"]), (2, 9, 1, ["target does not exist"]), (None, 5, 1, []), (None, 5, None, []), (3, 8, 4, []), (3, 8, 4, [])]
+    assert d.columns == ["source_id", "associated_id", "associated_revision", "deleted", "errors"]
+    assert sorted(map(repr, [(r[0], r[1], r[2], r[4]) for r in d.collect()])) == sorted(map(repr, want))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
