@@ -20,11 +20,11 @@ DAYS = lambda n: F.make_dt_interval(F.lit(n))
 
 
 def _concepts(spark, d):
-    """Granules and collections as one table of concepts by type and provider, in the shared folder."""
+    """Granules and collections as one table of concepts by type and provider, in the shared folder; each task writes what it reads."""
     g = ad.granules(spark, d).select(F.lit("granule").alias("concept_type"), F.concat(F.lit("P"), F.col("provider_id") % 5).alias("provider_id"), F.concat_ws("-", "order_id", "line", "collection_id").alias("concept_id"))
     c = ad.collections(spark, d).select(F.lit("collection").alias("concept_type"), F.concat(F.lit("P"), F.col("concept_id") % 5).alias("provider_id"), F.col("concept_id").cast("string"))
     path = _scratch(spark)
-    g.union(c).repartition("concept_type", "provider_id").write.partitionBy("concept_type", "provider_id").parquet(path)
+    g.union(c).write.partitionBy("concept_type", "provider_id").parquet(path)
     return path
 
 

@@ -48,3 +48,8 @@ def test_crossing_ranges_of_all_areas_and_orbits(spark):
     r = QUERIES["sp14_crossing_ranges"](spark, DATA)
     assert r.select("collection_id").distinct().count() == 200
     assert r.where("lat_min > lat_max").count() == 0
+
+
+def test_concepts_are_written_where_they_are_read(spark):
+    """No provider is one task's: the table of concepts is written without a shuffle by provider."""
+    assert "repartition" not in inspect.getsource(rest._concepts)
