@@ -39,18 +39,18 @@ def to_stac(df: DataFrame, root: str = "https://example.org") -> DataFrame:
     crosses = b["west"] > b["east"]
     corner = lambda x, y: F.array(x, y)
     ring = lambda w, e: F.array(F.array(corner(w, b["south"]), corner(e, b["south"]), corner(e, b["north"]), corner(w, b["north"]), corner(w, b["south"])))
-    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), ring(b["west"], b["east"]).alias("coordinates")))
-    split = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(ring(b["west"], F.lit(180.0)), ring(F.lit(-180.0), b["east"])).alias("coordinates")))
-    geometry = F.parse_json(F.when(crosses, split).otherwise(single))
+    # coordinates of the two kinds lie at different depths, so each has an item of its own type
+    single = F.struct(ring(b["west"], b["east"]).alias("coordinates"), F.lit("Polygon").alias("type"))
+    split = F.struct(F.array(ring(b["west"], F.lit(180.0)), ring(F.lit(-180.0), b["east"])).alias("coordinates"), F.lit("MultiPolygon").alias("type"))
     same = F.col("end_date").isNull() | (F.col("end_date") == F.col("start_date"))
     times = F.struct(F.when(same, _date("start_date")).alias("datetime"), F.when(~same, _date("start_date")).alias("start_datetime"), F.when(~same, _date("end_date")).alias("end_datetime"), F.col("cloud_cover").alias("eo:cloud_cover"))
     assets = F.map_from_entries(F.transform(F.filter("links", lambda x: x["href"].isNotNull()), lambda x, i: F.struct(F.when(x["type"] == "GET DATA", F.concat(F.lit("data"), i.cast("string"))).otherwise(F.concat(F.lit("browse"), i.cast("string"))), F.struct(x["href"].alias("href"), x["mime_type"].alias("type")))))
-    item = F.struct(
+    item = lambda geometry: F.struct(
         F.lit("Feature").alias("type"), F.lit("1.0.0").alias("stac_version"), F.col("concept_id").alias("id"), F.col("collection_id").alias("collection"), geometry.alias("geometry"),
         F.array(b["west"], b["south"], b["east"], b["north"]).alias("bbox"), times.alias("properties"), assets.alias("assets"),
         F.array(F.struct(F.lit("self").alias("rel"), F.concat(F.lit(root + "/items/"), F.col("concept_id")).alias("href"))).alias("links"),
     )
-    return df.where("box is not null").select("concept_id", F.to_json(item).alias("item"))
+    return df.where("box is not null").select("concept_id", F.when(crosses, F.to_json(item(split))).otherwise(F.to_json(item(single))).alias("item"))
 
 
 def to_opendata(df: DataFrame, tag: str) -> DataFrame:

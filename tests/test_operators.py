@@ -384,3 +384,16 @@ def test_links_with_and_without_revision(spark):
     assert d.columns == ["source_id", "associated_id", "associated_revision", "deleted", "errors"]
     assert sorted(map(repr, [(r[0], r[1], r[2], r[4]) for r in d.collect()])) == sorted(map(repr, want))
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_stac_geometry_is_written_once(spark):
+    """Both kinds of geometry, with no text parsed again on the way."""
+    import json
+
+    boxes = [(1, (170.0, 5.5, -175.0, -2.0)), (2, (10.0, 5.5, 20.25, -2.0))]
+    df = spark.createDataFrame(boxes, "concept_id int, box struct<west:double,north:double,east:double,south:double>").selectExpr("cast(concept_id as string) as concept_id", "'c' as collection_id", "box", "timestamp_ntz '2000-01-01' as start_date", "cast(null as timestamp_ntz) as end_date", "1.0 as cloud_cover", "array(named_struct('href', 'h', 'type', 'GET DATA', 'mime_type', 'a/b')) as links")
+    items = sk.to_stac(df)
+    assert "parse_json" not in items._jdf.queryExecution().analyzed().toString()
+    got = {r["concept_id"]: json.loads(r["item"])["geometry"] for r in items.collect()}
+    ring = lambda w, e: [[[w, -2.0], [e, -2.0], [e, 5.5], [w, 5.5], [w, -2.0]]]
+    assert got == {"1": {"type": "MultiPolygon", "coordinates": [ring(170.0, 180.0), ring(-180.0, -175.0)]}, "2": {"type": "Polygon", "coordinates": ring(10.0, 20.25)}}
