@@ -102,6 +102,32 @@ def test_spatial_join_equals_brute_force(spark):
     assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, a in left for j, b in right if meets(a, b))
 
 
+@pytest.mark.parametrize("few,heap,deals", [(10_000, 65_536, 64), (0, 7, 3)])
+def test_equal_boxes_meet_once(spark, monkeypatch, few, heap, deals):
+    """Many rows with few boxes, equal rows, nulls and poles give all pairs; boxes meet before their rows do, and pairs are dealt."""
+    for name, value in (("FEW", few), ("HEAP", heap), ("DEALS", deals)):
+        monkeypatch.setattr(sp, name, value, raising=False)
+    t = "struct<west:double,north:double,east:double,south:double>"
+    boxes = [(170.0, 10.0, -170.0, -10.0), (-180.0, 90.0, 180.0, -90.0), (0.0, 5.0, 3.0, 1.0), (-0.0, 5.0, 3.0, 1.0), (20.0, 90.0, 30.0, 80.0), (50.0, 50.0, 51.0, 49.0), None, (1.0, None, 2.0, 0.0)]
+    right = [(j % 40, boxes[j % 8]) for j in range(300)]
+    left = [(i % 90, (w := float(i * 7 % 350 - 178), 90.0 if i % 11 == 0 else w / 2 + 1, w + 2, w / 2)) for i in range(100)] + [(500, None)]
+
+    def meets(a, b):
+        if a is None or b is None or None in b:
+            return False
+        if a[1] == b[1] == 90 or a[3] == b[3] == -90:
+            return True
+        parts = lambda q: [(q[0], q[2])] if q[0] <= q[2] else [(q[0], 180), (-180, q[2])]
+        return a[3] <= b[1] and b[3] <= a[1] and any(p[0] <= q[1] and q[0] <= p[1] for p in parts(a) for q in parts(b))
+
+    df = sp.spatial_join(spark.createDataFrame(left, f"i int, box {t}"), spark.createDataFrame(right, f"j int, area_box {t}"))
+    assert df.columns == ["i", "box", "j", "area_box"]
+    got = sorted((r["i"], r["j"]) for r in df.collect())
+    assert got == sorted((i, j) for i, a in left for j, b in right if meets(a, b)) and len(got) > len(set(got)) > 100
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "partial_count" in plan and "ShuffledHashJoin" in plan
+
+
 def test_tiles(spark):
     df = spark.createDataFrame([(1, 0.5, 0.5), (2, -179.0, 89.0), (3, 100.0, -45.0)], "id int, lon double, lat double")
     df = df.withColumn("shape", sp.point_shape(F.col("lon"), F.col("lat"))).withColumn("t", sp.tile_of(F.col("lon"), F.col("lat")))
