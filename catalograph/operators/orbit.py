@@ -235,13 +235,12 @@ ORBIT = ["inclination", "period", "swath_width"]
 CELL = 64
 
 
-def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
-    """(area_id, collection_id, ascending, lon_min, lon_max, lat_min, lat_max) for each area and orbit.
+def orbit_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
+    """(area_id, inclination, period, swath_width, ascending, lon_min, lon_max, lat_min, lat_max) for each area and different orbit.
 
-    Areas are outlines (area_id, ring); orbits are collections with inclination, period and
-    swath_width. The union of the ranges of dense points of the area, closer together than the swath
-    is wide. Each distinct orbit is worked out once, in a row for each latitude and direction;
-    collections get their orbit's ranges by a join.
+    Areas are outlines (area_id, ring). The union of the ranges of dense points of the area, closer
+    together than the swath is wide. Each different orbit is worked out once, in a row for each
+    latitude and direction.
     """
     kinds = orbits.select(*ORBIT).dropna().where("swath_width > 0").distinct()
     gap = F.lit(0.9) * F.degrees(F.col("swath_width") * 1000.0 / EARTH_M)
@@ -272,15 +271,36 @@ def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
     near = [F.floor(F.col(c) / F.col("gap") / CELL).alias(f"cell_{c}") for c in ("lon", "lat")]
     cells = seen.groupBy(*key, *near).agg(F.collect_list("r").alias("rs")).select(*key, F.explode(merged("rs")).alias("r"))
     whole = cells.groupBy(*key).agg(F.collect_list("r").alias("rs")).select(*key, F.explode(merged("rs")).alias("r"))
-    return orbits.select("collection_id", *ORBIT).join(whole, ORBIT).select("area_id", "collection_id", "ascending", F.col("r.a").alias("lon_min"), F.col("r.b").alias("lon_max"), "lat_min", "lat_max")
+    return whole.select("area_id", *ORBIT, "ascending", F.col("r.a").alias("lon_min"), F.col("r.b").alias("lon_max"), "lat_min", "lat_max")
+
+
+def crossing_ranges(areas: DataFrame, orbits: DataFrame) -> DataFrame:
+    """(area_id, collection_id, ascending, lon_min, lon_max, lat_min, lat_max) for each area and collection.
+
+    Orbits are collections with inclination, period and swath_width; they get their :func:`orbit_ranges` by a join.
+    """
+    return orbits.select("collection_id", *ORBIT).join(orbit_ranges(areas, orbits), ORBIT).select("area_id", "collection_id", "ascending", "lon_min", "lon_max", "lat_min", "lat_max")
 
 
 #: Degrees of a bin of crossing longitudes.
 BIN = 10
 
 
-def orbit_join(granules: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(area_id, and granule columns) of granules whose pass sees an area: a range join by collection.
+def orbit_search(granules: DataFrame, areas: DataFrame, orbits: DataFrame) -> DataFrame:
+    """:func:`orbit_join` of granules with the :func:`crossing_ranges` of areas and collections.
+
+    Ranges are gathered in bins once for all collections of the same orbits (those of a collection's
+    rows together), so that what granules meet grows with different orbits and not with collections.
+    """
+    name = F.concat_ws(" ", *[F.col(c) + 0.0 for c in ORBIT])
+    own = orbits.dropna(subset=ORBIT).groupBy("collection_id").agg(F.concat_ws(",", F.array_sort(F.collect_set(name))).alias("_orbits"))
+    kinds = own.select("_orbits").distinct().withColumn("_orbit", F.explode(F.split("_orbits", ",")))
+    ranges = kinds.join(orbit_ranges(areas, orbits).withColumn("_orbit", name), "_orbit")
+    return orbit_join(granules.join(own, "collection_id"), ranges, "_orbits").drop("_orbits")
+
+
+def orbit_join(granules: DataFrame, ranges: DataFrame, by: str = "collection_id") -> DataFrame:
+    """(area_id, and granule columns) of granules whose pass sees an area: a range join by collection, or by another column.
 
     Granules have crossing_lon and the circular latitudes start_clat and end_clat that they cover.
     Ascending passes over latitudes [a, b] lie at circular latitudes [a, b], descending ones at
@@ -297,8 +317,8 @@ def orbit_join(granules: DataFrame, ranges: DataFrame) -> DataFrame:
     lo = F.when(F.col("ascending"), F.col("lat_min")).otherwise(180 - F.col("lat_max"))
     hi = F.when(F.col("ascending"), F.col("lat_max")).otherwise(180 - F.col("lat_min"))
     known = ranges.where(F.col("lon_min").isNotNull() & F.col("lon_max").isNotNull())
-    seen = known.select("area_id", "collection_id", F.explode(bins).alias("_bin"), F.struct(F.col("lon_min").alias("a"), F.col("lon_max").alias("b"), lo.alias("lo"), hi.alias("hi")).alias("r"))
-    seen = seen.groupBy("area_id", "collection_id", "_bin").agg(F.collect_list("r").alias("_seen"))
+    seen = known.select("area_id", by, F.explode(bins).alias("_bin"), F.struct(F.col("lon_min").alias("a"), F.col("lon_max").alias("b"), lo.alias("lo"), hi.alias("hi")).alias("r"))
+    seen = seen.groupBy("area_id", by, "_bin").agg(F.collect_list("r").alias("_seen"))
 
     def meets(r: Column) -> Column:
         x = F.col("crossing_lon")
@@ -308,5 +328,5 @@ def orbit_join(granules: DataFrame, ranges: DataFrame) -> DataFrame:
             lat = lat | ((F.col("start_clat") <= r["hi"] + turn) & (F.col("end_clat") >= r["lo"] + turn))
         return inside & lat
 
-    both = granules.withColumn("_bin", at("crossing_lon")).join(seen, ["collection_id", "_bin"])
+    both = granules.withColumn("_bin", at("crossing_lon")).join(seen, [by, "_bin"])
     return both.where(F.exists("_seen", meets)).select("area_id", *granules.columns)

@@ -410,9 +410,8 @@ def _(spark, d):
     p = lambda dx, dy: F.struct((lon + dx).alias("lon"), F.lit(float(dy)).alias("lat"))
     areas = r.select(F.col("r_regionkey").alias("area_id"), F.array(p(0, 10), p(8, 10), p(8, 16), p(0, 16), p(0, 10)).alias("ring"))
     orbits = ad.collections(spark, d).select(F.col("concept_id").alias("collection_id"), F.lit(94.0).alias("inclination"), F.lit(96.7).alias("period"), (F.lit(300.0) + F.col("version")).alias("swath_width"))
-    ranges = ob.crossing_ranges(areas, orbits)
     g = ad.granules(spark, d).select("collection_id", "order_id", "line", F.col("lon").alias("crossing_lon"), F.lit(-50.0).alias("start_clat"), (F.col("lat") / 2 + 60).alias("end_clat"))
-    return ob.orbit_join(g, ranges).select("area_id", "collection_id", "order_id", "line")
+    return ob.orbit_search(g, areas, orbits).select("area_id", "collection_id", "order_id", "line")
 
 
 @query("sp15_swath_polygons")

@@ -84,6 +84,27 @@ def test_crossing_longitudes(spark):
     assert sorted((x["area_id"], x["k"]) for x in ob.orbit_join(g, r).collect()) == want and len(want) > len(set(want)) > 15
 
 
+def test_orbits_are_searched_once_for_all_their_collections(spark, monkeypatch):
+    """What granules meet has a row for each different orbit, not for each collection; granules of several or unknown orbits are right."""
+    met, join = [], ob.orbit_join
+    monkeypatch.setattr(ob, "orbit_join", lambda g, r, *by: (met.append(r), join(g, r, *by))[1])
+    QUERIES["jn15_orbit_join"](spark, "/root/testdata/sf0.001")
+    key = next(c for c in met[0].columns if c in ("collection_id", "_orbits"))
+    assert met[0].select(key).distinct().count() <= 50  # sizes of parts; there are 200 parts
+    rng = random.Random(3)
+    kinds = [(94.0, 96.7, 300.0), (94.0, 96.7, 600.0), (60.0, 100.0, 300.0), (-0.0, 96.7, 300.0), (94.0, None, 300.0), (94.0, 96.7, 0.0)]
+    orbits = [(c, *kinds[c % 6]) for c in range(24)] + [(0, *kinds[1]), (0, *kinds[1]), (1, *kinds[2]), (4, *kinds[0]), (None, *kinds[0])]
+    granules = [(rng.choice([*range(26), None]), k, rng.uniform(-180, 180), -20.0, 100.0) for k in range(3000)]
+    granules += granules[:1000]
+    areas = spark.createDataFrame([(a, [(x, 10.0), (x + 8, 10.0), (x + 8, 16.0), (x, 16.0), (x, 10.0)]) for a, x in enumerate((-60.0, 175.0))], "area_id int, ring array<struct<lon:double,lat:double>>")
+    g = spark.createDataFrame(granules, "collection_id int, k int, crossing_lon double, start_clat double, end_clat double")
+    o = spark.createDataFrame(orbits, "collection_id int, inclination double, period double, swath_width double")
+    got = ob.orbit_search(g, areas, o)
+    assert got.columns == ["area_id", *g.columns]
+    rows = sorted((r["area_id"], r["k"]) for r in got.collect())
+    assert rows == sorted((r["area_id"], r["k"]) for r in join(g, ob.crossing_ranges(areas, o)).collect()) and len(rows) > len(set(rows)) > 30 and {r[0] for r in rows} == {0, 1}
+
+
 def test_overlaps_counted_without_pairs(spark):
     """As many as the join pairs, of odd ranges too, and no row is dealt to nodes or paired."""
     rng = random.Random(11)
