@@ -58,6 +58,21 @@ def test_open_rows_do_not_ask_for_the_latest_time(spark):
     assert took[1] < 3 * took[0] + 2
 
 
+def test_pairs_of_one_day_are_many_tasks(spark, monkeypatch):
+    """All ranges on one day, closed and open: no task forms most of the pairs; equal rows, a column that must be equal, and sides of times only."""
+    for name, value in (("SIDE", 200), ("HEAP", 7)):
+        monkeypatch.setattr(jn, name, value, raising=False)
+    left = [(i % 900, D(2000, 1, 1), D(2000, 1, 2) if i % 3 else None) for i in range(1000)]
+    right = [(j % 700, D(2000, 1, 1), D(2000, 1, 3) if j % 5 else None) for j in range(800)]
+    l, r = _frames(spark, left, right)  # noqa: E741
+    tasks = jn.temporal_join(l, r).groupBy(jn.F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in tasks) == 800_000 and max(x["count"] for x in tasks) < 400_000
+    assert jn.temporal_join(l.drop("i"), r.drop("j")).count() == 800_000
+    l, r = l.withColumn("p", jn.F.expr("nullif(i % 4, 3)")), r.withColumn("q", jn.F.expr("nullif(j % 4, 3)"))
+    got = sorted((x["i"], x["j"]) for x in jn.temporal_join(l, r, by=("p", "q")).collect())
+    assert got == sorted((i, j) for i, _, _ in left for j, _, _ in right if i % 4 == j % 4 != 3)
+
+
 def test_crossing_longitudes(spark):
     """Several ranges of an area, both directions, wrapped ranges, equal granules: one row for each granule and area."""
     rng = random.Random(1)
