@@ -145,3 +145,19 @@ def test_changes_are_dealt_to_what_is_asked_for(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(flatten(") == 1  # once, not once for each kind of key
     assert "_part" in plan
+
+
+def test_equal_subscriptions_meet_a_change_once(spark, monkeypatch):
+    """Subscriptions that ask for the same are a few rows of the index, all given out; many changes of a collection are split even for one subscription."""
+    sides, spread = [], getattr(jn, "spread", None)
+    monkeypatch.setattr(jn, "spread", lambda df, *by: (sides.append(df), spread(df, *by))[1], raising=False)
+    monkeypatch.setattr(jn, "BATCH", 100, raising=False)
+    ranges = [[("x", None, 10.0, None), ("x", None, None, 12.0), ("name", "B", None, None)], [("x", None, None, None), ("name", "a", None, None), ("name", "A", None, None)], [("name", "a", None, None), ("name", "b", None, None)], [("x", "1", None, None)]]
+    some = [(i % 1900, "u", i % 2, ranges[i // 2 % 4], None) for i in range(2000)]
+    changes = spark.createDataFrame([(0, i, float(i % 50) if i % 7 else None, "abc"[i % 3]) for i in range(1000)], "collection_id long, k long, x double, name string")
+    changes = changes.withColumn("revision_date", F.lit("2024-01-01").cast("timestamp_ntz"))
+    found = jn.match_subscriptions(changes, spark.createDataFrame(some, ATOMS.replace("collection_id string", "collection_id long")))
+    want = [(i, s[0]) for i in range(1000) for s in some if s[2] == 0 and i % 7 and (s[3] is ranges[0] and 10 <= i % 50 <= 12 and i % 3 == 1 or s[3] is ranges[1] and i % 3 == 0)]
+    assert sorted((r["k"], r["subscription_id"]) for r in found.collect()) == sorted(want) and len(want) > 10_000
+    index, dealt = sides
+    assert index.select("_part").distinct().count() >= 10 and index.where("_part = 0").count() <= 8
