@@ -128,6 +128,21 @@ def test_equal_boxes_meet_once(spark, monkeypatch, few, heap, deals):
     assert plan.count("REPARTITION_BY_NUM") >= 2 and "partial_count" in plan and "ShuffledHashJoin" in plan
 
 
+def test_pairs_of_a_box_are_written_small(spark, tmp_path, monkeypatch):
+    """Written pairs have runs of a left row and short cycles of right ones: under a byte each, and no column of plain values."""
+    monkeypatch.setattr(sp, "DEALS", 4)  # as many left rows of a deal as in large tables
+    t = "struct<west:double,north:double,east:double,south:double>"
+    box = lambda k: F.struct((k * 20 - 100.0).alias("west"), F.lit(10.0).alias("north"), (k * 20 - 90.0).alias("east"), F.lit(0.0).alias("south")).cast(t)
+    i = F.col("id")
+    left = spark.range(1500).select((i * 7919).alias("i"), box(i % 10).alias("box"))
+    right = spark.range(40_000).select((i * 104_729).alias("j"), box(i % 10).alias("area_box"))
+    out = sp.spatial_join(left, right).select("i", "j")
+    out.write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert tuple(got.agg(F.count("*"), F.count_distinct("i"), F.count_distinct("j"), F.count_distinct(F.expr("i / 7919 % 10 - j / 104729 % 10"))).first()) == (6_000_000, 1500, 40_000, 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6_000_000
+
+
 def test_tiles(spark):
     df = spark.createDataFrame([(1, 0.5, 0.5), (2, -179.0, 89.0), (3, 100.0, -45.0)], "id int, lon double, lat double")
     df = df.withColumn("shape", sp.point_shape(F.col("lon"), F.col("lat"))).withColumn("t", sp.tile_of(F.col("lon"), F.col("lat")))
